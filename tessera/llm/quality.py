@@ -47,6 +47,11 @@ class Rules:
     chi_cutoff: float = 25.74
 
 
+def _joined(reach: int) -> Column:
+    """Hashes of twice as many words: each with the one ``reach`` places on."""
+    return F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + reach)))
+
+
 def text_statistics(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``df`` without ``text``, with the raw counts of each text.
 
@@ -70,7 +75,7 @@ def text_statistics(df: DataFrame, text: str = "text", rules: Rules = Rules()) -
     )
     reach = 1
     while reach < k:  # hashes of 2, 4, 8 ... words from those of half as many
-        body = body.withColumn("_h", F.transform("_h", lambda h, i, r=reach: F.xxhash64(h, F.get("_h", i + r))))
+        body = body.withColumn("_h", _joined(reach))
         reach *= 2
     body = body.withColumn("_h", F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (k - 1), F.lit(0))))
     twice = F.size(F.array_distinct("_h")) < F.size("_h")
