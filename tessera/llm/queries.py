@@ -9,17 +9,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import langid, neardup, quality, secrets
 from .common import documents
 
 
+def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [secrets.counted(base, k).alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op4_language_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    trees = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), trees).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), rules=neardup.Forest(shingle=2))
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_quality_outliers]
+    found = [op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers]
     return {f.__name__: f for f in found}
 
 
