@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, quality, secrets
+from . import langid, neardup, packing, quality, secrets
 from .common import documents
 
 
+def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
@@ -37,7 +41,7 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers]
+    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers]
     return {f.__name__: f for f in found}
 
 
