@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, quality, secrets
+from . import langid, lexicon, neardup, packing, quality, secrets, separators
 from .common import documents
 
 
@@ -40,8 +40,18 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(documents(spark, sf_dir))
 
 
+def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    words = lexicon.build(docs)
+    return lexicon.encode(docs.select("doc_id", "text"), words, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers]
+    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan]
     return {f.__name__: f for f in found}
 
 
