@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lexicon, neardup, packing, quality, secrets, separators
+from . import ann, langid, lexicon, neardup, packing, quality, secrets, separators
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), rules=neardup.Forest(shingle=2))
 
 
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan]
+    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan]
     return {f.__name__: f for f in found}
 
 
