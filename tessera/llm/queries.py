@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lexicon, neardup, packing, quality, secrets, separators
+from . import ann, langid, lexicon, neardup, packing, pseudo, quality, secrets, separators
 from .common import documents
 
 
@@ -54,8 +54,13 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(documents(spark, sf_dir))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pseudo.score(docs, pseudo.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan]
+    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan, op10_pseudo_likelihood]
     return {f.__name__: f for f in found}
 
 
