@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lexicon, neardup, packing, pseudo, quality, secrets, separators
+from . import ann, chat, langid, lexicon, neardup, packing, pseudo, quality, secrets, separators
 from .common import documents
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(chat.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -59,10 +63,16 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo.score(docs, pseudo.train(docs))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan, op10_pseudo_likelihood]
+    found = [op1_preference_pairs, op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan, op10_pseudo_likelihood, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference_pairs": chat.ORACLE}
