@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import arrow_map, materialize
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def _exact(classes: DataFrame, queries: list[tuple[int, list[float]]], k: int) -
         out = [(q, *row) for q, rows in zip(ids, best) for row in rows]
         yield pa.RecordBatch.from_pylist([{"query_id": q, "leaf": leaf, "ids": names, "score": s} for q, s, leaf, names in out], schema=pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]))
 
-    return classes.select("v", "leaf", "ids").mapInArrow(run, "query_id long, leaf long, ids array<long>, score double")
+    return classes.select("v", "leaf", "ids").transform(arrow_map, run, "query_id long, leaf long, ids array<long>, score double")
 
 
 def calibrate(tree: Tree, classes: DataFrame, queries: list[tuple[int, list[float]]], rules: Index) -> tuple[int, float]:
@@ -215,7 +215,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             at = tree_b.value.assign(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["rep", "v", "ids", "leaf"])
 
-    indexed = materialize(classes.select("rep", "v", "ids").mapInArrow(leaf, f"rep long, v {kind}, ids array<long>, leaf long"), "index")
+    indexed = materialize(classes.select("rep", "v", "ids").transform(arrow_map, leaf, f"rep long, v {kind}, ids array<long>, leaf long"), "index")
     stats = {r["leaf"]: (r["n"], r["m"]) for r in indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
     asked = rows.where(queries).dropDuplicates(["id", "v"])
     few = asked.withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(rules.calibration).select("id", "v").collect()
@@ -244,7 +244,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             take = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(out["leaves"], pa.list_(pa.int64()))], names=["shard", "id", "v", "leaves"])
 
-    visits = materialize(asked.select("id", "v").mapInArrow(walk, f"shard long, id long, v {kind}, leaves array<long>"), "visits")
+    visits = materialize(asked.select("id", "v").transform(arrow_map, walk, f"shard long, id long, v {kind}, leaves array<long>"), "visits")
     load = {r["shard"]: ceil(r["count"] / rules.queries_per_task) for r in visits.groupBy("shard").count().collect()}
     of_leaf = F.element_at(F.lit(shards), (F.col("leaf") + 1).cast("int"))
     parts = spark.createDataFrame(sorted(load.items()) or [(0, 1)], "shard long, parts long")
@@ -273,7 +273,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
                     ready = _Shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if held else _Shard(None)
                 yield ready.answer(piece, rules.k)
 
-    found = dealt.mapInArrow(answer, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = dealt.transform(arrow_map, answer, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

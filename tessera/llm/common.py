@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    file = Path(tempfile.mkdtemp(prefix="tessera-")).resolve() / f"tessera-{sc.applicationId}.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(file))
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

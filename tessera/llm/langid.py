@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import private
+from .common import arrow_map, private
 
 #: Code lengths are held in units of 1/UNIT bit.
 UNIT = 512
@@ -205,7 +205,7 @@ def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFram
                 rate = units.min(axis=1) / UNIT / np.maximum(1, np.diff(offsets))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best), pa.array(rate)], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    return df.mapInArrow(score, schema)
+    return df.transform(arrow_map, score, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, materialize, private
+from .common import arrow_map, drop, materialize, private
 from .tokens import library
 
 NAME = "word_bpe_49k.json"
@@ -205,7 +205,7 @@ def word_counts(df: DataFrame, text: str = "text", held: int = 200_000) -> DataF
                     total = 0
         yield flush()
 
-    return df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(text).transform(arrow_map, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build(df: DataFrame, text: str = "text", most: int = 1 << 18, least: int = 16, folder: str | None = None) -> Lexicon:
@@ -326,7 +326,7 @@ def encode(df: DataFrame, lexicon: Lexicon, text: str = "text", outputs: tuple[s
                         column.append(OUTPUTS[n][2](ids, decoded))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, OUTPUTS[n][1]) for c, n in zip(done, outputs)]], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(arrow_map, run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", folder: str | None = None) -> DataFrame:
@@ -341,4 +341,4 @@ def decode(df: DataFrame, ids: str = "ids", folder: str | None = None) -> DataFr
             texts = [None if v.as_py() is None else tok.decode(v.as_py(), skip_special_tokens=False) for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(arrow_map, run, schema)

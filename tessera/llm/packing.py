@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .histpack import shortest_pack_first
 from .tokens import byte_bpe
 
@@ -55,7 +55,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             columns += [pa.array(every, pa.list_(pa.int64()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text)).transform(arrow_map, run, schema)
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def place(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
             kept = [batch.column(i) for i, n in enumerate(names) if n not in ("_part", "_rank")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence[slot] + r), pa.array(offset[slot])], names=out.names)
 
-    return ranked.mapInArrow(run, out)
+    return ranked.transform(arrow_map, run, out)
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, folder: str | None = None, with_ids: bool = False) -> DataFrame:

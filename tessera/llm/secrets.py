@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import private
+from .common import arrow_map, private
 
 #: In the order that spans with the same start take.
 KINDS = ("assign", "access", "hex", "account", "random", "endpoint")
@@ -135,7 +135,7 @@ def scan(df: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*batch.schema.names, "spans"])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(arrow_map, run, schema)
 
 
 def joined(spans: Column) -> Column:

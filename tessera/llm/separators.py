@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .tokens import END_OF_TEXT_ID, byte_bpe
 
 #: Tokens in a block, and blocks in a group of the prefix scan.
@@ -67,7 +67,7 @@ def flatten(df: DataFrame, key: str = "doc_id", text: str = "text", block: int =
         if size or keys:
             yield row(np.concatenate(held))
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text)).transform(arrow_map, run, schema)
 
 
 def read_flat_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -104,7 +104,7 @@ def scan(blocks: DataFrame, end_id: int = END_OF_TEXT_ID, dtype: str = "<u2") ->
             columns += [pa.array(tokens, pa.int64()), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(inner, pa.list_(pa.int64())), pa.array(tail, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.transform(arrow_map, run, schema)
 
 
 def stitch(summaries: DataFrame, group: int = GROUP) -> DataFrame:
