@@ -1,0 +1,54 @@
+"""Settings that change results, from a mapping such as the environment."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
+
+@dataclass(frozen=True)
+class Config:
+    embed_dim: int = 256
+    hybrid: bool = True
+    sparse: str = "tf"
+    bm25_k1: float = 1.2
+    bm25_b: float = 0.75
+    reranker: str = "lexical"
+    rerank_pool: int = 30
+    trust: str = "heuristic"
+    trust_weight: float = 0.15
+    coverage_weight: float = 0.05
+    usage_weight: float = 0.10
+    enricher: str = "heuristic"
+    index_prune: bool = True
+    cache_ttl_seconds: float = 60.0
+    cache_size: int = 512
+    rrf_k: int = 2
+    source: str = "file"
+
+    def __post_init__(self):
+        for name, known in (("sparse", ("tf", "bm25")), ("reranker", ("lexical", "none")), ("trust", ("heuristic", "none")), ("enricher", ("heuristic", "none"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"unknown {name}: {getattr(self, name)}")
+
+    @classmethod
+    def read(cls, env: Mapping[str, str]) -> Config:
+        """Values that cannot be read leave the default."""
+        given = {}
+        for f in fields(cls):
+            raw, kind = env.get(f.name.upper()), type(f.default)
+            if raw in (None, ""):
+                continue
+            try:
+                given[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw.strip())
+            except ValueError:
+                continue
+        return cls(**given)
+
+    @property
+    def sources(self) -> list[str]:
+        return split_list(self.source)
+
+
+def split_list(raw: str) -> list[str]:
+    return [x.strip() for x in raw.split(",") if x.strip()]
