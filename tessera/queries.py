@@ -504,12 +504,12 @@ def trust_popularity(spark, sf_dir):
 _DAYS = "(epoch_us(TIMESTAMP '1998-08-02 00:00:00') - epoch_us(o_orderdate)) / 86400e6"
 
 
-@query(f"SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN 0.5 WHEN {_DAYS} <= 90 THEN 1 WHEN {_DAYS} >= 730 THEN 0 ELSE 1 - ({_DAYS} - 90) / 640 END, 6)::DOUBLE AS score FROM orders")
+@query(f"SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN 0.5 WHEN {_DAYS} <= 90 THEN 1 WHEN {_DAYS} >= 730 THEN 0 ELSE 1 - ({_DAYS} - 90) / 640 END, 9)::DOUBLE AS score FROM orders")
 def trust_recency(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     stamp = F.when(F.col("o_orderkey") % 7 == 0, day).otherwise(F.concat(day, F.lit("T"), F.date_format("o_orderdate", "HH:mm:ss"), F.lit("Z")))
-    return o.select("o_orderkey", r6(S.recency(stamp, F.to_timestamp(F.lit("1998-08-02T00:00:00Z")))).alias("score"))
+    return o.select("o_orderkey", F.round(S.recency(stamp, F.to_timestamp(F.lit("1998-08-02T00:00:00Z"))), 9).alias("score"))
 
 
 @query("SELECT doc_id, ((text <> '')::INT + (p_partkey IS NOT NULL)::INT + 1) / 4.0::DOUBLE AS score FROM documents LEFT JOIN part ON p_partkey = doc_id")
