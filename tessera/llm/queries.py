@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": chat.ORACLE}
+    return {"op1_preference_pairs": chat.ORACLE, "op5_minhash_forest": neardup.ORACLE}
