@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,15 @@ def merge_tallies(*tallies: DataFrame) -> DataFrame:
 
 def with_scores(tallies: DataFrame) -> DataFrame:
     return tallies.withColumn("usage", S.usage_score(F.col("calls"), F.col("successes"), F.col("tool_errors")))
+
+
+def save_snapshot(tallies: DataFrame, path: str) -> None:
+    tallies.write.mode("overwrite").parquet(path)
+
+
+def load_snapshot(spark, path: str) -> DataFrame:
+    """Tallies of a snapshot; none where there is no readable one."""
+    try:
+        return spark.read.parquet(path).select("mcp_id", "calls", "successes", "tool_errors")
+    except AnalysisException:
+        return spark.createDataFrame([], "mcp_id string, calls bigint, successes bigint, tool_errors bigint")

@@ -20,12 +20,26 @@ from .search import search
 SHOWN = ("id", "name", "title", "description", "score", "confidence", "matched_tool", "categories", "repository", "source")
 
 
+def tools(calls: bool) -> dict[str, dict]:
+    """The calls a client is offered, with their arguments; forwarding only where it is enabled."""
+    text, number, words = {"type": "string"}, {"type": "number"}, {"type": "array", "items": {"type": "string"}}
+    offered = {
+        "search": {"query": text, "top_k": {"type": "integer"}, "categories": words, "source": text, "min_score": number},
+        "details": {"id_": text},
+        "categories": {},
+    }
+    return offered | ({"call_tool": {"id_": text, "tool": text, "arguments": {"type": "object"}}} if calls else {})
+
+
 class Discovery:
     def __init__(self, spark: SparkSession, index: Index, config: Config = Config(), call: Callable[[dict, str, dict], tuple[str, bool]] | None = None, clock: Callable[[], float] | None = None):
         self.spark, self.index, self.config, self.call = spark, index, config, call
         self.cache = ResultCache(config.cache_size, config.cache_ttl_seconds, **({"clock": clock} if clock else {}))
         self.outcomes: list[tuple[str, str, datetime]] = []
 
+    def tools(self) -> dict[str, dict]:
+        return tools(self.call is not None)
+
     def search(self, query: str, top_k: int = 5, categories: list[str] | None = None, source: str = "", min_score: float = 0.0) -> list[dict]:
         if not query:
             raise ValueError("query is empty")
