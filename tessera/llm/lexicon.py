@@ -19,6 +19,7 @@ table (and an empty lexicon); other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import json
 import mmap
 import os
 import re
@@ -32,8 +33,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from .common import arrow_map, drop, materialize, private
+from .common import arrow_map, drop, materialize, replacing
 from .tokens import library
 
 NAME = "word_bpe_49k.json"
@@ -217,23 +219,31 @@ def build(df: DataFrame, text: str = "text", most: int = 1 << 18, least: int = 1
     total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = [r["word"] for r in counts.where(F.col("word").isNotNull() & (F.col("n") * most >= total)).select("word").collect()]
     drop(counts)
-    return Lexicon.compile(_merged(sorted(words), folder))
+    ids, ends = _merge(words, folder)
+    return Lexicon.compile({w: x.tolist() for w, x in zip(words, np.split(ids, ends[:-1]))} if words else {})
 
 
-def _merged(words: list[str], folder: str | None) -> dict[str, list[int]]:
-    """Ids of words by the tokenizer's exact merges, many words in one call."""
-    tok = library(NAME, folder)
-    ends = _ends(folder)
-    out: dict[str, list[int]] = {}
+def _merge(words: list[str], folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words by the tokenizer's exact merges, one after another, and where each word's end.
+
+    The words are normalised and split, so its model is called without the rest.
+    """
+    key = ("merger", folder)
+    if key not in _cached:
+        parts = json.loads(library(NAME, folder).to_str())
+        parts["normalizer"], parts["added_tokens"] = None, []
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        _cached[key] = Tokenizer.from_str(json.dumps(parts))
+    ids, sizes = [], []
     for i in range(0, len(words), 4096):
         some = words[i : i + 4096]
-        ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) == len(some):
-            out.update(zip(some, [x.tolist() for x in np.split(ids, cuts[:-1])]))
-        else:
-            out.update((w, tok.encode(w, add_special_tokens=False).ids) for w in some)
-    return out
+        got = np.array(_cached[key].encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(_ends(folder)[got]) + 1
+        if len(ends) != len(some):
+            each = [_cached[key].encode(w, add_special_tokens=False).ids for w in some]
+            got, ends = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+        ids.append(got), sizes.append(np.diff(ends, prepend=0))
+    return (np.concatenate(ids), np.cumsum(np.concatenate(sizes))) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 _cached: dict = {}
@@ -247,7 +257,7 @@ def _ends(folder: str | None) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes with a lexicon; remembers words within a bound."""
+    """Encodes and decodes with a lexicon; remembers its words, and the others within a bound."""
 
     def __init__(self, lexicon: Lexicon, folder: str | None = None, held: int = 250_000):
         self.lexicon, self.folder, self.held = lexicon, folder, held
@@ -255,19 +265,27 @@ class Coder:
         self.pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
+        self.rare: list[str] = []  # words that the lexicon lacks
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.ids.keys())
-        if len(self.ids) + len(new) > self.held:
-            self.ids.clear(), self.decoded.clear()
-            new = sorted(words)
+        if len(self.rare) > self.held:
+            for w in self.rare:
+                del self.ids[w], self.decoded[w]
+            self.rare = []
+        new = list(words - self.ids.keys())
         index = self.lexicon.find([w.encode() for w in new])
         at, flat = self.lexicon.at, self.lexicon.ids
-        found = {w: flat[at[i] : at[i + 1]].tolist() for w, i in zip(new, index) if i >= 0}
-        found |= _merged([w for w, i in zip(new, index) if i < 0], self.folder)
-        for w, ids in found.items():
-            self.ids[w] = np.array(ids, "<u4").tobytes()
-            self.decoded[w] = " ".join([self.pieces[i] for i in ids])
+        for i in np.flatnonzero(index >= 0):
+            w, ids = new[i], flat[at[index[i]] : at[index[i] + 1]]
+            self.ids[w], self.decoded[w] = ids.astype("<u4").tobytes(), " ".join([self.pieces[k] for k in ids])
+        rare = [new[i] for i in np.flatnonzero(index < 0)]
+        ids, ends = _merge(rare, self.folder)
+        data, pieces = ids.astype("<u4").tobytes(), [self.pieces[k] for k in ids.tolist()]
+        begin = 0
+        for w, end in zip(rare, ends.tolist()):
+            self.ids[w], self.decoded[w] = data[4 * begin : 4 * end], " ".join(pieces[begin:end])
+            begin = end
+        self.rare += rare
 
     def code(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian 32-bit integers, and the decoded text."""
@@ -279,7 +297,7 @@ class Coder:
                 ids = self.tok.encode(text, add_special_tokens=False).ids
                 out.append((np.array(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)))
             else:
-                out.append((b"".join([self.ids[w] for w in words]), " ".join([self.decoded[w] for w in words])))
+                out.append((b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))))
         return out
 
 
@@ -311,8 +329,8 @@ def share(df: DataFrame, lexicon: Lexicon) -> str:
 
 
 def encode(df: DataFrame, lexicon: Lexicon, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), folder: str | None = None) -> DataFrame:
-    """``df`` with the columns of OUTPUTS that are asked for."""
-    private(df, *outputs)
+    """``df`` with the columns of OUTPUTS that are asked for; columns that had these names are replaced."""
+    df = replacing(df, *outputs)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, OUTPUTS[n][0]) for n in outputs]])
     name, at = share(df, lexicon), df.columns.index(text)
 
@@ -331,7 +349,7 @@ def encode(df: DataFrame, lexicon: Lexicon, text: str = "text", outputs: tuple[s
 
 def decode(df: DataFrame, ids: str = "ids", folder: str | None = None) -> DataFrame:
     """``df`` with ``decoded``, the text that the tokenizer gives for each row's ids (null: null)."""
-    private(df, "decoded")
+    df = replacing(df, "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
     at = df.columns.index(ids)
 
