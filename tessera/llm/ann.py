@@ -13,7 +13,7 @@ bounded size; a shard's rows are held while its queries stream past.
 
 Defined results for odd input: vectors that are null, zero, of another length
 than most (ties: the shorter), or hold null or non-finite components take no
-part; repeated rows count once; an id with several vectors has the best score
+part, nor do rows without an id; repeated rows count once; an id with several vectors has the best score
 of any of them; ties go to the smaller id; an empty table gives an empty table.
 """
 

@@ -106,8 +106,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def private(df: DataFrame, *names: str) -> None:
-    """Refuse tables that already use the names an operator adds."""
-    clash = {n.lower() for n in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"columns reserved by the operator: {sorted(clash)}")
+def replacing(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of the names that an operator is about to add, in any letter case."""
+    return df.drop(*names)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., which no operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named_again(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1, ... with their former names, and no others."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_map, private
+from .common import arrow_map, named_again, numbered, replacing
 
 #: Code lengths are held in units of 1/UNIT bit.
 UNIT = 512
@@ -93,6 +93,9 @@ class Trees:
         costs = np.full((1, width, len(names)), np.log2(width))
         tables = []
         for k, at in enumerate(kept):
+            if not len(at):
+                tables.append(np.empty((0, width, len(names))))
+                continue
             parent = costs if k == 0 else tables[-1][np.searchsorted(kept[k - 1], at % max(1, width ** (k - 1)))]
             here = np.array(np.broadcast_to(parent, (len(at), width, len(names))), float)
             for j, (gram, n) in enumerate(counted[k]):
@@ -180,8 +183,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 
 def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``bits_per_byte``."""
-    private(df, "lang_pred", "score", "bits_per_byte")
+    """``df`` with ``lang_pred``, ``score`` and ``bits_per_byte``; columns that had these names are replaced."""
+    df = replacing(df, "lang_pred", "score", "bits_per_byte")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(trees)
     at = df.columns.index(text)
@@ -214,4 +217,5 @@ def held_out(key: str = "doc_id") -> Column:
 
 def filter_documents(df: DataFrame, trees: Trees | None, text: str = "text", least_score: float = 0.5) -> DataFrame:
     """The rows whose language is told with at least ``least_score``, with the columns of ``df``."""
-    return identify(df, trees, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*df.columns)
+    told = identify(numbered(df), trees, f"c{df.columns.index(text)}")
+    return named_again(told.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)), df.columns)

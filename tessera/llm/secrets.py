@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, private
+from .common import arrow_map, named_again, numbered, replacing
 
 #: In the order that spans with the same start take.
 KINDS = ("assign", "access", "hex", "account", "random", "endpoint")
@@ -116,8 +116,8 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(df: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
-    """``df`` with ``spans``; with ``redact`` the text is replaced by its redacted form."""
-    private(df, "spans")
+    """``df`` with ``spans`` (a column of that name is replaced); with ``redact`` the text becomes its redacted form."""
+    df = replacing(df, "spans")
     schema = T.StructType([*df.schema.fields, T.StructField("spans", T.ArrayType(SPAN))])
     at = df.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -149,8 +149,9 @@ def counted(spans: Column, kind: str) -> Column:
 
 def redact_documents(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """Every row of ``df`` with its columns; found spans are replaced and ``n_chars`` brought up to date."""
-    out = scan(df, text, redact=True)
+    place = lambda c: f"c{df.columns.index(c)}"
+    out = scan(numbered(df), place(text), redact=True)
     if n_chars in df.columns:
-        changed = F.size("spans") > 0
-        out = out.withColumn(n_chars, F.when(changed, F.char_length(text).cast(df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*df.columns)
+        own = place(n_chars)
+        out = out.withColumn(own, F.when(F.size("spans") > 0, F.char_length(place(text)).cast(df.schema[n_chars].dataType)).otherwise(F.col(own)))
+    return named_again(out, df.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import ann, chat, langid, lexicon, neardup, packing, pseudo, quality, secrets, separators
+from tessera.llm.common import attach
 from tessera.llm.graph import components
 from tessera.llm.histpack import shortest_pack_first
 from tessera.llm.tokens import path
@@ -121,8 +122,11 @@ def test_secrets(spark, docs):
     assert secrets.base_spans("paſſword: abcdefgh toKen=abcdefgh") == []
     got = secrets.scan(docs).select("doc_id", secrets.joined(F.col("spans")).alias("s")).where("s <> ''").collect()
     assert [r["doc_id"] for r in got] == [107] and got[0]["s"].startswith("account:0:11,assign:12:")
-    kept = secrets.redact_documents(docs)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
+    mine = docs.withColumn("spans", F.lit("mine"))
+    kept = secrets.redact_documents(mine)
+    assert kept.columns == mine.columns and kept.count() == docs.count() and kept.where("spans <> 'mine'").count() == 0
+    changed = kept.where("doc_id = 107").first()
+    assert "0123456789abcdef" not in changed["text"] and changed["n_chars"] == len(changed["text"])
     assert secrets.scan(empty(spark)).count() == 0
 
 
@@ -181,6 +185,16 @@ def test_code_lengths():
         langid.BLOCK = old
 
 
+@pytest.mark.parametrize("samples", [{"a": [""]}, {"a": [""], "b": ["x"]}, {"a": ["日本語" * 9], "b": ["hi " * 9]}])
+def test_small_samples(samples):
+    trees = langid.Trees.grow(samples)
+    data = "hi 日本".encode()
+    units = trees.code_lengths(np.frombuffer(data, np.uint8), np.array([0, 0, len(data), len(data)]))
+    assert (units[[0, 2]] == 0).all() and (units[1] > 0).all()
+    want = brute_bits(samples, "hi 日本", 3, sorted(samples))
+    assert np.abs(units[1] / langid.UNIT - want).max() < 0.1
+
+
 def test_language(spark, docs):
     rows = [(i, t, g, "s", 1, "x") for i, (t, g) in enumerate([("the quick brown fox and the dog", "en"), ("der schnelle braune fuchs und der hund", "de")] * 30)]
     rows += [(100, None, None, "s", 1, "x"), (101, "123 ...", "en", "s", 1, "x"), (102, "und der hund", None, "s", 1, "x")]
@@ -192,8 +206,9 @@ def test_language(spark, docs):
     assert langid.filter_documents(df, trees).columns == df.columns
     assert langid.train(empty(spark)) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(empty(spark), trees).count() == 0
-    with pytest.raises(ValueError, match="reserved"):
-        langid.identify(df.withColumn("Score", F.lit(1)), trees)
+    clash = df.withColumn("Score", F.lit("mine")).withColumn("lang_pred", F.lit("mine"))
+    assert [c for c in langid.identify(clash, trees).columns if c.lower() == "score"] == ["score"]
+    assert {(r["Score"], r["lang_pred"]) for r in langid.filter_documents(clash, trees).collect()} == {("mine", "mine")}
 
 
 # 5
@@ -242,6 +257,12 @@ def test_one_of_each_group(spark, docs):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d"), (None, "x y z"), (1, "a b c d"), (2, "a b c d")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rules=neardup.Forest(shingle=2)).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter([(None, 1, True), (None, None, True), (1, 1, True), (2, 1, False)])
+
+
 def test_neighbours_across_tasks(spark):
     """Tiny tasks: what stands at their edges is sorted again, and nothing is lost."""
     rng = np.random.default_rng(3)
@@ -251,6 +272,13 @@ def test_neighbours_across_tasks(spark):
     assert all(got[200 + i] == 3 * i for i in range(40))
 
 
+def test_attach_beyond_the_broadcast_bound(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(300)], "k int, v int")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, w string")
+    inner, left = attach(rows, small, ["k"], limit=1), attach(rows, small, ["k"], "left", limit=1)
+    assert inner.count() == 200 and left.count() == 300 and left.where("w is null").count() == 100 and set(left.columns) == {"k", "v", "w"}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [tuple(map(int, p)) for p in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)]
