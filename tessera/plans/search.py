@@ -32,17 +32,17 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config()) -> D
     order = [F.col("mcp_id"), "ordinal"]
     light = index.points.select("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories", "vector")
     dense = retrieve.dense_candidates(q, light, F.lit(8) * _most(config, queries) + 20, "point_id", order)
-    dense = dense.join(F.broadcast(limits), "qid").join(F.broadcast(hybrid), "qid", "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
+    dense = dense.join(limits, "qid").join(hybrid, "qid", "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
     alone = dense.where(~F.col("_h") & (F.col("pos") < F.col("_outer"))).select("qid", "point_id", "score", "pos")
     first = dense.where(F.col("_h") & (F.col("pos") < F.col("_inner"))).select("qid", "point_id", "pos")
     info = index.points.select("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories")
-    sparse = retrieve.sparse_scores(terms, index.terms, "point_id").join(info, "point_id").join(F.broadcast(limits), "qid")
+    sparse = retrieve.sparse_scores(terms, index.terms, "point_id").join(info, "point_id").join(limits, "qid")
     sparse = sparse.where(retrieve.passes(F.col("_qs"), F.col("_qc"), F.col("source"), F.col("categories")))
     second = retrieve.top(sparse, "qid", F.col("score"), F.col("_inner"), order).select("qid", "point_id", "pos")
-    fused = retrieve.fuse(first, second, "point_id", config.rrf_k).join(info, "point_id").join(F.broadcast(limits), "qid")
+    fused = retrieve.fuse(first, second, "point_id", config.rrf_k).join(info, "point_id").join(limits, "qid")
     fused = retrieve.top(fused, "qid", F.col("score"), F.col("_outer"), order).select("qid", "point_id", "score", "pos")
     hits = alone.unionByName(fused).join(info.select("point_id", "mcp_id", "kind", "tool_name"), "point_id")
-    pool = retrieve.collapse(hits, F.lit(2**31 - 1)).join(F.broadcast(limits.select("qid", "_pool")), "qid")
+    pool = retrieve.collapse(hits, F.lit(2**31 - 1)).join(limits.select("qid", "_pool"), "qid")
     return pool.where(F.col("pos") < F.col("_pool")).drop("_pool")
 
 
@@ -58,11 +58,11 @@ def search(queries: DataFrame, index: Index, config: Config = Config(), usage: D
     hits = pool.join(index.catalog.drop("pos").withColumnRenamed("id", "mcp_id"), "mcp_id")
     if config.reranker == "lexical":
         terms = queries.select("qid", X.term_set(F.col("query")).alias("_qt"))
-        hits = rank.lexical_rerank(hits.join(F.broadcast(terms), "qid").withColumn("_ct", X.term_set(X.candidate_text(F.col))), "_qt", "_ct").drop("_qt", "_ct")
+        hits = rank.lexical_rerank(hits.join(terms, "qid").withColumn("_ct", X.term_set(X.candidate_text(F.col))), "_qt", "_ct").drop("_qt", "_ct")
     if usage is not None:
         hits = hits.join(usage.select("mcp_id", "usage"), "mcp_id", "left")
     hits = hits.withColumn("usage", F.coalesce("usage", F.lit(0.0)) if usage is not None else F.lit(0.0))
     hits = rank.blend(hits, config.trust_weight, config.usage_weight, config.coverage_weight)
     asked = queries.select("qid", F.coalesce("min_score", F.lit(0.0)).alias("_min"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(5).alias("_k"))
-    out = rank.cut(hits.join(F.broadcast(asked), "qid"), F.col("_min"), F.col("_k"))
+    out = rank.cut(hits.join(asked, "qid"), F.col("_min"), F.col("_k"))
     return out.drop("_min", "_k", "pos", "usage").withColumnRenamed("mcp_id", "id")
