@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,27 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(file))
 
 
+def release_memory() -> None:
+    """Give freed memory back: workers stay for later tasks, beside the executor's own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
