@@ -33,8 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
-ACCOUNT = re.compile(r"""\b(?:client|account|tenant|user|access)_?(?:id|name|key_?id)?["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_.@-]{4,64})""", re.I | re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}")
+ACCOUNT = re.compile(r"""\b(?:client|account|tenant|user|access)_?(?:id|name|key_?id)?["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>|]{4,}", re.I | re.A)
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 #: Code points between two parts of one credential.

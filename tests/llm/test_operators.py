@@ -130,6 +130,19 @@ def test_secrets(spark, docs):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_long_secrets(spark):
+    rng = np.random.default_rng(12)
+    token = "".join(rng.choice(list("ABCDEFGHabcdefgh01234567+/_-"), 356))
+    name = "bob." * 40
+    text = f"client_id: {name}\n{token}== end"
+    assert [(k, text[a:b]) for k, a, b in secrets.all_spans(text)] == [("account", f"client_id: {name}"), ("random", token + "==")]
+    # the whole run is judged: a random beginning does not make one of a long plain run
+    assert secrets.all_spans(f"client_id: bob77\n{token[:60]}{'z' * 3000}") == []
+    df = spark.createDataFrame([(1, text, "en", "s", len(text), "x")], DOCS)
+    assert secrets.scan(df).select(F.size("spans").alias("n")).first()["n"] == 2
+    assert secrets.redact_documents(df).first()["text"] == "[SECRET]\n[SECRET] end"
+
+
 # 4
 
 def brute_bits(samples, text, order, languages):
