@@ -7,6 +7,9 @@ those that share its longest prefix: the prefix is as short as leaves a region
 of at most ``region`` classes, so it is deep where the corpus is dense and
 shallow where it is sparse.  A region that is larger even at full depth - equal
 values in every place - gives each class its next ``width`` in sorted order.
+Where more than ``region`` classes share the first ``core`` values of a tree
+they are a crowd: what the links so far leave in several components is joined
+exactly on full sets, in pairs of blocks of bounded size.
 
 Candidates whose compact sketches agree too rarely are put aside (the limit is
 5.5 standard deviations below the threshold), the rest are confirmed on full
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_map, drop, materialize
+from .common import arrow_map, attach, drop, materialize, ship
 from .graph import components
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +54,10 @@ class Forest:
     depth: int = 8
     region: int = 16
     width: int = 3
+    #: Classes that share so many first values of a tree are all compared, or joined already.
+    core: int = 4
+    #: Bytes of full sets of one block of a crowd.
+    block: int = 1 << 24
     sigmas: float = 5.5
     rows_per_task: int = 150_000
     seed: int = 20
@@ -155,6 +162,98 @@ def neighbours(tree: np.ndarray, values: np.ndarray, rules: Forest) -> list[tupl
     return found
 
 
+def crowds(classes: DataFrame, rules: Forest) -> DataFrame:
+    """tree, start, node: classes where more than ``region`` share the first ``core`` values of a tree."""
+    rows = classes.select(F.col("set_key").alias("node"), "signature", F.explode(F.sequence(F.lit(0), F.lit(rules.trees - 1))).alias("tree"))
+    rows = rows.select("tree", F.substring("signature", F.col("tree") * 2 * rules.depth + 1, F.lit(2 * rules.core)).alias("start"), "node")
+    large = materialize(rows.groupBy("tree", "start").agg(F.count("*").alias("_n")).where(F.col("_n") > rules.region).select("tree", "start"), "crowds")
+    return attach(rows, large, ["tree", "start"])
+
+
+def crowd_links(sets: list[np.ndarray], roots: list, percent: int, region: int = 16) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join all components of ``roots`` that similar pairs join.
+
+    First the sets made of the commonest elements are compared with all others,
+    as long as each joins many; then every set outside the largest component
+    meets those of other components with which its prefix shares an element.
+    Two components always have a set outside the largest, so no link is lost.
+    """
+    m = len(sets)
+    n = np.array([len(s) for s in sets])
+    label = np.unique(np.array(roots, object), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = lambda x: code[starts[x] : starts[x + 1]]
+    mask = np.zeros(len(count), np.int64)
+    found: list[tuple[int, int]] = []
+
+    def join(x: int, y: int) -> None:
+        found.append((x, y))
+        label[label == label[y]] = label[x]
+
+    for x in np.argsort(-np.add.reduceat(count[code], starts[:-1]) / n, kind="stable"):
+        mask[own(x)] = 1
+        common = np.add.reduceat(mask[code], starts[:-1])
+        mask[own(x)] = 0
+        near = np.flatnonzero((100 * common >= percent * (n + n[x] - common)) & (label != label[x]))
+        _, at = np.unique(label[near], return_index=True)
+        found += [(x, y) for y in near[at]]
+        label[np.isin(label, label[near])] = label[x]
+        if len(at) < region:
+            break
+    if (label == label[0]).all():
+        return found
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    prefix = []
+    for x in range(m):
+        mine = own(x)
+        size = int(n[x]) + (-percent * int(n[x])) // 100 + 1
+        prefix.append(mine[np.argsort(rank[mine])[:size]])
+    sizes = np.array([len(q) for q in prefix])
+    token, owner = np.concatenate(prefix), np.repeat(np.arange(m), sizes)
+    by_token = np.argsort(token, kind="stable")
+    token, owner = token[by_token], owner[by_token]
+    ends = np.searchsorted(token, np.arange(len(count) + 1))
+    values, held = np.unique(label, return_counts=True)
+    largest = np.flatnonzero(label == values[held.argmax()])[0]
+    for x in range(m):
+        if label[x] == label[largest]:
+            continue
+        near = np.unique(np.concatenate([owner[ends[t] : ends[t + 1]] for t in prefix[x]]))
+        near = near[(label[near] != label[x]) & (100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x]))]
+        mask[own(x)] = 1
+        for y in near:
+            if label[y] != label[x]:
+                common = mask[own(y)].sum()
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    join(x, y)
+        mask[own(x)] = 0
+    return found
+
+
+def _join_crowds(crowded: DataFrame, stars: DataFrame, sets: DataFrame, rules: Forest) -> DataFrame | None:
+    """Links (a, b) between components that meet in a crowd; None where no crowd has two."""
+    rows = crowded.join(stars, "node", "left").select("tree", "start", "node", F.coalesce("root", "node").alias("root"))
+    split = rows.groupBy("tree", "start").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("tree", "start")
+    rows = materialize(attach(rows, materialize(split, "split"), ["tree", "start"]).join(sets.select(F.col("set_key").alias("node"), F.length("set").alias("bytes")), "node"), "crowded")
+    blocks = materialize(rows.groupBy("tree", "start").agg(F.ceil(F.sum("bytes") / rules.block).cast("int").alias("k")), "blocks")
+    if not blocks.count():
+        return None
+    rows = attach(rows, blocks, ["tree", "start"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("tree", "start", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "root").join(sets.select(F.col("set_key").alias("node"), "set"), "node")
+    percent, region = rules.percent, rules.region
+
+    def run(table):
+        node = table.column("node").to_pylist()
+        found = crowd_links([np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")], table.column("root").to_pylist(), percent, region)
+        pairs = [sorted((node[x], node[y])) for x, y in found]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    ship(rows.sparkSession)
+    return materialize(rows.groupBy("tree", "start", "i", "j").applyInArrow(run, "a binary, b binary"), "joined")
+
+
 ORDER = "tree int, value binary, sketch binary, node binary"
 PAIR = "a binary, b binary, agree int, edge boolean, tree int, value binary, sketch binary"
 
@@ -268,7 +367,8 @@ ROUNDS = (1, 4, None)
 def links(df: DataFrame, classes: DataFrame, key: str, text: str, rules: Forest) -> DataFrame:
     """``node, root`` of each class that has a link."""
     pairs = materialize(candidates(classes, rules), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    crowded = materialize(crowds(classes, rules), "crowded")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(crowded.select(F.col("node").alias("set_key"))).distinct()
     sets = materialize(_full_sets(df, key, text, classes.join(nodes, "set_key", "left_semi"), rules), "sets")
     stars = None
     for budget in ROUNDS:
@@ -286,6 +386,9 @@ def links(df: DataFrame, classes: DataFrame, key: str, text: str, rules: Forest)
         if stars is not None:
             good = good.unionByName(stars.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
         stars = materialize(components(good), "stars")
+    more = _join_crowds(crowded, stars, sets, rules)
+    if more is not None:
+        stars = materialize(components(more.unionByName(stars.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))), "stars")
     drop(sets)
     return stars
 

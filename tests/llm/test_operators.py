@@ -285,6 +285,44 @@ def test_neighbours_across_tasks(spark):
     assert all(got[200 + i] == 3 * i for i in range(40))
 
 
+def test_crowds_around_one_original(spark):
+    """Many copies, each near the original and none near another: links lead through one class."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}y{j}" if j in edits else w for j, w in enumerate(base))) for i in range(1200) for edits in [set(rng.choice(np.arange(1, 199), 10, replace=False).tolist())]]
+    rows.append((5000, " ".join(base)))
+    w = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(x[k : k + 2]) for k in range(len(x) - 1)} for i, x in w.items()}
+    near = [i for i in range(1200) if 100 * len(sets[i] & sets[5000]) >= 80 * len(sets[i] | sets[5000])]
+    assert len(near) > 1000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for rules in (neardup.Forest(shingle=2), neardup.Forest(shingle=2, block=1 << 20)):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, rules=rules).collect()}
+        assert all(got[i] == got[5000] for i in near)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_a_crowd(seed):
+    """The components of all similar pairs, with and without an original in the crowd."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([rng.choice(base, int(rng.integers(45, 61)), replace=False), rng.integers(0, 1 << 60, int(rng.integers(0, 12)), dtype=np.uint64)])) for _ in range(30)]
+    first = [str(i // 2) for i in range(len(sets))]  # some are joined before
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def parts(pairs):
+        root = [i // 2 * 2 for i in range(len(sets))]
+        for a, b in [*pairs]:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return [root.index(r) for r in root]
+
+    got = neardup.crowd_links(sets, first, 80, region=4)
+    assert set(map(tuple, map(sorted, got))) <= set(map(tuple, map(sorted, similar))) and parts(got) == parts(similar)
+
+
 def test_attach_beyond_the_broadcast_bound(spark):
     rows = spark.createDataFrame([(i % 3, i) for i in range(300)], "k int, v int")
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, w string")
