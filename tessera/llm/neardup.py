@@ -24,6 +24,10 @@ nothing; repeated rows fall into one class and get the same answer; a row
 without an id is kept, and has a component only if it copies one with an id;
 rows that share an id but not a text are judged each by its own text; an empty
 table gives an empty table; columns other than id and text are not used.
+
+``first_of_each_group`` decides for each row by id and text: rows without an id
+are compared like all others and stand behind those with one, all rows without
+an id or a word stay, and of rows with one id but no word one stays.
 """
 
 from __future__ import annotations
@@ -112,8 +116,8 @@ def _signature(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def _sketch(df: DataFrame, key: str, text: str, rules: Forest) -> DataFrame:
-    """key, n_shingles, set_key (null for the empty set), signature and sketch of each row."""
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    """key, text_hash, n_shingles, set_key (null for the empty set), signature and sketch of each row."""
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         words = _Words()
@@ -131,9 +135,9 @@ def _sketch(df: DataFrame, key: str, text: str, rules: Forest) -> DataFrame:
                 signatures.append(v.astype(">u2").tobytes())
                 bits = (v & 3).astype(np.uint8).reshape(-1, 4)
                 sketches.append((bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, signatures, sketches)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, signatures, sketches)]], names=schema.names)
 
-    return df.select(F.col(key), F.col(text)).transform(arrow_map, run, schema)
+    return df.select(F.col(key), F.col(text), F.xxhash64(F.col(text))).transform(arrow_map, run, schema)
 
 
 def neighbours(tree: np.ndarray, values: np.ndarray, rules: Forest) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -356,7 +360,11 @@ def _full_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, rules: For
 
     reps = wanted.select(F.col("rep").alias("_rep")).distinct()
     reps = F.broadcast(reps) if reps.count() <= 200_000 else reps
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(reps, F.col("_key") == F.col("_rep"), "left_semi").select("_text").transform(arrow_map, run, "set_key binary, set binary")
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = texts.join(reps, F.col("_key") == F.col("_rep"), "left_semi").select("_text").transform(arrow_map, run, "set_key binary, set binary")
+    nameless = wanted.where("rep is null").select("set_key")
+    if nameless.limit(1).count():
+        rows = rows.unionByName(texts.where("_key is null").select("_text").transform(arrow_map, run, "set_key binary, set binary").join(nameless, "set_key", "left_semi"))
     return rows.dropDuplicates(["set_key"])
 
 
@@ -393,30 +401,53 @@ def links(df: DataFrame, classes: DataFrame, key: str, text: str, rules: Forest)
     return stars
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Forest = Forest()) -> DataFrame:
-    """key, n_shingles, component_id and kept for each row of ``df``."""
+def _judged(df: DataFrame, key: str, text: str, rules: Forest, nameless: bool) -> DataFrame:
+    """key, text_hash, n_shingles and set_key of each row, the class that is the first of its component and the id of that.
+
+    Classes without any id take part if ``nameless``, behind all others.
+    """
     rows = materialize(_sketch(df, key, text, rules), "sketches")
     rep = rows.where("set_key is not null").groupBy("set_key").agg(F.min("key").alias("rep"))
-    first = rows.select("key", "set_key", "signature", "sketch").join(rep.withColumnRenamed("set_key", "_k"), (F.col("key") == F.col("rep")) & (F.col("set_key") == F.col("_k"))).dropDuplicates(["set_key"])
+    rep = rep if nameless else rep.where("rep is not null")
+    first = rows.select("key", "set_key", "signature", "sketch").join(rep.withColumnRenamed("set_key", "_k"), F.col("key").eqNullSafe(F.col("rep")) & (F.col("set_key") == F.col("_k"))).dropDuplicates(["set_key"])
     classes = materialize(first.select("set_key", "rep", "signature", "sketch"), "classes")
     stars = links(df, classes, key, text, rules)
     # the smallest id that each class reaches
-    least = stars.join(classes.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stars.join(least, "root").select(F.col("node").alias("set_key"), "component_id")
-    per_class = classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    order = F.struct(F.col("rep").isNull().alias("nameless"), "rep", F.col("node").alias("set_key"))
+    least = stars.join(classes.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("root").agg(F.min(order).alias("least"))
+    named = stars.join(least, "root").select(F.col("node").alias("set_key"), F.col("least.rep").alias("component_id"), F.col("least.set_key").alias("first"))
+    per_class = classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", "set_key").alias("first"))
     per_class = materialize(per_class, "components")
-    out = rows.select("key", "n_shingles", "set_key").join(per_class, "set_key", "left")
+    return rows.select("key", "text_hash", "n_shingles", "set_key").join(per_class, "set_key", "left")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Forest = Forest()) -> DataFrame:
+    """key, n_shingles, component_id and kept for each row of ``df``."""
+    out = _judged(df, key, text, rules, False)
     component = F.coalesce("component_id", "key")
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    kept = F.when(F.col("key").isNull() | F.col("set_key").isNull(), True).otherwise((F.col("key") == component) & (F.col("set_key") == F.col("first")))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def first_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Forest = Forest()) -> DataFrame:
-    """The rows of ``df`` that are the first of their group, one for each key."""
-    gone = materialize(near_duplicates(df, key, text, rules).where("not kept").select(F.col(key).alias("_gone")).distinct(), "duplicates")
-    small = gone.count() <= 200_000
-    out = df.join(F.broadcast(gone) if small else gone, df[key] == gone["_gone"], "left_anti")
-    repeated = df.groupBy(key).count().where("count > 1 and " + key + " is not null").limit(1).count()
-    return out.dropDuplicates([key]) if repeated else out
+    """The rows of ``df`` that are the first of their group, one for each group."""
+    rows = materialize(_judged(df, key, text, rules, True).where("key is not null or set_key is not null"), "judged")
+    first = rows.where("set_key is null or (set_key = first and key <=> component_id)").groupBy("key", "set_key").agg(F.min("text_hash").alias("text_hash"))
+    stay = materialize(first.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")), "first")
+    here = lambda t: F.col("key").eqNullSafe(t["_key"]) & (F.col("text_hash") == t["_hash"])
+    counts = rows.groupBy("key", "text_hash").agg(F.count("*").alias("n"))
+    gone = materialize(counts.join(stay, here(stay), "left_anti").select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")), "duplicates")
+    again = materialize(counts.where("n > 1").join(stay, here(stay), "left_semi").select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")), "repeated")
+
+    def within(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        small = listed.count() <= 200_000
+        return rows.join(F.broadcast(listed) if small else listed, rows[key].eqNullSafe(listed["_key"]) & (F.xxhash64(rows[text]) == listed["_hash"]), how)
+
+    out = within(df, gone, "left_anti")
+    if not again.count():
+        return out
+    # only repeated rows are moved
+    return within(out, again, "left_anti").unionByName(within(df, again, "left_semi").dropDuplicates([key, text]))
 
 
 #: Two-word shingles and components in DuckDB, over table ``documents``.

@@ -270,6 +270,18 @@ def test_one_of_each_group(spark, docs):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_groups_go_by_text(spark, repeat):
+    """Rows without an id, and rows that share one, are dropped only for their own text."""
+    long = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(None, long("a")), (None, long("b")), (None, long("c")), (None, long("c").upper()), (None, long("d") + " more"), (None, ""), (None, None)]
+    rows += [(1, long("d")), (2, long("e")), (3, long("d") + " tail"), (3, long("f")), (4, ""), (6, long("g")), (6, long("g") + " end"), (7, long("h") + " x"), (None, long("h"))]
+    rows += [(9, long("i"))] * (3 if repeat else 1) + [(4, " ")] * repeat
+    got = neardup.first_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    ids = Counter((r["doc_id"], (r["text"] or "").strip().lower()[:2]) for r in got)
+    assert ids == Counter([(None, "a0"), (None, "b0"), (None, "c0"), (None, ""), (None, ""), (1, "d0"), (2, "e0"), (3, "f0"), (4, ""), (6, "g0"), (7, "h0"), (9, "i0")])
+
+
 def test_rows_without_an_id(spark):
     rows = [(None, "a b c d"), (None, "x y z"), (1, "a b c d"), (2, "a b c d")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rules=neardup.Forest(shingle=2)).collect()
