@@ -3,9 +3,9 @@
 The network sees the words on both sides of a masked one and predicts it:
 embeddings of ``side`` words left and right, one tanh layer, and a softmax in
 two steps (class, then word within its class).  It is trained in numpy: every
-partition makes one pass of Adagrad from the same start over a fixed share of
-the windows of all its texts, and the weights are averaged by windows seen, so
-training grows with the table.  A text's score is the sum of the conditional
+partition makes one pass of Adagrad from the same start over all windows of all
+its texts, and the weights are averaged by windows seen, so training grows with
+the table.  A text's score is the sum of the conditional
 log-probabilities of its words, all of them.
 
 The vocabulary comes from counts over all texts: frequent words stand for
@@ -43,9 +43,9 @@ class Network:
     shared: int = 1024
     #: Words that make up at least this part of all words may have an entry of their own.
     rarest: int = 1 << 15
-    #: One in so many windows is trained on.
-    every: int = 16
-    batch: int = 2048
+    #: One in so many windows is trained on; 1 is all of them.
+    every: int = 1
+    batch: int = 4096
     rate: float = 0.1
     block: int = 1 << 14
     seed: int = 10
@@ -120,11 +120,6 @@ def start(net: Network) -> dict[str, np.ndarray]:
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def windows(ids: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
     """Ids around the positions ``at`` of a padded array."""
     return np.stack([ids[at + d] for d in [*range(-side, 0), *range(1, side + 1)]], axis=1)
@@ -139,8 +134,21 @@ def _log_chosen(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     return chosen - np.log(z.sum(axis=1))
 
 
+def _softmax_error(z: np.ndarray, at: np.ndarray, safe: bool) -> None:
+    """Turns ``z`` into its softmax less one in each row's chosen column."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), at] -= 1
+
+
+def _bound(u: np.ndarray, b: np.ndarray, axis: int) -> bool:
+    """Can no logit reach 80, where exponentials overflow?"""
+    return float((np.abs(u).sum(axis=axis) + np.abs(b)).max()) < 80
+
+
 def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, net: Network) -> np.ndarray:
-    bound = lambda u, b, axis: float((np.abs(u).sum(axis=axis) + np.abs(b)).max()) < 80
     h = p["emb"][around].reshape(len(around), -1) @ p["w"]
     h += p["b"]
     np.tanh(h, out=h)
@@ -149,9 +157,9 @@ def log_probabilities(p: dict[str, np.ndarray], around: np.ndarray, target: np.n
     group, inside, h = group[order], inside[order], h[order]
     z = h @ p["uc"]
     z += p["bc"]
-    out = _log_chosen(z, group, bound(p["uc"], p["bc"], 0)).astype(np.float64)
+    out = _log_chosen(z, group, _bound(p["uc"], p["bc"], 0)).astype(np.float64)
     ends = np.searchsorted(group, np.arange(net.classes + 1))
-    safe = bound(p["uw"], p["bw"], 1)
+    safe = _bound(p["uw"], p["bw"], 1)
     for c in np.flatnonzero(np.diff(ends)):
         part = slice(ends[c], ends[c + 1])
         z = h[part] @ p["uw"][c]
@@ -175,32 +183,43 @@ class Trainer:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         p, net, n = self.p, self.net, len(target)
-        x = p["emb"][around].reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
         group, inside = np.divmod(target, net.per_class)
-        d = np.exp(_log_softmax(h @ p["uc"] + p["bc"]))
-        d[np.arange(n), group] -= 1
-        d /= n
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        group, inside, around = group[order], inside[order], around[order]
+        x = p["emb"][around].reshape(n, -1)
+        h = x @ p["w"]
+        h += p["b"]
+        np.tanh(h, out=h)
+        safe = _bound(p["uc"], p["bc"], 0), _bound(p["uw"], p["bw"], 1)
+        d = h @ p["uc"]
+        d += p["bc"]
+        _softmax_error(d, group, safe[0])
         dh = d @ p["uc"].T
         guc, gbc = h.T @ d, d.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(net.classes + 1))
+        guw, gbw = np.zeros_like(p["uw"]), np.zeros_like(p["bw"])
+        ends = np.searchsorted(group, np.arange(net.classes + 1))
         for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            e = np.exp(_log_softmax(h[at] @ p["uw"][c] + p["bw"][c]))
-            e[np.arange(len(at)), inside[at]] -= 1
-            e /= n
-            dh[at] += e @ p["uw"][c].T
-            self._move("uw", h[at].T @ e, c)
-            self._move("bw", e.sum(axis=0), c)
-        self._move("uc", guc), self._move("bc", gbc)
-        dz = dh * (1 - h * h)
-        dx = (dz @ p["w"].T).reshape(-1, net.embed)
-        self._move("w", x.T @ dz), self._move("b", dz.sum(axis=0))
-        rows, inverse = np.unique(around.ravel(), return_inverse=True)
-        grad = np.zeros((len(rows), net.embed), np.float32)
-        np.add.at(grad, inverse, dx)
-        self._move("emb", grad, rows)
+            part = slice(ends[c], ends[c + 1])
+            e = h[part] @ p["uw"][c]
+            e += p["bw"][c]
+            _softmax_error(e, inside[part], safe[1])
+            dh[part] += e @ p["uw"][c].T
+            np.matmul(h[part].T, e, out=guw[c])
+            gbw[c] = e.sum(axis=0)
+        for name, grad in (("uw", guw), ("bw", gbw), ("uc", guc), ("bc", gbc)):
+            grad /= n
+            self._move(name, grad)
+        h *= h
+        np.subtract(1, h, out=h)
+        h *= dh
+        h /= n  # the gradient before the tanh
+        dx = (h @ p["w"].T).reshape(-1, net.embed)
+        self._move("w", x.T @ h), self._move("b", h.sum(axis=0))
+        flat = around.ravel()
+        by_word = np.argsort(flat.astype(np.uint16) if net.size <= 1 << 16 else flat, kind="stable")
+        flat = flat[by_word]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self._move("emb", np.add.reduceat(dx[by_word], first, axis=0), flat[first])
         self.seen += n
 
 
@@ -240,9 +259,10 @@ def train(df: DataFrame, text: str = "text", net: Network = Network(), known: li
     def run(batches):
         known, first = shared.value
         words, model = Words(known, net), Trainer(first, net)
-        around, target, size = [], [], 0
+        around, target, size, passed = [], [], 0, 0
         for ids, sizes in _portions(batches, words, net):
-            at = _positions(sizes, net)[model.seen % net.every :: net.every]
+            at = _positions(sizes, net)
+            passed, at = passed + len(at), at[-passed % net.every :: net.every]
             around.append(windows(ids, at, net.side)), target.append(ids[at])
             size += len(at)
             if size >= net.batch:

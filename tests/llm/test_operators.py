@@ -514,6 +514,21 @@ def test_gradients():
         assert moved[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-5), name
 
 
+def test_every_window_is_trained_on(spark, monkeypatch):
+    """With the network that the query uses: short texts and all places of a period too."""
+    seen = []
+    monkeypatch.setattr(pseudo, "arrow_map", lambda df, run, schema: seen.append(run) or df.sparkSession.createDataFrame([], schema))
+    texts = ["a b c", "d", "", *[" ".join("abcdefgh"[i % 8] for i in range(160))] * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pseudo.train(df, known=[bytes([c]) for c in b"abcdefgh"])
+    rows = list(seen[0](df.toArrow().to_batches()))
+    assert {b.column(2)[0].as_py() for b in rows} == {sum(len(t.split()) for t in texts)}
+    step, targets = pseudo.Trainer.step, Counter()
+    monkeypatch.setattr(pseudo.Trainer, "step", lambda self, around, target: (targets.update(target.tolist()), step(self, around, target))[1])
+    list(seen[0](df.toArrow().to_batches()))
+    assert targets == Counter("abcdefgh".index(w) + 1 for t in texts for w in t.split())
+
+
 def test_pseudo_likelihood(spark, docs):
     rng = np.random.default_rng(8)
     cycle = ["a", "b", "c", "d", "e", "f"]
