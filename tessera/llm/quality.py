@@ -5,6 +5,11 @@ source a minimum-covariance-determinant estimate of location and scatter is
 found by concentration steps from three deterministic starts, and texts whose
 robust Mahalanobis distance is beyond a chi-square cut-off are rejected.
 
+Duplicate lines and repeated words are counts, so their resolution is taken off
+before their share is: one line that occurs twice and one window that does are
+no deviation.  What is left is held against the spread that the cell has, with
+a floor that lets each of the two reject by itself.
+
 Everything is DataFrame expressions.  Statistics are fixed-point integers, so
 sums do not depend on the order of rows; order statistics come from histograms,
 which combine on the map side, so no cell ever meets in one task.
@@ -26,7 +31,7 @@ from pyspark.sql import Window as W
 from .common import BLANKS, attach, drop, materialize, text_or_empty
 
 #: Names of the transformed statistics, each with the least standard deviation that an estimate may have.
-FLOORS = {"word_length": 0.06, "symbols": 0.45, "punctuation": 0.25, "dup_lines": 0.90, "repeats": 0.90}
+FLOORS = {"word_length": 0.06, "symbols": 0.45, "punctuation": 0.25, "dup_lines": 0.40, "repeats": 0.40}
 DIMS = len(FLOORS)
 SCALE = 500
 BINS = 2047
@@ -90,18 +95,20 @@ def text_statistics(df: DataFrame, text: str = "text", rules: Rules = Rules()) -
     return body.select(*keep, *STATS, "_punct", "_lines", (failed | barrier).alias("base_failed"))
 
 
-def _vector(stats: DataFrame) -> DataFrame:
+def _vector(stats: DataFrame, rules: Rules) -> DataFrame:
     """Adds x0..: transformed statistics in units of 1/SCALE, and the cell of each row."""
     share = lambda a, b: F.log1p(100 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
     values = [
         F.log1p(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))),
         share("n_symbols", "word_chars"),
         share("_punct", "word_chars"),
-        share("n_dup_lines", "_lines"),
-        share("n_repeat_words", "n_words"),
+        share("_dup", "_lines"),
+        share("_repeat", "n_words"),
     ]
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return stats.withColumns({f"x{j}": F.round(v * SCALE).cast("long") for j, v in enumerate(values)} | {"_lang": part("lang"), "_cell": F.concat(part("lang"), F.lit("\x01"), part("source"))})
+    beyond = lambda c, n: F.greatest(F.col(c) - n, F.lit(0))
+    stats = stats.withColumns({"_dup": beyond("n_dup_lines", 1), "_repeat": beyond("n_repeat_words", 2 * rules.window)})
+    return stats.withColumns({f"x{j}": F.round(v * SCALE).cast("long") for j, v in enumerate(values)} | {"_lang": part("lang"), "_cell": F.concat(part("lang"), F.lit("\x01"), part("source"))}).drop("_dup", "_repeat")
 
 
 def _cells(vectors: DataFrame, rules: Rules) -> DataFrame:
@@ -211,7 +218,7 @@ def judge(vectors: DataFrame, estimates: DataFrame, rules: Rules = Rules()) -> D
 def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), rules: Rules = Rules()) -> DataFrame:
     """One row for each row of ``df``: ``keep``, raw counts, ``base_failed``, ``distance`` and ``kept``."""
     slim = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    vectors = materialize(_vector(text_statistics(slim, "_text", rules)), "quality-vectors")
+    vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
     cells = _cells(vectors, rules)
     vectors = attach(vectors, materialize(cells, "quality-cells"), ["_cell"])
     out = judge(vectors, fit(vectors, rules), rules)
@@ -225,10 +232,10 @@ def filter_documents(df: DataFrame, text: str = "text", lang: str = "lang", sour
     texts applies them, so no text is ever shuffled.
     """
     slim = df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    vectors = materialize(_vector(text_statistics(slim, "_text", rules)), "quality-vectors")
+    vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
     cells = materialize(_cells(vectors, rules), "quality-cells")
     estimates = fit(attach(vectors, cells, ["_cell"]), rules)
     drop(vectors)
     packed = df.select(F.struct(*df.columns).alias("_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    rows = attach(_vector(text_statistics(packed, "_text", rules)), cells, ["_cell"])
+    rows = attach(_vector(text_statistics(packed, "_text", rules), rules), cells, ["_cell"])
     return judge(rows, estimates, rules).where("kept").select("_row.*")

@@ -414,6 +414,24 @@ def test_quality(spark, docs):
     assert quality.robust_outliers(empty(spark)).count() == 0
 
 
+def test_each_repetition_rejects(spark):
+    """Duplicate lines, or repeated passages below the base rule, against a cell that has none."""
+    rng = np.random.default_rng(13)
+    lines = lambda k: [prose(rng, 6) for _ in range(k)]
+    rows = [(i, "\n".join(lines(20)), "en", "s", 1, "x") for i in range(300)]
+    for i, short in enumerate([19, 21, 23, 25, 27] * 2):  # 50 to 77 % of 30 lines are copies of short ones
+        text = [*(f"menu{j}" for j in rng.integers(0, 4, short)), *lines(30 - short)]
+        rows.append((1000 + i, "\n".join(text), "en", "s", 1, "x"))
+    for i in range(5):
+        passage = prose(rng, 40)
+        rows.append((2000 + i, "\n".join([passage, *lines(40), passage]), "en", "s", 1, "x"))
+    rows += [(3000 + i, "\n".join([*(x := lines(9)), x[3]]), "en", "s", 1, "x") for i in range(5)]  # one line twice
+    got = {r["doc_id"]: r for r in quality.robust_outliers(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert sum(got[i]["kept"] for i in range(300)) >= 298 and all(got[3000 + i]["kept"] for i in range(5))
+    assert not any(got[i]["kept"] for i in got if 1000 <= i < 3000)
+
+
 # 8
 
 def test_minimal_automaton():
