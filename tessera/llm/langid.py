@@ -11,7 +11,8 @@ byte, over its whole length, and goes to the language with the shortest code.
 
 Defined results for odd input: a null text and one without a letter are ``und``
 with score 0; ties go to the smaller language name; rows with a null language
-are not learned from; without any labelled text everything is ``und``; an empty
+are not learned from; without any labelled text everything is ``und``; more than ``max_languages``
+labels are an error, none is left out; an empty
 table gives an empty table; repeated rows are scored alike.
 """
 
@@ -165,9 +166,10 @@ class Trees:
 
 def _sample(labelled: DataFrame, key: str, text: str, lang: str, rules: Training) -> dict[str, list[str]]:
     slim = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"))
-    common = slim.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(rules.max_languages).select("_lang")
+    if slim.select("_lang").distinct().limit(rules.max_languages + 1).count() > rules.max_languages:
+        raise ValueError(f"more than {rules.max_languages} labelled languages: their trees would not fit, and leaving some out would misname their documents")
     order = W.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    picked = slim.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rules.rows_per_language).drop("_r").join(F.broadcast(common), "_lang").distinct()
+    picked = slim.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rules.rows_per_language).drop("_r").distinct()
     # at most max_languages x rows_per_language keys
     rows = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.substring(text, 1, rules.chars_per_row).alias("_text")).join(F.broadcast(picked), ["_key", "_lang"]).dropDuplicates(["_key", "_lang", "_text"])
     found: dict[str, list[str]] = {}

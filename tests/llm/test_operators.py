@@ -224,6 +224,13 @@ def test_language(spark, docs):
     assert {(r["Score"], r["lang_pred"]) for r in langid.filter_documents(clash, trees).collect()} == {("mine", "mine")}
 
 
+def test_no_label_is_left_out(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}", "s", 1, "x") for i in range(9)], DOCS)
+    assert langid.train(df, rules=langid.Training(max_languages=3)).languages == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(df, rules=langid.Training(max_languages=2))
+
+
 # 5
 
 def shingle_sets(size):
