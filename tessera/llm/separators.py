@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_map, materialize
+from .common import arrow_map, drop, materialize
 from .tokens import END_OF_TEXT_ID, byte_bpe
 
 #: Tokens in a block, and blocks in a group of the prefix scan.
@@ -134,6 +134,8 @@ def stitch(summaries: DataFrame, group: int = GROUP) -> DataFrame:
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, end_id: int = END_OF_TEXT_ID, folder: str | None = None) -> DataFrame:
     """key and n_tokens of each row: its flat file is written, scanned and stitched."""
-    summaries = materialize(scan(flatten(df, key, text, block, end_id, folder), end_id), "separators")
+    flat = materialize(flatten(df, key, text, block, end_id, folder), "flat")
+    summaries = materialize(scan(flat, end_id), "separators")
+    drop(flat)
     manifest = summaries.select("file", F.posexplode("keys").alias("i", "key"), "first").select("file", (F.col("first") + F.col("i")).alias("ordinal"), "key")
     return stitch(summaries.drop("keys", "first")).join(manifest, ["file", "ordinal"]).select(F.col("key").alias(key), "n_tokens")

@@ -509,6 +509,13 @@ def test_token_counts(spark, docs):
     assert separators.token_counts(empty(spark)).count() == 0
 
 
+def test_flat_file_is_stored(spark, docs, monkeypatch):
+    stored, real = [], separators.materialize
+    monkeypatch.setattr(separators, "materialize", lambda df, tag: stored.append(df.columns) or real(df, tag))
+    separators.token_counts(docs.select("text", "doc_id"), block=64)
+    assert "payload" in stored[0] and "payload" not in stored[1]
+
+
 # 10
 
 NET = pseudo.Network(classes=8, per_class=16, shared=32, every=1, batch=128, rarest=1 << 12)
