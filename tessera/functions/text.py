@@ -49,14 +49,26 @@ def term_set(c: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as a bigint; its products stay below 2^57."""
-    return F.call_function("element_at", F.transform(F.array(F.hex(F.encode(c, "UTF-8"))), _fold), F.lit(1))
+    start = F.lit(FNV_START).cast("bigint")
+    return F.when(c == "", start).otherwise(F.aggregate(F.split(c, ""), start, _character))
 
 
-def _fold(digits: Column) -> Column:
-    nibble = lambda k: F.call_function("instr", F.lit("123456789ABCDEF"), F.substring(digits, k, F.lit(1)))
-    byte = lambda i: (16 * nibble(2 * i - 1) + nibble(2 * i)).cast("bigint")
-    every = F.filter(F.sequence(F.lit(0), F.call_function("div", F.length(digits), F.lit(2)).cast("int")), lambda i: i > 0)
-    return F.aggregate(every, F.lit(FNV_START).cast("bigint"), lambda h, i: (h.bitwiseXOR(byte(i)) * FNV_PRIME) % FNV_SIZE)
+def _character(h: Column, ch: Column) -> Column:
+    """The hash after the one to four bytes of a character."""
+    point = F.ascii(ch).cast("bigint")
+
+    def after(h: Column, size: int) -> Column:
+        mark = F.lit((0xC0, 0xE0, 0xF0)[size - 2]).cast("bigint")
+        h = _byte(h, F.shiftright(point, 6 * (size - 1)).bitwiseOR(mark))
+        for k in range(size - 2, -1, -1):
+            h = _byte(h, F.shiftright(point, 6 * k).bitwiseAND(63).bitwiseOR(F.lit(0x80).cast("bigint")))
+        return h
+
+    return F.when(point < 0x80, _byte(h, point)).when(point < 0x800, after(h, 2)).when(point < 0x10000, after(h, 3)).otherwise(after(h, 4))
+
+
+def _byte(h: Column, byte: Column) -> Column:
+    return (h.bitwiseXOR(byte) * FNV_PRIME) % FNV_SIZE
 
 
 def display_name(title: Column, name: Column) -> Column:

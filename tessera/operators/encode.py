@@ -16,11 +16,22 @@ from ..functions import text as X
 K1, B, DIM = 1.2, 0.75, 256
 
 
+def word_counts(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
+    """key, word, term, n: how often each text has each token, with the token's hash."""
+    keys = [key] if isinstance(key, str) else key
+    words = df.select(*keys, text).repartition(*keys).select(*keys, F.explode(X.tokens(F.col(text))).alias("word"))
+    return words.groupBy(*keys, "word").agg(F.count("*").alias("n")).select(*keys, "word", X.fnv1a(F.col("word")).alias("term"), "n")
+
+
+def terms_of(words: DataFrame, key: str, stop: list[str] | None = X.SPARSE_STOP) -> DataFrame:
+    """key, term, tf from ``word_counts``, without stop words."""
+    rows = words.where(~F.col("word").isin(*stop)) if stop else words
+    return rows.groupBy(key, "term").agg(F.sum("n").alias("tf"))
+
+
 def term_counts(df: DataFrame, key: str, text: str, stop: list[str] | None = X.SPARSE_STOP) -> DataFrame:
     """key, term, tf: counts of hashed terms in each text."""
-    words = df.select(key, text).repartition(key).select(key, F.explode(X.tokens(F.col(text), stop)).alias("word"))
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counted.groupBy(key, X.fnv1a(F.col("word")).alias("term")).agg(F.sum("n").alias("tf"))
+    return terms_of(word_counts(df, key, text), key, stop)
 
 
 def _unit(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
@@ -33,8 +44,13 @@ def hash_embedding(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFr
 
     Places whose counts cancel are left out; so are texts without tokens.
     """
+    return hash_embedding_of(term_counts(df, key, text, None), key, dim)
+
+
+def hash_embedding_of(counts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
+    """The same from counts of all terms."""
     sign = F.when(F.col("term") >= X.FNV_SIZE // 2, -F.col("tf")).otherwise(F.col("tf"))
-    sums = term_counts(df, key, text, None).groupBy(key, (F.col("term") % dim).cast("int").alias("idx")).agg(F.sum(sign).cast("double").alias("v"))
+    sums = counts.groupBy(key, (F.col("term") % dim).cast("int").alias("idx")).agg(F.sum(sign).cast("double").alias("v"))
     return _unit(sums.where("v <> 0"), key, F.col("v"), "value").select(key, "idx", "value")
 
 
@@ -46,7 +62,12 @@ def dense_vectors(long: DataFrame, key: str, dim: int = DIM) -> DataFrame:
 
 def tf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, weight: 1 + ln(tf) of terms that are no stop words, of unit length."""
-    rows = term_counts(df, key, text).withColumn("w", 1 + F.ln("tf"))
+    return tf_weights_of(term_counts(df, key, text), key)
+
+
+def tf_weights_of(counts: DataFrame, key: str) -> DataFrame:
+    """The same from counts of terms."""
+    rows = counts.withColumn("w", 1 + F.ln("tf"))
     return _unit(rows, key, F.col("w"), "weight").select(key, "term", "weight")
 
 
@@ -83,3 +104,10 @@ def save_stats(counts: DataFrame, key: str, path: str) -> None:
 
 def load_stats(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/df")
+
+
+def chosen(sparse: str, stats: DataFrame | None) -> str:
+    """The sparse encoder that can be used: BM25 without statistics of any text falls back to term frequencies."""
+    if sparse == "bm25" and (stats is None or not (stats.select("n").first() or [0])[0]):
+        return "tf"
+    return sparse

@@ -55,6 +55,19 @@ def delete_by_parent(points: DataFrame, ids: DataFrame) -> DataFrame:
     return points.join(ids.select("mcp_id").distinct(), "mcp_id", "left_anti")
 
 
+def lookup(catalog: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of a batch of ids; ids that no row has are left out."""
+    return catalog.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
+def ensure_dimension(points: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``points``, unless a vector has another length than ``dim``."""
+    other = points.where(F.size(vector) != dim).select(F.size(vector).alias("n")).first()
+    if other is not None:
+        raise ValueError(f"the table has vectors of length {other['n']}, not {dim}")
+    return points
+
+
 def category_facet(catalog: DataFrame, most: int = 1000) -> DataFrame:
     """The most frequent categories, in ascending order."""
     found = catalog.select(F.explode("categories").alias("category")).where("category <> ''").groupBy("category").count()

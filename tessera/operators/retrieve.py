@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..scratch import ship
+
 RRF_K = 2
 #: Queries that one block of exact search holds; each block is broadcast.
 BLOCK = 2_000
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def top(rows: DataFrame, key: str, score: Column, limit, ties: list) -> DataFrame:
     """The best ``limit`` rows of each key with ``pos`` from 0; scores equal to nine decimals tie."""
     w = W.partitionBy(key).orderBy(F.round(score, 9).desc(), *ties)
@@ -26,27 +30,158 @@ def passes(q_source: Column, q_categories: Column, source: Column, categories: C
     return ((q_source == "") | (source == q_source)) & ((F.size(q_categories) == 0) | F.arrays_overlap(categories, q_categories))
 
 
-def dense_candidates(queries: DataFrame, points: DataFrame, limit, point: str = "point_id", ties: list | None = None) -> DataFrame:
-    """qid, point, score, pos by cosine; queries (qid, qvec, source, categories) are a stated set.
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+class _Filters:
+    """Which rows of a batch pass the filters of a query; most queries have none."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.source, self.categories = batch.column("source"), batch.column("categories")
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def _has(self, kind: str, value: str) -> np.ndarray:
+        if (kind, value) not in self.known:
+            if kind == "source":
+                mask = pc.fill_null(pc.equal(self.source, value), False).to_numpy(zero_copy_only=False)
+            else:
+                owner = pc.list_parent_indices(self.categories).to_numpy()
+                mask = np.zeros(len(self.categories), bool)
+                mask[owner[pc.fill_null(pc.equal(self.categories.flatten(), value), False).to_numpy(zero_copy_only=False)]] = True
+            self.known[kind, value] = mask
+        return self.known[kind, value]
+
+    def passing(self, source: str, categories: list[str]) -> np.ndarray | None:
+        mask = self._has("source", source) if source else None
+        if categories:
+            some = np.logical_or.reduce([self._has("category", c) for c in categories])
+            mask = some if mask is None else mask & some
+        return mask
+
+
+def _nearest(shared, limit: int, ties: list[str], names: list[str]):
+    """The best ``limit`` rows of a partition for each query of a block, batch by batch."""
+
+    def run(batches):
+        ids, vectors, lengths, filters = shared.value
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = _matrix(batch.column("vector"))
+            norms = np.sqrt((points * points).sum(axis=1))
+            scale = lengths[:, None] * norms[None, :]
+            scores = np.divide(vectors @ points.T, scale, out=np.zeros_like(scale), where=scale > 0)
+            order = pc.sort_indices(pa.table({t: batch.column(t) for t in ties}), [(t, "ascending") for t in ties]).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            own = _Filters(batch)
+            who, rows, found = [], [], []
+            for i, (source, categories) in enumerate(filters):
+                mask = own.passing(source, categories)
+                at = np.arange(batch.num_rows) if mask is None else np.flatnonzero(mask)
+                rounded = np.round(scores[i, at], 9)
+                if len(at) > limit:
+                    best = rounded >= np.partition(rounded, len(at) - limit)[len(at) - limit]
+                    at, rounded = at[best], rounded[best]
+                at = at[np.lexsort((place[at], -rounded))[:limit]]
+                who += [ids[i]] * len(at)
+                rows.append(at), found.append(scores[i, at])
+            take = pa.array(np.concatenate(rows))
+            table = pa.table([pa.array(who, pa.int64()), *[batch.column(n).take(take) for n in names], pa.array(np.concatenate(found))], names=["qid", *names, "score"])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows > 4 * limit * len(ids):
+                held = _best(held, limit, ties)
+        if held is not None:
+            yield from _best(held, limit, ties).to_batches()
+
+    return run
+
+
+def _best(table: pa.Table, limit: int, ties: list[str]) -> pa.Table:
+    table = table.append_column("_s", pa.array(-np.round(table.column("score").to_numpy(), 9)))
+    table = table.take(pc.sort_indices(table, [("qid", "ascending"), ("_s", "ascending"), *[(t, "ascending") for t in ties]]))
+    qid = table.column("qid").to_numpy()
+    first = np.searchsorted(qid, qid)
+    return table.filter(pa.array(np.arange(len(qid)) - first < limit)).drop_columns(["_s"])
+
+
+def dense_candidates(queries: DataFrame, points: DataFrame, limit: int, point: str = "point_id", ties: list[str] | None = None) -> DataFrame:
+    """qid, the columns of ``points`` but its vector, score and pos by cosine, of the best ``limit`` points of each query.
+
+    ``queries`` (qid, qvec, source, categories) are a stated set, taken in
+    blocks of bounded size; a block is compared with a batch of points by one
+    matrix product, and only each partition's best rows are shuffled.
+    """
+    ship(points.sparkSession)
+    ties = ties or [point]
+    names = [c for c in points.columns if c != "vector"]
+    spark = points.sparkSession
+    schema = T.StructType([T.StructField("qid", T.LongType()), *[points.schema[n] for n in names], T.StructField("score", T.DoubleType())])
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = []
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = part.select(F.col("qid").cast("long").alias("qid"), "qvec", "source", "categories").collect()  # about BLOCK rows
+        vectors = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], vectors, np.sqrt((vectors * vectors).sum(axis=1)), [(r["source"] or "", r["categories"] or []) for r in rows]))
+        found.append(points.mapInArrow(_nearest(shared, limit, ties, names), schema))
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("pos", F.lit(0))
+    return top(reduce(DataFrame.unionByName, found), "qid", F.col("score"), limit, ties)
+
+
+def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """qid and key of the texts that hold each pattern (qid, query): the patterns of a block are one automaton.
 
-    Queries are broadcast in blocks of bounded size, so their number is free.
+    A block has at most ``most`` bytes of patterns; empty patterns are held by every text.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    queries, points = queries.withColumn("_qn", norm("qvec")), points.withColumn("_pn", norm("vector"))  # once for each row, not for each pair
-    length = F.col("_qn") * F.col("_pn")
+    ship(texts.sparkSession)
+    sizes = patterns.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(sizes) // most))
+    schema = T.StructType([T.StructField("qid", patterns.schema["qid"].dataType), T.StructField(key, texts.schema[key].dataType)])
     out = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        q = part.select("qid", "qvec", "_qn", F.col("source").alias("_qs"), F.col("categories").alias("_qc"))
-        ok = passes(F.col("_qs"), F.col("_qc"), F.col("source"), F.col("categories"))
-        scored = points.join(F.broadcast(q), ok).withColumn("score", F.when(length > 0, dot(F.col("qvec"), F.col("vector")) / length).otherwise(F.lit(0.0)))
-        found = top(scored.drop("qvec", "vector", "_qs", "_qc", "_qn", "_pn"), "qid", F.col("score"), limit, ties or [point])
+        rows = patterns.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).select("qid", "query").collect()
+        by_text: dict[str, list] = {}
+        for r in rows:
+            by_text.setdefault(r["query"], []).append(r["qid"])
+        shared = texts.sparkSession.sparkContext.broadcast(by_text)
+        found = texts.select(key, text).mapInArrow(_holding(shared, schema.names), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _holding(shared, names: list[str]):
+    def run(batches):
+        import ahocorasick
+
+        by_text = shared.value
+        machine = ahocorasick.Automaton()
+        for pattern in by_text:
+            if pattern:
+                machine.add_word(pattern, pattern)
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            qid, row = [], []
+            for i, value in enumerate(batch.column(1)):
+                value = value.as_py()
+                if value is None:
+                    continue
+                held = {p for _, p in machine.iter(value)} if len(machine) and value else set()
+                for p in ({""} & by_text.keys()) | held:
+                    qid += by_text[p]
+                    row += [i] * len(by_text[p])
+            yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), batch.column(0).take(pa.array(row, pa.int64()))], names=names)
+
+    return run
+
+
 def sparse_scores(query_terms: DataFrame, point_terms: DataFrame, point: str) -> DataFrame:
     """qid, point, score: sums of products over shared terms, by an equi-join on terms."""
     q = query_terms.select("qid", "term", F.col("weight").alias("qw"))

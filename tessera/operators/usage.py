@@ -34,8 +34,11 @@ def save_snapshot(tallies: DataFrame, path: str) -> None:
 
 
 def load_snapshot(spark, path: str) -> DataFrame:
-    """Tallies of a snapshot; none where there is no readable one."""
+    """Tallies of a snapshot, the last one where a stream wrote several; none where there is no readable one."""
     try:
-        return spark.read.parquet(path).select("mcp_id", "calls", "successes", "tool_errors")
+        found = spark.read.parquet(path)
+        if "batch" in found.columns:
+            found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+        return found.select("mcp_id", "calls", "successes", "tool_errors")
     except AnalysisException:
         return spark.createDataFrame([], "mcp_id string, calls bigint, successes bigint, tool_errors bigint")

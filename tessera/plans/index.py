@@ -7,10 +7,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import encode, enrich, points, resolve
+from ..scratch import store
 from .config import Config
 
+Step = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Steps:
+    """Stages that talk to other machines; each takes a catalogue (``embed``: point_id and text) and gives its own columns back."""
+
+    extract: Step | None = None
+    enrich: Step | None = None
+    trust: Step | None = None
+    embed: Step | None = None
+
 
 @dataclass
 class Index:
@@ -44,27 +58,38 @@ class Index:
         return self
 
 
-def build(catalog: DataFrame, config: Config = Config(), as_of: str = "1970-01-01T00:00:00Z", extract: Callable[[DataFrame], DataFrame] | None = None) -> Index:
-    """Resolve, extract, enrich, score, explode and encode ``catalog`` (with ``pos``), lazily."""
+def build(catalog: DataFrame, config: Config = Config(), as_of: str = "1970-01-01T00:00:00Z", steps: Steps = Steps()) -> Index:
+    """Resolve, extract, enrich, score, explode and encode ``catalog`` (with ``pos``).
+
+    Rows, points and word counts are stored once each, so nothing before them -
+    calls to other machines among it - runs again for another table.
+    """
     rows = resolve.dedup(catalog)
-    if extract is not None:
-        rows = extract(rows)
-    if config.enricher == "heuristic":
-        rows = enrich.enrich(rows)
-    if config.trust == "heuristic":
+    rows = steps.extract(rows) if steps.extract else rows
+    if steps.enrich or config.enricher == "heuristic":
+        rows = (steps.enrich or enrich.enrich)(rows)
+    if config.trust == "heuristic" or steps.trust:
         rows = enrich.score_trust(rows, as_of)
-    every = points.build_points(rows)
-    unique = points.last_write_wins(every, "point_id", [F.col("ordinal")])
-    counts = encode.term_counts(every.withColumn("_doc", F.concat_ws("|", "point_id", "ordinal")), "_doc", "text")
-    stats, frequencies = encode.corpus_stats(counts, "_doc"), encode.document_frequencies(counts)
-    if config.sparse == "bm25":
-        terms = encode.bm25_document_weights(encode.term_counts(unique, "point_id", "text"), stats, "point_id", config.bm25_k1, config.bm25_b)
+    rows = store(steps.trust(rows) if steps.trust else rows, "catalog")
+    made = points.build_points(rows)
+    last = F.row_number().over(W.partitionBy("point_id").orderBy(F.desc("ordinal"))) == 1
+    every = store(made.withColumn("last", last), "points")
+    unique = every.where("last").drop("last")
+    every = every.withColumn("doc", F.when(F.col("last"), F.col("point_id")).otherwise(F.concat_ws("|", "point_id", "ordinal")))
+    words = store(encode.word_counts(every, ["doc", "last"], "text"), "words")
+    counts, kept = encode.terms_of(words, "doc"), words.where("last").withColumnRenamed("doc", "point_id")
+    stats, frequencies = store(encode.corpus_stats(counts, "doc"), "stats"), store(encode.document_frequencies(counts), "frequencies")
+    if encode.chosen(config.sparse, stats) == "bm25":
+        terms = encode.bm25_document_weights(encode.terms_of(kept, "point_id"), stats, "point_id", config.bm25_k1, config.bm25_b)
+    else:
+        terms = encode.tf_weights_of(encode.terms_of(kept, "point_id"), "point_id")
+    if steps.embed:
+        dense = steps.embed(unique.select("point_id", "text"))
     else:
-        terms = encode.tf_weights(unique, "point_id", "text")
-    dense = encode.dense_vectors(encode.hash_embedding(unique, "point_id", "text", config.embed_dim), "point_id", config.embed_dim)
+        dense = encode.dense_vectors(encode.hash_embedding_of(encode.terms_of(kept, "point_id", None), "point_id", config.embed_dim), "point_id", config.embed_dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), config.embed_dim)
     with_vectors = unique.join(dense, "point_id", "left").withColumn("vector", F.coalesce("vector", zero))
-    return Index(rows, with_vectors, terms, stats, frequencies, config.embed_dim)
+    return Index(rows, store(with_vectors, "vectors"), store(terms, "terms"), stats, frequencies, config.embed_dim)
 
 
 def refresh(old: Index, new: Index, prune: bool = True) -> Index:
