@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
+from typing import ClassVar
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,38 @@ class Config:
     cache_size: int = 512
     rrf_k: int = 2
     source: str = "file"
+    embedder: str = "hash"
+    embed_base_url: str = "http://localhost:11434/v1"
+    embed_api_key: str = ""
+    embed_model: str = "nomic-embed-text"
+    llm_provider: str = "anthropic"
+    llm_base_url: str = ""
+    llm_api_key: str = ""
+    llm_model: str = "claude-haiku-4-5"
+    extract_tools: bool = False
+    extract_concurrency: int = 8
+    extract_timeout: float = 20.0
+    extract_allow_private: bool = False
+    extract_auth_token: str = ""
+    index_concurrency: int = 8
+    proxy_enabled: bool = True
+    proxy_timeout: float = 30.0
+    usage_path: str = ""
+    http_addr: str = ":8080"
+
+    KNOWN: ClassVar = (
+        ("sparse", ("tf", "bm25")), ("reranker", ("lexical", "llm", "none")), ("trust", ("heuristic", "llm", "none")), ("enricher", ("heuristic", "llm", "none")),
+        ("embedder", ("hash", "openai")), ("llm_provider", ("anthropic", "openai")),
+    )
 
     def __post_init__(self):
-        for name, known in (("sparse", ("tf", "bm25")), ("reranker", ("lexical", "none")), ("trust", ("heuristic", "none")), ("enricher", ("heuristic", "none"))):
+        for name, known in self.KNOWN:
             if getattr(self, name) not in known:
                 raise ValueError(f"unknown {name}: {getattr(self, name)}")
+        if self.embedder == "openai" and not self.embed_model:
+            raise ValueError("embed_model is needed for this embedder")
+        if "llm" in (self.reranker, self.trust, self.enricher) and self.llm_provider == "anthropic" and not self.llm_api_key:
+            raise ValueError("llm_api_key is needed for this provider")
 
     @classmethod
     def read(cls, env: Mapping[str, str]) -> Config:

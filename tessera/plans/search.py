@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import remote
 from ..functions import text as X
-from ..operators import encode, rank, retrieve
+from ..operators import encode, points, rank, retrieve
+from ..scratch import store
 from .config import Config
 from .index import Index
+from .strategies import Clients
 
 
-def candidates(queries: DataFrame, index: Index, config: Config = Config()) -> DataFrame:
+def candidates(queries: DataFrame, index: Index, config: Config = Config(), embed=None) -> DataFrame:
     """The pool of each query: the best parents, with what matched.
 
     A query without terms of its own, or with hybrid search off, ranks by
@@ -19,19 +22,22 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config()) -> D
     Filters hold inside both.
     """
     q = queries.withColumn("_pool", F.greatest(F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(5), F.lit(config.rerank_pool)))
-    long = encode.hash_embedding(q.select("qid", "query"), "qid", "query", index.dim)
+    if config.embedder == "openai" and embed:
+        vectors = store(points.ensure_dimension(remote.embed_texts(q, "qid", "query", embed), "vector", index.dim), "query-vectors")
+    else:
+        vectors = encode.dense_vectors(encode.hash_embedding(q.select("qid", "query"), "qid", "query", index.dim), "qid", index.dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), index.dim)
-    q = q.join(encode.dense_vectors(long, "qid", index.dim).withColumnRenamed("vector", "qvec"), "qid", "left").withColumn("qvec", F.coalesce("qvec", zero))
-    if config.sparse == "bm25":
+    q = q.join(vectors.withColumnRenamed("vector", "qvec"), "qid", "left").withColumn("qvec", F.coalesce("qvec", zero))
+    if encode.chosen(config.sparse, index.stats) == "bm25":
         terms = encode.bm25_query_weights(q, "qid", "query", index.frequencies, index.stats)
     else:
         terms = encode.tf_weights(q, "qid", "query")
     terms = terms if config.hybrid else terms.limit(0)
     limits = q.select("qid", "_pool", (4 * F.col("_pool") + 10).alias("_outer"), (8 * F.col("_pool") + 20).alias("_inner"), F.col("source").alias("_qs"), F.col("categories").alias("_qc"))
     hybrid = terms.select("qid").distinct().withColumn("_h", F.lit(True))
-    order = [F.col("mcp_id"), "ordinal"]
+    order = ["mcp_id", "ordinal"]
     light = index.points.select("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories", "vector")
-    dense = retrieve.dense_candidates(q, light, F.lit(8) * _most(config, queries) + 20, "point_id", order)
+    dense = store(retrieve.dense_candidates(q, light, 8 * _most(config, queries) + 20, "point_id", order), "nearest")
     dense = dense.join(limits, "qid").join(hybrid, "qid", "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
     alone = dense.where(~F.col("_h") & (F.col("pos") < F.col("_outer"))).select("qid", "point_id", "score", "pos")
     first = dense.where(F.col("_h") & (F.col("pos") < F.col("_inner"))).select("qid", "point_id", "pos")
@@ -46,19 +52,25 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config()) -> D
     return pool.where(F.col("pos") < F.col("_pool")).drop("_pool")
 
 
-def _most(config: Config, queries: DataFrame):
+def _most(config: Config, queries: DataFrame) -> int:
     top = queries.agg(F.coalesce(F.max("top_k"), F.lit(5))).first()[0]
-    return F.lit(max(config.rerank_pool, top))
+    return max(config.rerank_pool, top, 5)
+
+
+def _lexical(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    terms = queries.select("qid", X.term_set(F.col("query")).alias("_qt"))
+    return rank.lexical_rerank(hits.join(terms, "qid").withColumn("_ct", X.term_set(X.candidate_text(F.col))), "_qt", "_ct").drop("_qt", "_ct")
 
 
-def search(queries: DataFrame, index: Index, config: Config = Config(), usage: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, index: Index, config: Config = Config(), usage: DataFrame | None = None, clients: Clients = Clients()) -> DataFrame:
     """qid, rank, id, score, confidence, match_kind, matched_tool, match_count and the row itself, for each query."""
-    pool = candidates(queries, index, config)
+    pool = candidates(queries, index, config, clients.embed)
     # late: the full rows of the pool alone
     hits = pool.join(index.catalog.drop("pos").withColumnRenamed("id", "mcp_id"), "mcp_id")
-    if config.reranker == "lexical":
-        terms = queries.select("qid", X.term_set(F.col("query")).alias("_qt"))
-        hits = rank.lexical_rerank(hits.join(terms, "qid").withColumn("_ct", X.term_set(X.candidate_text(F.col))), "_qt", "_ct").drop("_qt", "_ct")
+    if config.reranker == "llm" and clients.chat:
+        hits = remote.model_rerank_all(store(hits, "pool"), queries, clients.chat, lambda h: _lexical(h, queries))
+    elif config.reranker != "none":
+        hits = _lexical(hits, queries)
     if usage is not None:
         hits = hits.join(usage.select("mcp_id", "usage"), "mcp_id", "left")
     hits = hits.withColumn("usage", F.coalesce("usage", F.lit(0.0)) if usage is not None else F.lit(0.0))

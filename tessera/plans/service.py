@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
 from collections.abc import Callable
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import merged_categories
 from ..operators.points import category_facet
-from ..operators.usage import tally, with_scores
+from ..operators.usage import with_scores
+from ..remote import forward_call
 from ..schema import QUERIES
+from ..scratch import read_file, store, write_file
 from .cache import ResultCache, cache_key
 from .config import Config
 from .index import Index
 from .search import search
+from .strategies import Clients
 
+COUNTS = ("calls", "successes", "tool_errors")
 SHOWN = ("id", "name", "title", "description", "score", "confidence", "matched_tool", "categories", "repository", "source")
 
 
@@ -32,10 +38,42 @@ def tools(calls: bool) -> dict[str, dict]:
 
 
 class Discovery:
-    def __init__(self, spark: SparkSession, index: Index, config: Config = Config(), call: Callable[[dict, str, dict], tuple[str, bool]] | None = None, clock: Callable[[], float] | None = None):
-        self.spark, self.index, self.config, self.call = spark, index, config, call
+    """The calls over one index; usage is tallied by id, read from ``usage_path`` at the start and flushed there."""
+
+    FLUSH_SECONDS = 30.0
+
+    def __init__(
+        self, spark: SparkSession, index: Index, config: Config = Config(), call: Callable[[dict, str, dict], tuple[str, bool]] | None = None,
+        clock: Callable[[], float] | None = None, clients: Clients = Clients(),
+    ):
+        self.spark, self.index, self.config, self.call, self.clients = spark, index, config, call, clients
+        if call is None and config.proxy_enabled and clients.tools:
+            self.call = lambda row, tool, arguments: forward_call(row, tool, arguments, clients.tools.call)
         self.cache = ResultCache(config.cache_size, config.cache_ttl_seconds, **({"clock": clock} if clock else {}))
-        self.outcomes: list[tuple[str, str, datetime]] = []
+        self.clock = clock or time.monotonic
+        self.lock, self.dirty = threading.Lock(), False
+        self.tallies: dict[str, list[int]] = self._read_usage()
+        self.flushed = self.clock()
+
+    def _read_usage(self) -> dict[str, list[int]]:
+        """Tallies of an earlier run; none where they cannot be read."""
+        try:
+            raw = read_file(self.spark, self.config.usage_path) if self.config.usage_path else None
+            return {k: [int(v[n]) for n in COUNTS] for k, v in json.loads(raw).items()} if raw else {}
+        except (ValueError, KeyError, TypeError):
+            return {}
+
+    def flush(self) -> bool:
+        """Write the tallies if there are new ones and a path for them."""
+        with self.lock:
+            if not self.dirty or not self.config.usage_path:
+                return False
+            write_file(self.spark, self.config.usage_path, json.dumps({k: dict(zip(COUNTS, v)) for k, v in sorted(self.tallies.items())}).encode())
+            self.dirty, self.flushed = False, self.clock()
+            return True
+
+    def close(self) -> None:
+        self.flush()
 
     def tools(self) -> dict[str, dict]:
         return tools(self.call is not None)
@@ -47,7 +85,7 @@ class Discovery:
         found = self.cache.get(key)
         if found is None:
             one = self.spark.createDataFrame([(0, query, top_k, float(min_score), categories or [], source)], QUERIES)
-            rows = search(one, self.index, self.config, self.usage() if self.outcomes else None).withColumn("categories", merged_categories(F.col("categories"), F.col("enrichment.categories")))
+            rows = search(one, self.index, self.config, self.usage() if self.tallies else None, self.clients).withColumn("categories", merged_categories(F.col("categories"), F.col("enrichment.categories")))
             found = [r.asDict(True) for r in rows.select(*SHOWN, "rank").orderBy("rank").drop("rank").collect()]
             self.cache.put(key, found)
         return found
@@ -89,11 +127,37 @@ class Discovery:
         return {"found": True, "content": content, "is_error": is_error}
 
     def _record(self, id_: str, outcome: str) -> None:
-        self.outcomes.append((id_, outcome, datetime.now(timezone.utc)))
+        if not id_:
+            return
+        with self.lock:
+            own = self.tallies.setdefault(id_, [0, 0, 0])
+            own[0] += 1
+            own[1] += outcome == "success"
+            own[2] += outcome == "tool_error"
+            self.dirty = True
+        if self.clock() - self.flushed >= self.FLUSH_SECONDS:
+            self.flush()
 
     def usage(self) -> DataFrame:
-        events = self.spark.createDataFrame([(i, o) for i, o, _ in self.outcomes], "mcp_id string, outcome string")
-        return with_scores(tally(events))
-
-    def snapshot(self) -> list[dict]:
-        return [r.asDict() for r in self.usage().orderBy("mcp_id").collect()]
+        with self.lock:
+            rows = [(k, *v) for k, v in self.tallies.items()]
+        return with_scores(self.spark.createDataFrame(rows, "mcp_id string, calls bigint, successes bigint, tool_errors bigint"))
+
+    def snapshot(self) -> dict[str, dict[str, int]]:
+        with self.lock:
+            return {k: dict(zip(COUNTS, v)) for k, v in sorted(self.tallies.items())}
+
+
+def resolve_all(spark: SparkSession, asked: DataFrame, index: Index, config: Config = Config()) -> DataFrame:
+    """asked, id, suggestions for many ids at once: the row itself, else the first of five search results that differs in letter case alone, else those five."""
+    own = asked.select(F.col("id").alias("asked")).distinct()
+    exact = own.join(index.catalog.select(F.col("id").alias("asked")), "asked", "left_semi").withColumn("id", F.col("asked"))
+    rest = store(own.join(exact.select("asked"), "asked", "left_anti").where("asked <> ''").withColumn("qid", F.monotonically_increasing_id()), "unresolved")
+    none = F.array().cast("array<string>")
+    queries = rest.select("qid", F.col("asked").alias("query"), F.lit(5).alias("top_k"), F.lit(0.0).alias("min_score"), none.alias("categories"), F.lit("").alias("source"))
+    near = search(queries, index, config).select("qid", "rank", F.col("id").alias("near")).join(rest, "qid")
+    folded = F.min(F.when(F.lower("near") == F.lower("asked"), F.struct("rank", "near")))["near"]
+    found = near.groupBy("asked").agg(folded.alias("id"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("suggestions"))
+    told = rest.select("asked").join(found, "asked", "left")
+    told = told.select("asked", "id", F.when(F.col("id").isNull(), F.coalesce("suggestions", none)).otherwise(none).alias("suggestions"))
+    return exact.select("asked", "id", none.alias("suggestions")).unionByName(told)

@@ -11,15 +11,18 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scoring import client_transport
 from .operators.enrich import card
 from .schema import CARD, TOOL
+from .scratch import ship, store
 
 RETRYABLE = (429, 500, 502, 503, 504)
 Client = Callable[[str, str], str]
@@ -55,10 +58,15 @@ def with_retries(send: Callable[[], tuple[int, dict, bytes]], retries: int = 3,
     raise AssertionError("unreachable")
 
 
+#: Networks that a probe must not reach - loopback, private, link-local, multicast, unspecified.
+REFUSED = [ipaddress.ip_network(n) for n in ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "224.0.0.0/4", "0.0.0.0/32", "::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")]
+
+
 def blocked(address: str) -> bool:
     """Addresses that a probe must not reach."""
     ip = ipaddress.ip_address(address)
-    return ip.is_loopback or ip.is_private or ip.is_unspecified or ip.is_link_local or ip.is_multicast
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return any(ip in network for network in REFUSED if network.version == ip.version)
 
 
 def guarded(resolve: Callable[[str], list[str]], allow_private: bool = False) -> Callable[[str], str]:
@@ -91,38 +99,64 @@ def headers_for(credentials: dict | None, id_: str, host: str) -> dict[str, str]
     return {"Authorization": f"Bearer {credentials['token']}"} if credentials.get("token") else {}
 
 
-def extract_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[list[dict], str]]) -> DataFrame:
-    """Tools of rows that have none but have transports, asked for page by page.
+def bounded_map(function: Callable, items: list, together: int = 8, timeout: float | None = None) -> list[tuple[object, str | None]]:
+    """(result, None) or (None, error) of each item, in order; ``together`` run at a time, and one that takes longer than ``timeout`` seconds has failed."""
+    if not items:
+        return []
+    pool = ThreadPoolExecutor(max(1, together))
+    running: list[Future] = [pool.submit(function, x) for x in items]
+    out: list[tuple[object, str | None]] = []
+    for i, future in enumerate(running):
+        try:
+            # those before it have ended or failed, so it waits for a place no longer than they took
+            out.append((future.result(None if timeout is None else timeout * (1 + i // max(1, together))), None))
+        except Exception as error:  # noqa: BLE001  counted by the caller
+            future.cancel()
+            out.append((None, f"{type(error).__name__}: {error}"))
+    pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
+def extract_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[list[dict], str]], together: int = 8, timeout: float | None = 20.0) -> DataFrame:
+    """``catalog`` with the tools of rows that have none but have transports, asked for page by page; see ``probe_tools``."""
+    found = store(probe_tools(catalog, list_tools, together, timeout), "probed")
+    joined = catalog.join(found.where("failed is null").select("id", "found"), "id", "left")
+    return joined.withColumn("tools", F.when(F.size("tools") > 0, F.col("tools")).otherwise(F.coalesce("found", "tools"))).select(*catalog.columns)
+
+
+def probe_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[list[dict], str]], together: int = 8, timeout: float | None = 20.0) -> DataFrame:
+    """id, found, failed of rows that have no tools but transports.
 
     ``list_tools(kind, url, cursor)`` gives tools and the next cursor.  The first
-    transport with tools counts; a transport that fails is passed over.
+    transport with tools counts; a transport that fails is passed over, and a
+    row of which none can be asked has no tools and no failure.  Each task asks
+    ``together`` rows at a time; a row that is not done after ``timeout`` has failed.
     """
+    ship(catalog.sparkSession)
     need = (F.size("tools") == 0) & (F.size("transports") > 0)
     usable = F.filter(F.transform("transports", lambda t: F.struct(client_transport(t["type"], t["url"]).alias("kind"), t["url"].alias("url"))), lambda t: t["kind"] != "none")
 
+    def one(ways) -> list[dict]:
+        for way in ways:
+            try:
+                cursor, tools = "", []
+                while True:
+                    page, cursor = list_tools(way["kind"], way["url"], cursor)
+                    tools += page
+                    if not cursor:
+                        break
+            except Exception:  # noqa: BLE001  best effort: the next transport may answer
+                continue
+            if tools:
+                return [{"name": t.get("name", ""), "description": t.get("description", "")} for t in tools]
+        return []
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for ways in frame["ways"]:
-                tools: list[dict] = []
-                for way in ways:
-                    try:
-                        cursor, tools = "", []
-                        while True:
-                            page, cursor = list_tools(way["kind"], way["url"], cursor)
-                            tools += page
-                            if not cursor:
-                                break
-                    except Exception:  # noqa: BLE001  best effort: the next transport may answer
-                        tools = []
-                    if tools:
-                        break
-                found.append([{"name": t.get("name", ""), "description": t.get("description", "")} for t in tools])
-            yield pd.DataFrame({"id": frame["id"], "found": found})
+            got = bounded_map(one, frame["ways"].tolist(), together, timeout)
+            yield pd.DataFrame({"id": frame["id"], "found": [f for f, _ in got], "failed": [e for _, e in got]})
 
-    asked = catalog.where(need).select("id", usable.alias("ways")).mapInPandas(probe, f"id string, found array<{TOOL}>").dropDuplicates(["id"])
-    joined = catalog.join(asked, "id", "left")
-    return joined.withColumn("tools", F.when(need & F.col("found").isNotNull(), F.col("found")).otherwise(F.col("tools"))).select(*catalog.columns)
+    return catalog.where(need).select("id", usable.alias("ways")).mapInPandas(probe, f"id string, found array<{TOOL}>, failed string").dropDuplicates(["id"])
 
 
 CARD_TASK = "Describe what an agent can do with this service. Answer with one JSON object with the keys summary, tasks, exampleQueries, synonyms and categories."
@@ -159,15 +193,15 @@ def _ask(client: Client, task: str, row: dict) -> dict | None:
         return None
 
 
-def model_cards(catalog: DataFrame, client: Client) -> DataFrame:
-    """Cards by a language model; the heuristic's where it fails."""
+def model_cards(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
+    """Cards by a language model, ``together`` asked for at a time; the heuristic's where it fails."""
+    ship(catalog.sparkSession)
     names = ("tasks", "exampleQueries", "synonyms", "categories")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
-                got = _ask(client, CARD_TASK, row)
+            for got, _ in bounded_map(lambda row: _ask(client, CARD_TASK, row), frame.to_dict("records"), together):
                 out.append(got and {"summary": str(got.get("summary", "")), "enricher": "llm"} | {n: [str(x) for x in got.get(n) or []] for n in names})
             yield pd.DataFrame({"id": frame["id"], "card": out})
 
@@ -176,12 +210,13 @@ def model_cards(catalog: DataFrame, client: Client) -> DataFrame:
     return catalog.join(got, "id", "left").withColumn("enrichment", F.coalesce("card", own)).select(*catalog.columns)
 
 
-def model_trust(catalog: DataFrame, client: Client) -> DataFrame:
+def model_trust(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
     """Half the trust there is, half the model's; unchanged where it fails."""
+    ship(catalog.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [_ask(client, QUALITY_TASK, row) for row in frame.to_dict("records")]
+            got = [g for g, _ in bounded_map(lambda row: _ask(client, QUALITY_TASK, row), frame.to_dict("records"), together)]
             good = [g if g and isinstance(g.get("quality"), int | float) else None for g in got]
             yield pd.DataFrame({"id": frame["id"], "q": [g and min(1.0, max(0.0, float(g["quality"]))) for g in good], "why": [g and str(g.get("rationale", "")) for g in good], "flags": [g and [str(x) for x in g.get("flags") or []] for g in good]})
 
@@ -202,8 +237,29 @@ def model_rerank(hits: list[dict], query: str, client: Client, fallback: Callabl
     return [hits[i] | {"score": (len(hits) - place) / len(hits)} for place, i in enumerate(order)]
 
 
+def model_rerank_all(hits: DataFrame, queries: DataFrame, client: Client, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pools of many queries in the model's order: ``score`` and ``pos`` are replaced, those of a query where it fails by ``fallback``'s.
+
+    ``hits`` has qid, mcp_id, pos, score, name and description; a query's pool is a group of bounded size.
+    """
+
+    def run(pool: pa.Table) -> pa.Table:
+        rows = pool.sort_by("pos").to_pylist()
+        got = model_rerank(rows, rows[0]["query"], client, lambda _: []) if len(rows) > 1 else rows
+        columns = [[r["qid"] for r in got], [r["mcp_id"] for r in got], [float(r["score"]) for r in got], list(range(len(got)))]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pool.schema.field("qid").type, pa.string(), pa.float64(), pa.int32()))], names=["qid", "mcp_id", "_score", "_pos"])
+
+    ship(hits.sparkSession)
+    kind = hits.schema["qid"].dataType.simpleString()
+    asked = hits.select("qid", "mcp_id", "pos", "score", "name", "description").join(queries.select("qid", "query"), "qid")
+    order = store(asked.groupBy("qid").applyInArrow(run, f"qid {kind}, mcp_id string, _score double, _pos int"), "order")
+    told = hits.join(order, ["qid", "mcp_id"]).withColumn("score", F.col("_score")).withColumn("pos", F.col("_pos")).drop("_score", "_pos")
+    return told.unionByName(fallback(hits.join(order.select("qid").distinct(), "qid", "left_anti")).select(*told.columns))
+
+
 def embed_texts(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[tuple[int, list[float]]]], batch: int = 64) -> DataFrame:
     """key, vector from an embedding service that answers batches with (index, vector) in any order."""
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

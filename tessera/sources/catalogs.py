@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..schema import CATALOG, GOLDEN, fields, normalized
+from ..scratch import store
 
 #: The public server description format.
 SERVER_JSON = """name string, title string, description string, version string, repository struct<url:string>, websiteUrl string,
@@ -114,7 +115,11 @@ def repositories(repos: DataFrame) -> DataFrame:
 
 
 class MultiSource:
-    """Several sources one after another; the limit holds for each; one that fails is left out and named in ``failed``."""
+    """Several sources one after another; the limit holds for each.
+
+    Each is read and stored by itself, so one that fails, at whatever point, is
+    left out and named in ``failed``.
+    """
 
     name = "multi"
 
@@ -125,7 +130,7 @@ class MultiSource:
         got = []
         for i, source in enumerate(self.sources):
             try:
-                got.append(source.fetch(spark, limit).withColumn("pos", F.struct(F.lit(i).alias("source"), F.col("pos").alias("place"))))
+                got.append(store(source.fetch(spark, limit), "source").withColumn("pos", F.concat(F.lit(f"{i:04d}/"), F.col("pos"))))
             except Exception as error:  # noqa: BLE001  one source's failure is not the others'
                 self.failed[source.name] = error
         return union_all(got) if got else _with_pos(spark.createDataFrame([], CATALOG).withColumn("pos", F.lit(0)))

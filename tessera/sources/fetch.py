@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from urllib.parse import quote, urlencode
 
+from pyspark.sql import SparkSession
+
+from ..scratch import write_file
 from .catalogs import OFFICIAL, TOPIC_QUERIES
 
 Get = Callable[[str], tuple[int, bytes]]
@@ -62,9 +66,26 @@ def server_description(get: Get, base: str, full_name: str, branch: str = "") ->
         return None
 
 
-def land(pages: Iterator[dict], folder: str) -> int:
-    """One file for each page, named by its place; returns their number."""
+def land(pages: Iterator[dict], folder: str, spark: SparkSession | None = None) -> int:
+    """One file for each page, named by its place; returns their number.  With a session the folder may be on any storage that it reads."""
     n = 0
     for n, page in enumerate(pages, 1):  # noqa: B007
-        Path(folder, f"page-{n:06d}.json").write_text(json.dumps(page))
+        body, name = json.dumps(page), f"page-{n:06d}.json"
+        if spark is None:
+            Path(folder, name).write_text(body)
+        else:
+            write_file(spark, f"{folder}/{name}", body.encode())
     return n
+
+
+def land_descriptions(get: Get, base: str, pages: list[dict], folder: str, spark: SparkSession, together: int = 10) -> int:
+    """The descriptions of the repositories on search pages, as one file of ``full_name`` and ``server``; returns their number.
+
+    ``together`` are asked for at a time; a failure leaves a repository without one.
+    """
+    wanted = {i["full_name"]: i.get("default_branch") or "" for p in pages for i in p.get("items") or [] if i.get("full_name") and not i.get("archived")}
+    with ThreadPoolExecutor(max(1, together)) as pool:
+        found = pool.map(lambda item: (item[0], server_description(get, base, *item)), wanted.items())
+        lines = [json.dumps({"full_name": n, "server": d}) for n, d in found if d is not None]
+    write_file(spark, f"{folder}/descriptions.json", "\n".join(lines).encode())
+    return len(lines)
