@@ -7,7 +7,6 @@ query runs over its whole tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,10 +17,8 @@ from pyspark.sql import types as T
 from .functions import scoring as S
 from .functions import text as X
 from .operators import encode, enrich, evaluate, points, rank, resolve, retrieve, usage
-from .plans import index as index_plan
-from .plans import search as search_plan
-from .plans.config import Config
 from .schema import normalized
+from .scratch import new_path, store
 from .sources.catalogs import union_all
 from .streaming.usage import start_tally
 
@@ -46,15 +43,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -123,17 +111,22 @@ def doc_counts(spark: SparkSession, sf_dir: str, stop: list[str] | None = X.SPAR
     return encode.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text", stop)
 
 
-def tf_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _words_of_documents(spark, sf_dir) -> DataFrame:
+    """Word counts of all documents, stored: every weight comes from them."""
+    return store(encode.word_counts(read(spark, sf_dir, "documents"), "doc_id", "text"), "words")
+
+
+def tf_scores(spark: SparkSession, sf_dir: str, k: int, words: DataFrame | None = None) -> DataFrame:
     q = encode.tf_weights(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "qid")
-    d = encode.tf_weights(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return retrieve.top(retrieve.sparse_scores(q, d, "doc_id"), "qid", F.col("score"), k, ["doc_id"])
+    counts = doc_counts(spark, sf_dir) if words is None else encode.terms_of(words, "doc_id")
+    return retrieve.top(retrieve.sparse_scores(q, encode.tf_weights_of(counts, "doc_id"), "doc_id"), "qid", F.col("score"), k, ["doc_id"])
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    counts = doc_counts(spark, sf_dir)
+def bm25_scores(spark: SparkSession, sf_dir: str, k: int, words: DataFrame | None = None, k1: float = encode.K1, b: float = encode.B) -> DataFrame:
+    counts = encode.terms_of(_words_of_documents(spark, sf_dir) if words is None else words, "doc_id")
     stats = encode.corpus_stats(counts, "doc_id")
     q = encode.bm25_query_weights(read(spark, sf_dir, "benchmark"), "item_id", "text", encode.document_frequencies(counts), stats).withColumnRenamed("item_id", "qid")
-    return retrieve.top(retrieve.sparse_scores(q, encode.bm25_document_weights(counts, stats, "doc_id"), "doc_id"), "qid", F.col("score"), k, ["doc_id"])
+    return retrieve.top(retrieve.sparse_scores(q, encode.bm25_document_weights(counts, stats, "doc_id", k1, b), "doc_id"), "qid", F.col("score"), k, ["doc_id"])
 
 
 # ---- text
@@ -253,13 +246,13 @@ def bm25_term_df(spark, sf_dir):
 
 @query(f"WITH {_counts()}, {BM25} SELECT id AS doc_id, term, round(weight, 6) AS weight FROM bd")
 def bm25_doc_weights(spark, sf_dir):
-    counts = doc_counts(spark, sf_dir)
+    counts = encode.terms_of(_words_of_documents(spark, sf_dir), "doc_id")
     return encode.bm25_document_weights(counts, encode.corpus_stats(counts, "doc_id"), "doc_id").select("doc_id", "term", r6(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {_counts()}, {BM25} SELECT qid AS item_id, term, round(weight, 6) AS weight FROM bq")
 def bm25_query_idf(spark, sf_dir):
-    counts = doc_counts(spark, sf_dir)
+    counts = encode.terms_of(_words_of_documents(spark, sf_dir), "doc_id")
     w = encode.bm25_query_weights(read(spark, sf_dir, "benchmark"), "item_id", "text", encode.document_frequencies(counts), encode.corpus_stats(counts, "doc_id"))
     return w.select("item_id", "term", r6(F.col("weight")).alias("weight"))
 
@@ -289,7 +282,8 @@ _FUSED = f"""{_counts()}, {TF}, {BM25}, {_topk('a', 'qw', 'dw', POOL)}, {_topk('
 
 @query(f"WITH {_FUSED} {_SHOW} (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS pos FROM f) WHERE pos < {TOP}")
 def rrf_fusion_topk(spark, sf_dir):
-    fused = retrieve.fuse(tf_scores(spark, sf_dir, POOL), bm25_scores(spark, sf_dir, POOL), "doc_id")
+    words = _words_of_documents(spark, sf_dir)
+    fused = retrieve.fuse(tf_scores(spark, sf_dir, POOL, words), bm25_scores(spark, sf_dir, POOL, words), "doc_id")
     return _shown(retrieve.top(fused, "qid", F.col("score"), TOP, ["doc_id"]))
 
 
@@ -391,24 +385,13 @@ def min_score_cutoff(spark, sf_dir):
     return rank.cut(_blended(spark, sf_dir), F.lit(0.7), F.lit(TOP)).select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(None)
-def search_end_to_end(spark, sf_dir):
-    """Every benchmark text as a query over the whole catalogue: retrieval to blended ranks."""
-    path = f"{_scratch(spark)}/index-{uuid.uuid4().hex}"
-    index_plan.build(catalog(spark, sf_dir).drop("doc_id"), Config(enricher="none"), AS_OF).save(path)
-    index = index_plan.Index.load(spark, path)
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.lit(TOP).alias("top_k"), F.lit(0.0).alias("min_score"), F.array().cast("array<string>").alias("categories"), F.lit("").alias("source"))
-    hits = search_plan.search(q, index)
-    return hits.select("qid", "id", F.col("rank").cast("bigint").alias("rank"), F.round(F.col("score").cast("double"), 5).alias("score"), r6(F.col("confidence").cast("double")).alias("confidence"), "match_kind", F.col("match_count").cast("bigint").alias("match_count"))
-
-
 # ---- evaluation
 
 def _labelled(spark, sf_dir) -> DataFrame:
     """Benchmark texts with the documents that hold them: a stated set of queries against all rows."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = d.join(F.broadcast(b), F.col("text").contains(F.col("query"))).groupBy("qid").agg(F.collect_set("doc_id").alias("expected"))
+    found = retrieve.containing(d, "doc_id", "text", b).groupBy("qid").agg(F.collect_set("doc_id").alias("expected"))
     return b.join(found, "qid", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<bigint>")))
 
 
@@ -551,7 +534,7 @@ def usage_stream_tally(spark, sf_dir):
     schema = T.StructType(read(spark, sf_dir, "events").schema.fields)
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"usage_{uuid.uuid4().hex}"
-    start_tally(_calls(events), f"{_scratch(spark)}/{name}", name, once=True).awaitTermination()
+    start_tally(_calls(events), new_path(spark, name), name, once=True).awaitTermination()
     return spark.table(name)
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera import queries
+from tessera import queries, queries_plans, queries_services, queries_sources  # noqa: F401  all register in the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,5 +31,5 @@ def test_against_sql(spark, duck, name):
 
 
 def test_flagship(spark):
-    rows = queries.search_end_to_end(spark, SF).collect()
+    rows = queries_plans.search_end_to_end(spark, SF).collect()
     assert rows and max(r["rank"] for r in rows) <= queries.TOP
