@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import retrieve, usage
+from .operators import usage
 from .plans import index as index_plan
 from .plans import search as search_plan
 from .plans.config import Config
-from .queries import _FIRST, _KEYS, _TRIM, _USAGE, AS_OF, HASHES, TOP, _calls, _strings, _words, query, r6, read, tooled
+from .queries import _FIRST, _KEYS, _USAGE, AS_OF, HASHES, TOP, _calls, _strings, _words, query, r6, read, tooled
 
 # ---- the whole search in DuckDB: points and their encodings, both retrievals, fusion, collapse, reranking, blend
 
