@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import tempfile
@@ -17,13 +16,12 @@ from pyspark.sql import functions as F
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary folder only where none is named."""
+    """The shared folder of the cluster; a temporary folder only where none is named and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -69,16 +67,23 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _place(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage; the table outlives any executor.  Tables are removed
-    by ``drop`` or when the driver's Python ends.
+    by ``drop`` or when the driver's JVM ends, whether or not the session was stopped before.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
+    where, system = _place(spark, path)
     df.write.parquet(path)
-    _made.append((spark, path))
+    system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -87,31 +92,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Remove scratch tables made by ``materialize`` that no later plan reads."""
     for table in tables:
-        _remove(table.sparkSession, table._tessera_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before this
-            return
+        where, system = _place(table.sparkSession, table._tessera_path)
+        system.delete(where, True)
+        system.cancelDeleteOnExit(where)
 
 
-def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 20_000, salts: int = 32) -> DataFrame:
-    """Equi-join ``rows`` with a table of one row for each key.
+def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 20_000, salts: int = 32, size: int | None = None) -> DataFrame:
+    """Equi-join ``rows`` with a table of one row, or a few, for each key.
 
-    ``small`` is broadcast only when it has at most ``limit`` rows; beyond that
-    the join is salted, so one key may hold any share of ``rows``.
+    ``small`` is broadcast only when it has at most ``limit`` rows (``size``, if
+    the caller has counted them); beyond that the join is salted, so one key may
+    hold any share of ``rows``.
     """
-    if small.count() <= limit:
+    if (small.count() if size is None else size) <= limit:
         return rows.join(F.broadcast(small), on, how)
     salted = rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -2,7 +2,8 @@
 
 Each text becomes a vector of transformed statistics.  For every language and
 source a minimum-covariance-determinant estimate of location and scatter is
-found by concentration steps from three deterministic starts, and texts whose
+found by concentration steps from three deterministic starts - two steps each,
+then on from the best until the determinant stops falling - and texts whose
 robust Mahalanobis distance is beyond a chi-square cut-off are rejected.
 
 Duplicate lines and repeated words are counts, so their resolution is taken off
@@ -17,7 +18,10 @@ which combine on the map side, so no cell ever meets in one task.
 Defined results for odd input: null text counts as empty; a null language or
 source is a value of its own; cells below ``min_rows`` are pooled by language,
 then over everything, and where even that is too small only the base rules
-decide; repeated rows are judged alike; an empty table gives an empty table.
+decide; repeated rows are judged alike and rows that tie at the edge of a subset
+all belong to it; texts of any length are read whole; other columns, whatever
+their names, pass through ``filter_documents``; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -44,7 +48,10 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     subset: float = 0.75
-    steps: int = 4
+    #: Steps from every start; then steps at most of the best one, until no determinant falls by more than ``tolerance``.
+    early: int = 2
+    steps: int = 50
+    tolerance: float = 1e-6
     min_rows: int = 50
     short_words: int = 40
     #: Median and 0.9999 quantile of chi-square with five degrees of freedom.
@@ -90,9 +97,7 @@ def text_statistics(df: DataFrame, text: str = "text", rules: Rules = Rules()) -
     covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(k), F.coalesce(F.get("_p", i + 1) - p, F.lit(k)))), F.lit(0), lambda a, x: a + x)
     body = body.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    # never true; an expression that is not deterministic keeps filters from being pushed below, where they would repeat all of the above
-    barrier = F.monotonically_increasing_id() < 0
-    return body.select(*keep, *STATS, "_punct", "_lines", (failed | barrier).alias("base_failed"))
+    return body.select(*keep, *STATS, "_punct", "_lines", failed.alias("base_failed"))
 
 
 def _vector(stats: DataFrame, rules: Rules) -> DataFrame:
@@ -127,115 +132,161 @@ def _quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, f
     return cum.groupBy(*keys).agg(*[F.min(F.when(F.col("_c") >= F.ceil(F.col("_all") * s), F.col(value))).alias(name) for name, s in shares.items()], F.max("_all").alias("rows"))
 
 
-def _moments(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    sums = [F.sum(n).alias(f"s{j}") for j, n in enumerate(names)]
-    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *sums, *products)
+PLACES = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def _scatter(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Location m0.. and scatter c00.. from sums, before the floor."""
-    out = moments.select(*keys, "n", *[(F.col(f"s{j}") / F.col("n")).alias(f"m{j}") for j in range(DIMS)], *[f"p{i}{j}" for i in range(DIMS) for j in range(i + 1)])
-    cov = lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-    return out.select(*keys, *[f"m{j}" for j in range(DIMS)], *[cov(i, j).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+def _sums(prefix: str, names: list[str]) -> list[Column]:
+    """Aggregates of the first and second moments of integer columns."""
+    return [F.sum(n).alias(f"{prefix}s{j}") for j, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"{prefix}p{i}{j}") for i, j in PLACES]
+
+
+def _scatter(prefix: str = "", n: str = "n") -> tuple[list[Column], dict[tuple[int, int], Column]]:
+    """Location and scatter from the sums."""
+    mean = [F.col(f"{prefix}s{j}") / F.col(n) for j in range(DIMS)]
+    return mean, {(i, j): F.col(f"{prefix}p{i}{j}") / F.col(n) - mean[i] * mean[j] for i, j in PLACES}
 
 
 def _cholesky(scatter: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the floor to the diagonal and factors: l00.. and the log of the determinant."""
-    out = scatter
+    """keys, m, l, logdet from ``m`` (location) and ``c`` (lower triangle): the floor is added to the diagonal and the sum factored."""
+    at = {place: k for k, place in enumerate(PLACES)}
+    factors = []  # each refers to those before it
     for i, floor in enumerate(FLOORS.values()):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + F.lit((floor * SCALE) ** 2 if i == j else 0.0)
+            rest = F.col("c")[at[i, j]] + F.lit((floor * SCALE) ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
+            factors.append((F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}")).alias(f"l{i}{j}"))
     logdet = sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00"))
-    return out.select(*keys, *[f"m{j}" for j in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], (2 * logdet).alias("logdet"))
+    return scatter.select(*keys, "m", "c", *factors).select(*keys, "m", F.array(*[F.col(f"l{i}{j}") for i, j in PLACES]).alias("l"), (2 * logdet).alias("logdet"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows
+    at = {place: k for k, place in enumerate(PLACES)}
+    parts = []  # each refers to those before it
     for i in range(DIMS):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
+        rest = F.col(f"x{i}") - F.col("m")[i]
         for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+            rest = rest - F.col("l")[at[i, k]] * F.col(f"y{k}")
+        parts.append((rest / F.col("l")[at[i, i]]).alias(f"y{i}"))
     total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, DIMS)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", total)
+    return rows.select("*", *parts).select(*rows.columns, total.alias("d2"))
 
 
 def _bin(d2: Column) -> Column:
     return F.least(F.lit(BINS), F.floor(64 * F.log1p(d2))).cast("int")
 
 
-def fit(vectors: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Minimum-covariance-determinant estimates: a row for each ``est`` cell."""
+def _starts(vectors: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+    """est, start, m, l, logdet: medians with the spread of quartiles, the plain moments, and medians with the moments of bent values."""
     xs = [f"x{j}" for j in range(DIMS)]
-    long = vectors.select("est", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(x).alias("x")) for j, x in enumerate(xs)])).alias("v")).select("est", "v.j", "v.x")
+    rows = attach(vectors, cells, ["_cell"], size=size)
+    long = rows.select("est", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(x).alias("x")) for j, x in enumerate(xs)])).alias("v")).select("est", "v.j", "v.x")
     q = _quantiles(long, ["est", "j"], "x", {"a": 0.25, "b": 0.5, "c": 0.75})
     floors = F.element_at(F.array(*[F.lit(f * SCALE) for f in FLOORS.values()]), F.col("j") + 1)
     q = q.withColumn("w", F.greatest((F.col("c") - F.col("a")) / 1.349, floors))
-    q = materialize(q.groupBy("est").agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(DIMS) for c in ("b", "w")]), "quality-quartiles")
-    seen = attach(vectors, q, ["est"])
-    zero = lambda i, j: F.lit(0.0).alias(f"c{i}{j}")
-    mid = [F.col(f"b{j}").cast("double").alias(f"m{j}") for j in range(DIMS)]
-    tri = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    starts = [q.select("est", F.lit(0).alias("start"), *mid, *[(F.col(f"w{i}") * F.col(f"w{i}")).alias(f"c{i}{j}") if i == j else zero(i, j) for i, j in tri])]
-    starts.append(_scatter(_moments(vectors, ["est"], xs), ["est"]).withColumn("start", F.lit(1)))
-    bent = seen.select("est", *[F.round(1000 * F.tanh((F.col(f"x{j}") - F.col(f"b{j}")) / F.col(f"w{j}"))).cast("long").alias(f"z{j}") for j in range(DIMS)])
-    bent = _scatter(_moments(bent, ["est"], [f"z{j}" for j in range(DIMS)]), ["est"]).join(q, "est")
-    starts.append(bent.select("est", F.lit(2).alias("start"), *mid, *[(F.col(f"c{i}{j}") / 1e6 * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"c{i}{j}") for i, j in tri]))
-    state = starts[0].unionByName(starts[1]).unionByName(starts[2])
-    keys = ["est", "start"]
-    state = materialize(_cholesky(state, keys), "quality-start")
-    rows = vectors.select("est", *xs).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    q = q.groupBy("est").agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(DIMS) for c in ("b", "w")])
+    q = materialize(q.join(cells, "est"), "quality-quartiles")
+    bent = [F.round(1000 * F.tanh((F.col(f"x{j}") - F.col(f"b{j}")) / F.col(f"w{j}"))).cast("long").alias(f"z{j}") for j in range(DIMS)]
+    seen = attach(vectors, q, ["_cell"], size=size).select("est", *xs, *bent, *[f"{c}{j}" for j in range(DIMS) for c in ("b", "w")])
+    firsts = [F.first(f"{c}{j}").alias(f"{c}{j}") for j in range(DIMS) for c in ("b", "w")]
+    sums = seen.groupBy("est").agg(F.count("*").alias("n"), *firsts, *_sums("x", xs), *_sums("z", [f"z{j}" for j in range(DIMS)]))
+    mid = F.array(*[F.col(f"b{j}").cast("double") for j in range(DIMS)])
+    mean, cov = _scatter("x")
+    bent_cov = _scatter("z")[1]
+    start = lambda k, m, c: F.struct(F.lit(k).alias("start"), m.alias("m"), F.array(*[c[p] for p in PLACES]).alias("c"))
+    spread = {(i, j): F.col(f"w{i}") * F.col(f"w{j}") for i, j in PLACES}
+    three = [
+        start(0, mid, {(i, j): spread[i, j] if i == j else F.lit(0.0) for i, j in PLACES}),
+        start(1, F.array(*mean), cov),
+        start(2, mid, {p: bent_cov[p] / 1e6 * spread[p] for p in PLACES}),
+    ]
+    found = materialize(_cholesky(sums.select("est", F.explode(F.array(*three)).alias("s")).select("est", "s.*"), ["est", "start"]), "quality-start")
+    drop(q)
+    return found
+
+
+def _concentrate(vectors: DataFrame, cells: DataFrame, state: DataFrame, rules: Rules, size: int) -> DataFrame:
+    """One concentration step of every (est, start): the estimate of the ``subset`` of rows that are nearest to the one before.
+
+    Moments are summed for each bin of distances, so one pass gives both the
+    cut and the moments below it.
+    """
+    keys, xs = ["est", "start"], [f"x{j}" for j in range(DIMS)]
+    far = _distance(attach(vectors.select("_cell", *xs), cells.join(state, "est"), ["_cell"], size=size))
+    bins = far.groupBy(*keys, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"), *_sums("", xs))
+    w = W.partitionBy(*keys)
+    below = bins.withColumns({"_before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "_all": F.sum("n").over(w)}).where(F.col("_before") < F.ceil(F.col("_all") * rules.subset))
+    names = [f"s{j}" for j in range(DIMS)] + [f"p{i}{j}" for i, j in PLACES]
+    sums = below.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    mean, cov = _scatter()
+    return _cholesky(sums.select(*keys, F.array(*mean).alias("m"), F.array(*[cov[p] for p in PLACES]).alias("c")), keys)
+
+
+def fit(vectors: DataFrame, cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Minimum-covariance-determinant estimates: est, m, l, scale and rows of each estimate.
+
+    ``early`` steps are made from every start; the best of each cell goes on
+    until no cell's determinant falls any more.
+    """
+    n_cells = cells.count()
+    state = _starts(vectors, cells, n_cells)
+    for _ in range(rules.early):
+        after = materialize(_concentrate(vectors, cells, state, rules, 3 * n_cells), "quality-step")
+        drop(state)
+        state = after
+    best = W.partitionBy("est").orderBy("logdet", "start")
+    after = materialize(state.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"), "quality-best")
+    drop(state)
+    state = after
     for _ in range(rules.steps):
-        far = _distance(attach(rows, state, keys)).select(*keys, *xs, _bin(F.col("d2")).alias("bin"))
-        cut = materialize(_quantiles(far, keys, "bin", {"cut": rules.subset}).select(*keys, "cut"), "quality-cut")
-        near = attach(far, cut, keys).where("bin <= cut")
-        after = materialize(_cholesky(_scatter(_moments(near, keys, xs), keys), keys), "quality-step")
-        drop(cut, state)
+        moved = _concentrate(vectors, cells, state, rules, n_cells).select("est", F.col("m").alias("_m"), F.col("l").alias("_l"), F.col("logdet").alias("_d"))
+        less = F.col("_d") < F.col("logdet") - rules.tolerance
+        pick = lambda new, old: F.when(less, F.col(new)).otherwise(F.col(old)).alias(old)
+        after = materialize(state.join(moved, "est").select("est", "start", pick("_m", "m"), pick("_l", "l"), pick("_d", "logdet"), less.alias("fell")), "quality-step")
+        drop(state)
         state = after
-    best = state.withColumn("_r", F.row_number().over(W.partitionBy("est").orderBy("logdet", "start"))).where("_r = 1").drop("_r", "start", "logdet")
-    best = materialize(best, "quality-best")
-    mid2 = _quantiles(_distance(attach(vectors, best, ["est"])).select("est", _bin(F.col("d2")).alias("bin")), ["est"], "bin", {"mid": 0.5})
+        if not state.where("fell").limit(1).count():
+            break
+    far = _distance(attach(vectors, cells.join(state, "est"), ["_cell"], size=n_cells)).select("est", _bin(F.col("d2")).alias("bin"))
+    mid = _quantiles(far, ["est"], "bin", {"mid": 0.5})
     scale = F.greatest(F.expm1((F.col("mid") + 0.5) / 64) / rules.chi_median, F.lit(1.0))
-    return materialize(best.join(mid2.select("est", scale.alias("scale"), "rows"), "est"), "quality-estimates")
+    out = materialize(state.join(mid.select("est", scale.alias("scale"), "rows"), "est").select("est", "m", "l", "scale", "rows"), "quality-estimates")
+    drop(state)
+    return out
 
 
-def judge(vectors: DataFrame, estimates: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def judge(vectors: DataFrame, cells: DataFrame, estimates: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds ``distance`` (squared, consistent for normal data) and ``kept``.
 
     A text of n words counts n / (n + short_words) of its deviation.
     """
-    far = _distance(attach(vectors, estimates, ["est"], "left"))
+    far = _distance(attach(vectors, cells.join(estimates, "est"), ["_cell"], "left", size=cells.count()))
     weight = F.col("n_words") / (F.col("n_words") + rules.short_words)
     d = F.when(F.col("rows") >= rules.min_rows, F.col("d2") / F.col("scale") * weight * weight)
     return far.withColumn("distance", d).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= rules.chi_cutoff))
 
 
+def _judged(df: DataFrame, carried: Column, text: str, lang: str, source: str, rules: Rules) -> DataFrame:
+    """Statistics and verdict of each row beside ``carried``; texts are read once and never shuffled."""
+    slim = df.select(carried.alias("_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
+    vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
+    cells = materialize(_cells(vectors, rules), "quality-cells")
+    return judge(vectors, cells, fit(vectors, cells, rules), rules)
+
+
 def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), rules: Rules = Rules()) -> DataFrame:
     """One row for each row of ``df``: ``keep``, raw counts, ``base_failed``, ``distance`` and ``kept``."""
-    slim = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
-    cells = _cells(vectors, rules)
-    vectors = attach(vectors, materialize(cells, "quality-cells"), ["_cell"])
-    out = judge(vectors, fit(vectors, rules), rules)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *STATS, "base_failed", "distance", "kept")
+    out = _judged(df, F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("_none")), text, lang, source, rules)
+    return out.select(*[F.col(f"_row._k{i}").alias(c) for i, c in enumerate(keep)], *STATS, "base_failed", "distance", "kept")
 
 
 def filter_documents(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns.
 
-    Estimates come from a slim table of statistics; a second pass over the
-    texts applies them, so no text is ever shuffled.
+    Rows are stored once beside their statistics, of which the estimates read
+    only the columns that they need.
     """
-    slim = df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
-    cells = materialize(_cells(vectors, rules), "quality-cells")
-    estimates = fit(attach(vectors, cells, ["_cell"]), rules)
-    drop(vectors)
-    packed = df.select(F.struct(*df.columns).alias("_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    rows = attach(_vector(text_statistics(packed, "_text", rules), rules), cells, ["_cell"])
-    return judge(rows, estimates, rules).where("kept").select("_row.*")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    out = _judged(df, F.struct(*[F.col(c).alias(n) for c, n in zip(df.columns, names)]), text, lang, source, rules)
+    return out.where("kept").select(*[F.col(f"_row.{n}").alias(c) for c, n in zip(df.columns, names)])
