@@ -269,10 +269,10 @@ def _fixed(column: pa.Array, width: int, dtype: type) -> np.ndarray:
 
 def _pairs_of_partition(rules: Forest):
     def run(batches):
-        table = pa.Table.from_batches(list(batches))  # rows_per_task rows of about 100 bytes
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]  # rows_per_task rows of about 100 bytes
+        if not held:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()
         get = lambda name: table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0)
         tree, node = get("tree").to_numpy(), get("node").to_pylist()
         values = _fixed(get("value"), 2 * rules.depth, ">u2")
@@ -415,7 +415,8 @@ def _judged(df: DataFrame, key: str, text: str, rules: Forest, nameless: bool) -
     # the smallest id that each class reaches
     order = F.struct(F.col("rep").isNull().alias("nameless"), "rep", F.col("node").alias("set_key"))
     least = stars.join(classes.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("root").agg(F.min(order).alias("least"))
-    named = stars.join(least, "root").select(F.col("node").alias("set_key"), F.col("least.rep").alias("component_id"), F.col("least.set_key").alias("first"))
+    least = materialize(least, "least")
+    named = attach(stars, least, ["root"]).select(F.col("node").alias("set_key"), F.col("least.rep").alias("component_id"), F.col("least.set_key").alias("first"))
     per_class = classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", "set_key").alias("first"))
     per_class = materialize(per_class, "components")
     return rows.select("key", "text_hash", "n_shingles", "set_key").join(per_class, "set_key", "left")
