@@ -11,13 +11,12 @@ import http.client
 import json
 import socket
 import ssl
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urljoin, urlparse
 
+from .protocols import Send
 from .remote import guarded, may_redirect, with_retries
 
-Send = Callable[[str, str, dict, bytes, float], tuple[int, dict, bytes]]
 #: Longest answers that are read.
 CHAT_BYTES, VECTOR_BYTES = 8 << 20, 32 << 20
 

@@ -55,9 +55,12 @@ def hash_embedding_of(counts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
 
 
 def dense_vectors(long: DataFrame, key: str, dim: int = DIM) -> DataFrame:
-    """key, vector: the long form as arrays of floats."""
-    entries = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    return entries.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("vector"))
+    """key, vector: the long form as arrays of floats, made of the values in their order and the zeros between them."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+    entries = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("float").alias("value")))).alias("e"))
+    before = lambda i: F.coalesce(F.get("e", i - 1)["idx"], F.lit(-1))
+    parts = F.transform("e", lambda x, i: F.concat(zeros(x["idx"] - before(i) - 1), F.array(x["value"])))
+    return entries.select(key, F.concat(F.flatten(parts), zeros(F.lit(dim - 1) - F.element_at("e", -1)["idx"])).alias("vector"))
 
 
 def tf_weights(df: DataFrame, key: str, text: str) -> DataFrame:

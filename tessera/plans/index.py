@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ class Steps:
     enrich: Step | None = None
     trust: Step | None = None
     embed: Step | None = None
+    #: Statistics of counts (doc, term, tf); a failure leaves an index that is searched by cosine alone.
+    fit: Step = staticmethod(lambda counts: encode.corpus_stats(counts, "doc"))
 
 
 @dataclass
@@ -78,11 +81,17 @@ def build(catalog: DataFrame, config: Config = Config(), as_of: str = "1970-01-0
     every = every.withColumn("doc", F.when(F.col("last"), F.col("point_id")).otherwise(F.concat_ws("|", "point_id", "ordinal")))
     words = store(encode.word_counts(every, ["doc", "last"], "text"), "words")
     counts, kept = encode.terms_of(words, "doc"), words.where("last").withColumnRenamed("doc", "point_id")
-    stats, frequencies = store(encode.corpus_stats(counts, "doc"), "stats"), store(encode.document_frequencies(counts), "frequencies")
+    frequencies = store(encode.document_frequencies(counts), "frequencies")
+    terms = encode.terms_of(kept, "point_id")
+    try:
+        stats = store(steps.fit(counts), "stats")
+    except Exception as error:  # noqa: BLE001  the dense side can do without
+        warnings.warn(f"no sparse index: {error}", stacklevel=2)
+        stats, terms = words.sparkSession.createDataFrame([(0, 0.0)], "n bigint, avgdl double"), terms.limit(0)
     if encode.chosen(config.sparse, stats) == "bm25":
-        terms = encode.bm25_document_weights(encode.terms_of(kept, "point_id"), stats, "point_id", config.bm25_k1, config.bm25_b)
+        terms = encode.bm25_document_weights(terms, stats, "point_id", config.bm25_k1, config.bm25_b)
     else:
-        terms = encode.tf_weights_of(encode.terms_of(kept, "point_id"), "point_id")
+        terms = encode.tf_weights_of(terms, "point_id")
     if steps.embed:
         dense = steps.embed(unique.select("point_id", "text"))
     else:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from .. import remote
 from ..clients import ChatClient, EmbeddingsClient, MessagesClient, ToolServer, sender
+from ..protocols import Chat, Embedder
 from .config import Config
 from .index import Steps
 
@@ -17,8 +17,8 @@ from .index import Steps
 class Clients:
     """``chat(system, user)``, ``embed(texts)`` and ``tools``, which lists and calls tools; None where the settings need none."""
 
-    chat: Callable[[str, str], str] | None = None
-    embed: Callable[[list[str]], list] | None = None
+    chat: Chat | None = None
+    embed: Embedder | None = None
     tools: ToolServer | None = None
 
 

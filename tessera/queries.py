@@ -17,9 +17,8 @@ from pyspark.sql import types as T
 from .functions import scoring as S
 from .functions import text as X
 from .operators import encode, enrich, evaluate, points, rank, resolve, retrieve, usage
-from .schema import normalized
+from .schema import CARD, normalized
 from .scratch import new_path, store
-from .sources.catalogs import union_all
 from .streaming.usage import start_tally
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,14 +468,6 @@ def source_priority(spark, sf_dir):
     return catalog(spark, sf_dir).groupBy("source", X.source_priority(F.col("source")).alias("priority")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, lower(s_name) = lower(upper(s_name)) AS found, s_name AS resolved FROM supplier")
-def resolve_id_casefold(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier")
-    asked = s.select("s_suppkey", F.lower(F.upper("s_name")).alias("_k"))
-    have = s.select(F.lower("s_name").alias("_k"), F.col("s_name").alias("resolved"))
-    return asked.join(have, "_k", "left").select("s_suppkey", F.col("resolved").isNotNull().alias("found"), "resolved")
-
-
 # ---- quality priors and usage
 
 @query("SELECT doc_id, round(CASE WHEN n_chars <= 0 THEN 0 ELSE least(1.0::DOUBLE, log10(n_chars + 1) / 4) END, 6) AS score FROM documents")
@@ -551,14 +542,6 @@ def filter_source_and_category(spark, sf_dir):
     return catalog(spark, sf_dir).where(ok).select("doc_id")
 
 
-@query("SELECT 0 AS src, * FROM (SELECT c_custkey AS k, c_name AS name FROM customer ORDER BY c_custkey LIMIT 100) UNION ALL SELECT 1, * FROM (SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 100)")
-def multi_source_union_limit(spark, sf_dir):
-    """The limit is a feature: it holds for each source."""
-    one = read(spark, sf_dir, "customer").select(F.lit(0).alias("src"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    two = read(spark, sf_dir, "supplier").select(F.lit(1).alias("src"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    return union_all([d.orderBy("k").limit(100) for d in (one, two)])
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def prune_anti_join(spark, sf_dir):
     gone = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("mcp_id"))
@@ -595,16 +578,20 @@ def explode_points(spark, sf_dir):
 
 # ---- parsing of model answers
 
-@query(r"SELECT event_id, TRY_CAST(regexp_extract(props, '\{.*\}', 0) ->> '$.k' AS BIGINT) AS k FROM events")
+@query(r"SELECT event_id, 'k ' || (regexp_extract(props, '\{.*\}', 0) ->> '$.k') AS summary, 'a,b' AS tasks, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS synonyms FROM events WHERE event_id % 5 > 0 UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_id % 5 = 0")
 def parse_card_json(spark, sf_dir):
-    raw = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```"))
-    return read(spark, sf_dir, "events").select("event_id", F.from_json(S.json_object(raw), "k bigint")["k"].alias("k"))
+    """A model's card out of its answer, with or without fences; an answer that has none gives null."""
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    synonyms = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit(', "synonyms": ["'), F.col("event_type"), F.lit('"]')))
+    body = F.concat(F.lit('{"summary": "k '), F.get_json_object("props", "$.k"), F.lit('", "tasks": ["a", "b"], "unknown": {"x": 1}'), synonyms, F.lit("}"))
+    raw = F.when(i % 5 == 0, "I cannot say.").when(i % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(body)
+    card = F.from_json(S.json_object(raw), CARD)
+    return e.select("event_id", card["summary"].alias("summary"), F.array_join(card["tasks"], ",").alias("tasks"), F.array_join(card["synonyms"], ",").alias("synonyms"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN conv_id % 9 + 1 <= 5 THEN (conv_id % 9 + 1) || ',' ELSE '' END || CASE WHEN turn + 1 <= 5 AND turn + 1 <> conv_id % 9 + 1 THEN (turn + 1)::VARCHAR ELSE '' END AS places FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 9 + 1 > 5 AND turn + 1 > 5 THEN NULL WHEN conv_id % 9 + 1 > 5 OR conv_id % 9 = turn THEN least(turn + 1, CASE WHEN conv_id % 9 + 1 > 5 THEN turn + 1 ELSE conv_id % 9 + 1 END)::VARCHAR
+  WHEN turn + 1 > 5 THEN (conv_id % 9 + 1)::VARCHAR ELSE (conv_id % 9 + 1) || ',' || (turn + 1) END AS places FROM conversations""")
 def parse_rank_order(spark, sf_dir):
-    raw = F.concat(F.lit("Order: ["), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(", "), (F.col("turn") + 1).cast("string"), F.lit(", 99] done"))
-    places = F.coalesce(S.rank_order(raw, F.lit(5)), F.array().cast("array<int>"))
-    first = F.when(F.col("conv_id") % 9 + 1 <= 5, F.concat((F.col("conv_id") % 9 + 1).cast("string"), F.lit(","))).otherwise("")
-    rest = F.filter(places, lambda p: p != F.col("conv_id") % 9 + 1)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.when(F.array_contains(places, (F.col("conv_id") % 9 + 1).cast("int")), first).otherwise(""), F.array_join(rest.cast("array<string>"), ",")).alias("places"))
+    """Distinct places within five of a model's order; null if none is valid."""
+    raw = F.concat(F.lit("Order: ["), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(", "), (F.col("turn") + 1).cast("string"), F.lit(", 99, 0] done"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.rank_order(raw, F.lit(5)).cast("array<string>"), ",").alias("places"))

@@ -49,7 +49,7 @@ _BM25 = """
 _PASSES = "(a.source = '' OR a.source = p.source) AND (len(a.categories) = 0 OR list_contains(a.categories, p.lang))"
 
 
-def _pool_sql(asked: str, hybrid: bool = True, bm25: bool = False) -> str:
+def _pool_sql(asked: str, hybrid: bool = True, bm25: bool = False, fitted: bool = True) -> str:
     """CTEs up to ``pool``: qid, doc_id, score, kind, tool, match_count, pos.  ``asked`` selects qid, query, top_k, min_score, source, categories."""
     encoded = _ENCODED.partition("  terms AS")[0] + _BM25.lstrip() if bm25 else _ENCODED
     return f"""
@@ -62,7 +62,7 @@ def _pool_sql(asked: str, hybrid: bool = True, bm25: bool = False) -> str:
       LEFT JOIN norms nq ON nq.side = 'q' AND nq.id = a.qid LEFT JOIN norms nd ON nd.side = 'd' AND nd.id = p.doc_id AND nd.ordinal = p.ordinal),
   by_dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id::VARCHAR, ordinal) - 1 AS pos FROM cosines),
   products AS (SELECT q.id AS qid, d.id AS doc_id, d.ordinal, sum(q.w * d.w) AS score FROM weights q JOIN weights d ON q.side = 'q' AND d.side = 'd' AND q.term = d.term GROUP BY ALL),
-  by_sparse AS (SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY round(s.score, 9) DESC, s.doc_id::VARCHAR, s.ordinal) - 1 AS pos FROM products s JOIN cosines c USING (qid, doc_id, ordinal)),
+  by_sparse AS (SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY round(s.score, 9) DESC, s.doc_id::VARCHAR, s.ordinal) - 1 AS pos FROM products s JOIN cosines c USING (qid, doc_id, ordinal) WHERE {str(fitted).lower()}),
   hybrid AS (SELECT DISTINCT id AS qid FROM weights WHERE side = 'q' AND {str(hybrid).lower()}),
   lists AS (SELECT qid, doc_id, ordinal, pos FROM by_dense JOIN ask USING (qid) WHERE pos < 8 * ask.pool + 20 AND qid IN (FROM hybrid)
       UNION ALL SELECT qid, doc_id, ordinal, pos FROM by_sparse JOIN ask USING (qid) WHERE pos < 8 * ask.pool + 20 AND qid IN (FROM hybrid)),
@@ -102,9 +102,9 @@ def _found_sql(asked: str, hybrid: bool = True, bm25: bool = False, rerank: bool
 _HITS = "SELECT qid, doc_id::VARCHAR AS id, rank::BIGINT AS rank, round(final::FLOAT::DOUBLE, 5) AS score, round(confidence::DOUBLE, 6) AS confidence, kind AS match_kind, tool AS matched_tool, match_count::BIGINT AS match_count FROM found"
 
 
-def built(spark, sf_dir: str, config: Config = Config()) -> index_plan.Index:
+def built(spark, sf_dir: str, config: Config = Config(), steps: index_plan.Steps = index_plan.Steps()) -> index_plan.Index:
     """The index of the whole catalogue with tools, cards and trust."""
-    return index_plan.build(tooled(spark, sf_dir).drop("doc_id"), config, AS_OF)
+    return index_plan.build(tooled(spark, sf_dir).drop("doc_id"), config, AS_OF, steps)
 
 
 def _used(spark, sf_dir: str) -> DataFrame:
@@ -163,5 +163,18 @@ _POOL = "SELECT qid, doc_id::VARCHAR AS id, pos::BIGINT AS pos, round(score, 6)
 @query(f"WITH {_pool_sql(_PLAIN)} {_POOL}")
 def dense_sparse_fusion(spark, sf_dir):
     """The pool of each query: both retrievals fused by rank and collapsed to the parent."""
-    found = search_plan.candidates(_asked(spark, sf_dir), built(spark, sf_dir))
+    return _pooled(search_plan.candidates(_asked(spark, sf_dir), built(spark, sf_dir)))
+
+
+@query(f"WITH {_pool_sql(_PLAIN, fitted=False)} {_POOL}")
+def fusion_without_statistics(spark, sf_dir):
+    """Where statistics cannot be computed the index has its dense side alone."""
+
+    def failing(counts: DataFrame) -> DataFrame:
+        raise OSError("no place for statistics")
+
+    return _pooled(search_plan.candidates(_asked(spark, sf_dir), built(spark, sf_dir, steps=index_plan.Steps(fit=failing))))
+
+
+def _pooled(found: DataFrame) -> DataFrame:
     return found.select("qid", F.col("mcp_id").alias("id"), F.col("pos").cast("bigint").alias("pos"), r6(F.col("score")).alias("score"), "match_kind", "matched_tool", F.col("match_count").cast("bigint").alias("match_count"))
