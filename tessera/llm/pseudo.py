@@ -12,9 +12,10 @@ The vocabulary comes from counts over all texts: frequent words stand for
 themselves, the others share hashed entries.
 
 Defined results for odd input: words are lower-cased runs without ASCII white
-space; a null or blank text has no words, sum 0 and a null mean; repeated rows
-score alike; with an empty table the start weights stay; other columns than key
-and text are not used.
+space; a null or blank text has no words, sum 0 and a null mean; very long texts
+are trained on and scored whole; repeated rows score alike; words that tie in
+frequency enter the vocabulary by their bytes; with an empty table the start
+weights stay; other columns than key and text, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -43,8 +44,6 @@ class Network:
     shared: int = 1024
     #: Words that make up at least this part of all words may have an entry of their own.
     rarest: int = 1 << 15
-    #: One in so many windows is trained on; 1 is all of them.
-    every: int = 1
     batch: int = 4096
     rate: float = 0.1
     block: int = 1 << 14
@@ -223,16 +222,36 @@ class Trainer:
         self.seen += n
 
 
-def _portions(batches, words: Words, net: Network, column: int = 0):
-    """Padded ids of many texts in one array, the positions of their words, and how many each text has."""
-    held, sizes, total = [np.zeros(net.side, np.int32)], [], 0
+def _kind(net: Network) -> str:
+    return "<u2" if net.size <= 1 << 16 else "<u4"
+
+
+def index(df: DataFrame, known: list[bytes], key: str = "doc_id", text: str = "text", net: Network = Network()) -> DataFrame:
+    """key and the ids of the words of each row, as bytes."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.BinaryType())])
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    kind = _kind(net)
+
+    def run(batches):
+        words = Words(shared.value, net)
+        for batch in batches:
+            found = [words_of(value.as_py()) for value in batch.column(1)]
+            ids = [np.fromiter(map(words.__getitem__, f), kind, len(f)).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=schema.names)
+
+    return df.select(F.col(key), F.col(text)).transform(arrow_map, run, schema)
+
+
+def _portions(batches, net: Network, column: int = 0):
+    """Padded ids of many texts in one array, and how many each text has."""
     pad = np.zeros(net.side, np.int32)
+    held, sizes, total, kind = [pad], [], 0, _kind(net)
     for batch in batches:
         for value in batch.column(column):
-            found = words_of(value.as_py())
-            held += [np.fromiter(map(words.__getitem__, found), np.int32, len(found)), pad]
-            sizes.append(len(found))
-            total += len(found)
+            ids = np.frombuffer(value.as_py(), kind)
+            held += [ids, pad]
+            sizes.append(len(ids))
+            total += len(ids)
             if total >= net.block:
                 yield np.concatenate(held), np.array(sizes)
                 held, sizes, total = [pad], [], 0
@@ -247,22 +266,43 @@ def _positions(sizes: np.ndarray, net: Network) -> np.ndarray:
 
 #: Weights are averaged as whole numbers, so their order does not matter.
 FIXED = 1 << 24
+CHUNK, LOW = 4096, (1 << 32) - 1
+WEIGHTS = "chunk long, high array<long>, low array<long>, seen long"
 
 
-def train(df: DataFrame, text: str = "text", net: Network = Network(), known: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The vocabulary and the averaged weights of all partitions."""
-    known = vocabulary(df, text, net) if known is None else known
+def _weights(chunk: int, high: np.ndarray, low: np.ndarray, seen: int) -> pa.RecordBatch:
+    one = lambda x: pa.array([x], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(high), one(low), pa.array([seen], pa.int64())], names=["chunk", "high", "low", "seen"])
+
+
+def _add(batches):
+    """Sums of each chunk of weights over all copies; a task holds one array for each chunk."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for chunk, high, low, seen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            high, low = (x.values.to_numpy() for x in (high, low))
+            if chunk not in sums:
+                sums[chunk] = [np.zeros(len(high), np.int64), np.zeros(len(low), np.int64), 0]
+            own = sums[chunk]
+            own[0] += high
+            own[1] += low
+            own[0] += own[1] >> 32
+            own[1] &= LOW
+            own[2] += seen
+    for chunk, (high, low, seen) in sums.items():
+        yield _weights(chunk, high, low, seen)
+
+
+def train_on(indexed: DataFrame, known: list[bytes], net: Network = Network()) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The vocabulary and the averaged weights of all partitions of a table with ``ids``."""
     first = start(net)
-    shapes = {k: v.shape for k, v in first.items()}
-    shared = df.sparkSession.sparkContext.broadcast((known, first))
+    shared = indexed.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
-        known, first = shared.value
-        words, model = Words(known, net), Trainer(first, net)
-        around, target, size, passed = [], [], 0, 0
-        for ids, sizes in _portions(batches, words, net):
+        model = Trainer(shared.value, net)
+        around, target, size = [], [], 0
+        for ids, sizes in _portions(batches, net):
             at = _positions(sizes, net)
-            passed, at = passed + len(at), at[-passed % net.every :: net.every]
             around.append(windows(ids, at, net.side)), target.append(ids[at])
             size += len(at)
             if size >= net.batch:
@@ -277,36 +317,36 @@ def train(df: DataFrame, text: str = "text", net: Network = Network(), known: li
             flat = np.concatenate([v.ravel() for v in model.p.values()]).astype(np.float64)
             flat = np.round(flat * FIXED).astype(np.int64) * model.seen
             # numbers of the same chunk meet again; a chunk is a bounded row
-            for i in range(0, len(flat), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([flat[i : i + 4096]], pa.list_(pa.int64())), pa.array([model.seen], pa.int64())], names=["chunk", "sums", "seen"])
+            for i in range(0, len(flat), CHUNK):
+                part = flat[i : i + CHUNK]
+                yield _weights(i, part >> 32, part & LOW, model.seen)
 
-    rows = df.select(text).transform(arrow_map, run, "chunk long, sums array<long>, seen long")
-    each = rows.select((F.col("chunk")).alias("chunk"), "seen", F.posexplode("sums").alias("i", "v"))
-    sums = each.groupBy((F.col("chunk") + F.col("i")).alias("at")).agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"), F.sum("seen").cast("double").alias("n"))
-    table = sums.toArrow()  # one row for each weight
+    rows = indexed.select("ids").transform(arrow_map, run, WEIGHTS)
+    n = sum(v.size for v in first.values())
+    table = rows.repartition(max(1, n // CHUNK // 8), "chunk").transform(arrow_map, _add, WEIGHTS).toArrow()  # one row for each chunk
     if not table.num_rows:
         return known, first
     flat = np.concatenate([v.ravel() for v in first.values()]).astype(np.float64)
-    flat[table.column("at").to_numpy()] = table.column("v").to_numpy() / table.column("n").to_numpy() / FIXED
+    for row in table.to_pylist():
+        high, low = np.array(row["high"], np.float64), np.array(row["low"], np.float64)
+        flat[row["chunk"] : row["chunk"] + len(high)] = (high * 2.0**32 + low) / row["seen"] / FIXED
     out, at = {}, 0
-    for k, shape in shapes.items():
-        n = int(np.prod(shape))
-        out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
-        at += n
+    for k, v in first.items():
+        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
     return known, out
 
 
-def score(df: DataFrame, model: tuple[list[bytes], dict[str, np.ndarray]], key: str = "doc_id", text: str = "text", net: Network = Network()) -> DataFrame:
-    """key, n_words, pseudo_log_likelihood and mean_log_probability of each row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())])
+def score_on(indexed: DataFrame, model: tuple[list[bytes], dict[str, np.ndarray]], key: str = "doc_id", net: Network = Network()) -> DataFrame:
+    """key, n_words, pseudo_log_likelihood and mean_log_probability of each row of a table with ``ids``."""
+    shared = indexed.sparkSession.sparkContext.broadcast(model[1])
+    schema = T.StructType([T.StructField(key, indexed.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())])
 
     def run(batches):
-        known, p = shared.value
-        words = Words(known, net)
+        p = shared.value
         for batch in batches:
             counts, sums = [], []
-            for ids, sizes in _portions([batch], words, net, 1):
+            for ids, sizes in _portions([batch], net, 1):
                 at = _positions(sizes, net)
                 logs = np.zeros(len(at))
                 for i in range(0, len(at), net.block):
@@ -319,4 +359,22 @@ def score(df: DataFrame, model: tuple[list[bytes], dict[str, np.ndarray]], key:
             s = np.concatenate(sums) if sums else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=schema.names)
 
-    return df.select(F.col(key), F.col(text)).transform(arrow_map, run, schema)
+    return indexed.select(F.col(key), "ids").transform(arrow_map, run, schema)
+
+
+def train(df: DataFrame, text: str = "text", net: Network = Network(), known: list[bytes] | None = None) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The vocabulary and the averaged weights of all partitions."""
+    known = vocabulary(df, text, net) if known is None else known
+    return train_on(index(df.select(F.lit(0).alias("_k"), F.col(text)), known, "_k", text, net), known, net)
+
+
+def score(df: DataFrame, model: tuple[list[bytes], dict[str, np.ndarray]], key: str = "doc_id", text: str = "text", net: Network = Network()) -> DataFrame:
+    """The scores of each row under a model trained on these or other texts: see ``score_on``."""
+    return score_on(index(df, model[0], key, text, net), model, key, net)
+
+
+def train_and_score(df: DataFrame, key: str = "doc_id", text: str = "text", net: Network = Network()) -> DataFrame:
+    """Scores of each row under the model of all of them; words become ids once."""
+    known = vocabulary(df, text, net)
+    indexed = materialize(index(df, known, key, text, net), "word-ids")
+    return score_on(indexed, train_on(indexed, known, net), key, net)

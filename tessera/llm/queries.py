@@ -59,8 +59,7 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return pseudo.score(docs, pseudo.train(docs))
+    return pseudo.train_and_score(documents(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
