@@ -20,9 +20,11 @@ def identity_key(name: Column, repository: Column, id_: Column) -> Column:
 
 
 def union_by(items: Column, key) -> Column:
-    """Items whose ``key`` appeared in no earlier item, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Items whose ``key`` appeared in no earlier item, in order: by sorting, so long lists stay cheap."""
+    tagged = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = lambda a: F.filter(a, lambda e, j: (j == 0) | (F.get(a, j - 1)["k"] != e["k"]))
+    in_order = lambda a: F.transform(F.sort_array(F.transform(first(a), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+    return F.element_at(F.transform(F.array(tagged), in_order), 1)  # an array of one, so that it is sorted once and not for each item
 
 
 def _folded(*parts: Column) -> Column:

@@ -125,9 +125,9 @@ def dense_candidates(queries: DataFrame, points: DataFrame, limit: int, point: s
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
         rows = part.select(F.col("qid").cast("long").alias("qid"), "qvec", "source", "categories").collect()  # about BLOCK rows
-        vectors = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
         if not rows:
             continue
+        vectors = np.array([r["qvec"] for r in rows], np.float64)
         shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], vectors, np.sqrt((vectors * vectors).sum(axis=1)), [(r["source"] or "", r["categories"] or []) for r in rows]))
         found.append(points.mapInArrow(_nearest(shared, limit, ties, names), schema))
     if not found:
