@@ -4,16 +4,24 @@ Each language has a variable-order context tree over bytes of lower-cased
 UTF-8.  A byte that a context has not seen is coded by an escape and the next
 shorter context (escape method C, no exclusions); below the empty context all
 byte classes are equally likely.  The statistics are frozen, so the code length
-of every (context, byte) is known beforehand: the trees of all languages become
-one automaton over the last bytes, with a table of code lengths per state, byte
-class and language.  A text is scored by a few vectorised look-ups for each
-byte, over its whole length, and goes to the language with the shortest code.
+of every (context, byte) is known beforehand: the trees of a block of languages
+become one automaton over the last bytes, with a table of code lengths per
+state, byte class and language.  A text is scored by a few vectorised look-ups
+for each byte, over its whole length, and goes to the language with the
+shortest code.
+
+Contexts are counted by the executors, one task for the bounded sample of each
+language; the driver compiles the counts of ``block`` languages at a time.  More
+than ``per_pass`` blocks are scored one pass after another, so there is no limit
+to the number of languages.
 
 Defined results for odd input: a null text and one without a letter are ``und``
-with score 0; ties go to the smaller language name; rows with a null language
-are not learned from; without any labelled text everything is ``und``; more than ``max_languages``
-labels are an error, none is left out; an empty
-table gives an empty table; repeated rows are scored alike.
+with score 0; ties go to the smaller language name; rows with a null language,
+text or key are not learned from, and of rows that share key and language one
+is; without any labelled text everything is ``und``; very long texts are learned
+from and scored whole; an empty table gives an empty table; repeated rows are
+scored alike; columns named like one that is added are replaced, all others
+pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_map, named_again, numbered, replacing
+from .common import arrow_map, attach, drop, materialize, named_again, numbered, release_memory, replacing, ship
 
 #: Code lengths are held in units of 1/UNIT bit.
 UNIT = 512
@@ -40,45 +48,58 @@ BLOCK = 1 << 20
 class Training:
     """Bounds of the sample that the trees are grown from; they hold at any size of the table."""
 
+    #: Rows of each language that are learned from, and further ones on which the usual code length is measured.
     rows_per_language: int = 300
-    chars_per_row: int = 20_000
-    max_languages: int = 128
+    calibration: int = 100
     order: int = 3
     min_count: int = 3
+    #: Contexts of each order in the automaton of one block; each language has an equal claim.
     max_contexts: int = 12_000
+    block: int = 4
+    per_pass: int = 8
+    #: A text of a language may cost so many times the 99th percentile of its calibration rows.
+    slack: float = 2.0
+
+
+Counts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def gram_counts(texts: list[str], order: int) -> Counts:
+    """For each order, codes of the context's bytes (older ones weigh more) and the next byte, with counts."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+    for text in texts:
+        row = np.frombuffer(text.lower().encode(), np.uint8)
+        c = np.concatenate([np.full(order, START), row]).astype(np.int64)
+        code = c[order:].copy()
+        parts[0].append(code)
+        for k in range(1, order + 1):
+            code = code + (c[order - k : len(c) - k] << 8 * k)
+            parts[k].append(code)
+    return [np.unique(np.concatenate(p) if p else np.zeros(0, np.int64), return_counts=True) for p in parts]
 
 
 class Trees:
-    """Frozen statistics: byte classes, the automaton's tables and code lengths."""
+    """Frozen statistics of a block of languages: byte classes, the automaton's tables and code lengths."""
 
     def __init__(self, languages: list[str], classes: np.ndarray, walks: list[np.ndarray], costs: np.ndarray):
         self.languages, self.classes, self.walks, self.costs = languages, classes, walks, costs
 
     @classmethod
     def grow(cls, texts: dict[str, list[str]], rules: Training = Training()) -> Trees:
-        names = sorted(texts)
-        raw = [[np.frombuffer(t.lower().encode(), np.uint8) for t in texts[n] if t] for n in names]
+        return cls.compile({n: gram_counts([t for t in found if t], rules.order) for n, found in texts.items()}, rules)
+
+    @classmethod
+    def compile(cls, counts: dict[str, Counts], rules: Training = Training()) -> Trees:
+        names = sorted(counts)
         present = np.zeros(256, bool)
         present[START] = True
-        for rows in raw:
-            for row in rows:
-                present[row] = True
+        for n in names:
+            present[counts[n][0][0]] = True
         classes = np.zeros(256, np.int64)
         classes[present] = np.arange(1, present.sum() + 1)
         width = int(present.sum()) + 1  # class 0: bytes that no sample has
-        # grams[k][language]: codes of k context bytes and the next byte, with counts; older bytes weigh more
-        codes: list[list[np.ndarray]] = [[] for _ in range(rules.order + 1)]
-        for rows in raw:
-            for k in range(rules.order + 1):
-                parts = []
-                for row in rows:
-                    c = np.concatenate([np.full(rules.order, classes[START]), classes[row]])
-                    code = c[rules.order :].copy()
-                    for j in range(1, k + 1):
-                        code += c[rules.order - j : len(c) - j] * width**j
-                    parts.append(code)
-                codes[k].append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        counted = [[np.unique(c, return_counts=True) for c in per] for per in codes]
+        # counted[k][language]: the same with classes in the place of bytes
+        counted = [[(sum(classes[g >> 8 * j & 255] * width**j for j in range(k + 1)), n) for g, n in (counts[name][k] for name in names)] for k in range(rules.order + 1)]
         # contexts of each order that are frequent enough in all languages together, with their suffixes
         kept = [np.zeros(1, np.int64), np.arange(width)]
         for k in range(2, rules.order + 1):
@@ -87,9 +108,19 @@ class Trees:
             at, inverse = np.unique(context, return_inverse=True)
             total = np.bincount(inverse, weight, len(at)).astype(np.int64)
             ok = (total >= rules.min_count) & np.isin(at % width ** (k - 1), kept[-1])
-            at, total = at[ok], total[ok]
+            at = at[ok]
             if len(at) > rules.max_contexts:
-                at = np.sort(at[np.lexsort((at, -total))[: rules.max_contexts]])
+                place = np.full(len(at), len(at))  # the best place of each context in any language's order
+                for g, n in counted[k]:
+                    mine, which = np.unique(g // width, return_inverse=True)
+                    mine_total = np.bincount(which, n, len(mine))
+                    where = np.searchsorted(mine, at)
+                    has = (where < len(mine)) & (mine[np.minimum(where, len(mine) - 1)] == at) if len(mine) else np.zeros(len(at), bool)
+                    worth = np.where(has, mine_total[np.minimum(where, len(mine) - 1)] if len(mine) else 0, 0)
+                    rank = np.empty(len(at), np.int64)
+                    rank[np.lexsort((at, -worth))] = np.arange(len(at))
+                    place = np.minimum(place, np.where(has, rank, len(at)))
+                at = np.sort(at[np.lexsort((at, place))[: rules.max_contexts]])
             kept.append(at)
         costs = np.full((1, width, len(names)), np.log2(width))
         tables = []
@@ -164,60 +195,153 @@ class Trees:
         return total
 
 
-def _sample(labelled: DataFrame, key: str, text: str, lang: str, rules: Training) -> dict[str, list[str]]:
-    slim = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"))
-    if slim.select("_lang").distinct().limit(rules.max_languages + 1).count() > rules.max_languages:
-        raise ValueError(f"more than {rules.max_languages} labelled languages: their trees would not fit, and leaving some out would misname their documents")
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    picked = slim.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rules.rows_per_language).drop("_r").distinct()
-    # at most max_languages x rows_per_language keys
-    rows = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.substring(text, 1, rules.chars_per_row).alias("_text")).join(F.broadcast(picked), ["_key", "_lang"]).dropDuplicates(["_key", "_lang", "_text"])
-    found: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r["_lang"], str(r["_key"]), r["_text"] or "")):
-        found.setdefault(row["_lang"], []).append(row["_text"] or "")
-    return found
+@dataclass
+class Model:
+    """Blocks of trees in the order of their languages, and the greatest usual bits a byte of each language."""
+
+    blocks: list[Trees]
+    limits: dict[str, float]
+    per_pass: int = Training.per_pass
+
+    @property
+    def languages(self) -> list[str]:
+        return [n for block in self.blocks for n in block.languages]
+
+
+def _sample(labelled: DataFrame, key: str, text: str, lang: str, rules: Training) -> DataFrame:
+    """_lang, _r, _text: the rows of each language with the smallest hashes of their key; ``_r`` is their place.
 
+    Counts first say below which hash to look, so that no language's rows are
+    ranked but a few times as many as are wanted.
+    """
+    slim = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key"))
+    wanted = rules.rows_per_language + rules.calibration
+    sizes = materialize(slim.groupBy("_lang").agg(F.count("*").alias("_n")), "language-sizes")
+    place = F.xxhash64("_key")
+    low = (F.shiftrightunsigned(place, 1) / F.lit(2.0**63)) * F.col("_n") <= 4 * wanted
+    near = attach(slim, sizes, ["_lang"]).where(low).select("_lang", "_key").distinct()
+    first = F.row_number().over(W.partitionBy("_lang").orderBy(F.shiftrightunsigned(place, 1), "_key"))
+    picked = materialize(near.withColumn("_r", first).where(F.col("_r") <= wanted), "language-keys")
+    drop(sizes)
+    body = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    rows = attach(body, picked, ["_key", "_lang"], limit=100_000)
+    return materialize(rows.groupBy("_lang", "_key", "_r").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_lang", "_r", "_text"), "language-sample")
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Training = Training()) -> Trees | None:
-    """Trees from a bounded sample: the rows of each language with the smallest hashes of their key."""
-    found = _sample(labelled, key, text, lang, rules)
-    return Trees.grow(found, rules) if found else None
 
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Training = Training()) -> Model | None:
+    """Trees of every label, from a bounded sample of each."""
+    sample = _sample(labelled, key, text, lang, rules)
+    order, most = rules.order, 4 * rules.max_contexts
 
-def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
+    def count(table):
+        rows = sorted(zip(table.column("_r").to_pylist(), table.column("_text").to_pylist()))
+        out = []
+        for k, (gram, n) in enumerate(gram_counts([t for _, t in rows if t], order)):
+            if k >= 2:
+                at, inverse = np.unique(gram >> 8, return_inverse=True)
+                if len(at) > most:
+                    total = np.bincount(inverse, n, len(at))
+                    ok = np.zeros(len(at), bool)
+                    ok[np.lexsort((at, -total))[:most]] = True
+                    gram, n = gram[ok[inverse]], n[ok[inverse]]
+            out.append(pa.table({"_lang": pa.array(table.column("_lang").to_pylist()[:1] * len(gram), pa.string()), "k": pa.array(np.full(len(gram), k), pa.int32()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())}))
+        return pa.concat_tables(out)
+
+    ship(labelled.sparkSession)
+    grams = materialize(sample.where(F.col("_r") <= rules.rows_per_language).groupBy("_lang").applyInArrow(count, "_lang string, k int, gram long, n long"), "language-grams")
+    # labels that have rows: one for each language
+    names = sorted(r["_lang"] for r in sample.select("_lang").distinct().collect())
+    if not names:
+        return None
+    blocks = []
+    for at in range(0, len(names), rules.block):
+        some = names[at : at + rules.block]
+        table = grams.where(F.col("_lang").isin(*some)).toArrow()
+        whose, k, gram, n = (table.column(c).to_numpy() for c in ("_lang", "k", "gram", "n"))
+        blocks.append(Trees.compile({name: [(gram[o], n[o]) for o in (np.flatnonzero((whose == name) & (k == i)) for i in range(order + 1))] for name in some}, rules))
+        del table, whose, k, gram, n
+        release_memory()
+    model = Model(blocks, {}, rules.per_pass)
+    told = identify(sample.where(F.col("_r") > rules.rows_per_language), model, "_text")
+    usual = told.where("lang_pred = _lang").groupBy("_lang").agg(F.percentile("bits_per_byte", F.lit(0.99)).alias("most"), F.count("*").alias("n"))
+    model.limits = {r["_lang"]: rules.slack * r["most"] for r in usual.collect() if r["n"] >= 10}
+    drop(sample, grams)
+    return model
+
+
+def _told(column: pa.Array, blocks: list[Trees]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of the shortest code, its language, the sum of all languages' odds against it, and bytes, of each text."""
+    n = len(column)
+    least, names, odds = np.full(n, np.iinfo(np.int64).max >> 1), np.full(n, "", object), np.zeros(n)
+    lower = pc.utf8_lower(column)
+    offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(lower.buffers()[2] or b"", np.uint8) if n else np.zeros(0, np.uint8)
+    for trees in blocks:
+        units = trees.code_lengths(data, offsets)
+        best = units.min(axis=1)
+        here = np.exp2(-(units - best[:, None]) / UNIT).sum(axis=1)
+        least, names, odds = _merged(least, names, odds, best, np.array(trees.languages, object)[units.argmin(axis=1)], here)
+    return least, names, odds, np.diff(offsets)
+
+
+def _merged(a, a_names, a_odds, b, b_names, b_odds):
+    """Two blocks' results as one; ties stay with the first, whose names are smaller."""
+    both = np.minimum(a, b)
+    weigh = lambda units, odds: odds * np.exp2(np.maximum(-(units - both) / UNIT, -1000.0))
+    return both, np.where(b < a, b_names, a_names), weigh(a, a_odds) + weigh(b, b_odds)
+
+
+def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` and ``bits_per_byte``; columns that had these names are replaced."""
     df = replacing(df, "lang_pred", "score", "bits_per_byte")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(trees)
-    at = df.columns.index(text)
+    at, own = df.columns.index(text), len(df.columns)
+    fields = df.schema.fields
+    running = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("_units", T.LongType())]
+    final = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    blocks = model.blocks if model else []
+    step = model.per_pass if model else 1
+    passes = [blocks[i : i + step] for i in range(0, len(blocks), step)] or [[]]
+    for number, some in enumerate(passes):
+        last = number == len(passes) - 1
+        schema = T.StructType([*fields, *(final if last else running)])
+        df = df.transform(arrow_map, _scorer(df.sparkSession.sparkContext.broadcast(some), at, own, number == 0, last, schema.names), schema)
+        if not last:
+            before, df = df, materialize(df, "languages")
+            del before
+    return df
+
+
+def _scorer(shared, at: int, own: int, first: bool, last: bool, names: list[str]):
+    """One pass: rows with the best language so far, or at last with the verdict."""
 
     def score(batches):
-        trees = shared.value
+        blocks = shared.value
         for batch in batches:
             column = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-            lettered = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
-            names = np.full(len(column), "und", object)
-            best, rate = np.zeros(len(column)), np.zeros(len(column))
-            if trees is not None and len(column):
-                lower = pc.utf8_lower(column)
-                offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
-                data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)
-                units = trees.code_lengths(data, offsets)
-                least = units.argmin(axis=1)
-                odds = np.exp2(-(units - units.min(axis=1, keepdims=True)) / UNIT)
-                best = np.where(lettered, 1 / odds.sum(axis=1), 0.0)
-                names = np.where(lettered, np.array(trees.languages, object)[least], "und")
-                rate = units.min(axis=1) / UNIT / np.maximum(1, np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best), pa.array(rate)], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
-
-    return df.transform(arrow_map, score, schema)
+            units, told, odds, size = _told(column, blocks)
+            if not first:
+                units, told, odds = _merged(batch.column(own + 2).to_numpy(), np.array(batch.column(own).to_pylist(), object), batch.column(own + 1).to_numpy(), units, told, odds)
+            if last:
+                lettered = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) & (odds > 0)
+                told, third = np.where(lettered, told, "und"), np.where(odds > 0, units / UNIT / np.maximum(1, size), 0.0)
+                odds = np.divide(1.0, odds, out=np.zeros(len(odds)), where=lettered)
+            else:
+                third = units
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(told, pa.string()), pa.array(odds), pa.array(third)], names=names)
+
+    return score
 
 
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 4 == 2
 
 
-def filter_documents(df: DataFrame, trees: Trees | None, text: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows whose language is told with at least ``least_score``, with the columns of ``df``."""
-    told = identify(numbered(df), trees, f"c{df.columns.index(text)}")
-    return named_again(told.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)), df.columns)
+def filter_documents(df: DataFrame, model: Model | None, text: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows whose language is told with at least ``least_score`` and whose code is not much longer than that language's texts have it, with the columns of ``df``."""
+    told = identify(numbered(df), model, f"c{df.columns.index(text)}")
+    limits = model.limits if model else {}
+    usual = F.lit(True)
+    if limits:
+        of = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+        usual = F.col("bits_per_byte") <= F.coalesce(F.try_element_at(of, F.col("lang_pred")), F.lit(float("inf")))
+    return named_again(told.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score) & usual), df.columns)
