@@ -7,13 +7,18 @@ lie in one flat array.  The automaton is a file of plain arrays that each
 worker maps into memory.  A batch's new words walk it together, one byte a
 step; words that it lacks are merged exactly by the tokenizer's own model.
 
-Normalisation and pre-tokenisation are repeated here for texts of characters on
-which all Unicode versions agree (``KNOWN``); a text with any other character,
-or one that spells a special token, goes to the tokenizer whole.
+Normalisation and pre-tokenisation are repeated here for characters on which
+all Unicode versions agree (``KNOWN``); a run without blanks that has any other
+character is normalised and split by the tokenizer's own parts, so its words
+meet the transducer like all others.  A special token that a text spells is an
+id of its own.
 
 Defined results for odd input: a null text counts as empty: no ids, empty
 decoded text; repeated rows are encoded alike; an empty table gives an empty
-table (and an empty lexicon); other columns pass through.
+table (and an empty lexicon); texts of any length are coded whole, one after
+another within a row's memory; words that tie in frequency are all in the lexicon
+or none is; other columns pass through, those that have an output's name are
+replaced.
 """
 
 from __future__ import annotations
@@ -33,54 +38,79 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .common import arrow_map, drop, materialize, replacing
 from .tokens import library
 
 NAME = "word_bpe_49k.json"
-SPECIAL = "<|"
 END = "</w>"
-#: Latin with its extensions, and punctuation that does not change when it is normalised.
-KNOWN = "\x00-ɏ‐-‧€"
-_OTHER = re.compile(f"[^{KNOWN}]")
+#: The tokenizer's special tokens, which it finds in a text before anything else.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Latin with its extensions (but one capital that lower-cases to two characters), and punctuation that does not change when it is normalised.
+KNOWN = [*range(0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), 0x20AC]
 
 
-def _class(kind: str) -> str:
-    chars = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2028), 0x20AC]) if unicodedata.category(c)[0] == kind]
-    runs: list[list[str]] = []
-    for c in chars:
-        if runs and ord(c) == ord(runs[-1][1]) + 1:
+def _ranges(codes: list[int]) -> str:
+    """The inside of a character class."""
+    runs: list[list[int]] = []
+    for c in sorted(codes):
+        if runs and c == runs[-1][1] + 1:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "".join(re.escape(a) if a == b else f"{re.escape(a)}-{re.escape(b)}" for a, b in runs)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def _class(kind: str) -> str:
+    """Characters of a general category among the known ones and their lower case, part of which lies elsewhere."""
+    return _ranges([c for c in {*KNOWN, *(ord(chr(c).lower()) for c in KNOWN)} if unicodedata.category(chr(c))[0] == kind])
 
 
+_OTHER = re.compile(f"[^{_ranges(KNOWN)}]")
 LETTERS, NUMBERS = _class("L"), _class("N")
 #: White space of the tokenizer's own patterns, among known characters.
 SPACES = r"\x09-\x0d\x20\x85\xa0"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+_SPECIAL = re.compile(f"({'|'.join(map(re.escape, SPECIAL))})")
+#: No word and no normalisation reaches over these blanks.
+_CHUNK = re.compile(r"[^ \t\n\r]+")
+
 
+class Splitter:
+    """The normalised words of texts: by patterns where all characters are known, by the tokenizer's own normaliser and splitter elsewhere."""
 
-def split(text: str) -> list[str] | None:
-    """The normalised words of a text; None if the tokenizer itself must read it."""
-    if not text.isascii() and _OTHER.search(text):
-        return None
-    if SPECIAL in text or "İ" in text:
-        return None
-    return WORD.findall(text.lower())
+    def __init__(self, folder: str | None = None, held: int = 100_000):
+        tok = library(NAME, folder)
+        self.normalizer, self.held, self.chunks = tok.normalizer, held, {}
+        self.pieces = pre_tokenizers.Split(Regex(json.loads(tok.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
+
+    def _foreign(self, chunk: str) -> list[str]:
+        if chunk not in self.chunks:
+            if len(self.chunks) > self.held:
+                self.chunks.clear()
+            self.chunks[chunk] = [w for w, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+        return self.chunks[chunk]
+
+    def words(self, text: str) -> list[str]:
+        """A special token that the text spells is a word of its own."""
+        if "<|" in text:
+            parts = _SPECIAL.split(text)
+            if len(parts) > 1:
+                return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words(part))]
+        if text.isascii() or not _OTHER.search(text):
+            return WORD.findall(text.lower())
+        return [w for chunk in _CHUNK.findall(text) for w in (self._foreign(chunk) if _OTHER.search(chunk) else WORD.findall(chunk.lower()))]
 
 
 class Lexicon:
-    """The automaton's arrays: edges of state s are first[s]:first[s + 1], ordered by label."""
+    """The automaton's arrays: edges are ordered by their key, which is state << 8 | label."""
 
-    FIELDS = ("first", "label", "target", "skip", "final", "at", "ids")
+    FIELDS = ("key", "target", "skip", "final", "at", "ids")
 
     def __init__(self, **arrays: np.ndarray):
         for name in self.FIELDS:
             setattr(self, name, arrays[name])
-        self.key = (np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) << 8) | self.label
 
     @classmethod
     def compile(cls, words: dict[str, list[int]]) -> Lexicon:
@@ -117,16 +147,15 @@ class Lexicon:
             reach[s] = finals[s] + sum(reach[t] for _, t in out)
         order = [root, *[s for s in range(len(edges)) if s != root]]
         number = {s: i for i, s in enumerate(order)}
-        first, label, target, skip = [0], [], [], []
+        key, target, skip = [], [], []
         for s in order:
             passed = int(finals[s])
             for c, t in edges[s]:
-                label.append(c), target.append(number[t]), skip.append(passed)
+                key.append(number[s] << 8 | c), target.append(number[t]), skip.append(passed)
                 passed += reach[t]
-            first.append(len(label))
         every = [ids for _, ids in items]
         return cls(
-            first=np.array(first, np.int64), label=np.array(label, np.int64), target=np.array(target, np.int64), skip=np.array(skip, np.int64), final=np.array([finals[s] for s in order], np.int64),
+            key=np.array(key, np.int64), target=np.array(target, np.int64), skip=np.array(skip, np.int64), final=np.array([finals[s] for s in order], np.int64),
             at=np.concatenate([[0], np.cumsum([len(i) for i in every])]).astype(np.int64), ids=np.array([i for ids in every for i in ids], np.int64),
         )
 
@@ -183,11 +212,12 @@ def _chunks(column, most: int = 2_000_000):
         yield rows
 
 
-def word_counts(df: DataFrame, text: str = "text", held: int = 200_000) -> DataFrame:
+def word_counts(df: DataFrame, text: str = "text", held: int = 200_000, folder: str | None = None) -> DataFrame:
     """word, n over all texts; the row without a word has the number of all words."""
 
     def run(batches):
         counts: Counter = Counter()
+        splitter = Splitter(folder)
         total = 0
 
         def flush():
@@ -198,10 +228,9 @@ def word_counts(df: DataFrame, text: str = "text", held: int = 200_000) -> DataF
         for batch in batches:
             for texts in _chunks(batch.column(0)):
                 for t in texts:
-                    words = split(t)
-                    if words:
-                        counts.update(words)
-                        total += len(words)
+                    words = splitter.words(t)
+                    counts.update(words)
+                    total += len(words)
                 if len(counts) > held:
                     yield flush()
                     total = 0
@@ -215,9 +244,9 @@ def build(df: DataFrame, text: str = "text", most: int = 1 << 18, least: int = 1
 
     There can be ``most`` such words at most, at any size of the table.
     """
-    counts = materialize(word_counts(df, text).where((F.col("n") >= least) | F.col("word").isNull()), "words")
+    counts = materialize(word_counts(df, text, folder=folder).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = [r["word"] for r in counts.where(F.col("word").isNotNull() & (F.col("n") * most >= total)).select("word").collect()]
+    words = [r["word"] for r in counts.where(F.col("word").isNotNull() & ~F.col("word").isin(*SPECIAL) & (F.col("n") * most >= total)).select("word").collect()]
     drop(counts)
     ids, ends = _merge(words, folder)
     return Lexicon.compile({w: x.tolist() for w, x in zip(words, np.split(ids, ends[:-1]))} if words else {})
@@ -263,8 +292,9 @@ class Coder:
         self.lexicon, self.folder, self.held = lexicon, folder, held
         self.tok = library(NAME, folder)
         self.pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.splitter = Splitter(folder)
+        self.ids: dict[str, bytes] = {w: np.array([self.tok.token_to_id(w)], "<u4").tobytes() for w in SPECIAL}
+        self.decoded: dict[str, str] = {w: w for w in SPECIAL}
         self.rare: list[str] = []  # words that the lexicon lacks
 
     def learn(self, words: set[str]) -> None:
@@ -289,16 +319,9 @@ class Coder:
 
     def code(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian 32-bit integers, and the decoded text."""
-        parts = [split(t) for t in texts]
-        self.learn(set().union(*[p for p in parts if p]))
-        out = []
-        for text, words in zip(texts, parts):
-            if words is None:
-                ids = self.tok.encode(text, add_special_tokens=False).ids
-                out.append((np.array(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)))
-            else:
-                out.append((b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))))
-        return out
+        parts = [self.splitter.words(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [(b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))) for words in parts]
 
 
 #: What ``encode`` can add: each column with its type and its value of (ids, decoded).
