@@ -9,8 +9,10 @@ Ranks are counted in salted parts of each length, whose sizes (a bounded table)
 give each part its offset, so one frequent length is spread over many tasks.
 
 Defined results for odd input: a null or empty text is one piece that holds the
-end id alone; rows that repeat a key are documents of their own; pieces that tie
-in everything are interchangeable; an empty table gives an empty table.
+end id alone; a very long text is encoded whole, in one row's memory; rows that
+repeat a key are documents of their own; pieces that tie in everything are
+interchangeable; columns other than key and text, whatever their names, are not
+used; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,11 +76,15 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
     return tuple(np.array(x, np.int64)[order] for x in (keys, sequence, offset))
 
 
+def dealt(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``cut`` with ``_part``: rows of one length go to many parts, whatever they hold, so equal rows do too."""
+    parts = F.when(F.col("length") == capacity, F.lit(FULL_PARTS)).otherwise(F.lit(PARTS)).cast("long")
+    return cut.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts))
+
+
 def place(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """``cut``, which has ``length``, with ``sequence_id`` and ``offset``; ``order`` settles ranks."""
-    full = F.col("length") == capacity
-    part = F.pmod(F.xxhash64(*order), F.when(full, F.lit(FULL_PARTS)).otherwise(F.lit(PARTS)).cast("long"))
-    salted = cut.withColumn("_part", part)
+    """``cut``, a stored table that has ``length`` and ``_part`` (see ``dealt``), with ``sequence_id`` and ``offset``; ``order`` settles ranks within a part."""
+    salted = cut
     counts = salted.groupBy("length", "_part").count().collect()  # at most (capacity - 1) * PARTS + FULL_PARTS rows
     histogram: dict[int, int] = {}
     table = []
@@ -89,7 +95,7 @@ def place(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
     shared = cut.sparkSession.sparkContext.broadcast((table[:, 0], table[:, 1], *_slots(shortest_pack_first(histogram, capacity))))
     rank = F.row_number().over(W.partitionBy("length", "_part").orderBy(*order))
     ranked = salted.withColumn("_rank", rank)
-    out = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    out = T.StructType([*[f for f in cut.schema.fields if f.name != "_part"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = ranked.columns
     at = {n: names.index(n) for n in ("length", "_part", "_rank")}
 
@@ -107,7 +113,7 @@ def place(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Every piece of every row with its place: see ``pieces`` and ``place``."""
-    cut = materialize(pieces(df, key, text, capacity, end_id, folder, with_ids), "pieces")
+    cut = materialize(dealt(pieces(df, key, text, capacity, end_id, folder, with_ids), capacity), "pieces")
     return place(cut, [key, "start", "ids_crc32"], capacity)
 
 
