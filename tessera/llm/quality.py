@@ -12,8 +12,8 @@ no deviation.  What is left is held against the spread that the cell has, with
 a floor that lets each of the two reject by itself.
 
 Everything is DataFrame expressions.  Statistics are fixed-point integers, so
-sums do not depend on the order of rows; order statistics come from histograms,
-which combine on the map side, so no cell ever meets in one task.
+sums do not depend on the order of rows; order statistics come from counts of
+values, which combine on the map side, so no cell's rows ever meet in one task.
 
 Defined results for odd input: null text counts as empty; a null language or
 source is a value of its own; cells below ``min_rows`` are pooled by language,
@@ -124,12 +124,9 @@ def _cells(vectors: DataFrame, rules: Rules) -> DataFrame:
     return n.join(pool, "own").select("_cell", F.when(F.col("m") >= rules.min_rows, F.col("own")).otherwise(F.lit("all")).alias("est"))
 
 
-def _quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact lower quantiles of an integer column for each key, from its histogram."""
-    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys)
-    cum = hist.withColumns({"_c": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
-    return cum.groupBy(*keys).agg(*[F.min(F.when(F.col("_c") >= F.ceil(F.col("_all") * s), F.col(value))).alias(name) for name, s in shares.items()], F.max("_all").alias("rows"))
+def _small(df: DataFrame, tag: str) -> DataFrame:
+    """A stored table of a row or three for each cell, in a few files whatever the number of shuffle partitions."""
+    return materialize(df.coalesce(8), tag)
 
 
 PLACES = [(i, j) for i in range(DIMS) for j in range(i + 1)]
@@ -181,12 +178,11 @@ def _starts(vectors: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     """est, start, m, l, logdet: medians with the spread of quartiles, the plain moments, and medians with the moments of bent values."""
     xs = [f"x{j}" for j in range(DIMS)]
     rows = attach(vectors, cells, ["_cell"], size=size)
-    long = rows.select("est", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(x).alias("x")) for j, x in enumerate(xs)])).alias("v")).select("est", "v.j", "v.x")
-    q = _quantiles(long, ["est", "j"], "x", {"a": 0.25, "b": 0.5, "c": 0.75})
-    floors = F.element_at(F.array(*[F.lit(f * SCALE) for f in FLOORS.values()]), F.col("j") + 1)
-    q = q.withColumn("w", F.greatest((F.col("c") - F.col("a")) / 1.349, floors))
-    q = q.groupBy("est").agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(DIMS) for c in ("b", "w")])
-    q = materialize(q.join(cells, "est"), "quality-quartiles")
+    # exact, from counts of values that combine on the map side
+    q = rows.groupBy("est").agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{j}") for j, x in enumerate(xs)])
+    middles = [F.col(f"q{j}")[1].alias(f"b{j}") for j in range(DIMS)]
+    widths = [F.greatest((F.col(f"q{j}")[2] - F.col(f"q{j}")[0]) / 1.349, F.lit(floor * SCALE)).alias(f"w{j}") for j, floor in enumerate(FLOORS.values())]
+    q = _small(q.select("est", *middles, *widths).join(cells, "est"), "quality-quartiles")
     bent = [F.round(1000 * F.tanh((F.col(f"x{j}") - F.col(f"b{j}")) / F.col(f"w{j}"))).cast("long").alias(f"z{j}") for j in range(DIMS)]
     seen = attach(vectors, q, ["_cell"], size=size).select("est", *xs, *bent, *[f"{c}{j}" for j in range(DIMS) for c in ("b", "w")])
     firsts = [F.first(f"{c}{j}").alias(f"{c}{j}") for j in range(DIMS) for c in ("b", "w")]
@@ -201,7 +197,7 @@ def _starts(vectors: DataFrame, cells: DataFrame, size: int) -> DataFrame:
         start(1, F.array(*mean), cov),
         start(2, mid, {p: bent_cov[p] / 1e6 * spread[p] for p in PLACES}),
     ]
-    found = materialize(_cholesky(sums.select("est", F.explode(F.array(*three)).alias("s")).select("est", "s.*"), ["est", "start"]), "quality-start")
+    found = _small(_cholesky(sums.select("est", F.explode(F.array(*three)).alias("s")).select("est", "s.*"), ["est", "start"]), "quality-start")
     drop(q)
     return found
 
@@ -232,26 +228,26 @@ def fit(vectors: DataFrame, cells: DataFrame, rules: Rules = Rules()) -> DataFra
     n_cells = cells.count()
     state = _starts(vectors, cells, n_cells)
     for _ in range(rules.early):
-        after = materialize(_concentrate(vectors, cells, state, rules, 3 * n_cells), "quality-step")
+        after = _small(_concentrate(vectors, cells, state, rules, 3 * n_cells), "quality-step")
         drop(state)
         state = after
     best = W.partitionBy("est").orderBy("logdet", "start")
-    after = materialize(state.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"), "quality-best")
+    after = _small(state.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"), "quality-best")
     drop(state)
     state = after
     for _ in range(rules.steps):
         moved = _concentrate(vectors, cells, state, rules, n_cells).select("est", F.col("m").alias("_m"), F.col("l").alias("_l"), F.col("logdet").alias("_d"))
         less = F.col("_d") < F.col("logdet") - rules.tolerance
         pick = lambda new, old: F.when(less, F.col(new)).otherwise(F.col(old)).alias(old)
-        after = materialize(state.join(moved, "est").select("est", "start", pick("_m", "m"), pick("_l", "l"), pick("_d", "logdet"), less.alias("fell")), "quality-step")
+        after = _small(state.join(moved, "est").select("est", "start", pick("_m", "m"), pick("_l", "l"), pick("_d", "logdet"), less.alias("fell")), "quality-step")
         drop(state)
         state = after
         if not state.where("fell").limit(1).count():
             break
     far = _distance(attach(vectors, cells.join(state, "est"), ["_cell"], size=n_cells)).select("est", _bin(F.col("d2")).alias("bin"))
-    mid = _quantiles(far, ["est"], "bin", {"mid": 0.5})
+    mid = far.groupBy("est").agg(F.floor(F.percentile("bin", F.lit(0.5))).alias("mid"), F.count("*").alias("rows"))
     scale = F.greatest(F.expm1((F.col("mid") + 0.5) / 64) / rules.chi_median, F.lit(1.0))
-    out = materialize(state.join(mid.select("est", scale.alias("scale"), "rows"), "est").select("est", "m", "l", "scale", "rows"), "quality-estimates")
+    out = _small(state.join(mid.select("est", scale.alias("scale"), "rows"), "est").select("est", "m", "l", "scale", "rows"), "quality-estimates")
     drop(state)
     return out
 
@@ -271,7 +267,7 @@ def _judged(df: DataFrame, carried: Column, text: str, lang: str, source: str, r
     """Statistics and verdict of each row beside ``carried``; texts are read once and never shuffled."""
     slim = df.select(carried.alias("_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
     vectors = materialize(_vector(text_statistics(slim, "_text", rules), rules), "quality-vectors")
-    cells = materialize(_cells(vectors, rules), "quality-cells")
+    cells = _small(_cells(vectors, rules), "quality-cells")
     return judge(vectors, cells, fit(vectors, cells, rules), rules)
 
 
