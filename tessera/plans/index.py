@@ -93,7 +93,7 @@ def build(catalog: DataFrame, config: Config = Config(), as_of: str = "1970-01-0
     else:
         terms = encode.tf_weights_of(terms, "point_id")
     if steps.embed:
-        dense = steps.embed(unique.select("point_id", "text"))
+        dense = points.ensure_dimension(store(steps.embed(unique.select("point_id", "text")), "embedded"), "vector", config.embed_dim)
     else:
         dense = encode.dense_vectors(encode.hash_embedding_of(encode.terms_of(kept, "point_id", None), "point_id", config.embed_dim), "point_id", config.embed_dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), config.embed_dim)

@@ -23,7 +23,7 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config(), embe
     """
     q = queries.withColumn("_pool", F.greatest(F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(5), F.lit(config.rerank_pool)))
     if config.embedder == "openai" and embed:
-        vectors = store(points.ensure_dimension(remote.embed_texts(q, "qid", "query", embed), "vector", index.dim), "query-vectors")
+        vectors = points.ensure_dimension(store(remote.embed_texts(q, "qid", "query", embed), "query-vectors"), "vector", index.dim)
     else:
         vectors = encode.dense_vectors(encode.hash_embedding(q.select("qid", "query"), "qid", "query", index.dim), "qid", index.dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), index.dim)

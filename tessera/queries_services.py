@@ -18,6 +18,7 @@ from .clients import ChatClient, EmbeddingsClient, MessagesClient, ToolServer
 from .functions import text as X
 from .operators import enrich, rank
 from .plans import index as index_plan
+from .plans import search as search_plan
 from .plans.config import Config
 from .plans.service import Discovery, resolve_all
 from .plans.strategies import Clients, clients_for, steps_for
@@ -159,6 +160,32 @@ def embedded_texts(spark, sf_dir):
     return v.select("doc_id", F.col("vector")[0].cast("double").alias("first"), F.size("vector").cast("bigint").alias("dim"))
 
 
+def _counting(method: str, url: str, headers: dict, body: bytes, timeout: float) -> tuple[int, dict, bytes]:
+    """Vectors of the number of vowels and of other characters."""
+    texts = json.loads(body)["input"]
+    vowels = [sum(c in "aeiou" for c in t) for t in texts]
+    return 200, {}, json.dumps({"data": [{"index": i, "embedding": [v, len(t) - v]} for i, (t, v) in enumerate(zip(texts, vowels))]}).encode()
+
+
+_VOWELS = "(length(t) - length(regexp_replace(t, '[aeiou]', '', 'g')))::DOUBLE"
+
+
+@query(f"""WITH e AS (SELECT s_name AS id, 0 AS ordinal, s_name || chr(10) || 'serves nation ' || s_nationkey || chr(10) || 'Categories: c' || s_suppkey % 4 || CASE WHEN s_suppkey % 4 = 0 THEN chr(10) || 'Tools: own' ELSE '' END AS t FROM supplier
+    UNION ALL SELECT s_name, 1, 'own' || chr(10) || 'From MCP: ' || s_name FROM supplier WHERE s_suppkey % 4 = 0),
+  v AS (SELECT id, ordinal, {_VOWELS} AS x, length(t) - {_VOWELS} AS y FROM e), q AS (SELECT n_nationkey AS qid, {_VOWELS} AS x, length(t) - {_VOWELS} AS y FROM (SELECT n_nationkey, n_name || ' nation' AS t FROM nation)),
+  s AS (SELECT qid, id, ordinal, (q.x * v.x + q.y * v.y) / (sqrt(q.x * q.x + q.y * q.y) * sqrt(v.x * v.x + v.y * v.y)) AS score FROM q, v),
+  p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id, ordinal) AS r FROM s), c AS (SELECT qid, id, max(score) AS score, count(*) AS n FROM p WHERE r <= 130 GROUP BY ALL)
+SELECT qid, id, round(score, 6) AS score, n::BIGINT AS match_count FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 30""")
+def searched_by_service_vectors(spark, sf_dir):
+    """The index and its queries with vectors of an embedding service, by cosine alone."""
+    config = Config(embedder="openai", embed_dim=2, hybrid=False, enricher="none")
+    clients = Clients(embed=EmbeddingsClient("k", "m", send=_counting))
+    made = index_plan.build(suppliers(spark, sf_dir), config, AS_OF, steps_for(config, clients))
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("qid"), F.concat("n_name", F.lit(" nation")).alias("query"), F.lit(5).alias("top_k"), F.lit("").alias("source"), F.array().cast("array<string>").alias("categories"))
+    found = search_plan.candidates(asked, made, config, clients.embed)
+    return found.select("qid", F.col("mcp_id").alias("id"), r6(F.col("score")).alias("score"), F.col("match_count").cast("bigint").alias("match_count"))
+
+
 # ---- service calls
 
 
