@@ -3,9 +3,12 @@
 The tree is fitted on a bounded sample; every row is indexed under the leaf
 whose centres it is nearest to on the way down.  A query walks the tree best
 bin first: a priority queue holds the nodes seen so far by the inner product
-with their centres, and leaves are visited as they come up.  How many leaves is
-calibrated: queries whose true neighbours are found by brute force over all
-rows say how far the visits must widen to reach the recall asked for.
+with their centres, raised by a part of what their radius allows, and leaves are
+visited as they come up; only rows of visited leaves are scored.  How many
+leaves is calibrated: queries whose true neighbours are found by brute force
+over all rows say how far the visits must widen to reach the recall asked for.
+The recall measured there and the share of vectors visited are columns of the
+result.
 
 Equal vectors form one class with its smallest ids, so a vector that holds a
 third of all rows is one point of the index.  Leaves are dealt to shards of
@@ -25,6 +28,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,20 +41,23 @@ class Index:
     k: int = 20
     sample: int = 20_000
     branches: int = 8
-    leaf: int = 64
+    leaf: int = 16
+    #: Part of a node's radius, times the query's length, that is added to its inner product in the queue.
+    reach: float = 0.25
     rounds: int = 8
     calibration: int = 256
     recall: float = 0.97
     shard_rows: int = 20_000
     queries_per_task: int = 100_000
+    walks_per_task: int = 500
     seed: int = 6
 
 
 class Tree:
     """Nodes in breadth-first order; a node without children is a leaf."""
 
-    def __init__(self, centres: np.ndarray, children: list[np.ndarray]):
-        self.centres, self.children = centres, children
+    def __init__(self, centres: np.ndarray, radius: np.ndarray, children: list[np.ndarray], reach: float):
+        self.centres, self.radius, self.children, self.reach = centres, radius, children, reach
         inner = np.array([len(c) > 0 for c in children])
         self.leaf_of = np.where(inner, -1, np.cumsum(~inner) - 1)
         self.leaves = int((~inner).sum())
@@ -58,7 +65,9 @@ class Tree:
     @classmethod
     def fit(cls, x: np.ndarray, rules: Index) -> Tree:
         rng = np.random.default_rng(rules.seed)
+        wide = lambda rows, c: float(np.sqrt(((rows - c) ** 2).sum(axis=1).max()))
         centres, children, todo = [x.mean(axis=0)], [np.zeros(0, np.int64)], [(0, np.arange(len(x)))]
+        radius = [wide(x, centres[0])]
         while todo:
             node, rows = todo.pop(0)
             parts = _kmeans(x[rows], rules.branches, rules.rounds, rng) if len(rows) > rules.leaf else []
@@ -68,8 +77,13 @@ class Tree:
             for part in parts:
                 todo.append((len(centres), rows[part]))
                 centres.append(x[rows[part]].mean(axis=0))
+                radius.append(wide(x[rows[part]], centres[-1]))
                 children.append(np.zeros(0, np.int64))
-        return cls(np.array(centres), children)
+        return cls(np.array(centres), np.array(radius), children, rules.reach)
+
+    def priorities(self, queries: np.ndarray) -> np.ndarray:
+        """The place in the queue of each node, for each query."""
+        return queries @ self.centres.T + self.reach * np.sqrt((queries * queries).sum(axis=1))[:, None] * self.radius
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
@@ -86,15 +100,16 @@ class Tree:
             todo += [(int(kid), rows[nearest == j]) for j, kid in enumerate(kids)]
         return at
 
-    def visits(self, products: np.ndarray):
-        """Leaves best bin first, given a query's inner products with all centres."""
-        queue = [(-products[0], 0)]
+    def visits(self, priorities: np.ndarray):
+        """Leaves best bin first, given a query's priorities of all nodes."""
+        place = (-priorities).tolist()
+        queue = [(place[0], 0)]
         while queue:
             node = heapq.heappop(queue)[1]
             kids = self.children[node]
             if len(kids):
-                for kid in kids:
-                    heapq.heappush(queue, (-products[kid], int(kid)))
+                for kid in kids.tolist():
+                    heapq.heappush(queue, (place[kid], kid))
             else:
                 yield int(self.leaf_of[node])
 
@@ -150,27 +165,30 @@ def _exact(classes: DataFrame, queries: list[tuple[int, list[float]]], k: int) -
     return classes.select("v", "leaf", "ids").transform(arrow_map, run, "query_id long, leaf long, ids array<long>, score double")
 
 
-def calibrate(tree: Tree, classes: DataFrame, queries: list[tuple[int, list[float]]], rules: Index) -> tuple[int, float]:
-    """Leaves to visit for the recall asked for, and the recall then measured on the calibration queries."""
+def calibrate(tree: Tree, classes: DataFrame, queries: list[tuple[int, list[float]]], sizes: dict[int, int], rules: Index) -> tuple[int, float, float]:
+    """Leaves to visit for the recall asked for, the recall then measured on the calibration queries, and the share of classes that they visit."""
     if not queries:
-        return tree.leaves, 1.0
+        return tree.leaves, 1.0, 1.0
     truth: dict[int, list] = {}
     found = _exact(classes, queries, rules.k)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.element_at("ids", 1))
     for row in found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rules.k + 1).orderBy("query_id", "_r").collect():
         truth.setdefault(row["query_id"], []).append(row)
-    products = np.array([v for _, v in queries], float) @ tree.centres.T
-    depths, total = [], 0
-    for (q, _), p in zip(queries, products):
-        place = {leaf: i + 1 for i, leaf in enumerate(tree.visits(p))}
+    priorities = tree.priorities(np.array([v for _, v in queries], float))
+    held = np.array([sizes.get(i, 0) for i in range(tree.leaves)])
+    depths, total, passed = [], 0, []
+    for (q, _), p in zip(queries, priorities):
+        order = list(tree.visits(p))
+        passed.append(np.cumsum(held[order]))
+        place = {leaf: i + 1 for i, leaf in enumerate(order)}
         wanted = [place[row["leaf"]] for row in truth.get(q, []) for i in row["ids"] if i != q][: rules.k]
         depths += wanted
         total += len(wanted)
     if not total:
-        return tree.leaves, 1.0
+        return tree.leaves, 1.0, 1.0
     depths = np.sort(depths)
     enough = int(depths[min(total - 1, ceil(rules.recall * total) - 1)])
-    return enough, float((depths <= enough).mean())
+    return enough, float((depths <= enough).mean()), float(np.mean([x[enough - 1] / x[-1] for x in passed]))
 
 
 def _shards(sizes: dict[int, int], leaves: int, limit: int) -> list[list[int]]:
@@ -194,7 +212,8 @@ def _shards(sizes: dict[int, int], leaves: int, limit: int) -> list[list[int]]:
 def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", rules: Index = Index()) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found for each row that ``queries`` selects.
 
-    ``queries`` is a condition on the column ``id``.
+    ``queries`` is a condition on the column ``id``.  ``recall`` and ``visited``
+    are those of the calibration, the same in every row.
     """
     spark = df.sparkSession
     rows = usable(df, key, vector)
@@ -203,7 +222,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     n = classes.count()
     result = "query_id long, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double, visited double")
     share = F.pmod(F.xxhash64("rep"), F.lit(1_000_000))
     sample = classes.where(share < F.lit(ceil(1_000_000 * min(1.0, rules.sample / n)))).orderBy("rep").limit(2 * rules.sample).select("v").toArrow()
     sample = sample if sample.num_rows else classes.select("v").limit(rules.leaf).toArrow()
@@ -219,7 +238,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     stats = {r["leaf"]: (r["n"], r["m"]) for r in indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
     asked = rows.where(queries).dropDuplicates(["id", "v"])
     few = asked.withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(rules.calibration).select("id", "v").collect()
-    enough, _ = calibrate(tree, indexed, [(r["id"], r["v"]) for r in few], rules)
+    enough, recall, visited = calibrate(tree, indexed, [(r["id"], r["v"]) for r in few], {k: n for k, (n, _) in stats.items()}, rules)
     shards = _shards({k: n for k, (n, _) in stats.items()}, tree.leaves, rules.shard_rows)
     held = [stats.get(i, (0, 0))[1] for i in range(tree.leaves)]
 
@@ -228,8 +247,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
         for batch in batches:
             out: dict[str, list] = {"shard": [], "row": [], "leaves": []}
             if batch.num_rows:
-                products = _matrix(batch.column(1)) @ tree.centres.T
-                for i, p in enumerate(products):
+                for i, p in enumerate(tree.priorities(_matrix(batch.column(1)))):
                     per: dict[int, list[int]] = {}
                     seen = 0
                     for count, at in enumerate(tree.visits(p)):
@@ -244,7 +262,9 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             take = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(out["leaves"], pa.list_(pa.int64()))], names=["shard", "id", "v", "leaves"])
 
-    visits = materialize(asked.select("id", "v").transform(arrow_map, walk, f"shard long, id long, v {kind}, leaves array<long>"), "visits")
+    # a walk takes some milliseconds, so few rows make a task
+    asked = asked.select("id", "v").repartition(max(1, ceil(asked.count() / rules.walks_per_task)), "id")
+    visits = materialize(asked.transform(arrow_map, walk, f"shard long, id long, v {kind}, leaves array<long>"), "visits")
     load = {r["shard"]: ceil(r["count"] / rules.queries_per_task) for r in visits.groupBy("shard").count().collect()}
     of_leaf = F.element_at(F.lit(shards), (F.col("leaf") + 1).cast("int"))
     parts = spark.createDataFrame(sorted(load.items()) or [(0, 1)], "shard long, parts long")
@@ -275,7 +295,7 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
 
     found = dealt.transform(arrow_map, answer, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", order).where(F.col("rank") <= rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", order).where(F.col("rank") <= rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(recall).alias("recall"), F.lit(visited).alias("visited"))
 
 
 class _Shard:
@@ -284,18 +304,32 @@ class _Shard:
     def __init__(self, rows: pa.RecordBatch | None):
         self.empty = rows is None
         if rows is not None:
+            rows = rows.take(pc.sort_indices(rows.column(6)))
             self.rep, self.x = rows.column(3).to_numpy(), _matrix(rows.column(4))
-            self.ids, self.leaf = rows.column(5).to_pylist(), rows.column(6).to_numpy()
+            self.ids = rows.column(5).to_pylist()
+            leaf = rows.column(6).to_numpy()
+            self.leaves, first = np.unique(leaf, return_index=True)
+            self.ends = [*first.tolist(), len(leaf)]
 
     def answer(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
         names = queries.column(3).to_pylist()
-        leaves = queries.column(5).to_pylist()
+        leaves = queries.column(5)
         y = _matrix(queries.column(4))
         for lo in range(0, 0 if self.empty else len(names), 256):
-            scores = y[lo : lo + 256] @ self.x.T
-            for s, q, seen in zip(scores, names[lo : lo + 256], leaves[lo : lo + 256]):
-                at = np.flatnonzero(np.isin(self.leaf, seen))
+            part = leaves.slice(lo, 256)
+            asked = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
+            wanted = part.flatten().to_numpy()
+            by_leaf = np.argsort(wanted, kind="stable")
+            cuts = np.searchsorted(wanted[by_leaf], [self.leaves, self.leaves + 1])
+            scores, seen = np.zeros((len(part), len(self.rep))), np.zeros((len(part), len(self.rep)), bool)
+            for i, (begin, end) in enumerate(cuts.T):
+                if begin < end:  # the rows of one leaf, by the queries that visit it
+                    who, rows = asked[by_leaf[begin:end]], slice(self.ends[i], self.ends[i + 1])
+                    scores[who, rows] = y[lo + who] @ self.x[rows].T
+                    seen[who, rows] = True
+            for s, had, q in zip(scores, seen, names[lo : lo + 256]):
+                at = np.flatnonzero(had)
                 s = s[at]
                 if len(at) > k + 1:
                     least = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
