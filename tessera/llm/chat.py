@@ -9,7 +9,11 @@ and repeated rows of a conversation count once; a null role is ``user`` and a
 null text is empty; two equal conversations are all prompt, with empty
 completions; where a side is missing its completion and mask are null and
 nothing is common; rows with a null pair, side or turn are left out; an empty
-table gives an empty table.  A conversation must fit a row, as its text does.
+table gives an empty table.  A conversation must fit a row, as its text does, and is rendered
+whole; repeated pairs are one pair; columns other than the five named, and
+clashing names among them, are not used.  Text is rendered as it is, marks and
+all: which characters are template and which are content is told by the mask's
+spans and the number of prompt turns, not by searching for marks.
 """
 
 from __future__ import annotations

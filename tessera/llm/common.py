@@ -4,45 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
+import threading
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import hadoop_path, scratch_root, ship
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary folder only where none is named and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    file = Path(tempfile.mkdtemp(prefix="tessera-")).resolve() / f"tessera-{sc.applicationId}.zip"
-    with zipfile.ZipFile(file, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    sc.addPyFile(str(file))
-
 
 def release_memory() -> None:
     """Give freed memory back: workers stay for later tasks, beside the executor's own heap."""
@@ -67,10 +40,32 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _place(spark: SparkSession, path: str):
-    """Hadoop's path and the file system that it lies in."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+class _Made(threading.local):
+    """The scratch tables of each thread that drives Spark."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_tables = _Made()
+
+
+def made() -> int:
+    """How many tables ``materialize`` has made so far in this thread."""
+    return len(_tables.paths)
+
+
+def sweep(since: int, keep: DataFrame) -> None:
+    """Remove all scratch tables that this thread made after ``since`` but ``keep``, from which no plan may read any more."""
+    for path in _tables.paths[since:]:
+        if path != keep._tessera_path:
+            _remove(keep.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, system = hadoop_path(spark, path)
+    system.delete(where, True)
+    system.cancelDeleteOnExit(where)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -81,9 +76,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    where, system = _place(spark, path)
+    where, system = hadoop_path(spark, path)
     df.write.parquet(path)
     system.deleteOnExit(where)
+    _tables.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -92,9 +88,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Remove scratch tables made by ``materialize`` that no later plan reads."""
     for table in tables:
-        where, system = _place(table.sparkSession, table._tessera_path)
-        system.delete(where, True)
-        system.cancelDeleteOnExit(where)
+        _remove(table.sparkSession, table._tessera_path)
 
 
 def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 20_000, salts: int = 32, size: int | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ either, inside blocks of lines that no blank line separates.
 
 Offsets are code points, ends exclusive.  Defined results for odd input: a null
 text counts as empty and has no spans; spans of one text are ordered by start,
-then kind, then end, ties included once; other columns pass through; an empty
-table gives an empty table.
+then kind, then end, ties included once; very long texts are scanned whole;
+repeated rows are scanned alike; columns of other names pass through, one named
+``spans`` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations

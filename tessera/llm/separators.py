@@ -11,7 +11,9 @@ one reach into it.
 Defined results for odd input: a null text is an empty document of 0 tokens; an
 empty block changes nothing; tokens after the last separator of a file form a
 last document that is not ``terminated``; an empty table gives an empty table;
-documents that repeat a key are counted one by one.
+documents that repeat a key are counted one by one; a document may be longer
+than any number of blocks; columns other than key and text, whatever their
+names, are not used.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ def test_stages(spark):
     good = {r["doc_id"] for r in quality.robust_outliers(docs).where("kept").collect()}
     rows = docs.where(docs.doc_id.isin(*good)).orderBy("doc_id").collect()
     trees = langid.train(spark.createDataFrame(rows, docs.schema))
-    told = {r["doc_id"] for r in langid.identify(spark.createDataFrame(rows, docs.schema), trees).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    told = {r["doc_id"] for r in langid.identify(spark.createDataFrame(rows, docs.schema), trees).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5 and r["bits_per_byte"] <= trees.limits.get(r["lang_pred"], 99)}
     rows = [r for r in rows if r["doc_id"] in told]
 
     def shingles(text):
