@@ -2,6 +2,13 @@
 
 Each stage reads what the one before it kept.  A stage's table is Parquet in
 the folder that ``spark.checkpoint.dir`` names.
+
+Defined results for odd input: null, empty and blank texts go with the first
+stage, as texts below its least number of words; very long texts pass whole; of
+repeated rows one stays; rows without an id are compared like all others and
+keep a null id; rows without a language or source are judged in a cell of their
+own; extra columns, whatever their names, pass through all stages but the last;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, neardup, packing, quality, secrets
-from tessera.llm.common import documents, materialize
+from tessera.llm.common import documents, made, materialize, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +60,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    before = made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(before, docs)  # the stage's own tables and the one that it read
     return docs
