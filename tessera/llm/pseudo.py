@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -267,16 +268,18 @@ def _positions(sizes: np.ndarray, net: Network) -> np.ndarray:
 #: Weights are averaged as whole numbers, so their order does not matter.
 FIXED = 1 << 24
 CHUNK, LOW = 4096, (1 << 32) - 1
-WEIGHTS = "chunk long, high array<long>, low array<long>, seen long"
+#: Parts in which the copies of a chunk are added up, before the parts' sums are.
+PARTS = 32
+WEIGHTS = "chunk long, high array<long>, low array<long>, seen long, part int"
 
 
-def _weights(chunk: int, high: np.ndarray, low: np.ndarray, seen: int) -> pa.RecordBatch:
+def _weights(chunk: int, high: np.ndarray, low: np.ndarray, seen: int, part: int = 0) -> pa.RecordBatch:
     one = lambda x: pa.array([x], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(high), one(low), pa.array([seen], pa.int64())], names=["chunk", "high", "low", "seen"])
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(high), one(low), pa.array([seen], pa.int64()), pa.array([part], pa.int32())], names=["chunk", "high", "low", "seen", "part"])
 
 
 def _add(batches):
-    """Sums of each chunk of weights over all copies; a task holds one array for each chunk."""
+    """Sums of each chunk of weights over the copies that a task meets; it holds one array for each chunk."""
     sums: dict[int, list] = {}
     for batch in batches:
         for chunk, high, low, seen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
@@ -299,7 +302,7 @@ def train_on(indexed: DataFrame, known: list[bytes], net: Network = Network()) -
     shared = indexed.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
-        model = Trainer(shared.value, net)
+        model, copy = Trainer(shared.value, net), TaskContext.get().partitionId() if TaskContext.get() else 0
         around, target, size = [], [], 0
         for ids, sizes in _portions(batches, net):
             at = _positions(sizes, net)
@@ -319,11 +322,12 @@ def train_on(indexed: DataFrame, known: list[bytes], net: Network = Network()) -
             # numbers of the same chunk meet again; a chunk is a bounded row
             for i in range(0, len(flat), CHUNK):
                 part = flat[i : i + CHUNK]
-                yield _weights(i, part >> 32, part & LOW, model.seen)
+                yield _weights(i, part >> 32, part & LOW, model.seen, copy % PARTS)
 
     rows = indexed.select("ids").transform(arrow_map, run, WEIGHTS)
     n = sum(v.size for v in first.values())
-    table = rows.repartition(max(1, n // CHUNK // 8), "chunk").transform(arrow_map, _add, WEIGHTS).toArrow()  # one row for each chunk
+    sums = rows.repartition("chunk", "part").transform(arrow_map, _add, WEIGHTS)
+    table = sums.repartition(max(1, n // CHUNK // 8), "chunk").transform(arrow_map, _add, WEIGHTS).toArrow()  # one row for each chunk
     if not table.num_rows:
         return known, first
     flat = np.concatenate([v.ravel() for v in first.values()]).astype(np.float64)
