@@ -19,6 +19,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,20 +65,25 @@ def _looks_random(s: str) -> bool:
 
 
 class _Parts:
-    """Intervals ordered by start, for questions of nearness inside a scope."""
+    """Intervals ordered by start, for questions of nearness inside a scope, each answered by bisection."""
 
     def __init__(self, spans: list[tuple[int, int]]):
-        self.spans = sorted(spans)
+        self.spans = sorted(set(spans))
         self.starts = [s for s, _ in self.spans]
-        self.longest = max((e - s for s, e in self.spans), default=0)
+        self.reached = list(accumulate((e for _, e in self.spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        """Does an interval overlap this one?"""
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reached[i - 1] > start
 
     def near(self, start: int, end: int, low: int, high: int) -> bool:
-        """Is another interval within REACH, inside the scope [low, high)?"""
-        i = bisect_left(self.starts, max(low, start - REACH - self.longest))
-        for s, e in self.spans[i : bisect_right(self.starts, min(high - 1, end + REACH))]:
-            if e >= start - REACH and (s, e) != (start, end):
-                return True
-        return False
+        """Is another interval within REACH, inside the scope [low, high)?  No interval crosses a scope's border."""
+        i = bisect_left(self.starts, max(low, start - REACH))
+        within = self.spans[i : min(i + 2, bisect_right(self.starts, min(high - 1, end + REACH)))]
+        if any(x != (start, end) for x in within):
+            return True
+        return low < start - REACH and i > 0 and self.reached[i - 1] >= start - REACH
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,7 +94,7 @@ def all_spans(text: str) -> list[tuple[str, int, int]]:
     strong_secrets = [(s, e) for k, s, e in base if k != "access"]
     assigned = ":" in text or "=" in text
     taken = _Parts([(s, e) for _, s, e in base])
-    free = lambda s, e: not any(a < e and s < b for a, b in taken.spans[max(0, bisect_left(taken.starts, s - taken.longest)) : bisect_left(taken.starts, e)])
+    free = lambda s, e: not taken.meets(s, e)
     accounts = [(m.start(), m.end()) for m in ACCOUNT.finditer(text) if free(m.start(), m.end())] if assigned else []
     if strong_ids or accounts or strong_secrets:
         breaks = [m.start() for m in BLANK_LINE.finditer(text)]
