@@ -130,6 +130,50 @@ def test_secrets(spark, docs):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def plain_spans(text):
+    """The spans by their definition: every pair of parts is compared."""
+    base = secrets.base_spans(text)
+    block = lambda at: sum(m.start() <= at for m in secrets.BLANK_LINE.finditer(text))
+    free = lambda x: not any(x[0] < e and s < x[1] for _, s, e in base)
+    runs = lambda pattern: [x for m in pattern.finditer(text) if free(x := m.span())]
+
+    def beside(x, others):
+        return any(o != x and block(o[0]) == block(x[0]) and o[0] <= x[1] + secrets.REACH and o[1] >= x[0] - secrets.REACH for o in others)
+
+    names = [(s, e) for k, s, e in base if k == "access"]
+    strong = [(s, e) for k, s, e in base if k != "access"]
+    accounts = runs(secrets.ACCOUNT)
+    randoms = [x for x in runs(secrets.RANDOM) if secrets._looks_random(text[slice(*x)])]
+    linked_accounts = [x for x in accounts if beside(x, strong + randoms)]
+    linked_randoms = [x for x in randoms if beside(x, names + accounts)]
+    ends = [x for x in runs(secrets.ENDPOINT) if beside(x, names + strong + linked_accounts + linked_randoms)]
+    found = {*base, *(("account", *x) for x in linked_accounts), *(("random", *x) for x in linked_randoms), *(("endpoint", *x) for x in ends)}
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
+def test_secret_links_by_definition():
+    rng = np.random.default_rng(21)
+    run = lambda n, letters="abcdefABCDEF0123456789XYZqrs+/_-": "".join(rng.choice(list(letters), n))
+    parts = [
+        lambda: "password=" + run(rng.integers(3, 40)), lambda: "AKIA" + run(rng.integers(8, 20), "ABC123"), lambda: run(rng.choice([10, 32, 900]), "0123456789abcdef"),
+        lambda: f"user_id: bob{rng.integers(99)}", lambda: "client_id=" + run(rng.choice([5, 60, 700])), lambda: run(rng.choice([10, 24, 400])),
+        lambda: "https://h.example/" + run(rng.choice([5, 500])), lambda: "x " * rng.integers(250),
+    ]
+    kinds = Counter()
+    for _ in range(400):
+        text = "".join(parts[rng.integers(len(parts))]() + rng.choice([" ", "\n", "\n\n", "\n \n", ", "]) for _ in range(rng.integers(1, 20)))
+        got = secrets.all_spans(text)
+        assert got == plain_spans(text), text
+        kinds.update(k for k, *_ in got)
+    assert min(kinds[k] for k in secrets.KINDS) > 20
+
+
+def test_many_parts_beside_a_very_long_span():
+    lines = 8_000
+    text = "ab01" * 50_000 + "\n" + "password=abcdefgh1 x user_id: bobby\n" * lines
+    assert Counter(k for k, *_ in secrets.all_spans(text)) == {"hex": 1, "assign": lines, "account": lines}
+
+
 def test_long_secrets(spark):
     rng = np.random.default_rng(12)
     token = "".join(rng.choice(list("ABCDEFGHabcdefgh01234567+/_-"), 356))
