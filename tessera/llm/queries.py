@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, lexicon, neardup, packing, pseudo, quality, secrets, separators
+from . import ann, audit, chat, langid, lexicon, linedrop, neardup, packing, pseudo, quality, secrets, separators
 from .common import documents
 
 
@@ -62,6 +62,15 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo.train_and_score(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linedrop.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +78,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_preference_pairs, op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan, op10_pseudo_likelihood, pipeline]
+    found = [op1_preference_pairs, op2_histogram_packing, op3_secret_links, op4_language_trees, op5_minhash_forest, op6_kmeans_tree, op7_quality_outliers, op8_transducer_bpe, op9_separator_scan, op10_pseudo_likelihood, op11_filter_audit, op12_line_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": chat.ORACLE, "op5_minhash_forest": neardup.ORACLE}
+    return {"op1_preference_pairs": chat.ORACLE, "op5_minhash_forest": neardup.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_line_dedup": linedrop.ORACLE}
