@@ -11,10 +11,10 @@ from ..functions import scoring as S
 OUTCOMES = ("success", "tool_error", "unreachable")
 
 
-def tally(events: DataFrame) -> DataFrame:
-    """mcp_id, calls, successes, tool_errors; unreachable calls are the rest.  Works on batches and streams."""
+def tally(events: DataFrame, *by: str) -> DataFrame:
+    """Other keys, mcp_id, calls, successes, tool_errors; unreachable calls are the rest.  Works on batches and streams."""
     count = lambda o: F.count_if(F.col("outcome") == o)
-    return events.where("mcp_id is not null and mcp_id <> ''").groupBy("mcp_id").agg(F.count("*").alias("calls"), count("success").alias("successes"), count("tool_error").alias("tool_errors"))
+    return events.where("mcp_id is not null and mcp_id <> ''").groupBy(*by, "mcp_id").agg(F.count("*").alias("calls"), count("success").alias("successes"), count("tool_error").alias("tool_errors"))
 
 
 def merge_tallies(*tallies: DataFrame) -> DataFrame:
