@@ -193,14 +193,14 @@ def probes(lines: DataFrame, shards: int) -> DataFrame:
         if parts:
             yield packed(current, parts)
 
-    return lines.select("block", "doc_id", "hi", "lo").transform(arrow_map, run, "shard long, block long, hi array<long>, lo array<long>, docs array<long>, top array<long>")
+    return lines.select("block", "doc_id", "hi", "lo").transform(arrow_map, run, "shard long, block long, hi array<long>, lo array<long>, docs array<long>, top array<long>").withColumn("of", F.lit(shards).cast("long"))
 
 
-INDEX = "shard long, n long, sizes array<long>, bits binary, fingerprints binary, counts binary, frequent array<long>, keeper array<long>"
+INDEX = "shard long, of long, n long, sizes array<long>, bits binary, fingerprints binary, counts binary, frequent array<long>, keeper array<long>"
 
 
 def build(sent: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The index, a row for each shard: perfect hash, fingerprint and count arrays, and the keeper of each frequent key.
+    """The index, a row for each shard (and ``of`` how many): perfect hash, fingerprint and count arrays, and the keeper of each frequent key.
 
     Counts stop at 65,535, so ``min_docs`` may be no larger.
     """
@@ -217,7 +217,7 @@ def build(sent: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         counts = np.minimum(docs[place], 65_535).astype("<u2")
         frequent = np.flatnonzero(counts >= min_docs)
         return pa.table({
-            "shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "n": pa.array([len(hi)], pa.int64()), "sizes": pa.array([function.sizes], pa.list_(pa.int64())), "bits": pa.array([function.pack()], pa.binary()),
+            **{c: pa.array([group.column(c)[0].as_py()], pa.int64()) for c in ("shard", "of")}, "n": pa.array([len(hi)], pa.int64()), "sizes": pa.array([function.sizes], pa.list_(pa.int64())), "bits": pa.array([function.pack()], pa.binary()),
             "fingerprints": pa.array([lo[place].astype("<u4").tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
             "frequent": pa.array([frequent], pa.list_(pa.int64())), "keeper": pa.array([top[place][frequent]], pa.list_(pa.int64())),
         })
@@ -225,6 +225,11 @@ def build(sent: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(run, INDEX)
 
 
+def shards_of(index: DataFrame) -> int:
+    """How many shards the keys of ``index`` are dealt to."""
+    return (index.select("of").first() or [1])[0]
+
+
 def probe(sent: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """block and its frequent hashes (hi, lo) with their keeper, from the arrays of ``index`` alone."""
     ship(sent.sparkSession)
