@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..scratch import ship
+from ..scratch import ship, store
 
 RRF_K = 2
 #: Queries that one block of exact search holds; each block is broadcast.
@@ -108,6 +108,23 @@ def _best(table: pa.Table, limit: int, ties: list[str]) -> pa.Table:
     return table.filter(pa.array(np.arange(len(qid)) - first < limit)).drop_columns(["_s"])
 
 
+def in_blocks(queries: DataFrame, columns: list[str], block, finish, schema: T.StructType, size: int = BLOCK) -> DataFrame:
+    """``finish(block(rows))`` for the queries in blocks of about ``size`` rows, one after another; each block's result is stored before the next begins.
+
+    So the driver and the executors hold one block at a time, however many queries there are.
+    """
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // size))
+    kept = store(queries.select(*columns), "queries") if blocks > 1 else queries.select(*columns)
+    found = []
+    for b in range(blocks):
+        rows = (kept.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else kept).collect()  # about ``size`` rows
+        if rows:
+            out = finish(block(rows))
+            found.append(store(out, "found") if blocks > 1 else out)
+    return reduce(DataFrame.unionByName, found) if found else finish(spark.createDataFrame([], schema))
+
+
 def dense_candidates(queries: DataFrame, points: DataFrame, limit: int, point: str = "point_id", ties: list[str] | None = None) -> DataFrame:
     """qid, the columns of ``points`` but its vector, score and pos by cosine, of the best ``limit`` points of each query.
 
@@ -118,42 +135,39 @@ def dense_candidates(queries: DataFrame, points: DataFrame, limit: int, point: s
     ship(points.sparkSession)
     ties = ties or [point]
     names = [c for c in points.columns if c != "vector"]
-    spark = points.sparkSession
     schema = T.StructType([T.StructField("qid", T.LongType()), *[points.schema[n] for n in names], T.StructField("score", T.DoubleType())])
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = []
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = part.select(F.col("qid").cast("long").alias("qid"), "qvec", "source", "categories").collect()  # about BLOCK rows
-        if not rows:
-            continue
+
+    def block(rows: list) -> DataFrame:
         vectors = np.array([r["qvec"] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], vectors, np.sqrt((vectors * vectors).sum(axis=1)), [(r["source"] or "", r["categories"] or []) for r in rows]))
-        found.append(points.mapInArrow(_nearest(shared, limit, ties, names), schema))
-    if not found:
-        return spark.createDataFrame([], schema).withColumn("pos", F.lit(0))
-    return top(reduce(DataFrame.unionByName, found), "qid", F.col("score"), limit, ties)
+        shared = points.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], vectors, np.sqrt((vectors * vectors).sum(axis=1)), [(r["source"] or "", r["categories"] or []) for r in rows]))
+        return points.mapInArrow(_nearest(shared, limit, ties, names), schema)
+
+    asked = queries.withColumn("qid", F.col("qid").cast("long"))
+    return in_blocks(asked, ["qid", "qvec", "source", "categories"], block, lambda f: top(f, "qid", F.col("score"), limit, ties), schema)
 
 
 def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, most: int = 32 << 20) -> DataFrame:
     """qid and key of the texts that hold each pattern (qid, query): the patterns of a block are one automaton.
 
-    A block has at most ``most`` bytes of patterns; empty patterns are held by every text.
+    A block has at most ``most`` bytes of patterns, and is stored before the next begins; empty patterns are held by every text.
     """
     ship(texts.sparkSession)
     sizes = patterns.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(sizes) // most))
     schema = T.StructType([T.StructField("qid", patterns.schema["qid"].dataType), T.StructField(key, texts.schema[key].dataType)])
-    out = None
+    kept = store(patterns.select("qid", "query"), "patterns") if blocks > 1 else patterns
+    parts = []
     for b in range(blocks):
-        rows = patterns.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).select("qid", "query").collect()
+        rows = kept.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).select("qid", "query").collect()
         by_text: dict[str, list] = {}
         for r in rows:
             by_text.setdefault(r["query"], []).append(r["qid"])
         shared = texts.sparkSession.sparkContext.broadcast(by_text)
         found = texts.select(key, text).mapInArrow(_holding(shared, schema.names), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        parts.append(store(found, "holding") if blocks > 1 else found)
+        if blocks > 1:
+            shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _holding(shared, names: list[str]):

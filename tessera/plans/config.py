@@ -12,6 +12,7 @@ class Config:
     embed_dim: int = 256
     hybrid: bool = True
     sparse: str = "tf"
+    retrieval: str = "scan"
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     reranker: str = "lexical"
@@ -46,7 +47,7 @@ class Config:
     http_addr: str = ":8080"
 
     KNOWN: ClassVar = (
-        ("sparse", ("tf", "bm25")), ("reranker", ("lexical", "llm", "none")), ("trust", ("heuristic", "llm", "none")), ("enricher", ("heuristic", "llm", "none")),
+        ("sparse", ("tf", "bm25")), ("retrieval", ("scan", "index")), ("reranker", ("lexical", "llm", "none")), ("trust", ("heuristic", "llm", "none")), ("enricher", ("heuristic", "llm", "none")),
         ("embedder", ("hash", "openai")), ("llm_provider", ("anthropic", "openai")),
     )
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import encode, enrich, points, resolve
+from ..operators.dense_index import DenseIndex
+from ..operators.sparse_index import SparseIndex
 from ..scratch import store
 from .config import Config
 
@@ -31,7 +33,10 @@ class Steps:
 
 @dataclass
 class Index:
-    """What searches read.  ``points`` has ``vector``; ``stats`` and ``frequencies`` are for BM25."""
+    """What searches read.  ``points`` has ``vector``; ``stats`` and ``frequencies`` are for BM25.
+
+    ``lists`` and ``blocks`` are for searches that do not scan all points (``with_retrieval``).
+    """
 
     catalog: DataFrame
     points: DataFrame
@@ -39,6 +44,8 @@ class Index:
     stats: DataFrame
     frequencies: DataFrame
     dim: int
+    lists: DenseIndex | None = None
+    blocks: SparseIndex | None = None
 
     TABLES = ("catalog", "points", "terms", "stats", "frequencies")
 
@@ -46,14 +53,25 @@ class Index:
         """Write all tables; readers see the old ones until a new path is given to them."""
         for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.points.sparkSession.createDataFrame([(self.dim,)], "dim int").write.mode("overwrite").parquet(f"{path}/dim")
+        if self.lists and self.blocks:
+            self.lists.save(f"{path}/lists"), self.blocks.save(f"{path}/blocks")
+        self.points.sparkSession.createDataFrame([(self.dim, bool(self.lists and self.blocks))], "dim int, retrieval boolean").write.mode("overwrite").parquet(f"{path}/dim")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, dim: int | None = None) -> Index:
-        have = spark.read.parquet(f"{path}/dim").first()["dim"]
+        said = spark.read.parquet(f"{path}/dim").first().asDict()
+        have = said["dim"]
         if dim is not None and dim != have:
             raise ValueError(f"the index has vectors of length {have}, not {dim}")
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.TABLES], dim=have)
+        more = {"lists": DenseIndex.load(spark, f"{path}/lists"), "blocks": SparseIndex.load(spark, f"{path}/blocks")} if said.get("retrieval") else {}
+        return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.TABLES], dim=have, **more)
+
+    LIGHT = ("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories", "vector")
+
+    def with_retrieval(self, share: float | None = None) -> Index:
+        """The index with inverted lists of its vectors and blocks of its postings; queries then visit ``share`` of the points."""
+        lists = DenseIndex.build(self.points.select(*self.LIGHT))
+        return replace(self, lists=replace(lists, share=share) if share else lists, blocks=SparseIndex.build(self.terms))
 
     def persist(self) -> Index:
         for name in self.TABLES:

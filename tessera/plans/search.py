@@ -19,7 +19,8 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config(), embe
 
     A query without terms of its own, or with hybrid search off, ranks by
     cosine alone; the others by reciprocal rank fusion of both retrievals.
-    Filters hold inside both.
+    Filters hold inside both.  With ``retrieval`` "index" the nearest come from inverted lists,
+    approximately, and the sparse side, exactly, from blocks of postings.
     """
     q = queries.withColumn("_pool", F.greatest(F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(5), F.lit(config.rerank_pool)))
     if config.embedder == "openai" and embed:
@@ -36,14 +37,18 @@ def candidates(queries: DataFrame, index: Index, config: Config = Config(), embe
     limits = q.select("qid", "_pool", (4 * F.col("_pool") + 10).alias("_outer"), (8 * F.col("_pool") + 20).alias("_inner"), F.col("source").alias("_qs"), F.col("categories").alias("_qc"))
     hybrid = terms.select("qid").distinct().withColumn("_h", F.lit(True))
     order = ["mcp_id", "ordinal"]
-    light = index.points.select("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories", "vector")
-    dense = store(retrieve.dense_candidates(q, light, 8 * _most(config, queries) + 20, "point_id", order), "nearest")
+    inner, indexed = 8 * _most(config, queries) + 20, config.retrieval == "index" and index.lists is not None and index.blocks is not None
+    light = index.points.select(*index.LIGHT)
+    dense = store(index.lists.search(q, inner, order) if indexed else retrieve.dense_candidates(q, light, inner, "point_id", order), "nearest")
     dense = dense.join(limits, "qid").join(hybrid, "qid", "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
     alone = dense.where(~F.col("_h") & (F.col("pos") < F.col("_outer"))).select("qid", "point_id", "score", "pos")
     first = dense.where(F.col("_h") & (F.col("pos") < F.col("_inner"))).select("qid", "point_id", "pos")
     info = index.points.select("point_id", "mcp_id", "kind", "tool_name", "ordinal", "source", "categories")
-    sparse = retrieve.sparse_scores(terms, index.terms, "point_id").join(info, "point_id").join(limits, "qid")
-    sparse = sparse.where(retrieve.passes(F.col("_qs"), F.col("_qc"), F.col("source"), F.col("categories")))
+    passing = lambda rows: rows.join(info, "point_id").join(limits, "qid").where(retrieve.passes(F.col("_qs"), F.col("_qc"), F.col("source"), F.col("categories")))
+    if indexed:
+        sparse = index.blocks.search(terms, inner, lambda rows: passing(rows).select("qid", "point_id")).drop("pos").join(info, "point_id").join(limits, "qid")
+    else:
+        sparse = passing(retrieve.sparse_scores(terms, index.terms, "point_id"))
     second = retrieve.top(sparse, "qid", F.col("score"), F.col("_inner"), order).select("qid", "point_id", "pos")
     fused = retrieve.fuse(first, second, "point_id", config.rrf_k).join(info, "point_id").join(limits, "qid")
     fused = retrieve.top(fused, "qid", F.col("score"), F.col("_outer"), order).select("qid", "point_id", "score", "pos")

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from .functions import scoring as S
 from .functions import text as X
 from .operators import encode, enrich, evaluate, points, rank, resolve, retrieve, usage
+from .operators.dense_index import DenseIndex
+from .operators.sparse_index import SparseIndex
 from .schema import CARD, normalized
 from .scratch import new_path, store
 from .streaming.usage import start_tally
@@ -275,6 +277,23 @@ def bm25_topk(spark, sf_dir):
     return _shown(bm25_scores(spark, sf_dir, TOP))
 
 
+@query(f"WITH {_counts()}, {TF}, {_topk('hits', 'qw', 'dw', TOP)} {_SHOW} hits")
+def sparse_index_topk_tf(spark, sf_dir):
+    """The same as ``sparse_topk_tf`` from blocks of postings with upper bounds."""
+    index = SparseIndex.build(encode.tf_weights_of(doc_counts(spark, sf_dir), "doc_id"), "doc_id")
+    asked = encode.tf_weights(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "qid")
+    return _shown(index.search(asked, TOP))
+
+
+@query(f"WITH {_counts()}, {BM25}, {_topk('hits', 'bq', 'bd', TOP)} {_SHOW} hits")
+def bm25_index_topk(spark, sf_dir):
+    """The same as ``bm25_topk`` from blocks of postings with upper bounds."""
+    counts = encode.terms_of(_words_of_documents(spark, sf_dir), "doc_id")
+    stats = encode.corpus_stats(counts, "doc_id")
+    asked = encode.bm25_query_weights(read(spark, sf_dir, "benchmark"), "item_id", "text", encode.document_frequencies(counts), stats).withColumnRenamed("item_id", "qid")
+    return _shown(SparseIndex.build(encode.bm25_document_weights(counts, stats, "doc_id"), "doc_id").search(asked, TOP))
+
+
 _FUSED = f"""{_counts()}, {TF}, {BM25}, {_topk('a', 'qw', 'dw', POOL)}, {_topk('b', 'bq', 'bd', POOL)},
   f AS (SELECT qid, id, sum(1.0::DOUBLE / (2 + pos)) AS score FROM (SELECT qid, id, pos FROM a UNION ALL SELECT qid, id, pos FROM b) GROUP BY 1, 2)"""
 
@@ -326,6 +345,19 @@ def hybrid_collapse_parent(spark, sf_dir):
     return retrieve.collapse(hits, TOP).select("qid", "mcp_id", "match_kind", "matched_tool", "match_count", r6(F.col("score")).alias("score"))
 
 
+@query(None)
+def dense_index_topk(spark, sf_dir):
+    """Every benchmark text by inverted lists over the vectors of all documents, with the recall on the half of the queries that the share of visited points was not fitted to."""
+    none = F.array().cast("array<string>")
+    vectors = lambda name, key: encode.dense_vectors(encode.hash_embedding(read(spark, sf_dir, name), key, "text"), key)
+    docs = vectors("documents", "doc_id").join(read(spark, sf_dir, "documents").select("doc_id", "source", F.array("lang").alias("categories")), "doc_id")
+    asked = store(vectors("benchmark", "item_id").select(F.col("item_id").alias("qid"), F.col("vector").alias("qvec"), F.lit("").alias("source"), none.alias("categories")), "asked")
+    index, recall = DenseIndex.build(docs, "doc_id").tune(asked, TOP)
+    visited = index.probes(asked, TOP).select("qid", (F.col("visited") / float(max(1, index.sizes.sum()))).alias("visited"))
+    found = index.search(asked, TOP).join(visited, "qid")
+    return found.select("qid", "doc_id", (F.col("pos") + 1).cast("bigint").alias("rank"), r6(F.col("score")).alias("score"), r6(F.col("visited")).alias("visited"), F.lit(round(recall, 6)).alias("recall"))
+
+
 # ---- ranking
 
 def _reranked(spark, sf_dir) -> DataFrame:

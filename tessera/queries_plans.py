@@ -136,12 +136,15 @@ _MIXED = f"""SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 THEN 'the and of'
 @query(f"WITH {_found_sql(_MIXED)} {_HITS}")
 def search_filtered(spark, sf_dir):
     """Each query with its own filters, size and cut-off; some have stop words alone and go by cosine."""
+    return _hits(search_plan.search(_mixed(spark, sf_dir), built(spark, sf_dir), usage=_used(spark, sf_dir)))
+
+
+def _mixed(spark, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
-    asked = _asked(
+    return _asked(
         spark, sf_dir, query=F.when(i % 5 == 0, "the and of").otherwise(F.col("text")), top_k=((i % 4 - 1) * 12).cast("int"), min_score=F.when(i % 3 == 0, 0.6).otherwise(0.0),
         source=F.when(i % 4 == 1, "github").when(i % 4 == 2, "nowhere").otherwise(""), categories=F.when(i % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("en"), F.lit("fr"))),
     )
-    return _hits(search_plan.search(asked, built(spark, sf_dir), usage=_used(spark, sf_dir)))
 
 
 @query(f"WITH {_found_sql(_PLAIN, hybrid=False, rerank=False, used=False, trust=False)} {_HITS}")
@@ -157,6 +160,13 @@ def search_bm25(spark, sf_dir):
     return _hits(search_plan.search(_asked(spark, sf_dir), built(spark, sf_dir, config), config, _used(spark, sf_dir)))
 
 
+@query(f"WITH {_found_sql(_MIXED)} {_HITS}")
+def search_by_index(spark, sf_dir):
+    """The filtered searches again, by inverted lists (all of them visited, so that nothing is missed) and blocks of postings."""
+    config = Config(retrieval="index")
+    return _hits(search_plan.search(_mixed(spark, sf_dir), built(spark, sf_dir, config).with_retrieval(share=1.0), config, _used(spark, sf_dir)))
+
+
 _POOL = "SELECT qid, doc_id::VARCHAR AS id, pos::BIGINT AS pos, round(score, 6) AS score, kind AS match_kind, tool AS matched_tool, match_count::BIGINT AS match_count FROM pool"
 
 
