@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import fields
+from ..scratch import store
 
 
 def identity_key(name: Column, repository: Column, id_: Column) -> Column:
@@ -31,29 +32,55 @@ def _folded(*parts: Column) -> Column:
     return F.lower(F.concat_ws("|", *parts))
 
 
+SCALARS = ("title", "description", "version", "repository", "homepage", "updatedAt")
+#: Lists of a row that are united, and what makes two of their items the same.
+UNITED = {
+    "categories": lambda x: x,
+    "transports": lambda t: _folded(t["type"], t["url"]),
+    "packages": lambda p: _folded(p["registryType"], p["identifier"]),
+    "tools": lambda t: t["name"],
+}
+
+
 def merge_groups(rows: DataFrame, key: str = "key", pos: str = "pos") -> DataFrame:
     """One catalogue row for each ``key``, in ``pos`` the first place of its group.
 
     A group of one is left as it is.  Otherwise rows count in the order of
     source priority, then place: scalars are the first that is not blank, lists
     ordered unions, popularity the largest; identity, trust and card are those
-    of the first row.  Only rows of one identity meet in a group.
+    of the first row.
+
+    No group is collected: each value is an aggregate by its least order, made in
+    parts before rows are shuffled, and of lists only the distinct items meet, each
+    with its first place.  So one identity may have any share of the rows.
     """
     names = [n for n, _ in fields()]
-    row = F.struct((-X.source_priority(F.col("source"))).alias("o"), F.col(pos).alias("p"), F.struct(*names).alias("m"))
-    groups = rows.groupBy(key).agg(F.min(pos).alias(pos), F.transform(F.sort_array(F.collect_list(row)), lambda r: r["m"]).alias("g"))
-    g, base = F.col("g"), F.get("g", F.lit(0))
-    several = F.size("g") > 1
-    first = lambda n: F.coalesce(F.get(F.filter(F.transform(g, lambda m: m[n]), lambda x: ~X.blank(x)), F.lit(0)), base[n])
-    every = lambda n: F.flatten(F.transform(g, lambda m: m[n]))
-    merged = {n: first(n) for n in ("title", "description", "version", "repository", "homepage", "updatedAt")}
-    merged["popularity"] = F.array_max(F.transform(g, lambda m: m["popularity"]))
-    merged["categories"] = X.ordered_set(every("categories"))
-    merged["transports"] = union_by(every("transports"), lambda t: _folded(t["type"], t["url"]))
-    merged["packages"] = union_by(every("packages"), lambda p: _folded(p["registryType"], p["identifier"]))
-    merged["tools"] = union_by(every("tools"), lambda t: t["name"])
-    merged["sources"] = X.ordered_set(F.transform(g, lambda m: m["source"]))
-    return groups.select(key, pos, *[(F.when(several, merged[n]).otherwise(base[n]) if n in merged else base[n]).alias(n) for n in names])
+    held = store(rows.select(key, pos, *[c for c in names if c not in (key, pos)], F.struct((-X.source_priority(F.col("source"))).alias("o"), F.col(pos).alias("p"), F.xxhash64(*names).alias("h")).alias("_o")), "identities")
+    first = lambda n: F.min_by(n, F.when(~X.blank(F.col(n)), F.col("_o"))).alias(f"_{n}")
+    one = held.groupBy(key).agg(F.count("*").alias("_n"), F.min(pos).alias("_pos"), F.min_by(F.struct(*names), "_o").alias("_base"), F.max("popularity").alias("_popularity"), *map(first, SCALARS))
+    one = store(one, "merged")
+    several = held.join(one.where("_n > 1").select(key), key, "left_semi")
+    kinds = UNITED | {"sources": lambda x: x}
+
+    def items(n: str):
+        """Each item of list ``n`` as (list, what it is known by, place, item)."""
+        values = F.array("source") if n == "sources" else F.col(n)
+        values = F.transform(values, X.trim) if n in ("categories", "sources") else values
+        return F.transform(values, lambda x, i: F.struct(F.lit(n).alias("list"), kinds[n](x).alias("k"), i.alias("i"), *[(x if m == n else F.lit(None).cast(_item(m))).alias(m) for m in kinds]))
+
+    every = several.select(key, "_o", F.explode(F.concat(*[items(n) for n in kinds])).alias("x")).where("x.list NOT IN ('categories', 'sources') OR x.k <> ''")
+    distinct = every.groupBy(key, "x.list", "x.k").agg(F.min(F.struct("_o", "x.i")).alias("at"), F.min_by("x", F.struct("_o", "x.i")).alias("x"))
+    in_order = lambda n: F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == n, F.struct("at", F.col(f"x.{n}").alias("v"))))), lambda e: e["v"]).alias(f"_{n}")
+    lists = distinct.groupBy(key).agg(*[in_order(n) for n in kinds])
+    merged = one.join(lists, key, "left")
+    many = F.col("_n") > 1
+    value = {n: F.coalesce(f"_{n}", f"_base.{n}") for n in SCALARS} | {n: F.coalesce(f"_{n}", F.array().cast(f"array<{_item(n)}>")) for n in kinds} | {"popularity": F.col("_popularity")}
+    return merged.select(key, F.col("_pos").alias(pos), *[(F.when(many, value[n]).otherwise(F.col(f"_base.{n}")) if n in value else F.col(f"_base.{n}")).alias(n) for n in names])
+
+
+def _item(name: str) -> str:
+    """The type of the items of a list of the catalogue."""
+    return dict(fields())[name].removeprefix("array<").removesuffix(">")
 
 
 def dedup(catalog: DataFrame, pos: str = "pos") -> DataFrame:

@@ -34,11 +34,13 @@ def save_snapshot(tallies: DataFrame, path: str) -> None:
 
 
 def load_snapshot(spark, path: str) -> DataFrame:
-    """Tallies of a snapshot, the last one where a stream wrote several; none where there is no readable one."""
+    """Tallies of a snapshot, the last of each item where a stream wrote several; none where there is no readable one."""
+    counts = ("calls", "successes", "tool_errors")
     try:
         found = spark.read.parquet(path)
         if "batch" in found.columns:
-            found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
-        return found.select("mcp_id", "calls", "successes", "tool_errors")
+            last = F.max_by(F.struct(*counts), "batch")
+            return found.groupBy("mcp_id").agg(last.alias("last")).select("mcp_id", *[F.col(f"last.{c}").alias(c) for c in counts])
+        return found.select("mcp_id", *counts)
     except AnalysisException:
         return spark.createDataFrame([], "mcp_id string, calls bigint, successes bigint, tool_errors bigint")

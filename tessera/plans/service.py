@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,7 @@ from .index import Index
 from .search import search
 from .strategies import Clients
 
+LOG = logging.getLogger("tessera")
 COUNTS = ("calls", "successes", "tool_errors")
 SHOWN = ("id", "name", "title", "description", "score", "confidence", "matched_tool", "categories", "repository", "source")
 
@@ -38,22 +39,30 @@ def tools(calls: bool) -> dict[str, dict]:
 
 
 class Discovery:
-    """The calls over one index; usage is tallied by id, read from ``usage_path`` at the start and flushed there."""
+    """The calls over one index; usage is tallied by id, read from ``usage_path`` at the start and flushed there every ``flush_seconds`` and at the end."""
 
     FLUSH_SECONDS = 30.0
 
     def __init__(
         self, spark: SparkSession, index: Index, config: Config = Config(), call: Callable[[dict, str, dict], tuple[str, bool]] | None = None,
-        clock: Callable[[], float] | None = None, clients: Clients = Clients(),
+        clock: Callable[[], float] | None = None, clients: Clients = Clients(), flush_seconds: float = FLUSH_SECONDS,
     ):
         self.spark, self.index, self.config, self.call, self.clients = spark, index, config, call, clients
         if call is None and config.proxy_enabled and clients.tools:
             self.call = lambda row, tool, arguments: forward_call(row, tool, arguments, clients.tools.call)
         self.cache = ResultCache(config.cache_size, config.cache_ttl_seconds, **({"clock": clock} if clock else {}))
-        self.clock = clock or time.monotonic
         self.lock, self.dirty = threading.Lock(), False
         self.tallies: dict[str, list[int]] = self._read_usage()
-        self.flushed = self.clock()
+        self.closed = threading.Event()
+        if config.usage_path:
+            threading.Thread(target=self._flush_now_and_then, args=(flush_seconds,), daemon=True).start()
+
+    def _flush_now_and_then(self, seconds: float) -> None:
+        while not self.closed.wait(seconds):
+            try:
+                self.flush()
+            except Exception as error:  # noqa: BLE001  the tallies stay, for the next time
+                LOG.warning("usage was not written: %s", error)
 
     def _read_usage(self) -> dict[str, list[int]]:
         """Tallies of an earlier run; none where they cannot be read."""
@@ -69,10 +78,11 @@ class Discovery:
             if not self.dirty or not self.config.usage_path:
                 return False
             write_file(self.spark, self.config.usage_path, json.dumps({k: dict(zip(COUNTS, v)) for k, v in sorted(self.tallies.items())}).encode())
-            self.dirty, self.flushed = False, self.clock()
+            self.dirty = False
             return True
 
     def close(self) -> None:
+        self.closed.set()
         self.flush()
 
     def tools(self) -> dict[str, dict]:
@@ -135,8 +145,6 @@ class Discovery:
             own[1] += outcome == "success"
             own[2] += outcome == "tool_error"
             self.dirty = True
-        if self.clock() - self.flushed >= self.FLUSH_SECONDS:
-            self.flush()
 
     def usage(self) -> DataFrame:
         with self.lock:

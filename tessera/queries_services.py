@@ -118,6 +118,19 @@ def indexed_by_models(spark, sf_dir):
     return made.catalog.select(F.col("popularity").alias("k"), r6(F.col("trust")).alias("trust"), F.col("enrichment.enricher").alias("enricher"), F.size("tools").cast("bigint").alias("tools"))
 
 
+@query("""WITH rows AS (SELECT s_suppkey AS k, 'rows' AS x FROM supplier), failed AS (
+    SELECT 'cards' AS stage, k, 'ValueError: the answer has no object' AS why FROM rows WHERE k % 2 = 1 UNION ALL SELECT 'trust', k, 'ValueError: the answer has no object' FROM rows WHERE k % 2 = 1
+    UNION ALL SELECT 'tools', k, NULL FROM rows WHERE k % 4 > 0 AND k % 5 > 0 AND k % 3 = 0)
+  SELECT stage, count(*)::BIGINT AS failures, (count(*) FILTER (why IS NOT NULL))::BIGINT AS unreadable FROM failed GROUP BY stage""")
+def stage_failures(spark, sf_dir):
+    """How many rows each stage that asks other machines has failed for, as the log tells it."""
+    rows = suppliers(spark, sf_dir)
+    stages = {"cards": remote.asked_cards(rows, clients_for(MODEL, _chat).chat), "trust": remote.asked_trust(rows, ChatClient("", "m", send=_chat)), "tools": remote.probe_tools(rows, ToolServer(send=_rpc).list_tools)}
+    found = [d.select(F.lit(n).alias("stage"), "failed").where("failed IS NOT NULL") for n, d in stages.items()]
+    unreadable = F.count(F.when(F.col("failed").contains("no object"), 1))
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("stage").agg(F.count("*").alias("failures"), unreadable.alias("unreadable"))
+
+
 @query("SELECT unnest(['messages', 'chat', 'chat without a task']) AS client, unnest(['m|be short|hi', 'm|be short|hi', 'm||hi']) AS answer")
 def model_clients(spark, sf_dir):
     clients = {"messages": MessagesClient("k", "m", send=_chat), "chat": ChatClient("k", "m", send=_chat), "chat without a task": ChatClient("", "m", send=_chat)}
@@ -236,16 +249,14 @@ def service_calls(spark, sf_dir):
 
 @query("SELECT s_name AS id, (1 + s_suppkey % 3)::BIGINT AS calls, (1 + s_suppkey % 3)::BIGINT AS successes FROM supplier")
 def usage_persisted(spark, sf_dir):
-    """Tallies are flushed when half a minute has passed and at the end; the next service starts from them."""
-    now, path = [0.0], f"{new_path(spark, 'usage')}/usage.json"
-    config, index = Config(usage_path=path), None
-    first = Discovery(spark, index, config, clock=lambda: now[0])
+    """Tallies are flushed from time to time and at the end; the next service starts from them."""
+    config, index = Config(usage_path=f"{new_path(spark, 'usage')}/usage.json"), None
+    first = Discovery(spark, index, config, flush_seconds=3600.0)
     ids = [(r["s_name"], 1 + r["s_suppkey"] % 3) for r in read(spark, sf_dir, "supplier").select("s_name", "s_suppkey").collect()]
     for id_, _ in ids:
         first._record(id_, "success")
     if Discovery(spark, index, config).tallies:
         raise ValueError("flushed too early")
-    now[0] = 31.0
     for id_, n in ids:
         for _ in range(n - 1):
             first._record(id_, "success")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import logging
 import re
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
 from email.utils import parsedate_to_datetime
+from itertools import islice
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +27,7 @@ from .operators.enrich import card
 from .schema import CARD, TOOL
 from .scratch import ship, store
 
+LOG = logging.getLogger("tessera")
 RETRYABLE = (429, 500, 502, 503, 504)
 Client = Callable[[str, str], str]
 
@@ -100,26 +104,55 @@ def headers_for(credentials: dict | None, id_: str, host: str) -> dict[str, str]
 
 
 def bounded_map(function: Callable, items: list, together: int = 8, timeout: float | None = None) -> list[tuple[object, str | None]]:
-    """(result, None) or (None, error) of each item, in order; ``together`` run at a time, and one that takes longer than ``timeout`` seconds has failed."""
-    if not items:
-        return []
-    pool = ThreadPoolExecutor(max(1, together))
-    running: list[Future] = [pool.submit(function, x) for x in items]
-    out: list[tuple[object, str | None]] = []
-    for i, future in enumerate(running):
+    """(result, None) or (None, error) of each item, in order.
+
+    ``together`` run at a time.  An item that is not done ``timeout`` seconds after
+    its own start has failed, and its place goes to the next one; what it still
+    does in its thread is not waited for.
+    """
+    out: list = [None] * len(items)
+    done: SimpleQueue = SimpleQueue()
+    started: dict[int, float] = {}
+    following = iter(range(len(items)))
+
+    def run(i: int) -> None:
         try:
-            # those before it have ended or failed, so it waits for a place no longer than they took
-            out.append((future.result(None if timeout is None else timeout * (1 + i // max(1, together))), None))
+            done.put((i, (function(items[i]), None)))
         except Exception as error:  # noqa: BLE001  counted by the caller
-            future.cancel()
-            out.append((None, f"{type(error).__name__}: {error}"))
-    pool.shutdown(wait=False, cancel_futures=True)
-    return out
+            done.put((i, (None, f"{type(error).__name__}: {error}")))
+
+    while True:
+        for i in islice(following, max(1, together) - len(started)):
+            started[i] = time.monotonic()
+            Thread(target=run, args=(i,), daemon=True).start()
+        if not started:
+            return out
+        try:
+            i, result = done.get(timeout=None if timeout is None else max(0.0, min(started.values()) + timeout - time.monotonic()))
+            if started.pop(i, None) is not None:  # otherwise it has failed before
+                out[i] = result
+        except Empty:
+            now = time.monotonic()
+            for i in [i for i, began in started.items() if began + timeout <= now]:
+                del started[i]
+                out[i] = (None, f"TimeoutError: not done after {timeout} s")
+
+
+def outcomes(found: DataFrame, label: str, most: int = 5) -> tuple[int, int, list[str]]:
+    """How many rows of (id, failed) there are, how many of them failed, and the first ``most`` failures by id; the latter two go to the log."""
+    n, bad = found.agg(F.count("*"), F.count("failed")).first()
+    first = [f"{r['id']}: {r['failed']}" for r in found.where("failed IS NOT NULL").orderBy("id").select("id", "failed").limit(most).collect()] if bad else []
+    for line in first:
+        LOG.warning("%s: %s", label, line)
+    if bad:
+        LOG.warning("%s completed with %d failures of %d (the fallback counts)", label, bad, n)
+    return n, bad, first
 
 
 def extract_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[list[dict], str]], together: int = 8, timeout: float | None = 20.0) -> DataFrame:
     """``catalog`` with the tools of rows that have none but have transports, asked for page by page; see ``probe_tools``."""
     found = store(probe_tools(catalog, list_tools, together, timeout), "probed")
+    outcomes(found, "tool extraction")
     joined = catalog.join(found.where("failed is null").select("id", "found"), "id", "left")
     return joined.withColumn("tools", F.when(F.size("tools") > 0, F.col("tools")).otherwise(F.coalesce("found", "tools"))).select(*catalog.columns)
 
@@ -128,8 +161,9 @@ def probe_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[
     """id, found, failed of rows that have no tools but transports.
 
     ``list_tools(kind, url, cursor)`` gives tools and the next cursor.  The first
-    transport with tools counts; a transport that fails is passed over, and a
-    row of which none can be asked has no tools and no failure.  Each task asks
+    transport with tools counts; a transport that fails is passed over, a row all
+    of whose transports fail has failed with the first error, and one of which none
+    can be asked has no tools and no failure.  Each task asks
     ``together`` rows at a time; a row that is not done after ``timeout`` has failed.
     """
     ship(catalog.sparkSession)
@@ -137,6 +171,7 @@ def probe_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[
     usable = F.filter(F.transform("transports", lambda t: F.struct(client_transport(t["type"], t["url"]).alias("kind"), t["url"].alias("url"))), lambda t: t["kind"] != "none")
 
     def one(ways) -> list[dict]:
+        failures = []
         for way in ways:
             try:
                 cursor, tools = "", []
@@ -145,10 +180,13 @@ def probe_tools(catalog: DataFrame, list_tools: Callable[[str, str, str], tuple[
                     tools += page
                     if not cursor:
                         break
-            except Exception:  # noqa: BLE001  best effort: the next transport may answer
+            except Exception as error:  # noqa: BLE001  best effort: the next transport may answer
+                failures.append(error)
                 continue
             if tools:
                 return [{"name": t.get("name", ""), "description": t.get("description", "")} for t in tools]
+        if failures and len(failures) == len(ways):
+            raise failures[0]
         return []
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,42 +224,58 @@ def parse_order(raw: str, n: int) -> list[int]:
     return places
 
 
-def _ask(client: Client, task: str, row: dict) -> dict | None:
-    try:
-        return parse_object(client(task, json.dumps({k: row[k] for k in ("name", "title", "description")}, ensure_ascii=False)))
-    except Exception:  # noqa: BLE001  a failing model leaves the heuristic's answer
-        return None
+def _ask(client: Client, task: str, row: dict) -> dict:
+    found = parse_object(client(task, json.dumps({k: row[k] for k in ("name", "title", "description")}, ensure_ascii=False)))
+    if found is None:
+        raise ValueError("the answer has no object")
+    return found
 
 
-def model_cards(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
-    """Cards by a language model, ``together`` asked for at a time; the heuristic's where it fails."""
+def asked_cards(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
+    """id, card, failed: cards by a language model, ``together`` asked for at a time."""
     ship(catalog.sparkSession)
     names = ("tasks", "exampleQueries", "synonyms", "categories")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for got, _ in bounded_map(lambda row: _ask(client, CARD_TASK, row), frame.to_dict("records"), together):
-                out.append(got and {"summary": str(got.get("summary", "")), "enricher": "llm"} | {n: [str(x) for x in got.get(n) or []] for n in names})
-            yield pd.DataFrame({"id": frame["id"], "card": out})
+            got = bounded_map(lambda row: _ask(client, CARD_TASK, row), frame.to_dict("records"), together)
+            cards = [None if c is None else {"summary": str(c.get("summary", "")), "enricher": "llm"} | {n: [str(x) for x in c.get(n) or []] for n in names} for c, _ in got]
+            yield pd.DataFrame({"id": frame["id"], "card": cards, "failed": [e for _, e in got]})
 
-    got = catalog.select("id", "name", "title", "description").mapInPandas(run, f"id string, card {CARD}").dropDuplicates(["id"])
+    return catalog.select("id", "name", "title", "description").mapInPandas(run, f"id string, card {CARD}, failed string").dropDuplicates(["id"])
+
+
+def model_cards(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
+    """Cards by a language model; the heuristic's where it fails, which is counted in the log."""
+    got = store(asked_cards(catalog, client, together), "cards")
+    outcomes(got, "enrichment")
     own = card(F.col("description"), F.col("title"), F.col("tools")).cast(CARD)
-    return catalog.join(got, "id", "left").withColumn("enrichment", F.coalesce("card", own)).select(*catalog.columns)
+    return catalog.join(got.drop("failed"), "id", "left").withColumn("enrichment", F.coalesce("card", own)).select(*catalog.columns)
 
 
-def model_trust(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
-    """Half the trust there is, half the model's; unchanged where it fails."""
+def asked_trust(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
+    """id, q, why, flags, failed: how a language model rates the rows; an answer without a number is a failure."""
     ship(catalog.sparkSession)
 
+    def rated(row: dict) -> dict:
+        found = _ask(client, QUALITY_TASK, row)
+        if not isinstance(found.get("quality"), int | float):
+            raise ValueError("the answer has no quality")
+        return {"q": min(1.0, max(0.0, float(found["quality"]))), "why": str(found.get("rationale", "")), "flags": [str(x) for x in found.get("flags") or []]}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [g for g, _ in bounded_map(lambda row: _ask(client, QUALITY_TASK, row), frame.to_dict("records"), together)]
-            good = [g if g and isinstance(g.get("quality"), int | float) else None for g in got]
-            yield pd.DataFrame({"id": frame["id"], "q": [g and min(1.0, max(0.0, float(g["quality"]))) for g in good], "why": [g and str(g.get("rationale", "")) for g in good], "flags": [g and [str(x) for x in g.get("flags") or []] for g in good]})
+            got = bounded_map(rated, frame.to_dict("records"), together)
+            yield pd.DataFrame({"id": frame["id"], **{n: [g and g[n] for g, _ in got] for n in ("q", "why", "flags")}, "failed": [e for _, e in got]})
+
+    return catalog.select("id", "name", "title", "description").mapInPandas(run, "id string, q double, why string, flags array<string>, failed string").dropDuplicates(["id"])
 
-    got = catalog.select("id", "name", "title", "description").mapInPandas(run, "id string, q double, why string, flags array<string>").dropDuplicates(["id"])
-    joined = catalog.join(got, "id", "left")
+
+def model_trust(catalog: DataFrame, client: Client, together: int = 8) -> DataFrame:
+    """Half the trust there is, half the model's; unchanged where it fails, which is counted in the log."""
+    got = store(asked_trust(catalog, client, together), "trust")
+    outcomes(got, "trust scoring")
+    joined = catalog.join(got.drop("failed"), "id", "left")
     return joined.withColumns({"trust": F.coalesce(0.5 * F.col("trust") + 0.5 * F.col("q"), "trust"), "trustRationale": F.coalesce("why", "trustRationale"), "trustFlags": F.coalesce("flags", "trustFlags")}).select(*catalog.columns)
 
 

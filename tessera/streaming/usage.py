@@ -16,12 +16,19 @@ def start_tally(events: DataFrame, checkpoint: str, name: str, once: bool = Fals
 
 
 def start_snapshots(events: DataFrame, checkpoint: str, path: str, once: bool = False) -> StreamingQuery:
-    """Writes each new state of the tallies to ``path``, a directory for each batch; the last one is the snapshot."""
+    """Writes the tallies that a batch has changed to ``path``, a directory for each batch; ``load_snapshot`` takes the last of each item.
 
-    def flush(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{path}/batch={batch:012d}")
+    The tallies themselves are the stream's keyed state, which the checkpoint
+    keeps, so a restart goes on from them.  A batch that is repeated has the same
+    number and overwrites its own directory.  Where there are more items than fit
+    in an executor, set ``spark.sql.streaming.stateStore.providerClass`` to
+    Spark's RocksDB provider.
+    """
 
-    writer = tally(events).writeStream.outputMode("complete").foreachBatch(flush).option("checkpointLocation", checkpoint)
+    def flush(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch:012d}")
+
+    writer = tally(events).writeStream.outputMode("update").foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 

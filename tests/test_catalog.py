@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tessera.plans.search import search
 from tessera.plans.service import Discovery
 from tessera.schema import CATALOG, QUERIES, normalized
 from tessera.sources.catalogs import FileSource, MultiSource, RegistrySource, RepositorySource, load_golden
-from tessera.streaming.usage import start_tally
+from tessera.streaming.usage import start_snapshots, start_tally
 
 ROWS = [
     {"name": "mail", "title": "Mail", "description": "Send and read electronic mail.", "categories": ["communication"], "tools": [{"name": "send_email", "description": "Send an email to a customer. Fast."}]},
@@ -72,6 +73,24 @@ def test_one_identity_becomes_one_row(spark):
     assert got["3"]["sources"] == []
 
 
+def test_one_identity_may_have_any_share_of_the_rows(spark):
+    """200,000 rows of one identity: no task gets them all, and the first of every value wins as in a small group."""
+    n = 200_000
+    i = F.col("id")
+    rows = spark.range(n).select(
+        F.lpad(i.cast("string"), 9, "0").alias("pos"), i.cast("string").alias("id"), F.lit("Same").alias("name"), F.when(i % 3 == 0, "registry").otherwise("file").alias("source"), F.when(i > 5, F.concat(F.lit("d"), i)).otherwise(" ").alias("description"),
+        F.array(F.concat(F.lit("c"), (i % 4).cast("string")), F.lit(" ")).alias("categories"), F.array(F.struct(F.concat(F.lit("t"), (i % 3).cast("string")).alias("name"), i.cast("string").alias("description"))).alias("tools"), (i % 1000).alias("popularity"),
+    ).repartition(8)
+    other = spark.createDataFrame([("x", "alone", "file")], "id string, name string, source string").withColumn("pos", F.lit("9"))
+    got = {r["name"]: r for r in resolve.dedup(normalized(rows, "pos").unionByName(normalized(other, "pos"))).collect()}
+    same = got["Same"]
+    assert (same["id"], same["description"], same["popularity"], same["sources"]) == ("0", "d6", 999, ["registry", "file"])
+    assert same["categories"] == ["c0", "c3", "c2", "c1"] and [(t["name"], t["description"]) for t in same["tools"]] == [("t0", "0"), ("t1", "1"), ("t2", "2")]
+    assert got["alone"]["sources"] == [] and got["alone"]["pos"] == "9"
+    plan = resolve.merge_groups(normalized(rows, "pos").withColumn("key", F.lit("k")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_o" not in plan
+
+
 def test_cards(spark, catalog_file):
     got = {r["id"]: r["enrichment"] for r in enrich.enrich(FileSource(catalog_file).fetch(spark)).collect()}
     assert got["mail"]["tasks"] == ["send email"]
@@ -144,6 +163,33 @@ def test_usage_batch_and_stream(spark, tmp_path):
     assert {r["mcp_id"]: r["calls"] for r in both.collect()} == {"good": 10, "bad": 10}
 
 
+def test_usage_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs over growing input: the tallies equal the batch's, and a batch writes the items that it changed alone."""
+    land = lambda n, rows: spark.createDataFrame(rows, "mcp_id string, outcome string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    go = lambda: start_snapshots(spark.readStream.schema("mcp_id string, outcome string").parquet(f"{tmp_path}/in/*"), f"{tmp_path}/ck", f"{tmp_path}/out", once=True).awaitTermination()
+    land(1, [(f"i{k % 50}", "success") for k in range(200)])
+    go()
+    land(2, [("i7", "tool_error"), ("new", "unreachable")])
+    go()
+    every = usage.tally(spark.read.schema("mcp_id string, outcome string").parquet(f"{tmp_path}/in/*"))
+    assert sorted(map(tuple, usage.load_snapshot(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, every.collect()))
+    written = spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().orderBy("batch").collect()
+    assert [r["count"] for r in written] == [50, 2]
+
+
+def test_tallies_are_flushed_by_time(spark, index, tmp_path):
+    """Without a further call."""
+    service = Discovery(spark, index, Config(usage_path=f"{tmp_path}/usage.json"), lambda *_: ("", False), flush_seconds=0.2)
+    service._record("mail", "success")
+    for _ in range(100):
+        if (tmp_path / "usage.json").exists():
+            break
+        time.sleep(0.1)
+    service.close()
+    assert json.loads((tmp_path / "usage.json").read_text()) == {"mail": {"calls": 1, "successes": 1, "tool_errors": 0}}
+    assert not service.flush()
+
+
 def test_service(spark, index):
     calls = []
 

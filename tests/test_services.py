@@ -11,6 +11,7 @@ from tessera import clients, remote, server
 from tessera.operators import encode, points, resolve, retrieve
 from tessera.plans.config import Config
 from tessera.plans.strategies import clients_for, steps_for
+from tessera.schema import normalized
 from tessera.scratch import new_path, read_file, write_file
 
 
@@ -72,6 +73,34 @@ def test_bounded_calls():
     assert remote.bounded_map(lambda x: 1 / x, [0, 1], 2)[0][1].startswith("ZeroDivisionError") and remote.bounded_map(slow, []) == []
 
 
+def test_deadlines_count_from_each_start():
+    """12 calls that hang, 4 at a time, with a second each, take 3 seconds; a slow one before others does not fail them."""
+    began = time.monotonic()
+    got = remote.bounded_map(lambda x: time.sleep(30), list(range(12)), 4, 1.0)
+    assert 2.9 < time.monotonic() - began < 4.5 and all(g[0] is None and "Timeout" in g[1] for g in got)
+    slow = lambda x: time.sleep(x) or x
+    assert remote.bounded_map(slow, [0.3] * 10 + [5.0], 2, 0.6) == [(0.3, None)] * 10 + [(None, "TimeoutError: not done after 0.6 s")]
+
+
+def test_failures_are_counted_and_the_first_are_told(spark, caplog):
+    rows = normalized(spark.createDataFrame([(f"{i:02d}", f"n{i}", [("sse", f"u{i}")]) for i in range(20)], "id string, name string, transports array<struct<type:string,url:string>>"))
+
+    def client(task, user):
+        k = int(json.loads(user)["name"][1:])
+        if k % 2:
+            raise OSError(f"no answer {k}")
+        return "{}" if k % 4 else '{"quality": 1, "summary": "s"}'
+
+    with caplog.at_level("WARNING", "tessera"):
+        assert {r["enrichment"]["enricher"] for r in remote.model_cards(rows, client).collect()} == {"llm", "heuristic"}
+        remote.model_trust(rows, client)
+        remote.extract_tools(rows, lambda kind, url, cursor: client("", json.dumps({"name": "n" + url[1:]})) and ([], ""))
+    said = [r.getMessage() for r in caplog.records]
+    assert said[:6] == [*[f"enrichment: {k:02d}: OSError: no answer {k}" for k in (1, 3, 5, 7, 9)], "enrichment completed with 10 failures of 20 (the fallback counts)"]
+    assert "trust scoring: 02: ValueError: the answer has no quality" in said and "trust scoring completed with 15 failures of 20 (the fallback counts)" in said
+    assert "tool extraction completed with 10 failures of 20 (the fallback counts)" in said
+
+
 def answering(status, body, headers=None):
     return lambda *_: (status, headers or {}, json.dumps(body).encode())
 
