@@ -7,6 +7,9 @@ outside world would have them; the sources then read them.
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame
@@ -20,9 +23,10 @@ from .plans.cache import ResultCache, cache_key
 from .plans.config import Config
 from .queries import _EVAL, _FIRST, _KEYS, _TALLY, BM25, TF, TOP, _calls, _counts, _judged, _topk, _words, bm25_scores, query, r6, read, tf_scores, tooled
 from .schema import normalized
-from .scratch import new_path, write_file
-from .sources import fetch
-from .sources.catalogs import OFFICIAL, FileSource, MultiSource, RegistrySource, RepositorySource, load_golden
+from .scratch import new_path, store, write_file
+from .sources import fetch, pages
+from .sources.catalogs import FileSource, MultiSource, RegistrySource, RepositorySource, load_golden, parsed_pages, registry_rows
+from .sources.formats import OFFICIAL
 from .streaming.usage import start_snapshots
 
 # ---- sources
@@ -84,6 +88,50 @@ def registry_source_rows(spark, sf_dir):
     return _registered(RegistrySource(folder).fetch(spark))
 
 
+@contextmanager
+def _served(spark, get):
+    """The address at which the driver answers requests as ``get`` does."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            status, body = get(self.path)
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args) -> None:
+            return
+
+    host = spark.conf.get("spark.driver.host", None) or "127.0.0.1"
+    server = ThreadingHTTPServer((host, 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://{host}:{server.server_port}"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query(_REGISTERED)
+def registry_source_fetched(spark, sf_dir):
+    """The same rows by the data source: executors fetch the pages by cursor from an address."""
+    with _served(spark, _registry(spark, sf_dir)) as url:
+        return _registered(store(RegistrySource(url).fetch(spark), "registry"))
+
+
+@query(_REGISTERED)
+def registry_source_streamed(spark, sf_dir):
+    """And by its stream: each run takes the servers that are new; two runs give them all, once."""
+    folder = new_path(spark, "registry-stream")
+    pages.register(spark)
+    with _served(spark, _registry(spark, sf_dir)) as url:
+        for _ in range(2):
+            rows = registry_rows(parsed_pages(spark.readStream.format("registry_pages").option("url", url).load()))
+            rows.drop("pos").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    return _registered(normalized(spark.read.parquet(f"{folder}/rows")))
+
+
 @query(f"SELECT * FROM ({_REGISTERED}) ORDER BY id LIMIT 7")
 def registry_source_limit(spark, sf_dir):
     """The limit is a feature of the source: the first latest versions in page order."""
@@ -126,9 +174,9 @@ def _repositories(spark, sf_dir):
 def repository_source_rows(spark, sf_dir):
     """Searches by topic, one of which fails; archived repositories go, doubles count once, descriptions overlay defaults."""
     get, folder = _repositories(spark, sf_dir), new_path(spark, "repositories")
-    pages = list(fetch.search_pages(get, "https://s"))
-    fetch.land(iter(pages), f"{folder}/pages", spark)
-    fetch.land_descriptions(get, "https://raw", pages, f"{folder}/described", spark)
+    found = list(fetch.search_pages(get, "https://s"))
+    fetch.land(iter(found), f"{folder}/pages", spark)
+    fetch.land_descriptions(get, "https://raw", found, f"{folder}/described", spark)
     rows = RepositorySource(f"{folder}/pages", f"{folder}/described").fetch(spark)
     return rows.select("id", "name", "title", "description", "version", "repository", "homepage", F.array_join("categories", ",").alias("categories"), "popularity", "updatedAt", "source")
 

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..remote import bounded_map
 from ..schema import CATALOG, GOLDEN, fields, normalized
-from ..scratch import store
-
-#: The public server description format.
-SERVER_JSON = """name string, title string, description string, version string, repository struct<url:string>, websiteUrl string,
-remotes array<struct<type:string,url:string>>, packages array<struct<registryType:string,identifier:string,version:string,transport:struct<type:string>>>"""
-_SERVER = "struct<" + SERVER_JSON.replace("\n", " ").replace(" string", ":string").replace("repository struct", "repository:struct").replace("remotes array", "remotes:array").replace("packages array", "packages:array") + ">"
-#: The public key of registry metadata.
-OFFICIAL = "io.modelcontextprotocol.registry/official"
-REGISTRY_PAGE = f"servers array<struct<server:{_SERVER},_meta:struct<`{OFFICIAL}`:struct<status:string,isLatest:boolean,updatedAt:string>>>>, metadata struct<nextCursor:string,count:bigint>"
-#: Pages of a repository search, with the place of the topic query that found them.
-SEARCH_PAGE = """query_idx int, total_count bigint, items array<struct<full_name:string,name:string,owner:struct<login:string>,description:string,html_url:string,
-homepage:string,topics:array<string>,pushed_at:string,stargazers_count:bigint,default_branch:string,archived:boolean>>"""
-TOPIC_QUERIES = ("topic:mcp-server", "topic:model-context-protocol", "topic:mcp")
+from ..scratch import ship, store
+from . import fetch
+from . import pages as pages_source
+from .formats import OFFICIAL, REGISTRY_PAGE, SEARCH_PAGE, SERVER
 
 
 class Source(Protocol):
@@ -65,8 +59,25 @@ class FileSource:
         return _with_pos(out)
 
 
+def _remote(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+def registry_rows(pages: DataFrame) -> DataFrame:
+    """Catalogue rows of pages (file, servers): the latest versions, with ``pos``."""
+    entries = pages.select("file", F.posexplode("servers").alias("i", "e"))
+    meta = F.col("e._meta").getField(OFFICIAL)
+    rows = entries.where(F.coalesce(meta["isLatest"], F.lit(False)))
+    return rows.select(*from_server_json(F.col("e.server"), RegistrySource.name), meta["updatedAt"].alias("updatedAt"), F.struct("file", "i").alias("pos"))
+
+
+def parsed_pages(bodies: DataFrame) -> DataFrame:
+    """(file, servers) of pages (place, body) as the data source gives them, in batches and streams."""
+    return bodies.select(F.lpad(F.col("place").cast("string"), 12, "0").alias("file"), F.from_json("body", REGISTRY_PAGE).alias("p")).select("file", "p.servers")
+
+
 class RegistrySource:
-    """Registry pages that were landed as JSON files, in the order of their names; only latest versions."""
+    """Registry pages; only latest versions.  ``path`` has pages that were landed as JSON files, in the order of their names, or is the registry's own address."""
 
     name = "registry"
 
@@ -74,15 +85,15 @@ class RegistrySource:
         self.path = path
 
     def fetch(self, spark: SparkSession, limit: int = 0) -> DataFrame:
-        pages = spark.read.schema(REGISTRY_PAGE).json(self.path, multiLine=True).select(F.input_file_name().alias("file"), F.posexplode("servers").alias("i", "e"))
-        meta = F.col("e._meta").getField(OFFICIAL)
-        rows = pages.where(F.coalesce(meta["isLatest"], F.lit(False)))
-        rows = rows.select(*from_server_json(F.col("e.server"), self.name), meta["updatedAt"].alias("updatedAt"), F.struct("file", "i").alias("pos"))
-        return _with_pos(_limited(rows, limit))
+        if _remote(self.path):
+            pages = parsed_pages(pages_source.load(spark, "registry_pages", url=self.path, limit=limit))
+        else:
+            pages = spark.read.schema(REGISTRY_PAGE).json(self.path, multiLine=True).select(F.input_file_name().alias("file"), "servers")
+        return _with_pos(_limited(registry_rows(pages), limit))
 
 
 class RepositorySource:
-    """Landed pages of repository searches and, beside them, server descriptions by ``full_name``."""
+    """Pages of repository searches, landed or at the address of the search, and server descriptions by ``full_name``, landed or at the address that serves them."""
 
     name = "github"
 
@@ -90,18 +101,41 @@ class RepositorySource:
         self.pages, self.descriptions = pages, descriptions
 
     def fetch(self, spark: SparkSession, limit: int = 0) -> DataFrame:
-        found = spark.read.schema(SEARCH_PAGE).json(self.pages, multiLine=True).select("query_idx", F.input_file_name().alias("file"), F.posexplode("items").alias("i", "r"))
+        if _remote(self.pages):
+            bodies = pages_source.load(spark, "repository_pages", url=self.pages, limit=limit)
+            pages = bodies.select("query_idx", F.lpad(F.col("page").cast("string"), 12, "0").alias("file"), F.from_json("body", SEARCH_PAGE)["items"].alias("items"))
+        else:
+            pages = spark.read.schema(SEARCH_PAGE).json(self.pages, multiLine=True).select("query_idx", F.input_file_name().alias("file"), "items")
+        found = pages.select("query_idx", "file", F.posexplode("items").alias("i", "r"))
         first = W.partitionBy("r.full_name").orderBy("query_idx", "file", "i")
         repos = found.where(~F.coalesce(F.col("r.archived"), F.lit(False)) & (F.coalesce(F.col("r.full_name"), F.lit("")) != "")).withColumn("n", F.row_number().over(first)).where("n = 1")
         repos = _limited(repos.select("r", F.struct("query_idx", "file", "i").alias("pos")), limit)
-        if self.descriptions:
-            described = spark.read.schema(f"full_name string, server {_SERVER}").json(self.descriptions)
-            repos = repos.join(described, F.col("r.full_name") == F.col("full_name"), "left")
+        if self.descriptions and _remote(self.descriptions):
+            repos = store(repos, "repositories")  # asked for once
+            repos = repos.join(store(described(repos, self.descriptions), "descriptions"), F.col("r.full_name") == F.col("full_name"), "left")
+        elif self.descriptions:
+            landed = spark.read.schema(f"full_name string, server {SERVER}").json(self.descriptions)
+            repos = repos.join(landed, F.col("r.full_name") == F.col("full_name"), "left")
         else:
-            repos = repos.withColumn("server", F.lit(None).cast(_SERVER))
+            repos = repos.withColumn("server", F.lit(None).cast(SERVER))
         return _with_pos(repositories(repos))
 
 
+def described(repos: DataFrame, base: str, together: int = 10) -> DataFrame:
+    """full_name and server of the repositories that have a description at ``base``; executors ask, ``together`` at a time in each task."""
+
+    def run(frames):
+        get = pages_source.getter({})
+        for frame in frames:
+            wanted = list(zip(frame["full_name"], frame["branch"]))
+            got = [d for d, _ in bounded_map(lambda w: fetch.server_description(get, base.rstrip("/"), *w), wanted, together)]
+            yield pd.DataFrame({"full_name": [n for (n, _), d in zip(wanted, got) if d is not None], "body": [json.dumps(d) for d in got if d is not None]})
+
+    ship(repos.sparkSession)
+    asked = repos.select("r.full_name", F.coalesce("r.default_branch", F.lit("")).alias("branch"))
+    return asked.mapInPandas(run, "full_name string, body string").select("full_name", F.from_json("body", SERVER).alias("server"))
+
+
 def repositories(repos: DataFrame) -> DataFrame:
     """Catalogue rows of (r, server, pos): the description where there is one, defaults from the repository."""
     own = repos.select("pos", "r", *from_server_json(F.col("server"), "github"))

@@ -14,7 +14,7 @@ from urllib.parse import quote, urlencode
 from pyspark.sql import SparkSession
 
 from ..scratch import write_file
-from .catalogs import OFFICIAL, TOPIC_QUERIES
+from .formats import OFFICIAL, TOPIC_QUERIES
 
 Get = Callable[[str], tuple[int, bytes]]
 REGISTRY_PAGE_SIZE, SEARCH_PAGE_SIZE, SEARCH_PAGES = 100, 100, 10
@@ -30,11 +30,15 @@ def _page(get: Get, url: str) -> dict:
     return json.loads(body)
 
 
+def registry_page(get: Get, base: str, cursor: str = "") -> dict:
+    return _page(get, f"{base}/v0/servers?" + urlencode({"limit": REGISTRY_PAGE_SIZE} | ({"cursor": cursor} if cursor else {})))
+
+
 def registry_pages(get: Get, base: str, limit: int = 0) -> Iterator[dict]:
     """Pages in cursor order, until the last or until ``limit`` latest versions were seen; any failure ends it with an error."""
     cursor, seen = "", 0
     while True:
-        page = _page(get, f"{base}/v0/servers?" + urlencode({"limit": REGISTRY_PAGE_SIZE} | ({"cursor": cursor} if cursor else {})))
+        page = registry_page(get, base, cursor)
         yield page
         seen += sum(bool((e.get("_meta") or {}).get(OFFICIAL, {}).get("isLatest")) for e in page.get("servers") or [])
         cursor = (page.get("metadata") or {}).get("nextCursor") or ""
