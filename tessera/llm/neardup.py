@@ -179,8 +179,10 @@ def crowd_links(sets: list[np.ndarray], roots: list, percent: int, region: int =
 
     First the sets made of the commonest elements are compared with all others,
     as long as each joins many; then every set outside the largest component
-    meets those of other components with which its prefix shares an element.
-    Two components always have a set outside the largest, so no link is lost.
+    counts the rarer elements that it shares with each other set, by their lists
+    of holders, and is compared in full only with those that could be similar if
+    they shared all common ones.  Two components always have a set outside the
+    largest, so no link is lost.
     """
     m = len(sets)
     n = np.array([len(s) for s in sets])
@@ -207,39 +209,50 @@ def crowd_links(sets: list[np.ndarray], roots: list, percent: int, region: int =
             break
     if (label == label[0]).all():
         return found
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    prefix = []
-    for x in range(m):
-        mine = own(x)
-        size = int(n[x]) + (-percent * int(n[x])) // 100 + 1
-        prefix.append(mine[np.argsort(rank[mine])[:size]])
-    sizes = np.array([len(q) for q in prefix])
-    token, owner = np.concatenate(prefix), np.repeat(np.arange(m), sizes)
-    by_token = np.argsort(token, kind="stable")
-    token, owner = token[by_token], owner[by_token]
-    ends = np.searchsorted(token, np.arange(len(count) + 1))
+    # of the rarer elements of two sets as many as they share, of the others at most as many as the smaller set has
+    rare = count <= max(2, m // RARE)
+    owner = np.repeat(np.arange(m), n)
+    order = np.argsort(code, kind="stable")
+    holders, ends = owner[order], np.concatenate([[0], np.cumsum(count)])
+    usual = n - np.add.reduceat(rare[code].astype(np.int64), starts[:-1])
     values, held = np.unique(label, return_counts=True)
     largest = np.flatnonzero(label == values[held.argmax()])[0]
     for x in range(m):
         if label[x] == label[largest]:
             continue
-        near = np.unique(np.concatenate([owner[ends[t] : ends[t + 1]] for t in prefix[x]]))
-        near = near[(label[near] != label[x]) & (100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x]))]
-        mask[own(x)] = 1
-        for y in near:
-            if label[y] != label[x]:
-                common = mask[own(y)].sum()
-                if 100 * common >= percent * (n[x] + n[y] - common):
+        mine = own(x)
+        shared = np.bincount(_ranges(holders, ends, mine[rare[mine]]), minlength=m) + np.minimum(usual, usual[x])
+        near = np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (label != label[x]))
+        if not len(near):
+            continue
+        mask[mine] = 1
+        for at in range(0, len(near), AT_ONCE):
+            some = near[at : at + AT_ONCE]
+            common = np.add.reduceat(mask[_ranges(code, starts, some)], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+            for y in some[100 * common >= percent * (n[some] + n[x] - common)]:
+                if label[y] != label[x]:
                     join(x, y)
-        mask[own(x)] = 0
+        mask[mine] = 0
     return found
 
 
+#: Elements that one set in so many has, or fewer, are looked up; so many sets are compared in full at once.
+RARE, AT_ONCE = 8, 1024
+
+
+def _ranges(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``values[ends[i] : ends[i + 1]]`` for each i of ``which``, one after another."""
+    size = ends[which + 1] - ends[which]
+    return values[np.repeat(ends[which] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
 def _join_crowds(crowded: DataFrame, stars: DataFrame, sets: DataFrame, rules: Forest) -> DataFrame | None:
     """Links (a, b) between components that meet in a crowd; None where no crowd has two."""
     rows = crowded.join(stars, "node", "left").select("tree", "start", "node", F.coalesce("root", "node").alias("root"))
-    split = rows.groupBy("tree", "start").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("tree", "start")
+    same = (F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_h"))
+    split = rows.groupBy("tree", "start").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), *same).where("_a <> _b")
+    # trees in which the same classes are a crowd need one look
+    split = split.groupBy("_n", "_h").agg(F.min(F.struct("tree", "start")).alias("c")).select("c.tree", "c.start")
     rows = materialize(attach(rows, materialize(split, "split"), ["tree", "start"]).join(sets.select(F.col("set_key").alias("node"), F.length("set").alias("bytes")), "node"), "crowded")
     blocks = materialize(rows.groupBy("tree", "start").agg(F.ceil(F.sum("bytes") / rules.block).cast("int").alias("k")), "blocks")
     if not blocks.count():
