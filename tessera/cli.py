@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -23,7 +24,7 @@ SOURCES = {"file": FileSource, "registry": RegistrySource, "github": RepositoryS
 
 
 def sources(config: Config, paths: dict[str, str]) -> MultiSource:
-    """The sources that the settings name, each with its path; unknown names and missing paths are errors.
+    """The sources that the settings name, each with its path or its address; unknown names and missing paths are errors.
 
     A repository source may have the path of its server descriptions after ``::``.
     """
@@ -44,11 +45,23 @@ def run_index(spark: SparkSession, config: Config, paths: dict[str, str], out: s
     new.save(out)
 
 
-def run_eval(spark: SparkSession, config: Config, index: str, golden: str, k: int = 5, fails: bool = False) -> str:
-    """The scorecard; with ``fails`` also the queries without a relevant result."""
+def run_eval(spark: SparkSession, config: Config, index: str | None, golden: str, k: int = 5, fails: bool = False, fixtures: str | None = None) -> str:
+    """The scorecard; with ``fails`` also the queries without a relevant result.
+
+    With ``fixtures``, a catalogue file, that is indexed first: into ``index`` if
+    there is one too, else for this run alone.
+    """
+    if not (index or fixtures):
+        raise ValueError("an index or a catalogue is needed")
+    if fixtures and index:
+        run_index(spark, replace(config, source="file"), {"file": fixtures}, index)
+    if index:
+        held = index_plan.Index.load(spark, index, config.embed_dim)
+    else:
+        held = index_plan.build(FileSource(fixtures).fetch(spark), config, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), steps_for(config, clients_for(config)))
     labelled = load_golden(spark, golden).persist()
     asked = labelled.select("qid", "query", F.lit(k).alias("top_k"), F.lit(0.0).alias("min_score"), F.array().cast("array<string>").alias("categories"), F.lit("").alias("source"))
-    ranked = search(asked, index_plan.Index.load(spark, index, config.embed_dim), config, clients=clients_for(config)).select("qid", "rank", "id").persist()
+    ranked = search(asked, held, config, clients=clients_for(config)).select("qid", "rank", "id").persist()
     rows = evaluate.per_query(labelled, ranked, k)
     lines = [evaluate.scorecard(evaluate.report(rows).first(), k)]
     if fails:
@@ -65,7 +78,8 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("--previous")
     one.add_argument("--path", action="append", default=[], metavar="SOURCE=PATH")
     two = commands.add_parser("eval")
-    two.add_argument("--index", required=True)
+    two.add_argument("--index")
+    two.add_argument("--fixtures", help="a catalogue file to index first")
     two.add_argument("--golden", required=True)
     two.add_argument("-k", type=int, default=5)
     two.add_argument("--fails", action="store_true")
@@ -80,7 +94,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "index":
         run_index(spark, config, dict(p.split("=", 1) for p in args.path), args.out, args.limit, args.previous)
     elif args.command == "eval":
-        print(run_eval(spark, config, args.index, args.golden, args.k, args.fails))
+        print(run_eval(spark, config, args.index, args.golden, args.k, args.fails, args.fixtures))
     else:
         discovery = Discovery(spark, index_plan.Index.load(spark, args.index, config.embed_dim).persist(), config, clients=clients_for(config))
         if args.command == "search":

@@ -60,6 +60,13 @@ def clamp_weights(trust: float, usage: float, cover: float) -> tuple[float, floa
     return tuple(x / total for x in w) if total > 1 else tuple(w)
 
 
+def clamped(trust: Column, usage: Column, cover: Column) -> list[Column]:
+    """The same for weights in columns."""
+    w = [F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) for x in (trust, usage, cover)]
+    total = F.greatest(F.lit(1.0), w[0] + w[1] + w[2])
+    return [x / total for x in w]
+
+
 def json_object(raw: Column) -> Column:
     """From the first ``{`` to the last ``}``."""
     return F.regexp_extract(raw, r"(?s)\{.*\}", 0)

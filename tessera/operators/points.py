@@ -60,6 +60,36 @@ def lookup(catalog: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return catalog.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
 
+#: Bytes of a row group of a table that is looked up by its keys.
+ROW_GROUP = 8 << 20
+
+
+def write_for_lookups(df: DataFrame, path: str, order: list[str], keys: list[str], row_group: int = ROW_GROUP) -> None:
+    """Writes ``df`` so that filters on it read few row groups.
+
+    Rows are dealt out and sorted by ``order``, so equality and ranges on its
+    columns leave out files and row groups by their least and largest values; each of
+    ``keys`` has a Bloom filter in every row group, which leaves out those without
+    a value that is looked up.  Spark's own pushed filters use both.
+    """
+    own = [c for c in order if c in df.columns]
+    writer = df.repartitionByRange(*own).sortWithinPartitions(*own).write.mode("overwrite").option("parquet.block.size", row_group)
+    for key in keys:
+        if key in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", 200_000)
+    writer.parquet(path)
+
+
+def categories_of(points: DataFrame, key: str = "point_id") -> DataFrame:
+    """category and key of each point: an array has no least and largest value, so a filter on categories looks here."""
+    return points.select(F.explode(F.array_distinct("categories")).alias("category"), key).where("category <> ''")
+
+
+def having(points: DataFrame, by_category: DataFrame, categories: list[str], key: str = "point_id") -> DataFrame:
+    """The points that have any of ``categories``."""
+    return points.join(by_category.where(F.col("category").isin(categories)).select(key).distinct(), key, "left_semi")
+
+
 def ensure_dimension(points: DataFrame, vector: str, dim: int) -> DataFrame:
     """``points``, unless a vector has another length than ``dim``."""
     other = points.where(F.size(vector) != dim).select(F.size(vector).alias("n")).first()

@@ -48,11 +48,14 @@ class Index:
     blocks: SparseIndex | None = None
 
     TABLES = ("catalog", "points", "terms", "stats", "frequencies")
+    #: What each saved table is sorted by, and the keys that it is looked up by.
+    LAYOUT = {"catalog": (["id"], ["id"]), "points": (["source", "mcp_id", "ordinal"], ["point_id", "mcp_id"]), "terms": (["term", "point_id"], ["term"]), "stats": (["n"], []), "frequencies": (["term"], ["term"])}
 
     def save(self, path: str) -> None:
         """Write all tables; readers see the old ones until a new path is given to them."""
         for name in self.TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            points.write_for_lookups(getattr(self, name), f"{path}/{name}", *self.LAYOUT[name])
+        points.write_for_lookups(points.categories_of(self.points), f"{path}/categories", ["category", "point_id"], ["point_id"])
         if self.lists and self.blocks:
             self.lists.save(f"{path}/lists"), self.blocks.save(f"{path}/blocks")
         self.points.sparkSession.createDataFrame([(self.dim, bool(self.lists and self.blocks))], "dim int, retrieval boolean").write.mode("overwrite").parquet(f"{path}/dim")

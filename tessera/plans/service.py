@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import time
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,39 @@ def tools(calls: bool) -> dict[str, dict]:
     return offered | ({"call_tool": {"id_": text, "tool": text, "arguments": {"type": "object"}}} if calls else {})
 
 
+class Together:
+    """Runs items that come at the same time as one list: while a list runs, and for ``wait`` seconds before it, more are gathered."""
+
+    def __init__(self, run: Callable[[list], list], wait: float = 0.01, most: int = 1000):
+        self.run, self.wait, self.most = run, wait, most
+        self.turn, self.lock, self.pending = threading.Lock(), threading.Lock(), []
+
+    def __call__(self, item):
+        own: Future = Future()
+        with self.lock:
+            self.pending.append((item, own))
+        with self.turn:
+            if not own.done():
+                time.sleep(self.wait)
+                self._run_pending()
+        return own.result()
+
+    def _run_pending(self) -> None:
+        """Of the oldest up to ``most``; whoever holds the turn has its own item among them or gets another turn."""
+        while True:
+            with self.lock:
+                taken, self.pending = self.pending[: self.most], self.pending[self.most :]
+            if not taken:
+                return
+            try:
+                for (_, future), result in zip(taken, self.run([item for item, _ in taken])):
+                    future.set_result(result)
+            except Exception as error:  # noqa: BLE001  each caller gets it
+                for _, future in taken:
+                    if not future.done():
+                        future.set_exception(error)
+
+
 class Discovery:
     """The calls over one index; usage is tallied by id, read from ``usage_path`` at the start and flushed there every ``flush_seconds`` and at the end."""
 
@@ -53,6 +88,7 @@ class Discovery:
         self.cache = ResultCache(config.cache_size, config.cache_ttl_seconds, **({"clock": clock} if clock else {}))
         self.lock, self.dirty = threading.Lock(), False
         self.tallies: dict[str, list[int]] = self._read_usage()
+        self.together = Together(self.search_all)
         self.closed = threading.Event()
         if config.usage_path:
             threading.Thread(target=self._flush_now_and_then, args=(flush_seconds,), daemon=True).start()
@@ -89,17 +125,26 @@ class Discovery:
         return tools(self.call is not None)
 
     def search(self, query: str, top_k: int = 5, categories: list[str] | None = None, source: str = "", min_score: float = 0.0) -> list[dict]:
+        """One search; calls that come at the same time are one batch over the index."""
         if not query:
             raise ValueError("query is empty")
         key = cache_key(query, top_k, min_score, source, categories)
         found = self.cache.get(key)
         if found is None:
-            one = self.spark.createDataFrame([(0, query, top_k, float(min_score), categories or [], source)], QUERIES)
-            rows = search(one, self.index, self.config, self.usage() if self.tallies else None, self.clients).withColumn("categories", merged_categories(F.col("categories"), F.col("enrichment.categories")))
-            found = [r.asDict(True) for r in rows.select(*SHOWN, "rank").orderBy("rank").drop("rank").collect()]
+            found = self.together((query, top_k, float(min_score), categories or [], source))
             self.cache.put(key, found)
         return found
 
+    def search_all(self, asked: list[tuple]) -> list[list[dict]]:
+        """The answers to many (query, top_k, min_score, categories, source), by one plan."""
+        queries = self.spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], QUERIES)
+        rows = search(queries, self.index, self.config, self.usage() if self.tallies else None, self.clients).withColumn("categories", merged_categories(F.col("categories"), F.col("enrichment.categories")))
+        out: list[list[dict]] = [[] for _ in asked]
+        for r in rows.select("qid", *SHOWN, "rank").orderBy("qid", "rank").drop("rank").collect():  # at most top_k for each query
+            one = r.asDict(True)
+            out[one.pop("qid")].append(one)
+        return out
+
     def resolve(self, id_: str) -> tuple[dict | None, list[str]]:
         """The row with this id, or with it in another letter case among five search results; else those results' ids."""
         if not id_:

@@ -23,7 +23,7 @@ from .plans.config import Config
 from .plans.service import Discovery, resolve_all
 from .plans.strategies import Clients, clients_for, steps_for
 from .queries import _RERANKED, AS_OF, POOL, bm25_scores, query, r6, read
-from .queries_sources import _json_array
+from .queries_sources import _each, _json_array
 from .schema import normalized
 from .scratch import new_path
 
@@ -131,10 +131,12 @@ def stage_failures(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("stage").agg(F.count("*").alias("failures"), unreadable.alias("unreadable"))
 
 
-@query("SELECT unnest(['messages', 'chat', 'chat without a task']) AS client, unnest(['m|be short|hi', 'm|be short|hi', 'm||hi']) AS answer")
+@query("""SELECT s_suppkey AS k, 'm|be short|hi ' || s_name AS messages, 'm|be short|hi ' || s_name AS chat, 'm||hi ' || s_name AS without_task FROM supplier""")
 def model_clients(spark, sf_dir):
-    clients = {"messages": MessagesClient("k", "m", send=_chat), "chat": ChatClient("k", "m", send=_chat), "chat without a task": ChatClient("", "m", send=_chat)}
-    return spark.createDataFrame([(n, c("" if "without" in n else "be short", "hi")) for n, c in clients.items()], "client string, answer string")
+    """Both wire formats, with and without a task, asked once for each supplier by the tasks that hold them."""
+    messages, chat, bare = MessagesClient("k", "m", send=_chat), ChatClient("k", "m", send=_chat), ChatClient("", "m", send=_chat)
+    asked = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("hi "), "s_name").alias("said"))
+    return _each(asked, lambda said: (messages("be short", said), chat("be short", said), bare("", said)), "k long, messages string, chat string, without_task string")
 
 
 def _order(system: str, user: str) -> str:

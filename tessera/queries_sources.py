@@ -12,6 +12,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from threading import Thread
 from urllib.parse import parse_qs, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .plans.cache import ResultCache, cache_key
 from .plans.config import Config
 from .queries import _EVAL, _FIRST, _KEYS, _TALLY, BM25, TF, TOP, _calls, _counts, _judged, _topk, _words, bm25_scores, query, r6, read, tf_scores, tooled
 from .schema import normalized
-from .scratch import new_path, store, write_file
+from .scratch import new_path, ship, store, write_file
 from .sources import fetch, pages
 from .sources.catalogs import FileSource, MultiSource, RegistrySource, RepositorySource, load_golden, parsed_pages, registry_rows
 from .sources.formats import OFFICIAL
@@ -295,51 +296,74 @@ def empty_cards(spark, sf_dir):
 
 # ---- small rules over grids
 
-_WEIGHTS = [(t / 4, u / 4, c / 4) for t in range(-1, 7) for u in range(-1, 7) for c in range(-1, 7)]
+_GIVEN = "l_discount::DOUBLE * 20 - 0.5::DOUBLE AS t, l_tax::DOUBLE * 20 - 0.5::DOUBLE AS u, l_quantity::DOUBLE / 25 AS c"
 
 
-@query("""WITH g AS (SELECT t / 4.0::DOUBLE AS t, u / 4.0::DOUBLE AS u, c / 4.0::DOUBLE AS c FROM range(-1, 7) a(t), range(-1, 7) b(u), range(-1, 7) d(c)),
+@query(f"""WITH g AS (SELECT l_orderkey, l_linenumber, {_GIVEN} FROM lineitem),
   k AS (SELECT *, least(1, greatest(0, t))::DOUBLE AS x, least(1, greatest(0, u))::DOUBLE AS y, least(1, greatest(0, c))::DOUBLE AS z FROM g)
-SELECT t, u, c, round(x / greatest(1, x + y + z), 9) AS wt, round(y / greatest(1, x + y + z), 9) AS wu, round(z / greatest(1, x + y + z), 9) AS wc FROM k""")
+SELECT l_orderkey, l_linenumber, round(x / greatest(1, x + y + z), 6) AS wt, round(y / greatest(1, x + y + z), 6) AS wu, round(z / greatest(1, x + y + z), 6) AS wc FROM k""")
 def clamped_weights(spark, sf_dir):
-    rows = [(*w, *[round(x, 9) for x in S.clamp_weights(*w)]) for w in _WEIGHTS]
-    return spark.createDataFrame(rows, "t double, u double, c double, wt double, wu double, wc double")
+    """Weights of any size, here from line items, within [0, 1] and together at most 1."""
+    number = lambda c: F.col(c).cast("double")
+    w = S.clamped(number("l_discount") * 20 - 0.5, number("l_tax") * 20 - 0.5, number("l_quantity") / 25)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[r6(c).alias(n) for n, c in zip(("wt", "wu", "wc"), w)])
 
 
-_HOSTS = [f"{a}.{b}.1.2" for a in (0, 8, 10, 127, 169, 172, 192, 198, 224, 239, 240) for b in (0, 1, 16, 31, 32, 168, 254)]
+def _each(df: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` of each row's values, in the tasks of ``df``; ``schema``: the first column, which stays, and what the function gives."""
+    ship(df.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(frames):
+        for frame in frames:
+            rows = [(v[0], *function(*v[1:])) for v in frame.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=names)
 
-@query("""SELECT a || '.' || b || '.1.2' AS address, a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239 AS blocked
-FROM (SELECT unnest([0, 8, 10, 127, 169, 172, 192, 198, 224, 239, 240]) AS a), (SELECT unnest([0, 1, 16, 31, 32, 168, 254]) AS b)
-UNION ALL SELECT unnest(['0.0.0.0', '::1', '::', 'fe80::1', 'fd00::1', 'ff02::1', '2001:4860::8888', '::ffff:10.0.0.1']), unnest([true, true, true, true, true, true, false, true])""")
+    return df.mapInPandas(run, schema)
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 256 AS a, coalesce(user_id, 0) % 256 AS b, event_id % 4 AS kind FROM events),
+  v AS (SELECT *, a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239 AS inside FROM e)
+SELECT event_id, CASE kind WHEN 0 THEN inside WHEN 1 THEN inside WHEN 2 THEN true ELSE false END AS blocked FROM v""")
 def blocked_addresses(spark, sf_dir):
-    """Addresses that a probe refuses when a name resolves to them."""
-    every = [*_HOSTS, "0.0.0.0", "::1", "::", "fe80::1", "fd00::1", "ff02::1", "2001:4860::8888", "::ffff:10.0.0.1"]
+    """Addresses, one for each event, that a probe refuses when a name resolves to them."""
+    i = F.col("event_id")
+    four = F.concat_ws(".", i % 256, F.coalesce("user_id", F.lit(0)) % 256, F.lit("1.2"))
+    kind = i % 4
+    address = F.when(kind == 0, four).when(kind == 1, F.concat(F.lit("::ffff:"), four)).when(kind == 2, F.concat(F.lit("fe80::"), i % 1000)).otherwise(F.concat(F.lit("2001:4860::"), i % 1000))
 
-    def refused(address: str) -> bool:
+    def refused(address: str) -> tuple[bool]:
         try:
-            return remote.guarded(lambda host: [address])("host") != address
+            return (remote.guarded(lambda host: [address])("host") != address,)
         except PermissionError:
-            return True
+            return (True,)
+
+    return _each(read(spark, sf_dir, "events").select("event_id", address.alias("address")), refused, "event_id long, blocked boolean")
 
-    return spark.createDataFrame([(a, refused(a)) for a in every], "address string, blocked boolean")
 
+_STATUS = (200, 204, 301, 400, 404, 429, 500, 501, 502, 503, 504)
 
-@query("""SELECT s AS status, CASE WHEN s IN (429, 500, 502, 503, 504) THEN 4 ELSE 1 END::BIGINT AS attempts, CASE WHEN s = 429 THEN 21.0 WHEN s IN (500, 502, 503, 504) THEN 3.5 ELSE 0 END::DOUBLE AS waited FROM (SELECT unnest([200, 204, 301, 400, 404, 429, 500, 501, 502, 503, 504]) AS s)""")
+
+@query(f"""SELECT event_id, CASE WHEN s IN (429, 500, 502, 503, 504) THEN 4 ELSE 1 END::BIGINT AS attempts, CASE WHEN s = 429 THEN 3.0 * (event_id % 7) WHEN s IN (500, 502, 503, 504) THEN 3.5 ELSE 0 END::DOUBLE AS waited
+  FROM (SELECT event_id, {list(_STATUS)}[event_id % 11 + 1] AS s FROM events)""")
 def retried_answers(spark, sf_dir):
-    """How often an answer is asked for again, and how long that waits; a server may say how long."""
-    rows = []
-    for status in (200, 204, 301, 400, 404, 429, 500, 501, 502, 503, 504):
+    """How often an answer, one for each event, is asked for again, and how long that waits; a server may say how long."""
+
+    def asked(status: int, told: int) -> tuple[int, float]:
         sent, waits = [], []
-        remote.with_retries(lambda: (sent.append(1), (status, {"Retry-After": "7"} if status == 429 else {}, b""))[1], sleep=waits.append)  # noqa: B023
-        rows.append((status, len(sent), float(sum(waits))))
-    return spark.createDataFrame(rows, "status int, attempts bigint, waited double")
+        remote.with_retries(lambda: (sent.append(1), (status, {"Retry-After": str(told)} if status == 429 else {}, b""))[1], sleep=waits.append)
+        return len(sent), float(sum(waits))
+
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (i % 11 + 1).cast("int"))
+    return _each(read(spark, sf_dir, "events").select("event_id", status.alias("status"), (i % 7).cast("int").alias("told")), asked, "event_id long, attempts long, waited double")
 
 
 @query("SELECT item_id, text || chr(0) || (item_id % 9) || chr(0) || CASE item_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '0.25' ELSE '0.5' END || chr(0) || 'file' || chr(0) || 'a,b' AS key FROM benchmark")
 def cache_keys(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark").select("item_id", "text").collect()
-    return spark.createDataFrame([(r["item_id"], cache_key(r["text"], r["item_id"] % 9, (r["item_id"] % 3) / 4, "file", ["b", "a"])) for r in rows], "item_id bigint, key string")
+    i = F.col("item_id")
+    asked = read(spark, sf_dir, "benchmark").select("item_id", "text", (i % 9).cast("int").alias("top_k"), ((i % 3) / 4).alias("least"))
+    return _each(asked, lambda text, top_k, least: (cache_key(text, top_k, least, "file", ["b", "a"]),), "item_id long, key string")
 
 
 @query("SELECT item_id, item_id >= (SELECT max(item_id) FROM benchmark) - 4 AS kept FROM benchmark")
@@ -357,20 +381,24 @@ def cache_evictions(spark, sf_dir):
     return spark.createDataFrame(list(kept.items()), "item_id bigint, kept boolean")
 
 
-@query("SELECT unnest(['', 'file', 'file, registry,', 'github', 'x,file']) AS given, unnest([1, 1, 2, 1, 0])::BIGINT AS sources, unnest([30, 30, 30, 30, 30])::BIGINT AS pool")
+@query("""SELECT s_suppkey AS k, [1, 1, 2, 1, 0][s_suppkey % 5 + 1]::BIGINT AS sources, CASE WHEN s_suppkey % 3 = 0 THEN 30 ELSE s_suppkey % 100 END::BIGINT AS pool, s_suppkey % 2 = 0 AS hybrid FROM supplier""")
 def settings_read(spark, sf_dir):
-    """Settings from an environment; values that cannot be read leave the default, unknown sources are errors."""
-    from .cli import sources
+    """Settings from environments, one for each supplier; values that cannot be read leave the default, unknown sources are errors."""
 
-    rows = []
-    for given in ("", "file", "file, registry,", "github", "x,file"):
-        config = Config.read({"SOURCE": given, "RERANK_POOL": "many", "HYBRID": "true"})
+    def found(source: str, pool: str, hybrid: str) -> tuple[int, int, bool]:
+        from .cli import sources
+
+        config = Config.read({"SOURCE": source, "RERANK_POOL": pool, "HYBRID": hybrid})
         try:
-            found = len(sources(config, dict.fromkeys(("file", "registry", "github"), "path")).sources)
+            n = len(sources(config, dict.fromkeys(("file", "registry", "github"), "path")).sources)
         except ValueError:
-            found = 0
-        rows.append((given, found, config.rerank_pool))
-    return spark.createDataFrame(rows, "given string, sources bigint, pool bigint")
+            n = 0
+        return n, config.rerank_pool, config.hybrid
+
+    k = F.col("s_suppkey")
+    source = F.element_at(F.array(*map(F.lit, ("", "file", "file, registry,", "github", "x,file"))), (k % 5 + 1).cast("int"))
+    asked = read(spark, sf_dir, "supplier").select(k.alias("k"), source.alias("s"), F.when(k % 3 == 0, "many").otherwise((k % 100).cast("string")).alias("p"), F.when(k % 2 == 0, " Yes").otherwise("off").alias("h"))
+    return _each(asked, found, "k long, sources long, pool long, hybrid boolean")
 
 
 # ---- encodings and their fallbacks

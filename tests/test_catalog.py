@@ -1,5 +1,6 @@
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +214,60 @@ def test_service(spark, index):
     assert s.categories() == ["communication", "database", "weather"]
 
 
+def test_calls_at_the_same_time_are_one_plan(spark, index, monkeypatch):
+    from tessera.plans import service as own
+
+    alone, plans = Discovery(spark, index), []
+    asked = ["send an email", "find a route", "read mail", "draw a map"]
+    want = {q: alone.search(q) for q in asked}
+    plain = own.search
+    monkeypatch.setattr(own, "search", lambda queries, *rest: plans.append(1) or plain(queries, *rest))
+    service = Discovery(spark, index)
+    with ThreadPoolExecutor(100) as pool:
+        got = list(pool.map(lambda i: (asked[i % 4], service.search(asked[i % 4], categories=[] if i % 8 < 4 else None)), range(100)))
+    assert all(hits == want[q] for q, hits in got) and len(plans) <= 4
+
+    failing = own.Together(lambda items: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        failing(1)
+    assert own.Together(lambda items: [x + 1 for x in items], most=1)(3) == 4
+
+
+def rows_scanned(df):
+    """Rows that the scans of a finished plan gave, after row groups were left out."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if name.startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if hasattr(node, "plan") and "QueryStage" in name:
+            todo.append(node.plan())
+    return found
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    """By sorted order for sources, by Bloom filters for ids, by a table of their own for categories."""
+    i, n = F.col("id"), 200_000
+    rows = spark.range(n).select(F.sha1(i.cast("string")).alias("point_id"), F.concat(F.lit("m"), i % 5000).alias("mcp_id"), F.concat(F.lit("s"), i % 8).alias("source"), F.array(F.concat(F.lit("c"), i % 50)).alias("categories"), F.lit(0).alias("ordinal"))
+    points.write_for_lookups(rows, f"{tmp_path}/points", ["source", "mcp_id"], ["point_id", "mcp_id"], row_group=256 << 10)
+    points.write_for_lookups(points.categories_of(rows), f"{tmp_path}/categories", ["category"], [], row_group=64 << 10)
+    saved, by = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/categories")
+    assert rows_scanned(saved) == n
+    source = saved.where("source = 's3'")
+    assert source.count() == n // 8 and rows_scanned(source) < n / 3
+    one = saved.where(F.col("point_id") == F.sha1(F.lit("77")))
+    assert [r["mcp_id"] for r in one.collect()] == ["m77"] and rows_scanned(one) < n / 4
+    assert rows_scanned(by.where("category = 'c7'")) < n / 4
+    found = points.having(saved, by, ["c7", "c8"])
+    assert found.count() == 2 * n // 50
+
+
 def test_cache():
     now = [0.0]
     c = ResultCache(2, 10, lambda: now[0])
