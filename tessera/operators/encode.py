@@ -1,26 +1,70 @@
 """Dense and sparse encodings of texts, in long form.
 
-A text is dealt out by its key before it is exploded, so the aggregates over
-its terms (counts, norms, lengths) reuse that partitioning and do not shuffle.
+Counts of words are dealt out by the key of their text, so the aggregates over
+its terms (sums, norms, lengths) reuse that partitioning and do not shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import scoring as S
 from ..functions import text as X
+from ..scratch import ship
 
 K1, B, DIM = 1.2, 0.75, 256
 
 
 def word_counts(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """key, word, term, n: how often each text has each token, with the token's hash."""
+    """key, word, term, n: how often each text has each token, with the token's hash.
+
+    A text is counted within its own row, and a batch of rows hashes each of its
+    distinct words once; what is dealt out by key is counts, not texts.  Texts that
+    share a key give rows of their own each.
+    """
+    ship(df.sparkSession)
     keys = [key] if isinstance(key, str) else key
-    words = df.select(*keys, text).repartition(*keys).select(*keys, F.explode(X.tokens(F.col(text))).alias("word"))
-    return words.groupBy(*keys, "word").agg(F.count("*").alias("n")).select(*keys, "word", X.fnv1a(F.col("word")).alias("term"), "n")
+    rows = df.select(*keys, X.tokens(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    schema = T.StructType([*rows.drop("_words").schema, T.StructField("word", T.StringType()), T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
+    return rows.mapInArrow(_counted(schema.names), schema).repartition(*keys)
+
+
+def _counted(names: list[str]):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(batch.num_columns - 1)
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(words.offsets.to_numpy()))
+            size = len(coded.dictionary)
+            pairs, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+            of, code = pa.array(pairs // size), pairs % size
+            yield pa.RecordBatch.from_arrays([*[c.take(of) for c in batch.columns[:-1]], coded.dictionary.take(pa.array(code)), pa.array(hashes(coded.dictionary)[code]), pa.array(n.astype(np.int64))], names=names)
+
+    return run
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """``text.fnv1a`` of every word, byte by byte of all words at once."""
+    raw = words.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    start, longest = offsets[:-1][order], size[order]
+    found = np.full(len(raw), X.FNV_START, np.uint64)
+    for at in range(int(longest[0]) if len(raw) else 0):
+        m = np.searchsorted(-longest, -at)  # words with a byte here come first
+        found[:m] = ((found[:m] ^ data[start[:m] + at]) * np.uint64(X.FNV_PRIME)) & np.uint64(X.FNV_SIZE - 1)
+    out = np.empty(len(raw), np.int64)
+    out[order] = found.astype(np.int64)
+    return out
 
 
 def terms_of(words: DataFrame, key: str, stop: list[str] | None = X.SPARSE_STOP) -> DataFrame:

@@ -77,3 +77,32 @@ def test_parsers(spark):
         assert one(spark, S.client_transport(F.col("k"), F.col("u")), k=kind, u="http://x") == want
     assert one(spark, S.client_transport(F.col("k"), F.col("u")), k="sse", u=" ") == "none"
     assert one(spark, S.outcome(F.col("e") == "yes", F.col("x")), e="yes", x="refused") == "unreachable"
+
+
+def test_hashes_of_many_words_at_once():
+    import pyarrow as pa
+
+    from tessera.operators.encode import hashes
+
+    words = ["a", "search", "Üben", "日本語", "x" * 300, "", "a", "𝔘nicode", "\0", "é" * 5000]
+    assert hashes(pa.array(words)).tolist() == [fnv(w) for w in words] and hashes(pa.array(words).slice(2, 3)).tolist() == [fnv(w) for w in words[2:5]]
+    assert hashes(pa.array([], pa.string())).tolist() == []
+
+
+def test_words_are_counted_in_their_rows(spark):
+    from collections import Counter
+
+    from tessera.operators import encode
+
+    texts = [(1, "The cat, the CAT and 3 cats"), (2, None), (3, ""), (4, " \n--"), (5, "Über ÜBER straße 日本語 日本語"), (6, "w " * 5000 + "z"), (1, "the end")]
+    got = encode.word_counts(spark.createDataFrame(texts, "k int, t string").repartition(3), "k", "t").collect()
+    import regex
+
+    want = Counter()
+    for k, t in texts:
+        for word, n in Counter(regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())).items():
+            want[k, word, fnv(word), n] += 1
+    assert Counter(map(tuple, got)) == want
+    assert encode.terms_of(spark.createDataFrame(got), "k", None).where(F.col("term") == fnv("the")).first()["tf"] == 3
+    two = encode.word_counts(spark.createDataFrame([("a", True, "x y x")], "doc string, last boolean, text string"), ["doc", "last"], "text").collect()
+    assert sorted((r["doc"], r["last"], r["word"], r["n"]) for r in two) == [("a", True, "x", 2), ("a", True, "y", 1)]
