@@ -43,7 +43,12 @@ def from_server_json(server: Column, source: str) -> list[Column]:
 
 
 class FileSource:
-    """A JSON array of catalogue rows; without a source it is ``file``, without an id the name."""
+    """Catalogue rows from files; without a source a row is ``file``, without an id its name.
+
+    A file is a JSON array, which one task reads whole, or - by the ending .jsonl
+    or .ndjson of the path - has a row on each line; such files, or a pattern of
+    them, are read in splits, and a line that is no row is left out.
+    """
 
     name = "file"
 
@@ -51,8 +56,12 @@ class FileSource:
         self.path = path
 
     def fetch(self, spark: SparkSession, limit: int = 0) -> DataFrame:
-        text = spark.read.text(self.path, wholetext=True)
-        rows = text.select(F.posexplode(F.from_json("value", f"array<struct<{_colons(CATALOG)}>>")).alias("pos", "m")).select("pos", "m.*")
+        if self.path.endswith((".jsonl", ".ndjson")):
+            lines = spark.read.text(self.path).select(F.from_json("value", CATALOG, {"mode": "PERMISSIVE"}).alias("m"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"))  # the place within a task
+            rows = lines.where(F.col("m.id").isNotNull() | F.col("m.name").isNotNull()).select(F.struct("file", "block", "i").alias("pos"), "m.*")
+        else:
+            text = spark.read.text(self.path, wholetext=True)
+            rows = text.select(F.posexplode(F.from_json("value", f"array<struct<{_colons(CATALOG)}>>")).alias("pos", "m")).select("pos", "m.*")
         rows = _limited(rows, limit)
         blank = lambda c, d: F.when(F.coalesce(F.col(c), F.lit("")) == "", d).otherwise(F.col(c))
         out = rows.withColumn("source", blank("source", F.lit("file"))).withColumn("id", blank("id", F.col("name")))

@@ -46,6 +46,27 @@ def test_file_source(spark, catalog_file):
     assert got[0]["transports"] == [] and got[0]["version"] == ""
 
 
+def test_lines_of_json(spark, tmp_path):
+    """One row on each line, in splits; lines that are none are left out."""
+    rows = [{"id": f"i{k}", "name": f"n{k}", "categories": ["a"], "tools": [{"name": "t", "description": "d" * 50}]} for k in range(300)]
+    lines = [json.dumps(r) for r in rows]
+    lines[7:7] = ["", "no json", "{}", '{"name": "named"}']
+    for name, part in (("a", lines[:200]), ("b", lines[200:])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(part) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = FileSource(f"{tmp_path}/*.jsonl").fetch(spark)
+        assert found.rdd.getNumPartitions() > 4
+        got = [(r["id"], r["source"], len(r["tools"])) for r in found.orderBy("pos").collect()]
+        first = [r["id"] for r in FileSource(f"{tmp_path}/*.jsonl").fetch(spark, 9).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    want = [r["id"] for r in rows]
+    want[7:7] = ["named"]
+    assert [g[0] for g in got] == want and first == want[:9] and got[7] == ("named", "file", 0) and got[8] == ("i7", "file", 1)
+
+
 def test_registry_and_repositories(spark, tmp_path):
     meta = "io.modelcontextprotocol.registry/official"
     page = {"servers": [{"server": {"name": "a", "repository": {"url": "u"}, "remotes": [{"type": "sse", "url": "x"}]}, "_meta": {meta: {"isLatest": True, "updatedAt": "t"}}}, {"server": {"name": "old"}, "_meta": {meta: {"isLatest": False}}}], "metadata": {"nextCursor": ""}}

@@ -1,5 +1,9 @@
 """The jobs over growing input, after failures, and against one pass over everything."""
 
+import json
+import os
+import subprocess
+import sys
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
@@ -193,3 +197,20 @@ def test_settings_files():
     feed, rules = settings(catalog_feed.Feed, None, "catalog_feed"), settings(usage_rollup.Rollup, None, "usage_rollup")
     assert feed.config().sparse == "tf" and rules.trailing_days == 7
     assert not [p for p in Path(catalog_feed.__file__).parent.glob("*.py") if "llm" in p.read_text().split()]
+
+
+def test_command_lines(spark, tmp_path):
+    """Each job by its command, with a settings file of its own."""
+    folder = str(tmp_path)
+    events(spark, folder, "1", calls((0, "a", "success"), (1, "b", "success")))
+    land(spark, FIRST, folder, "1")
+    (tmp_path / "rules.json").write_text(json.dumps({"time": "ts", "item": "item", "outcome": "outcome", "trailing_days": 2}))
+    (tmp_path / "feed.json").write_text(json.dumps({"columns": {"id": "id", "name": "name", "description": "text"}, "buckets": 2}))
+    root = Path(catalog_feed.__file__).parent.parent
+    env = os.environ | {"PYTHONPATH": str(root), "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
+    for words in (["usage_rollup.py", "--events", f"{folder}/events/*", "--out", f"{folder}/usage", "--config", f"{folder}/rules.json"], ["catalog_feed.py", "--landing", f"{folder}/in/*", "--out", f"{folder}/index", "--checkpoint", f"{folder}/cp", "--config", f"{folder}/feed.json"]):
+        done = subprocess.run([sys.executable, str(root / "jobs" / words[0]), *words[1:], "--shared", f"{folder}/shared"], env=env, cwd=folder, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert "read " in done.stderr and "wrote " in done.stderr
+    assert spark.read.parquet(f"{folder}/usage/daily").count() == 2
+    assert set(catalogue(spark, f"{folder}/index")) == {"a", "b", "c", "d"}
