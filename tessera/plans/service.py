@@ -54,23 +54,20 @@ class Together:
         with self.turn:
             if not own.done():
                 time.sleep(self.wait)
-                self._run_pending()
+            while not own.done():
+                self._run_oldest()
         return own.result()
 
-    def _run_pending(self) -> None:
-        """Of the oldest up to ``most``; whoever holds the turn has its own item among them or gets another turn."""
-        while True:
-            with self.lock:
-                taken, self.pending = self.pending[: self.most], self.pending[self.most :]
-            if not taken:
-                return
-            try:
-                for (_, future), result in zip(taken, self.run([item for item, _ in taken])):
-                    future.set_result(result)
-            except Exception as error:  # noqa: BLE001  each caller gets it
-                for _, future in taken:
-                    if not future.done():
-                        future.set_exception(error)
+    def _run_oldest(self) -> None:
+        with self.lock:
+            taken, self.pending = self.pending[: self.most], self.pending[self.most :]
+        try:
+            for (_, future), result in zip(taken, self.run([item for item, _ in taken]), strict=True):
+                future.set_result(result)
+        except Exception as error:  # noqa: BLE001  each caller gets it
+            for _, future in taken:
+                if not future.done():
+                    future.set_exception(error)
 
 
 class Discovery:

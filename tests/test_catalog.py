@@ -251,7 +251,13 @@ def test_calls_at_the_same_time_are_one_plan(spark, index, monkeypatch):
     failing = own.Together(lambda items: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         failing(1)
-    assert own.Together(lambda items: [x + 1 for x in items], most=1)(3) == 4
+    with pytest.raises(ValueError):
+        own.Together(lambda items: [])(1)
+    lists = []
+    small = own.Together(lambda items: lists.append(len(items)) or [x + 1 for x in items], most=7)
+    with ThreadPoolExecutor(50) as pool:
+        assert list(pool.map(small, range(50))) == list(range(1, 51))
+    assert max(lists) <= 7 and sum(lists) == 50
 
 
 def rows_scanned(df):
