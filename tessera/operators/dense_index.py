@@ -205,7 +205,7 @@ class DenseIndex:
     def search(self, queries: DataFrame, limit: int, ties: list[str] | None = None) -> DataFrame:
         """qid, the columns of the points but the vector, score and pos, of the best points found; like ``dense_candidates``."""
         asked = store(self.probes(queries, limit), "probes")
-        found = self._scan(asked, limit, ties)
+        found = store(self._scan(asked, limit, ties), "found")
         # too few found although there are lists left: all of them
         few = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
         short = asked.where(F.size("lists") < int((self.sizes > 0).sum())).join(few, "qid", "left_anti")
@@ -232,7 +232,10 @@ class DenseIndex:
         return retrieve.in_blocks(asked, ["qid", "qvec", "source", "categories", "lists"], block, lambda f: retrieve.top(f, "qid", F.col("score"), limit, ties), schema)
 
     def tune(self, queries: DataFrame, limit: int, recall: float = 0.95, ties: list[str] | None = None) -> tuple[DenseIndex, float]:
-        """The index with the least share of points by which ``recall`` of the nearest is found for half of ``queries``, and the recall for the other half."""
+        """The index with the least share of points by which ``recall`` of the nearest is found for half of ``queries``, and the recall for the other half.
+
+        Some hundreds of queries do; their nearest are found exactly, by a scan of all points.
+        """
         half = store(queries.withColumn("_learn", F.pmod(F.xxhash64("qid"), F.lit(2)) == 0), "tuning")
         learn, test = half.where("_learn").drop("_learn"), half.where(~F.col("_learn")).drop("_learn")
         full = replace(self, share=1.0)
