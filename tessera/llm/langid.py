@@ -3,17 +3,20 @@
 Each language has a variable-order context tree over bytes of lower-cased
 UTF-8.  A byte that a context has not seen is coded by an escape and the next
 shorter context (escape method C, no exclusions); below the empty context all
-byte classes are equally likely.  The statistics are frozen, so the code length
-of every (context, byte) is known beforehand: the trees of a block of languages
-become one automaton over the last bytes, with a table of code lengths per
-state, byte class and language.  A text is scored by a few vectorised look-ups
-for each byte, over its whole length, and goes to the language with the
-shortest code.
-
-Contexts are counted by the executors, one task for the bounded sample of each
-language; the driver compiles the counts of ``block`` languages at a time.  More
-than ``per_pass`` blocks are scored one pass after another, so there is no limit
-to the number of languages.
+256 bytes are equally likely.  The statistics are frozen, so the code length of
+every (context, byte) is known beforehand: a tree becomes an automaton over the
+last bytes, with a table of code lengths for each state and byte class.  A text
+is scored by a few vectorised look-ups for each byte and language, over its
+whole length, and goes to the language with the shortest code.
+
+A tree comes from its own language's sample alone and keeps every context of up
+to ``order`` bytes that this sample holds ``min_count`` times or more, so the code
+lengths of a language do not depend on which others there are.  Lengths are
+rounded to 1/UNIT bit for each byte and not clipped.  Trees are counted and
+compiled by the executors, one task for the bounded sample of each language, and
+stored; the driver holds the names, the limits and the trees of one pass.  A pass
+takes as many languages as ``per_pass`` and ``pass_bytes`` allow, so there is no
+limit to their number.
 
 Defined results for odd input: a null text and one without a letter are ``und``
 with score 0; ties go to the smaller language name; rows with a null language,
@@ -26,6 +29,8 @@ pass through.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,12 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import arrow_map, attach, drop, materialize, named_again, numbered, release_memory, replacing, ship
+from .common import arrow_map, attach, drop, materialize, named_again, numbered, replacing, ship
 
 #: Code lengths are held in units of 1/UNIT bit.
 UNIT = 512
 START = 10  # a text is coded as if line feeds stood before it
 BLOCK = 1 << 20
+#: Distinct grams of single texts that are held before they are added up.
+MERGE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -53,10 +60,10 @@ class Training:
     calibration: int = 100
     order: int = 3
     min_count: int = 3
-    #: Contexts of each order in the automaton of one block; each language has an equal claim.
-    max_contexts: int = 12_000
+    #: Languages that are shipped together, how many such blocks a pass takes, and the bytes of tables at which it ends.
     block: int = 4
     per_pass: int = 8
+    pass_bytes: int = 192 << 20
     #: A text of a language may cost so many times the 99th percentile of its calibration rows.
     slack: float = 2.0
 
@@ -64,82 +71,73 @@ class Training:
 Counts = list[tuple[np.ndarray, np.ndarray]]
 
 
+def _counted(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at, inverse = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int64), return_inverse=True)
+    weight = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return at, np.bincount(inverse, weight, len(at)).astype(np.int64)
+
+
 def gram_counts(texts: list[str], order: int) -> Counts:
     """For each order, codes of the context's bytes (older ones weigh more) and the next byte, with counts."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+    held: list[tuple[list, list]] = [([], []) for _ in range(order + 1)]
+    size = 0
     for text in texts:
         row = np.frombuffer(text.lower().encode(), np.uint8)
         c = np.concatenate([np.full(order, START), row]).astype(np.int64)
         code = c[order:].copy()
-        parts[0].append(code)
-        for k in range(1, order + 1):
-            code = code + (c[order - k : len(c) - k] << 8 * k)
-            parts[k].append(code)
-    return [np.unique(np.concatenate(p) if p else np.zeros(0, np.int64), return_counts=True) for p in parts]
+        for k in range(order + 1):
+            if k:
+                code = code + (c[order - k : len(c) - k] << 8 * k)
+            gram, n = np.unique(code, return_counts=True)
+            held[k][0].append(gram), held[k][1].append(n)
+            size += len(gram)
+        if size > MERGE:
+            held = [([gram], [n]) for gram, n in (_counted(*h) for h in held)]
+            size = 0
+    return [_counted(*h) for h in held]
 
 
-class Trees:
-    """Frozen statistics of a block of languages: byte classes, the automaton's tables and code lengths."""
+class Tree:
+    """Frozen statistics of one language: byte classes, the automaton's tables and code lengths."""
 
-    def __init__(self, languages: list[str], classes: np.ndarray, walks: list[np.ndarray], costs: np.ndarray):
-        self.languages, self.classes, self.walks, self.costs = languages, classes, walks, costs
+    def __init__(self, classes: np.ndarray, width: int, walks: list[np.ndarray], costs: np.ndarray):
+        self.classes, self.width, self.walks, self.costs = classes, width, walks, costs
 
-    @classmethod
-    def grow(cls, texts: dict[str, list[str]], rules: Training = Training()) -> Trees:
-        return cls.compile({n: gram_counts([t for t in found if t], rules.order) for n, found in texts.items()}, rules)
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in [self.costs, *self.walks])
 
     @classmethod
-    def compile(cls, counts: dict[str, Counts], rules: Training = Training()) -> Trees:
-        names = sorted(counts)
+    def compile(cls, counts: Counts, rules: Training = Training()) -> Tree:
         present = np.zeros(256, bool)
         present[START] = True
-        for n in names:
-            present[counts[n][0][0]] = True
+        present[counts[0][0]] = True
+        width = int(present.sum()) + 1  # class 0: bytes that the sample does not have
         classes = np.zeros(256, np.int64)
-        classes[present] = np.arange(1, present.sum() + 1)
-        width = int(present.sum()) + 1  # class 0: bytes that no sample has
-        # counted[k][language]: the same with classes in the place of bytes
-        counted = [[(sum(classes[g >> 8 * j & 255] * width**j for j in range(k + 1)), n) for g, n in (counts[name][k] for name in names)] for k in range(rules.order + 1)]
-        # contexts of each order that are frequent enough in all languages together, with their suffixes
+        classes[present] = np.arange(1, width)
+        # the same grams with classes in the place of bytes, in ascending order as before
+        counted = [(sum(classes[gram >> 8 * j & 255] * width**j for j in range(k + 1)), n) for k, (gram, n) in enumerate(counts)]
+        # contexts of each order that are frequent enough, with their suffixes
         kept = [np.zeros(1, np.int64), np.arange(width)]
         for k in range(2, rules.order + 1):
-            context = np.concatenate([g // width for g, _ in counted[k]])
-            weight = np.concatenate([n for _, n in counted[k]])
-            at, inverse = np.unique(context, return_inverse=True)
-            total = np.bincount(inverse, weight, len(at)).astype(np.int64)
-            ok = (total >= rules.min_count) & np.isin(at % width ** (k - 1), kept[-1])
-            at = at[ok]
-            if len(at) > rules.max_contexts:
-                place = np.full(len(at), len(at))  # the best place of each context in any language's order
-                for g, n in counted[k]:
-                    mine, which = np.unique(g // width, return_inverse=True)
-                    mine_total = np.bincount(which, n, len(mine))
-                    where = np.searchsorted(mine, at)
-                    has = (where < len(mine)) & (mine[np.minimum(where, len(mine) - 1)] == at) if len(mine) else np.zeros(len(at), bool)
-                    worth = np.where(has, mine_total[np.minimum(where, len(mine) - 1)] if len(mine) else 0, 0)
-                    rank = np.empty(len(at), np.int64)
-                    rank[np.lexsort((at, -worth))] = np.arange(len(at))
-                    place = np.minimum(place, np.where(has, rank, len(at)))
-                at = np.sort(at[np.lexsort((at, place))[: rules.max_contexts]])
-            kept.append(at)
-        costs = np.full((1, width, len(names)), np.log2(width))
+            at, total = _counted([counted[k][0] // width], [counted[k][1]])
+            kept.append(at[(total >= rules.min_count) & np.isin(at % width ** (k - 1), kept[-1])])
         tables = []
         for k, at in enumerate(kept):
             if not len(at):
-                tables.append(np.empty((0, width, len(names))))
+                tables.append(np.empty((0, width)))
                 continue
-            parent = costs if k == 0 else tables[-1][np.searchsorted(kept[k - 1], at % max(1, width ** (k - 1)))]
-            here = np.array(np.broadcast_to(parent, (len(at), width, len(names))), float)
-            for j, (gram, n) in enumerate(counted[k]):
-                where = np.searchsorted(at, gram // width)
-                ok = (where < len(at)) & (at[np.minimum(where, len(at) - 1)] == gram // width)
-                where, symbol, n = where[ok], gram[ok] % width, n[ok]
-                seen, kinds = np.bincount(where, n, len(at)), np.bincount(where, None, len(at))
-                some = seen > 0
-                escape = np.zeros(len(at))
-                escape[some] = np.log2((seen + kinds)[some] / kinds[some])
-                here[:, :, j] += escape[:, None]
-                here[where, symbol, j] = np.log2((seen + kinds)[where] / n)
+            here = np.full((1, width), 8.0) if k == 0 else tables[-1][np.searchsorted(kept[k - 1], at % max(1, width ** (k - 1)))]
+            gram, n = counted[k]
+            where = np.searchsorted(at, gram // width)
+            ok = (where < len(at)) & (at[np.minimum(where, len(at) - 1)] == gram // width)
+            where, symbol, n = where[ok], gram[ok] % width, n[ok]
+            seen, kinds = np.bincount(where, n, len(at)), np.bincount(where, None, len(at))
+            some = seen > 0
+            escape = np.zeros(len(at))
+            escape[some] = np.log2((seen + kinds)[some] / kinds[some])
+            here += escape[:, None]
+            here[where, symbol] = np.log2((seen + kinds)[where] / n)
             tables.append(here)
         # walks[k]: (outcome of the k-1 last bytes, class of the byte before them) -> outcome; an outcome that found no longer context stays
         order = max(1, rules.order)
@@ -154,14 +152,36 @@ class Trees:
             table = np.where(found, where, len(kept[k]) + np.arange(len(outcomes))[:, None])
             walks.append(table.astype(np.int32).ravel())
             outcomes, depth = np.concatenate([kept[k], outcomes]), np.concatenate([np.full(len(kept[k]), k), depth])
-        final = np.concatenate([np.empty((0, width, len(names)))] + [tables[d][np.searchsorted(kept[d], outcomes[depth == d])] for d in range(order, 0, -1)])
-        final = np.minimum(np.round(final * UNIT), 32767).astype(np.int16)
-        return cls(names, classes.astype(np.uint8) if width <= 256 else classes.astype(np.uint16), walks, final.reshape(-1, len(names)))
+        final = np.concatenate([np.empty((0, width))] + [tables[d][np.searchsorted(kept[d], outcomes[depth == d])] for d in range(order, 0, -1)])
+        final = np.round(final * UNIT)
+        return cls(classes.astype(np.int16), width, walks, final.astype(np.uint16 if final.max() < 1 << 16 else np.uint32).ravel())
+
+    def costs_of(self, last_bytes: list[np.ndarray], following: np.ndarray) -> np.ndarray:
+        """Units of code of each following byte after the bytes before it."""
+        state = self.classes[last_bytes[0]].astype(np.int32)
+        for walk, byte in zip(self.walks, last_bytes[1:]):
+            state *= self.width
+            state += self.classes[byte]
+            state = walk[state]
+        state *= self.width
+        state += self.classes[following]
+        return self.costs[state]
+
+
+class Trees:
+    """The trees of a block of languages."""
+
+    def __init__(self, languages: list[str], trees: list[Tree]):
+        self.languages, self.trees = languages, trees
+
+    @classmethod
+    def grow(cls, texts: dict[str, list[str]], rules: Training = Training()) -> Trees:
+        names = sorted(texts)
+        return cls(names, [Tree.compile(gram_counts([t for t in texts[n] if t], rules.order), rules) for n in names])
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Units of code for each text and language; text i is data[offsets[i]:offsets[i + 1]]."""
-        n, order = len(offsets) - 1, len(self.walks) + 1
-        width = int(self.classes.max()) + 1
+        n, order = len(offsets) - 1, len(self.trees[0].walks) + 1
         total = np.zeros((n, len(self.languages)), np.int64)
         start, end = int(offsets[0]), int(offsets[-1])
         for lo in range(start, end, BLOCK):
@@ -170,42 +190,59 @@ class Trees:
             edges = offsets[first + 1 : last + 1]
             edges = edges[edges < hi]
             back = min(order, lo - start)
-            c = self.classes[data[lo - back : hi]].astype(np.int32)
-            if back < order:
-                c = np.concatenate([np.full(order - back, self.classes[START], np.int32), c])
+            c = np.concatenate([np.full(order - back, START, np.uint8), data[lo - back : hi]])
             m = hi - lo
             begun = offsets[np.searchsorted(offsets, np.arange(lo, min(lo + order, hi)), "right") - 1]
             early = np.unique(np.concatenate([edges, begun]))
             last_bytes = []
             for j in range(1, order + 1):
-                b = c[order - j : order - j + m]
-                b = b.copy()
+                b = c[order - j : order - j + m].copy()
                 for back_by in range(j):  # the first j bytes of each text see line feeds
                     at = early + back_by - lo
                     at = at[(at >= 0) & (at < m) & (np.searchsorted(offsets, early + back_by, "right") == np.searchsorted(offsets, early, "right"))]
-                    b[at] = self.classes[START]
+                    b[at] = START
                 last_bytes.append(b)
-            state = last_bytes[0]
-            for j, walk in enumerate(self.walks):
-                state = walk[state * width + last_bytes[j + 1]]
-            cost = self.costs[state * width + c[order:]]
             cuts = np.unique(np.concatenate([[lo], edges]))
-            sums = np.add.reduceat(cost, cuts - lo, axis=0, dtype=np.int64)
-            np.add.at(total, np.searchsorted(offsets, cuts, "right") - 1, sums)
+            whose = np.searchsorted(offsets, cuts, "right") - 1
+            for j, tree in enumerate(self.trees):
+                np.add.at(total[:, j], whose, np.add.reduceat(tree.costs_of(last_bytes, c[order:]), cuts - lo, dtype=np.int64))
         return total
 
 
 @dataclass
 class Model:
-    """Blocks of trees in the order of their languages, and the greatest usual bits a byte of each language."""
+    """The stored trees of all languages in the order of their names, their sizes in bytes, and the greatest usual bits a byte of each language."""
 
-    blocks: list[Trees]
+    stored: DataFrame
+    sizes: dict[str, int]
     limits: dict[str, float]
-    per_pass: int = Training.per_pass
+    rules: Training
 
     @property
     def languages(self) -> list[str]:
-        return [n for block in self.blocks for n in block.languages]
+        return sorted(self.sizes)
+
+    @property
+    def blocks(self) -> list[Trees]:
+        """All trees at once; ``passes`` has them a bounded number at a time."""
+        return [trees for some in self.passes() for trees in some]
+
+    def passes(self) -> Iterator[list[Trees]]:
+        """The blocks of each pass, read as they are asked for."""
+        names, block = self.languages, self.rules.block
+        groups, held = [[]], 0
+        for at in range(0, len(names), block):
+            some = names[at : at + block]
+            size = sum(self.sizes[n] for n in some)
+            if groups[-1] and (len(groups[-1]) == self.rules.per_pass or held + size > self.rules.pass_bytes):
+                groups.append([])
+                held = 0
+            groups[-1].append(some)
+            held += size
+        for group in groups:
+            wanted = [n for some in group for n in some]
+            trees = {r["_lang"]: pickle.loads(r["tree"]) for r in self.stored.where(F.col("_lang").isin(*wanted)).collect()}
+            yield [Trees(some, [trees[n] for n in some]) for some in group]
 
 
 def _sample(labelled: DataFrame, key: str, text: str, lang: str, rules: Training) -> DataFrame:
@@ -231,41 +268,22 @@ def _sample(labelled: DataFrame, key: str, text: str, lang: str, rules: Training
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Training = Training()) -> Model | None:
     """Trees of every label, from a bounded sample of each."""
     sample = _sample(labelled, key, text, lang, rules)
-    order, most = rules.order, 4 * rules.max_contexts
 
-    def count(table):
+    def compiled(table):
         rows = sorted(zip(table.column("_r").to_pylist(), table.column("_text").to_pylist()))
-        out = []
-        for k, (gram, n) in enumerate(gram_counts([t for _, t in rows if t], order)):
-            if k >= 2:
-                at, inverse = np.unique(gram >> 8, return_inverse=True)
-                if len(at) > most:
-                    total = np.bincount(inverse, n, len(at))
-                    ok = np.zeros(len(at), bool)
-                    ok[np.lexsort((at, -total))[:most]] = True
-                    gram, n = gram[ok[inverse]], n[ok[inverse]]
-            out.append(pa.table({"_lang": pa.array(table.column("_lang").to_pylist()[:1] * len(gram), pa.string()), "k": pa.array(np.full(len(gram), k), pa.int32()), "gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())}))
-        return pa.concat_tables(out)
+        tree = Tree.compile(gram_counts([t for _, t in rows if t], rules.order), rules)
+        return pa.table({"_lang": table.column("_lang")[:1].cast(pa.string()), "size": pa.array([tree.nbytes], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     ship(labelled.sparkSession)
-    grams = materialize(sample.where(F.col("_r") <= rules.rows_per_language).groupBy("_lang").applyInArrow(count, "_lang string, k int, gram long, n long"), "language-grams")
-    # labels that have rows: one for each language
-    names = sorted(r["_lang"] for r in sample.select("_lang").distinct().collect())
-    if not names:
+    stored = materialize(sample.where(F.col("_r") <= rules.rows_per_language).groupBy("_lang").applyInArrow(compiled, "_lang string, size long, tree binary"), "language-trees")
+    sizes = {r["_lang"]: r["size"] for r in stored.select("_lang", "size").collect()}
+    if not sizes:
         return None
-    blocks = []
-    for at in range(0, len(names), rules.block):
-        some = names[at : at + rules.block]
-        table = grams.where(F.col("_lang").isin(*some)).toArrow()
-        whose, k, gram, n = (table.column(c).to_numpy() for c in ("_lang", "k", "gram", "n"))
-        blocks.append(Trees.compile({name: [(gram[o], n[o]) for o in (np.flatnonzero((whose == name) & (k == i)) for i in range(order + 1))] for name in some}, rules))
-        del table, whose, k, gram, n
-        release_memory()
-    model = Model(blocks, {}, rules.per_pass)
+    model = Model(stored, sizes, {}, rules)
     told = identify(sample.where(F.col("_r") > rules.rows_per_language), model, "_text")
     usual = told.where("lang_pred = _lang").groupBy("_lang").agg(F.percentile("bits_per_byte", F.lit(0.99)).alias("most"), F.count("*").alias("n"))
     model.limits = {r["_lang"]: rules.slack * r["most"] for r in usual.collect() if r["n"] >= 10}
-    drop(sample, grams)
+    drop(sample)
     return model
 
 
@@ -298,16 +316,19 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     fields = df.schema.fields
     running = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("_units", T.LongType())]
     final = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
-    blocks = model.blocks if model else []
-    step = model.per_pass if model else 1
-    passes = [blocks[i : i + step] for i in range(0, len(blocks), step)] or [[]]
-    for number, some in enumerate(passes):
-        last = number == len(passes) - 1
+    n, last = 0, False
+    passes = iter(model.passes() if model else [[]])
+    some = next(passes)
+    while not last:
+        coming = next(passes, None)
+        last = coming is None
         schema = T.StructType([*fields, *(final if last else running)])
-        df = df.transform(arrow_map, _scorer(df.sparkSession.sparkContext.broadcast(some), at, own, number == 0, last, schema.names), schema)
+        shared = df.sparkSession.sparkContext.broadcast(some)
+        df = df.transform(arrow_map, _scorer(shared, at, own, n == 0, last, schema.names), schema)
         if not last:
-            before, df = df, materialize(df, "languages")
-            del before
+            df = materialize(df, "languages")
+            shared.unpersist()
+        some, n = coming, n + 1
     return df
 
 

@@ -192,16 +192,15 @@ def test_long_secrets(spark):
 
 def brute_bits(samples, text, order, languages):
     """Code lengths of prediction by partial matching, straight from the definition."""
-    present = {10} | {b for rows in samples.values() for t in rows for b in t.lower().encode()}
     counts = {n: Counter() for n in languages}
-    contexts = Counter()
+    contexts = {n: Counter() for n in languages}
     for n in languages:
         for t in samples[n]:
             data = b"\n" * order + t.lower().encode()
             for i in range(order, len(data)):
                 for k in range(order + 1):
                     counts[n][data[i - k : i], data[i]] += 1
-                    contexts[data[i - k : i]] += 1
+                    contexts[n][data[i - k : i]] += 1
     out = []
     for n in languages:
         table = {}
@@ -210,7 +209,7 @@ def brute_bits(samples, text, order, languages):
         data, bits = b"\n" * order + text.lower().encode(), 0.0
         for i in range(order, len(data)):
             k = order
-            while k > 1 and not all(contexts[data[i - j : i]] >= 3 for j in range(2, k + 1)):
+            while k > 1 and not all(contexts[n][data[i - j : i]] >= 3 for j in range(2, k + 1)):
                 k -= 1
             while k >= 0:
                 seen = table.get(data[i - k : i], {})
@@ -221,7 +220,7 @@ def brute_bits(samples, text, order, languages):
                     bits -= math.log2(len(seen) / (sum(seen.values()) + len(seen)))
                 k -= 1
             else:
-                bits += math.log2(len(present) + 1)
+                bits += 8  # any of 256 bytes
         out.append(bits)
     return out
 
@@ -253,6 +252,25 @@ def test_small_samples(samples):
     assert np.abs(units[1] / langid.UNIT - want).max() < 0.1
 
 
+def test_languages_are_independent():
+    """A further label leaves the code lengths of the others as they are, and no length is clipped."""
+    rng = np.random.default_rng(4)
+    samples = {n: ["".join(rng.choice(list(letters), 400)) for _ in range(40)] for n, letters in (("b", "abcdefgh "), ("c", "fghijklm "), ("d", "日本語中文字 "))}
+    data = "abc fgh 日本 zz".encode()
+    text, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    alone = langid.Trees.grow(samples).code_lengths(text, offsets)
+    more = langid.Trees.grow({**samples, "a": ["".join(rng.choice(list("abcxyz日本 "), 900)) for _ in range(40)]}).code_lengths(text, offsets)
+    assert (more[:, 1:] == alone).all()
+    # a byte after which anything else is an escape through all contexts of a very long run
+    rules = langid.Training()
+    n = 1 << 40
+    run = ord("a")
+    counts = [(np.array([sum(run << 8 * j for j in range(k + 1))]), np.array([n])) for k in range(rules.order + 1)]
+    tree = langid.Trees(["x"], [langid.Tree.compile(counts, rules)])
+    bits = tree.code_lengths(np.frombuffer(b"aaaz", np.uint8), np.array([0, 4]))[0, 0] / langid.UNIT
+    assert bits > 4 * 40
+
+
 def test_language(spark, docs):
     rows = [(i, t, g, "s", 1, "x") for i, (t, g) in enumerate([("the quick brown fox and the dog", "en"), ("der schnelle braune fuchs und der hund", "de")] * 30)]
     rows += [(100, None, None, "s", 1, "x"), (101, "123 ...", "en", "s", 1, "x"), (102, "und der hund", None, "s", 1, "x")]
