@@ -96,11 +96,13 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
 
     ``small`` is broadcast only when it has at most ``limit`` rows (``size``, if
     the caller has counted them); beyond that the join is salted, so one key may
-    hold any share of ``rows``.
+    hold any share of ``rows``.  The salt is a hash of the row: a stage that is
+    run again gives each row the one it had, in whatever order rows come.
     """
     if (small.count() if size is None else size) <= limit:
         return rows.join(F.broadcast(small), on, how)
-    salted = rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    told = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*told), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 

@@ -198,7 +198,7 @@ class Lexicon:
         return np.where((state >= 0) & (self.final[np.maximum(state, 0)] > 0), index, -1)
 
 
-def _chunks(column, most: int = 2_000_000):
+def _chunks(column, most: int = 500_000):
     """Texts of a batch in portions of about ``most`` characters."""
     rows, size = [], 0
     for value in column:
@@ -212,13 +212,17 @@ def _chunks(column, most: int = 2_000_000):
         yield rows
 
 
-def word_counts(df: DataFrame, text: str = "text", held: int = 200_000, folder: str | None = None) -> DataFrame:
-    """word, n over all texts; the row without a word has the number of all words."""
+def word_counts(df: DataFrame, text: str = "text", held: int = 200_000, most: int = 32 << 20, folder: str | None = None) -> DataFrame:
+    """word, n over all texts; the row without a word has the number of all words.
+
+    A task hands its counts on when it holds ``held`` words, or has read ``most``
+    characters since it last did, so few very long words are bounded as well.
+    """
 
     def run(batches):
         counts: Counter = Counter()
         splitter = Splitter(folder)
-        total = 0
+        total = size = 0
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), total], pa.int64())], names=["word", "n"])
@@ -231,9 +235,10 @@ def word_counts(df: DataFrame, text: str = "text", held: int = 200_000, folder:
                     words = splitter.words(t)
                     counts.update(words)
                     total += len(words)
-                if len(counts) > held:
+                    size += len(t)
+                if len(counts) > held or size > most:
                     yield flush()
-                    total = 0
+                    total = size = 0
         yield flush()
 
     return df.select(text).transform(arrow_map, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -286,37 +291,42 @@ def _ends(folder: str | None) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes with a lexicon; remembers its words, and the others within a bound."""
+    """Encodes and decodes with a lexicon; remembers its words, and of others so many and so many bytes."""
 
-    def __init__(self, lexicon: Lexicon, folder: str | None = None, held: int = 250_000):
-        self.lexicon, self.folder, self.held = lexicon, folder, held
+    def __init__(self, lexicon: Lexicon, folder: str | None = None, held: int = 100_000, most: int = 16 << 20):
+        self.lexicon, self.folder, self.held, self.most = lexicon, folder, held, most
         self.tok = library(NAME, folder)
         self.pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
         self.splitter = Splitter(folder)
         self.ids: dict[str, bytes] = {w: np.array([self.tok.token_to_id(w)], "<u4").tobytes() for w in SPECIAL}
         self.decoded: dict[str, str] = {w: w for w in SPECIAL}
         self.rare: list[str] = []  # words that the lexicon lacks
+        self.bytes = 0  # of those words, their ids and decoded forms
 
     def learn(self, words: set[str]) -> None:
-        if len(self.rare) > self.held:
+        if len(self.rare) > self.held or self.bytes > self.most:
             for w in self.rare:
                 del self.ids[w], self.decoded[w]
-            self.rare = []
+            self.rare, self.bytes = [], 0
         new = list(words - self.ids.keys())
         index = self.lexicon.find([w.encode() for w in new])
         at, flat = self.lexicon.at, self.lexicon.ids
         for i in np.flatnonzero(index >= 0):
             w, ids = new[i], flat[at[index[i]] : at[index[i] + 1]]
-            self.ids[w], self.decoded[w] = ids.astype("<u4").tobytes(), " ".join([self.pieces[k] for k in ids])
+            self._hold(w, ids.astype("<u4").tobytes(), " ".join([self.pieces[k] for k in ids]))
         rare = [new[i] for i in np.flatnonzero(index < 0)]
         ids, ends = _merge(rare, self.folder)
         data, pieces = ids.astype("<u4").tobytes(), [self.pieces[k] for k in ids.tolist()]
         begin = 0
         for w, end in zip(rare, ends.tolist()):
-            self.ids[w], self.decoded[w] = data[4 * begin : 4 * end], " ".join(pieces[begin:end])
+            self._hold(w, data[4 * begin : 4 * end], " ".join(pieces[begin:end]))
+            self.bytes += 2 * len(w) + 4 * (end - begin)
             begin = end
         self.rare += rare
 
+    def _hold(self, word: str, ids: bytes, decoded: str) -> None:
+        self.ids[word], self.decoded[word] = ids, word if decoded == word else decoded
+
     def code(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, as little-endian 32-bit integers, and the decoded text."""
         parts = [self.splitter.words(t) for t in texts]
