@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every row is indexed under the leaf
-whose centres it is nearest to on the way down.  A query walks the tree best
+The tree's upper part is fitted on a bounded sample by the driver.  Leaves that
+then hold many rows are divided further by the executors, each on a sample of its
+own rows, until there are some 2 to 4 sqrt(N) leaves, so the rows of a leaf grow
+no faster than sqrt(N).  Every row is indexed under the leaf whose centres it is
+nearest to on the way down.  A query walks the tree best
 bin first: a priority queue holds the nodes seen so far by the inner product
 with their centres, raised by a part of what their radius allows, and leaves are
 visited as they come up; only rows of visited leaves are scored.  How many
 leaves is calibrated: queries whose true neighbours are found by brute force
 over all rows say how far the visits must widen to reach the recall asked for.
-The recall measured there and the share of vectors visited are columns of the
-result.
+Half of them fix that number; the recall of the other half and the share of
+vectors that it visits are columns of the result.
 
 Equal vectors form one class with its smallest ids, so a vector that holds a
 third of all rows is one point of the index.  Leaves are dealt to shards of
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_map, materialize
+from .common import arrow_map, drop, materialize, ship
 
 
 @dataclass(frozen=True)
@@ -81,6 +84,16 @@ class Tree:
                 children.append(np.zeros(0, np.int64))
         return cls(np.array(centres), np.array(radius), children, rules.reach)
 
+    def grafted(self, below: dict[int, Tree]) -> Tree:
+        """This tree with other trees in the place of some leaves; their roots keep the centres they have here."""
+        centres, radius, children = [self.centres], [self.radius], list(self.children)
+        for leaf in sorted(below):
+            sub, base = below[leaf], len(children) - 1  # node i > 0 of the subtree becomes base + i
+            children[int(np.flatnonzero(self.leaf_of == leaf)[0])] = sub.children[0] + base
+            children += [c + base for c in sub.children[1:]]
+            centres.append(sub.centres[1:]), radius.append(sub.radius[1:])
+        return Tree(np.concatenate(centres), np.concatenate(radius), children, self.reach)
+
     def priorities(self, queries: np.ndarray) -> np.ndarray:
         """The place in the queue of each node, for each query."""
         return queries @ self.centres.T + self.reach * np.sqrt((queries * queries).sum(axis=1))[:, None] * self.radius
@@ -166,7 +179,10 @@ def _exact(classes: DataFrame, queries: list[tuple[int, list[float]]], k: int) -
 
 
 def calibrate(tree: Tree, classes: DataFrame, queries: list[tuple[int, list[float]]], sizes: dict[int, int], rules: Index) -> tuple[int, float, float]:
-    """Leaves to visit for the recall asked for, the recall then measured on the calibration queries, and the share of classes that they visit."""
+    """Leaves to visit for the recall asked for, and the recall and share of classes visited of queries that did not fix it.
+
+    Every second query fixes the number; a single one is both.
+    """
     if not queries:
         return tree.leaves, 1.0, 1.0
     truth: dict[int, list] = {}
@@ -176,19 +192,54 @@ def calibrate(tree: Tree, classes: DataFrame, queries: list[tuple[int, list[floa
         truth.setdefault(row["query_id"], []).append(row)
     priorities = tree.priorities(np.array([v for _, v in queries], float))
     held = np.array([sizes.get(i, 0) for i in range(tree.leaves)])
-    depths, total, passed = [], 0, []
-    for (q, _), p in zip(queries, priorities):
+    depths: list[list[int]] = [[], []]
+    passed: list[list[np.ndarray]] = [[], []]
+    for i, ((q, _), p) in enumerate(zip(queries, priorities)):
         order = list(tree.visits(p))
-        passed.append(np.cumsum(held[order]))
         place = {leaf: i + 1 for i, leaf in enumerate(order)}
-        wanted = [place[row["leaf"]] for row in truth.get(q, []) for i in row["ids"] if i != q][: rules.k]
-        depths += wanted
-        total += len(wanted)
-    if not total:
+        depths[i % 2] += [place[row["leaf"]] for row in truth.get(q, []) for i in row["ids"] if i != q][: rules.k]
+        passed[i % 2].append(np.cumsum(held[order]))
+    if not depths[0]:
         return tree.leaves, 1.0, 1.0
-    depths = np.sort(depths)
-    enough = int(depths[min(total - 1, ceil(rules.recall * total) - 1)])
-    return enough, float((depths <= enough).mean()), float(np.mean([x[enough - 1] / x[-1] for x in passed]))
+    fixing = np.sort(depths[0])
+    enough = int(fixing[ceil(rules.recall * len(fixing)) - 1])
+    other = 1 if depths[1] else 0
+    return enough, float((np.array(depths[other]) <= enough).mean()), float(np.mean([x[enough - 1] / x[-1] for x in passed[other]]))
+
+
+def _deeper(tree: Tree, indexed: DataFrame, sizes: dict[int, int], rules: Index) -> Tree:
+    """The tree with leaves divided that hold more than sqrt(N) rows; the same tree if there are none."""
+    wanted = max(rules.leaf, ceil(sqrt(sum(sizes.values())) / 2))
+    large = {leaf: n for leaf, n in sizes.items() if n > 2 * wanted}
+    if not large:
+        return tree
+    spark = indexed.sparkSession
+    # sixteen rows for each leaf to be, and no more than the upper part's sample
+    parts = [(leaf, min(1.0, rules.sample / n, rules.leaf * ceil(n / wanted) / n)) for leaf, n in sorted(large.items())]
+    share = F.pmod(F.xxhash64("rep", F.lit(rules.seed)), F.lit(1_000_000)) / 1_000_000
+    some = indexed.join(F.broadcast(spark.createDataFrame(parts, "leaf long, part double")), "leaf").where(share < F.col("part")).select("leaf", "rep", "v")
+
+    def fit(table):
+        table = table.take(pc.sort_indices(table.column("rep"))).slice(0, 2 * rules.sample).combine_chunks()
+        sub = Tree.fit(_matrix(table.column("v").combine_chunks()), rules)
+        parent = np.full(len(sub.children), -1)
+        for node, kids in enumerate(sub.children):
+            parent[kids] = node
+        n = len(parent)
+        centres = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sub.centres.shape[1], pa.int32()), pa.array(sub.centres.ravel()))
+        return pa.table({"leaf": pa.array([table.column("leaf")[0].as_py()] * n, pa.int64()), "node": pa.array(np.arange(n), pa.int64()), "parent": pa.array(parent, pa.int64()), "radius": pa.array(sub.radius), "centre": centres})
+
+    ship(spark)
+    made = some.groupBy("leaf").applyInArrow(fit, "leaf long, node long, parent long, radius double, centre array<double>").orderBy("leaf", "node").toArrow()
+    below = {}
+    whose = made.column("leaf").to_numpy()
+    cuts = np.flatnonzero(np.diff(whose)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(whose)]):
+        piece = made.slice(lo, hi - lo)
+        if hi - lo > 1:
+            parent = piece.column("parent").to_numpy()
+            below[int(whose[lo])] = Tree(_matrix(piece.column("centre").combine_chunks()), piece.column("radius").to_numpy(), [np.flatnonzero(parent == i) for i in range(hi - lo)], rules.reach)
+    return tree.grafted(below) if below else tree
 
 
 def _shards(sizes: dict[int, int], leaves: int, limit: int) -> list[list[int]]:
@@ -227,20 +278,34 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     sample = classes.where(share < F.lit(ceil(1_000_000 * min(1.0, rules.sample / n)))).orderBy("rep").limit(2 * rules.sample).select("v").toArrow()
     sample = sample if sample.num_rows else classes.select("v").limit(rules.leaf).toArrow()
     tree = Tree.fit(_matrix(sample.column("v").combine_chunks()), rules)
-    tree_b = spark.sparkContext.broadcast(tree)
 
-    def leaf(batches):
-        for batch in batches:
-            at = tree_b.value.assign(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["rep", "v", "ids", "leaf"])
-
-    indexed = materialize(classes.select("rep", "v", "ids").transform(arrow_map, leaf, f"rep long, v {kind}, ids array<long>, leaf long"), "index")
-    stats = {r["leaf"]: (r["n"], r["m"]) for r in indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
+    def placed(rows: DataFrame, tree: Tree) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+        """The rows with their leaves, and the classes and ids of each leaf."""
+        tree_b = spark.sparkContext.broadcast(tree)
+
+        def leaf(batches):
+            for batch in batches:
+                at = tree_b.value.assign(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["rep", "v", "ids", "leaf"])
+
+        out = materialize(rows.select("rep", "v", "ids").transform(arrow_map, leaf, f"rep long, v {kind}, ids array<long>, leaf long"), "index")
+        tree_b.unpersist()
+        stats = out.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("m")).collect()
+        return out, {r["leaf"]: r["n"] for r in stats}, {r["leaf"]: r["m"] for r in stats}
+
+    indexed, sizes, ids = placed(classes, tree)
+    grown = _deeper(tree, indexed, sizes, rules)
+    if grown is not tree:
+        shallow, tree = indexed, grown
+        indexed, sizes, ids = placed(shallow, tree)
+        drop(shallow)
+    drop(classes)
+    tree_b = spark.sparkContext.broadcast(tree)
     asked = rows.where(queries).dropDuplicates(["id", "v"])
     few = asked.withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(rules.calibration).select("id", "v").collect()
-    enough, recall, visited = calibrate(tree, indexed, [(r["id"], r["v"]) for r in few], {k: n for k, (n, _) in stats.items()}, rules)
-    shards = _shards({k: n for k, (n, _) in stats.items()}, tree.leaves, rules.shard_rows)
-    held = [stats.get(i, (0, 0))[1] for i in range(tree.leaves)]
+    enough, recall, visited = calibrate(tree, indexed, [(r["id"], r["v"]) for r in few], sizes, rules)
+    shards = _shards(sizes, tree.leaves, rules.shard_rows)
+    held = [ids.get(i, 0) for i in range(tree.leaves)]
 
     def walk(batches):
         tree = tree_b.value
@@ -266,9 +331,9 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     asked = asked.select("id", "v").repartition(max(1, ceil(asked.count() / rules.walks_per_task)), "id")
     visits = materialize(asked.transform(arrow_map, walk, f"shard long, id long, v {kind}, leaves array<long>"), "visits")
     load = {r["shard"]: ceil(r["count"] / rules.queries_per_task) for r in visits.groupBy("shard").count().collect()}
-    of_leaf = F.element_at(F.lit(shards), (F.col("leaf") + 1).cast("int"))
+    of_leaf = spark.createDataFrame(list(enumerate(shards)), "leaf long, _s array<long>")  # a row for each leaf
     parts = spark.createDataFrame(sorted(load.items()) or [(0, 1)], "shard long, parts long")
-    points = indexed.withColumn("_s", of_leaf).withColumn("shard", F.element_at("_s", (F.pmod(F.xxhash64("rep"), F.size("_s")) + 1).cast("int")))
+    points = indexed.join(F.broadcast(of_leaf), "leaf").withColumn("shard", F.element_at("_s", (F.pmod(F.xxhash64("rep"), F.size("_s")) + 1).cast("int")))
     points = points.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     points = points.select("shard", "part", F.lit(0).alias("kind"), F.col("rep").alias("id"), "v", "ids", "leaf")
     looking = visits.join(F.broadcast(parts), "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(1).alias("kind"), "id", "v", F.col("leaves").alias("ids"), F.lit(-1).cast("long").alias("leaf"))

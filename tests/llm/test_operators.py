@@ -518,6 +518,33 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_tree_grows_with_the_table(spark):
+    """Leaves of a small sample's tree are divided by the executors; the stated recall is that of queries that did not fix the visits."""
+    rng = np.random.default_rng(12)
+    middles = rng.standard_normal((60, 12))
+    x = middles[rng.integers(0, 60, 6000)] + 0.3 * rng.standard_normal((6000, 12))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    rules = ann.Index(sample=300, calibration=128)
+    classes = ann._classes(ann.usable(df, "vec_id", "embedding"), rules.k)
+    top = ann.Tree.fit(x[:300], rules)
+    indexed = spark.createDataFrame([(i, v, int(leaf)) for i, (v, leaf) in enumerate(zip(x.tolist(), top.assign(x)))], "rep long, v array<double>, leaf long")
+    before = np.bincount(top.assign(x), minlength=top.leaves)
+    grown = ann._deeper(top, indexed, {i: int(n) for i, n in enumerate(before) if n}, rules)
+    after = np.bincount(grown.assign(x), minlength=grown.leaves)
+    assert classes.count() == after.sum() == 6000 and len(after) == grown.leaves > 2 * top.leaves
+    assert after.max() < before.max() and sorted(grown.visits(grown.priorities(x[:1])[0])) == list(range(grown.leaves))
+    got: dict = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, rules=rules).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        stated, visited = r["recall"], r["visited"]
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert len(got) == 300 and hits >= 0.9 * 20 * len(got) and abs(hits / 20 / len(got) - stated) < 0.05 and visited < 0.5
+
+
 # 7
 
 def base_counts(text):
