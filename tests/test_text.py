@@ -106,3 +106,31 @@ def test_words_are_counted_in_their_rows(spark):
     assert encode.terms_of(spark.createDataFrame(got), "k", None).where(F.col("term") == fnv("the")).first()["tf"] == 3
     two = encode.word_counts(spark.createDataFrame([("a", True, "x y x")], "doc string, last boolean, text string"), ["doc", "last"], "text").collect()
     assert sorted((r["doc"], r["last"], r["word"], r["n"]) for r in two) == [("a", True, "x", 2), ("a", True, "y", 1)]
+
+
+def test_bags_are_counted_in_bounded_parts(spark, monkeypatch):
+    """However many rows a batch has, a task counts a bounded number of words at once; the whole counts stay the same."""
+    import pyarrow as pa
+
+    from tessera.operators import encode
+
+    monkeypatch.setattr(encode, "AT_ONCE", 7)
+    words = [["a", "b", "a"], ["the"], ["c"] * 20, ["a", "the", "d"], ["e"]] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(words)], names=["k", "_words"])
+    for run, names in ((encode._counted(["k", "word", "term", "n"]), None), (encode._bagged(["k", *encode.BAG], ["the"]), encode.BAG)):
+        out = list(run([batch.slice(0, 11), batch.slice(11)]))
+        assert len(out) > 10 and sum(b.num_rows for b in out) == (20 if names else 4 * 8)
+    held = pa.Table.from_batches(out).to_pylist()
+    assert [(r["ts"], r["tf"], r["stop_tf"]) for r in held[:4]] == [(sorted([fnv("a"), fnv("b")]), [2, 1] if fnv("a") < fnv("b") else [1, 2], []), ([], [], [1]), ([fnv("c")], [20], []), (sorted([fnv("a"), fnv("d")]), [1, 1], [1])]
+
+
+def test_bags_of_a_shared_key_are_one(spark):
+    from tessera.operators import encode
+
+    texts = [(1, "the cat CAT"), (2, None), (3, ""), (4, "the of"), (5, "straße 日本語 日本語"), (1, "the end cat"), (None, "x"), (None, "x y")]
+    bag = encode.bags(spark.createDataFrame(texts, "k int, t string").repartition(3), "k", "t")
+    got = {(r["k"], t): n for r in bag.collect() for t, n in zip(r["ts"] + r["stop_ts"], r["tf"] + r["stop_tf"])}
+    want = {(1, "the"): 2, (1, "cat"): 3, (1, "end"): 1, (4, "the"): 1, (4, "of"): 1, (5, "straße"): 1, (5, "日本語"): 2, (None, "x"): 2, (None, "y"): 1}
+    assert got == {(k, fnv(w)): n for (k, w), n in want.items()} and bag.count() == 4
+    longer = encode.embedded(bag, "k", 16).join(encode.dense_vectors(encode.hash_embedding(spark.createDataFrame(texts, "k int, t string"), "k", "t", 16), "k", 16).withColumnRenamed("vector", "v"), "k")
+    assert longer.count() == 3 and longer.where("vector != v").count() == 0
