@@ -162,15 +162,21 @@ def run(spark: SparkSession, landing: str, out: str, checkpoint: str, feed: Feed
 
 def table(spark: SparkSession, out: str, name: str) -> DataFrame:
     """A table of the index as it stands."""
+    found = _table(spark, out, name)
+    return encode.exploded(found, "point_id", "ts", "ws", "weight") if name == "terms" else found
+
+
+def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The same as it is stored: the terms of a point are one row."""
     found = spark.read.parquet(f"{out}/{name}")
     return found.where(F.col("id" if name == "catalog" else "point_id").isNotNull()).drop("bucket", "batch")
 
 
 def load(spark: SparkSession, out: str, feed: Feed) -> index_plan.Index:
     """The index for searches."""
-    catalog, own, terms = (table(spark, out, n) for n in TABLES)
+    catalog, own, terms = (_table(spark, out, n) for n in TABLES)
     stats = own.agg(F.count("*").alias("n")).withColumn("avgdl", F.lit(0.0))
-    return index_plan.Index(catalog, own, terms, stats, encode.document_frequencies(terms), feed.config().embed_dim)
+    return index_plan.Index(catalog, own, terms, stats, encode.document_frequencies(encode.exploded(terms, "point_id", "ts", "ws", "weight")), feed.config().embed_dim)
 
 
 def main() -> None:

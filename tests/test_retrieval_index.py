@@ -141,3 +141,17 @@ def test_saved_index_keeps_its_lists(spark, tmp_path):
     made.save(f"{tmp_path}/index")
     again = index_plan.Index.load(spark, f"{tmp_path}/index")
     assert again.lists.share == 0.5 and again.blocks.postings.count() == made.blocks.postings.count()
+
+
+def test_index_has_a_row_of_terms_for_each_point(spark):
+    """Searches read one row for each point, and what the build stored on its way is gone."""
+    from tessera.schema import normalized
+    from tessera.scratch import hadoop_path, scratch_root
+
+    rows = spark.createDataFrame([(str(i), f"name {i}", f"a text about stones and {i % 5}") for i in range(20)], "id string, name string, description string")
+    where, system = hadoop_path(spark, scratch_root(spark))
+    held = lambda tag: {str(f.getPath()) for f in system.globStatus(hadoop_path(spark, f"{where}/tessera-{tag}-*/rows")[0])}
+    before = held("bags") | held("points")
+    made = index_plan.build(normalized(rows.withColumn("pos", F.col("id")), "pos"))
+    assert made.terms.columns == ["point_id", "ts", "ws"] and made.terms.count() == made.points.count()
+    assert held("bags") | held("points") == before
