@@ -160,11 +160,13 @@ def _repositories(spark, sf_dir):
                 return 404, b""
             return 200, json.dumps({"name": f"io.x/{k}", "description": f"described {k}", "version": "3"}).encode()
         asked = parse_qs(parts.query)
-        if asked["q"][0] not in found:
+        topic, _, below = asked["q"][0].partition(" stars:<")
+        if topic not in found:
             return 500, b""
         page, size = int(asked["page"][0]), int(asked["per_page"][0])
-        some = found[asked["q"][0]][(page - 1) * size : page * size]
-        return 200, json.dumps({"total_count": len(found[asked["q"][0]]), "items": [item(r) for r in some]}).encode()
+        shown = [r for r in reversed(found[topic]) if not below or r["s_suppkey"] < int(below)]  # by stars
+        some = shown[(page - 1) * size : page * size] if page * size <= 1000 else []  # a search shows 1,000 at most
+        return 200, json.dumps({"total_count": len(shown), "items": [item(r) for r in some]}).encode()
 
     return get
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -47,19 +48,38 @@ def registry_pages(get: Get, base: str, limit: int = 0) -> Iterator[dict]:
 
 
 def search_pages(get: Get, base: str, queries: tuple[str, ...] = TOPIC_QUERIES, limit: int = 0) -> Iterator[dict]:
-    """Pages of each query by stars, with ``query_idx``; a query that fails keeps what it found."""
+    """Pages of each query by stars, with ``query_idx``; a query that fails keeps what it found.
+
+    A search shows its first ``SEARCH_PAGES`` pages alone, so the rest is asked for
+    by fewer stars, down to the last; repositories at the seam come twice.
+    """
     for i, query in enumerate(queries):
-        seen = 0
-        for n in range(1, SEARCH_PAGES + 1):
-            try:
-                page = _page(get, f"{base}/search/repositories?" + urlencode({"q": query, "sort": "stars", "order": "desc", "per_page": SEARCH_PAGE_SIZE, "page": n}))
-            except (OSError, ValueError):
+        seen, below = 0, None  # below: the stars that the rest has fewer than
+        while True:
+            most, items = None, []
+            for n in range(1, SEARCH_PAGES + 1):
+                asked = query if below is None else f"{query} stars:<{below}"
+                try:
+                    page = _page(get, f"{base}/search/repositories?" + urlencode({"q": asked, "sort": "stars", "order": "desc", "per_page": SEARCH_PAGE_SIZE, "page": n}))
+                except (OSError, ValueError):
+                    items = []
+                    break
+                items = page.get("items") or []
+                yield page | {"query_idx": i}
+                seen += len(items)
+                most = items[0].get("stargazers_count") if items and most is None else most
+                if len(items) < SEARCH_PAGE_SIZE or 0 < limit <= seen:
+                    items = []
+                    break
+            least = items[-1].get("stargazers_count") if items else None
+            if least is None:
                 break
-            items = page.get("items") or []
-            yield page | {"query_idx": i}
-            seen += len(items)
-            if len(items) < SEARCH_PAGE_SIZE or 0 < limit <= seen:
+            if most == least:
+                warnings.warn(f"{query}: more repositories of {least} stars than a search shows", stacklevel=2)
+            rest = least if most == least else least + 1
+            if below is not None and rest >= below:  # a service that does not know the qualifier
                 break
+            below = rest
 
 
 def server_description(get: Get, base: str, full_name: str, branch: str = "") -> dict | None:

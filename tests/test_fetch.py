@@ -1,4 +1,5 @@
 import json
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 
@@ -47,6 +48,23 @@ def test_search_pages():
     assert fetch.server_description(lambda u: (200, b'{"name": "x"}'), "http://raw", "o/r") == {"name": "x"}
 
 
+def test_searches_go_on_where_they_end():
+    """A search shows 1,000 repositories at most; the others come by fewer stars, also where many have the same."""
+    stars = sorted([i // 7 for i in range(2_345)], reverse=True)
+
+    def get(url):
+        asked = parse_qs(urlparse(url).query)
+        below, page = int(asked["q"][0].partition(" stars:<")[2] or 1_000), int(asked["page"][0])
+        shown = [{"full_name": f"o/{i}", "stargazers_count": n} for i, n in enumerate(stars) if n < below]
+        return 200, json.dumps({"items": shown[(page - 1) * 100 : min(page * 100, 1_000)]}).encode()
+
+    names = {i["full_name"] for p in fetch.search_pages(get, "http://s", ("q",)) for i in p["items"]}
+    assert len(names) == 2_345
+    assert sum(len(p["items"]) for p in fetch.search_pages(get, "http://s", ("q",), 150)) == 200
+    ignoring = lambda url: get(url.replace("stars%3A%3C", "x"))  # noqa: E731  a service that does not know the qualifier ends
+    assert sum(1 for _ in fetch.search_pages(ignoring, "http://s", ("q",))) == 20
+
+
 def test_commands(spark, tmp_path):
     (tmp_path / "rows.json").write_text(json.dumps(ROWS))
     (tmp_path / "golden.json").write_text(json.dumps([{"query": "send an email", "expected": ["mail"]}, {"query": "route", "expected": ["other"]}]))
