@@ -20,6 +20,7 @@ weights stay; other columns than key and text, whatever their names, are not use
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from dataclasses import dataclass
 
@@ -223,6 +224,15 @@ class Trainer:
         self.seen += n
 
 
+def keep_memory() -> bool:
+    """Let this process keep up to 64 MB that it freed: otherwise each step's arrays are pages that the system takes back and clears again.  Only where the C library can."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return False
+    return bool(mallopt(-3, 16 << 20)) and bool(mallopt(-1, 64 << 20))  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+
+
 def _kind(net: Network) -> str:
     return "<u2" if net.size <= 1 << 16 else "<u4"
 
@@ -302,6 +312,7 @@ def train_on(indexed: DataFrame, known: list[bytes], net: Network = Network()) -
     shared = indexed.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
+        keep_memory()
         model, copy = Trainer(shared.value, net), TaskContext.get().partitionId() if TaskContext.get() else 0
         around, target, size = [], [], 0
         for ids, sizes in _portions(batches, net):
@@ -347,6 +358,7 @@ def score_on(indexed: DataFrame, model: tuple[list[bytes], dict[str, np.ndarray]
     schema = T.StructType([T.StructField(key, indexed.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())])
 
     def run(batches):
+        keep_memory()
         p = shared.value
         for batch in batches:
             counts, sums = [], []
