@@ -1,5 +1,7 @@
 """Inverted lists against exact search, and blocks of postings against the plain join."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,36 @@ def test_index_has_a_row_of_terms_for_each_point(spark):
     made = index_plan.build(normalized(rows.withColumn("pos", F.col("id")), "pos"))
     assert made.terms.columns == ["point_id", "ts", "ws"] and made.terms.count() == made.points.count()
     assert held("bags") | held("points") == before
+
+
+def _stored(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files)
+
+
+def test_a_build_stores_each_text_twice_at_most(spark, tmp_path):
+    """Rows and points, with terms and vectors; identities, cards and vectors made three more of a text and shuffled it as often."""
+    from tessera.schema import normalized
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.substring(F.sha2(F.concat_ws("-", "id", i.cast("string")), 256), 1, 12)), " ")
+    rows = spark.range(1_500).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("Some words. "), words).alias("description"), F.lpad(F.col("id").cast("string"), 9, "0").alias("pos"))
+    rows.write.option("compression", "zstd").parquet(f"{tmp_path}/in")
+    size = sum(f.stat().st_size for f in tmp_path.glob("in/*.parquet"))
+    before = _stored(spark)
+    made = index_plan.build(normalized(spark.read.parquet(f"{tmp_path}/in"), "pos"))
+    assert made.points.count() == 1_500 * 2 and _stored(spark) - before < 4.5 * size, (_stored(spark) - before) / size
+    plan = made.scored()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_points_that_share_an_id(spark):
+    """Of points with one id the last counts as a point, and every text counts for the statistics; other rows are not touched."""
+    from tessera.schema import normalized
+
+    tools = lambda *names: [{"name": n, "description": d} for n, d in names]
+    rows = [("a", "first", "alpha one", tools(("x", "old words"), ("x", "new words"))), ("a", "second", "alpha two", []), ("b", "third", "beta", tools(("x", "own words")))]
+    made = index_plan.build(normalized(spark.createDataFrame(rows, "id string, name string, description string, tools array<struct<name:string,description:string>>").withColumn("pos", F.col("name")), "pos"), Config(enricher="none"))
+    got = sorted((r["mcp_id"], r["kind"], r["ordinal"]) for r in made.points.collect())
+    assert got == [("a", "server", 0), ("a", "tool", 2), ("b", "server", 0), ("b", "tool", 1)]
+    assert made.points.where("mcp_id = 'a' AND kind = 'tool'").first()["text"].startswith("x\nnew words")
+    assert made.stats.first()["n"] == 6 and made.terms.count() == 4
