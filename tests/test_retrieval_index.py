@@ -190,3 +190,12 @@ def test_points_that_share_an_id(spark):
     assert got == [("a", "server", 0), ("a", "tool", 2), ("b", "server", 0), ("b", "tool", 1)]
     assert made.points.where("mcp_id = 'a' AND kind = 'tool'").first()["text"].startswith("x\nnew words")
     assert made.stats.first()["n"] == 6 and made.terms.count() == 4
+
+
+def test_what_several_blocks_shuffle_does_not_grow_with_the_partitions(spark, monkeypatch):
+    """Each query's best rows are shuffled once; they came from every partition of the points for every block."""
+    points, asked = points_of(spark, clustered(800)).repartition(16), queries_of(spark, clustered(60, seed=7))
+    right, scanned, real = hits(retrieve.dense_candidates(asked, points, 10)), [], retrieve.top
+    monkeypatch.setattr(retrieve, "ROWS", 200)  # blocks of 20 queries
+    monkeypatch.setattr(retrieve, "top", lambda rows, *a: scanned.append(rows.count()) or real(rows, *a))
+    assert hits(retrieve.dense_candidates(asked, points, 10)) == right and sum(scanned) == 600
