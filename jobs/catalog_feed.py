@@ -50,7 +50,7 @@ from tessera.operators import encode, points, resolve
 from tessera.plans import index as index_plan
 from tessera.plans.config import Config
 from tessera.schema import fields, normalized
-from tessera.scratch import store
+from tessera.scratch import drop, store
 
 TABLES = ("catalog", "points", "terms")
 
@@ -129,6 +129,7 @@ class Batches:
         if rejected:
             replace_partitions(numbered(bad), f"{out}/rejected", "batch")
         touched = [r["bucket"] for r in every.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        drop(landed)
         if touched:
             self._rebuild(spark, touched, batch)
         self.read, self.touched = self.read + n, self.touched + len(touched)
@@ -139,15 +140,17 @@ class Batches:
         rows = latest(mine).withColumn("pos", F.col("id"))
         made = index_plan.build(normalized(rows, "pos"), self.feed.config(), self.feed.as_of)
         catalog = made.catalog.withColumn("bucket", bucket_of(F.col("name"), F.col("repository"), F.col("id"), self.feed.buckets))
-        of_id = catalog.groupBy(F.col("id").alias("mcp_id")).agg(F.min("bucket").alias("bucket"))
+        of_id = store(catalog.groupBy(F.col("id").alias("mcp_id")).agg(F.min("bucket").alias("bucket")), "buckets")
+        of_id = F.broadcast(of_id) if of_id.count() <= resolve.FEW else of_id
         own_points = made.points.join(of_id, "mcp_id")
-        own_terms = made.terms.join(own_points.select("point_id", "bucket"), "point_id")
+        own_terms = made.scored().select("point_id", "mcp_id", "ts", "ws").join(of_id, "mcp_id").drop("mcp_id")
         # a row without a key in each bucket made: one that has lost all its rows is overwritten as well
         marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
         for name, table in zip(TABLES, (catalog, own_points, own_terms)):
             table = table.unionByName(marks, allowMissingColumns=True).withColumn("batch", F.lit(batch).cast("bigint"))
             replace_partitions(table.repartition("bucket"), f"{self.out}/{name}", "bucket")
             LOG.info("batch %d: wrote %d rows of %s", batch, _read(spark, f"{self.out}/{name}").where(F.col("bucket").isin(touched)).count() - len(touched), name)
+        drop(*made.made)
 
 
 def run(spark: SparkSession, landing: str, out: str, checkpoint: str, feed: Feed) -> Batches:
