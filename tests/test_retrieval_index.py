@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieve
+from tessera.operators import encode, retrieve
 from tessera.operators.dense_index import DenseIndex
 from tessera.operators.sparse_index import SparseIndex
 from tessera.plans import index as index_plan
@@ -135,6 +135,24 @@ def test_blocks_with_a_filter(spark, weighted, tmp_path):
     assert SparseIndex.build(weights.limit(0)).search(asked, 5).count() == 0
 
 
+@pytest.mark.parametrize("limit", [3, 400])
+def test_blocks_filter_rows_and_shuffle_no_pairs_beyond_the_points(spark, weighted, monkeypatch, limit):
+    """Filters hold in rows of points; where the blocks left hold more postings than there are points, the rows are scored where they lie."""
+    weights, asked = weighted
+    rows = encode.gathered(weights, "point_id").withColumns({"source": F.concat(F.lit("s"), (F.col("point_id") % 3).cast("string")), "categories": F.array(F.concat(F.lit("c"), (F.col("point_id") % 4).cast("string")))})
+    wanted = F.when(F.col("qid") % 4 == 0, "nowhere").when(F.col("qid") % 4 == 1, "s1").otherwise("")
+    filters = asked.select("qid").distinct().withColumns({"source": wanted, "categories": F.when(F.col("qid") % 3 == 0, F.array(F.lit("c1"), F.lit("c2"))).otherwise(F.array().cast("array<string>"))})
+    plain = retrieve.sparse_candidates(asked, rows, limit, filters=filters)
+    index, pairs = SparseIndex.build_rows(rows), []
+    scores = SparseIndex.scores
+    monkeypatch.setattr(SparseIndex, "scores", lambda self, found, *a: (pairs.append(found.count()), scores(self, found, *a))[1])
+    found = index.search(asked, limit, filters=filters)
+    assert hits(found) == hits(plain) and {"source", "categories"} <= set(found.columns)
+    assert limit < 400 or len(pairs) == 1  # the first candidates alone
+    open_ = asked.where("qid % 4 <> 0")
+    assert hits(index.search(open_, 3, filters=filters)) == hits(retrieve.sparse_candidates(open_, rows, 3, filters=filters))
+
+
 def test_saved_index_keeps_its_lists(spark, tmp_path):
     from tessera.schema import normalized
 
