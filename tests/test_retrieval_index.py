@@ -197,6 +197,28 @@ def test_a_build_stores_each_text_twice_at_most(spark, tmp_path):
     assert "Join" not in plan
 
 
+def test_an_index_to_search_stores_each_text_once(spark, tmp_path):
+    """Rows alone hold texts: a search reads terms and vectors of points, and the same rows are found; to be saved an index has the texts of its points."""
+    from tessera.plans import search as search_plan
+    from tessera.schema import normalized
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50)).cast("string"))), " ")
+    rows = spark.range(300).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("Some words. "), words).alias("description"), F.lpad(F.col("id").cast("string"), 9, "0").alias("pos"))
+    rows.write.option("compression", "zstd").parquet(f"{tmp_path}/in")
+    given, root, size = normalized(spark.read.parquet(f"{tmp_path}/in"), "pos"), _stored(spark), []
+    made = []
+    for texts in (True, False):
+        made.append(index_plan.build(given, texts=texts))
+        size.append(_stored(spark) - root)
+        root = _stored(spark)
+    assert size[1] < size[0] * 0.8, size
+    asked = spark.createDataFrame([(1, "words w1 w2 w3", 5, 0.0, "", []), (2, "the and of", 3, 0.0, "", [])], "qid long, query string, top_k int, min_score double, source string, categories array<string>")
+    want, got = (sorted(map(str, search_plan.search(asked, m).collect())) for m in made)
+    assert got == want and len(got) == 8
+    with pytest.raises(ValueError, match="texts"):
+        made[1].save(f"{tmp_path}/index")
+
+
 def test_points_that_share_an_id(spark):
     """Of points with one id the last counts as a point, and every text counts for the statistics; other rows are not touched."""
     from tessera.schema import normalized
