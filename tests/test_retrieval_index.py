@@ -197,6 +197,28 @@ def test_a_build_stores_each_text_twice_at_most(spark, tmp_path):
     assert "Join" not in plan
 
 
+def test_memory_of_a_scan_does_not_grow_with_the_rows_of_a_batch():
+    """A batch of four times the rows takes no more at once, and gives the best rows of all."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    shared = SimpleNamespace(value=([7], None, np.arange(3), np.ones(3, np.int64), np.zeros(3, np.int64), np.array([1.0, 2.0, 4.0])))
+    peaks = []
+    for n in (5_000, 20_000):
+        terms, weights = np.tile(np.arange(200), n), np.random.default_rng(n).random(200 * n)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 200), pa.array(v)) for v in (terms, weights)]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *lists], names=["doc_id", "ts", "ws"])
+        want = (weights.reshape(n, 200)[:, :3] * [1.0, 2.0, 4.0]).sum(axis=1)
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(retrieve._sharing(shared, 5, ["doc_id"], ["doc_id"])(iter([batch]))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found.column("doc_id").to_pylist() == np.argsort(-want)[:5].tolist()
+    assert peaks[1] < 1.3 * peaks[0], peaks
+
+
 def test_an_index_to_search_stores_each_text_once(spark, tmp_path):
     """Rows alone hold texts: a search reads terms and vectors of points, and the same rows are found; to be saved an index has the texts of its points."""
     from tessera.plans import search as search_plan
