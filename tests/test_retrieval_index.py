@@ -241,6 +241,19 @@ def test_an_index_to_search_stores_each_text_once(spark, tmp_path):
         made[1].save(f"{tmp_path}/index")
 
 
+def test_a_search_encodes_its_queries_once(spark):
+    """What joins the queries reads them as stored: each join made their vectors and terms anew, in one plan that the driver held."""
+    from tessera.plans import search as search_plan
+    from tessera.schema import normalized
+
+    rows = spark.createDataFrame([(str(i), f"name {i}", f"a text about stones and {i % 5}") for i in range(20)], "id string, name string, description string")
+    asked = spark.createDataFrame([(1, "stones 3", 5, 0.0, "", []), (2, "the and of", 3, 0.0, "", [])], "qid long, query string, top_k int, min_score double, source string, categories array<string>")
+    found = search_plan.candidates(asked, index_plan.build(normalized(rows.withColumn("pos", F.col("id")), "pos")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the points that are scored
+    assert {r["qid"] for r in found.collect()} == {1, 2}
+
+
 def test_points_that_share_an_id(spark):
     """Of points with one id the last counts as a point, and every text counts for the statistics; other rows are not touched."""
     from tessera.schema import normalized
