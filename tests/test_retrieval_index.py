@@ -254,6 +254,21 @@ def test_a_search_encodes_its_queries_once(spark):
     assert {r["qid"] for r in found.collect()} == {1, 2}
 
 
+def test_a_failure_of_the_statistics_is_no_result(spark, monkeypatch):
+    """An index without its sparse side is made only where a step for it was handed in and failed; else the build fails."""
+    from tessera.schema import normalized
+
+    def failing(*_):
+        raise OSError("no place")
+
+    rows = normalized(spark.createDataFrame([("1", "name", "stones")], "id string, name string, description string").withColumn("pos", F.col("id")), "pos")
+    with pytest.warns(UserWarning, match="no sparse index"):
+        assert index_plan.build(rows, steps=index_plan.Steps(fit=failing)).terms.count() == 0
+    monkeypatch.setattr(encode, "stats_of", failing)
+    with pytest.raises(OSError, match="no place"):
+        index_plan.build(rows)
+
+
 def test_points_that_share_an_id(spark):
     """Of points with one id the last counts as a point, and every text counts for the statistics; other rows are not touched."""
     from tessera.schema import normalized
