@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import LOG, command, replace_partitions, session, settings
 from tessera.functions import text as X
-from tessera.operators import encode, points, resolve
+from tessera.operators import encode, points, resolve, retrieve
 from tessera.plans import index as index_plan
 from tessera.plans.config import Config
 from tessera.schema import fields, normalized
@@ -105,6 +105,16 @@ def moved(rows: DataFrame, known: DataFrame | None) -> DataFrame | None:
 
 def latest(records: DataFrame) -> DataFrame:
     """The last version of each source's id, if it is not deleted there; equal versions count by batch, then by content."""
+    keys = ["bucket", "source", "id"]
+    odd = store(records.groupBy(*keys).agg(F.count("*").alias("n"), F.max("deleted").alias("gone")).where("n > 1 OR gone").select(*keys), "versions")
+    n = odd.count()
+    if n > retrieve.FEW:
+        return _last(records)
+    odd = F.broadcast(odd)  # the others are neither shuffled nor compared
+    return records.join(odd, keys, "left_anti").unionByName(_last(records.join(odd, keys, "left_semi"))) if n else records
+
+
+def _last(records: DataFrame) -> DataFrame:
     content = F.xxhash64(*[n for n, _ in fields()])
     return points.last_write_wins(records.withColumn("_k", F.struct("bucket", "source", "id")), "_k", [F.col("revision"), F.col("batch"), ~F.col("deleted"), content]).where(~F.col("deleted")).drop("_k")
 
@@ -138,18 +148,26 @@ class Batches:
     def _rebuild(self, spark: SparkSession, touched: list[int], batch: int) -> None:
         mine = spark.read.parquet(f"{self.out}/records").where(F.col("bucket").isin(touched) & (F.col("batch") <= batch))
         rows = latest(mine).withColumn("pos", F.col("id"))
-        made = index_plan.build(normalized(rows, "pos"), self.feed.config(), self.feed.as_of)
-        catalog = made.catalog.withColumn("bucket", bucket_of(F.col("name"), F.col("repository"), F.col("id"), self.feed.buckets))
-        of_id = store(catalog.groupBy(F.col("id").alias("mcp_id")).agg(F.min("bucket").alias("bucket")), "buckets")
-        of_id = F.broadcast(of_id) if of_id.count() <= resolve.FEW else of_id
-        own_points = made.points.join(of_id, "mcp_id")
-        own_terms = made.scored().select("point_id", "mcp_id", "ts", "ws").join(of_id, "mcp_id").drop("mcp_id")
+        bucket = bucket_of(F.col("name"), F.col("repository"), F.col("id"), self.feed.buckets)
+        made = index_plan.build(normalized(rows, "pos"), self.feed.config(), self.feed.as_of, keep={"bucket": bucket})
+        catalog = made.catalog.withColumn("bucket", bucket)
+        least = F.min("bucket").alias("least")
+        spread = store(catalog.groupBy(F.col("id").alias("mcp_id")).agg(least, F.max("bucket").alias("most")).where("least < most").drop("most"), "spread")
+        n = spread.count()
+
+        def placed(rows: DataFrame) -> DataFrame:
+            """Rows of an id that lies in several buckets go to the least of them."""
+            return rows.join(F.broadcast(spread) if n <= retrieve.FEW else spread, "mcp_id", "left").withColumn("bucket", F.coalesce("least", "bucket")).drop("least") if n else rows
+
+        own_points, own_terms = placed(made.points), placed(made.scored().select("point_id", "mcp_id", "bucket", "ts", "ws")).drop("mcp_id")
         # a row without a key in each bucket made: one that has lost all its rows is overwritten as well
-        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
         for name, table in zip(TABLES, (catalog, own_points, own_terms)):
             table = table.unionByName(marks, allowMissingColumns=True).withColumn("batch", F.lit(batch).cast("bigint"))
-            replace_partitions(table.repartition("bucket"), f"{self.out}/{name}", "bucket")
+            replace_partitions(table, f"{self.out}/{name}", "bucket")  # rows lie by bucket since ``records``
             LOG.info("batch %d: wrote %d rows of %s", batch, _read(spark, f"{self.out}/{name}").where(F.col("bucket").isin(touched)).count() - len(touched), name)
+            if name == "catalog":
+                drop(*made.held)
         drop(*made.made)
 
 

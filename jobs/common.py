@@ -36,4 +36,4 @@ def session(name: str, shared: str | None = None) -> SparkSession:
 
 def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     """Writes ``df`` in the place of those partitions of ``path`` that it has rows of."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

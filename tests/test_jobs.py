@@ -116,6 +116,38 @@ def test_feed_repeats_a_batch_that_was_cut_off(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/records").where("id = 'e'").count() == 1
 
 
+def test_feed_shuffles_no_text_but_into_buckets(spark, tmp_path, monkeypatch):
+    """Rows lie by bucket once they are records: what is made of them is written where it is made, and scratch goes.  Each table was dealt out anew, points twice."""
+    folder, plans, write = str(tmp_path), {}, catalog_feed.replace_partitions
+    held = lambda: set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("tessera-identities-*/rows"))
+
+    def looked_at(df, path, *by):
+        plans[path.rpartition("/")[2]] = df._jdf.queryExecution().optimizedPlan().toString()
+        write(df, path, *by)
+
+    monkeypatch.setattr(catalog_feed, "replace_partitions", looked_at)
+    before = held()
+    land(spark, [(str(i), f"name {i}", "file", f"text number {i}", 1, False) for i in range(40)], folder, "1")
+    catalog_feed.run(spark, f"{folder}/in/*", f"{folder}/index", f"{folder}/cp", FEED)
+    assert not [n for n in catalog_feed.TABLES if "Repartition" in plans[n].replace("Repartition 1, false", "") or "Join" in plans[n]]
+    assert held() == before
+    rows = spark.read.parquet(f"{folder}/index/records")
+    assert "Window" not in catalog_feed.latest(rows)._jdf.queryExecution().optimizedPlan().toString() and catalog_feed.latest(rows).count() == 40
+
+
+def test_feed_puts_points_of_one_id_into_one_bucket(spark, tmp_path):
+    """An id that two sources give to rows of several buckets has its points in the least of them."""
+    folder = str(tmp_path)
+    land(spark, [("x", f"name {i}", f"s{i}", f"text number {i}", 1, False) for i in range(8)] + [("y", "other", "file", "more", 1, False)], folder, "1")
+    catalog_feed.run(spark, f"{folder}/in/*", f"{folder}/index", f"{folder}/cp", FEED)
+    read = lambda n: spark.read.parquet(f"{folder}/index/{n}")
+    rows = {r["bucket"] for r in read("catalog").where("id = 'x'").collect()}
+    assert len(rows) > 1
+    for name in ("points", "terms"):
+        own = read("points").where("mcp_id = 'x'").select("point_id")
+        assert {r["bucket"] for r in read(name).join(own, "point_id").select("bucket").distinct().collect()} == {min(rows)}
+
+
 def test_searches_over_the_feed(spark, tmp_path):
     folder = str(tmp_path)
     rows = [(str(i), f"name {i}", "file", f"{w} of the house number {i % 7}. Then more {w}.", 1, False) for i, w in enumerate("river stone light table water green seven paper cloud winter morning music".split() * 3)]
