@@ -254,6 +254,22 @@ def test_a_search_encodes_its_queries_once(spark):
     assert {r["qid"] for r in found.collect()} == {1, 2}
 
 
+def test_a_search_makes_cards_of_its_hits_alone(spark):
+    """The rows that were found are taken out first, and then described as the catalogue describes all."""
+    from tessera.plans import search as search_plan
+    from tessera.schema import normalized
+
+    rows = spark.createDataFrame([(str(i), f"name {i}", f"a text about stones and {i % 5}") for i in range(20)], "id string, name string, description string")
+    asked = spark.createDataFrame([(1, "stones 3", 5, 0.0, "", [])], "qid long, query string, top_k int, min_score double, source string, categories array<string>")
+    made = index_plan.build(normalized(rows.withColumn("pos", F.col("id")), "pos"), texts=False)
+    found = search_plan.search(asked, made)
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")
+    assert "heuristic" in above and "heuristic" not in below
+    want = {r["id"]: (r["enrichment"], r["trust"]) for r in made.catalog.collect()}
+    got = found.collect()
+    assert len(got) == 5 and all(want[r["id"]] == (r["enrichment"], r["trust"]) for r in got)
+
+
 def test_a_failure_of_the_statistics_is_no_result(spark, monkeypatch):
     """An index without its sparse side is made only where a step for it was handed in and failed; else the build fails."""
     from tessera.schema import normalized
