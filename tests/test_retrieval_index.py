@@ -298,6 +298,15 @@ def test_points_that_share_an_id(spark):
     assert made.stats.first()["n"] == 6 and made.terms.count() == 4
 
 
+def test_several_blocks_are_tasks_of_their_own(spark, monkeypatch):
+    """Parts of one partition each were one partition together, so all blocks were searched by one task."""
+    points, asked = points_of(spark, clustered(800)).repartition(16), queries_of(spark, clustered(60, seed=7))
+    right, tasks, real = hits(retrieve.dense_candidates(asked, points, 10)), [], retrieve.top
+    monkeypatch.setattr(retrieve, "ROWS", 200)  # blocks of 20 queries
+    monkeypatch.setattr(retrieve, "top", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or real(rows, *a))
+    assert hits(retrieve.dense_candidates(asked, points, 10)) == right and sum(tasks) >= 3
+
+
 def test_what_several_blocks_shuffle_does_not_grow_with_the_partitions(spark, monkeypatch):
     """Each query's best rows are shuffled once; they came from every partition of the points for every block."""
     points, asked = points_of(spark, clustered(800)).repartition(16), queries_of(spark, clustered(60, seed=7))
